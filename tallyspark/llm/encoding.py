@@ -2,8 +2,8 @@
 
 A tokenizer that splits text before it merges gives the same ids for a word wherever the word stands.  `Encoder` splits
 a text at places where the tokenizer splits it too, asks the library for each distinct piece once and joins the ids.
-Texts with anything for which that is not certain (rare white space, special-token strings, NUL) go to the library
-whole, so the ids are always those of `Tokenizer.encode(text, add_special_tokens=False)`.
+Texts with anything for which that is not certain (rare white space, special-token strings, control characters) go to
+the library whole, so the ids are always those of `Tokenizer.encode(text, add_special_tokens=False)`.
 """
 
 from __future__ import annotations
@@ -14,17 +14,59 @@ import re
 import numpy as np
 
 #: Pieces held by one worker; at about 200 bytes each.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 #: Pieces that one call to the library gets as one text.
 JOINED = 500
 
-#: How a tokenizer splits: the pieces, what sends a text to the library whole, the separator between pieces in a call.
-SPLITS = {
-    # White space is dropped and never joins two pieces.
-    "words": (re.compile(r"[^ \t\r\n]+"), re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]|<\|"), " \x00 "),
-    # One space belongs to the word after it; other white space stands alone, less its last character before a word.
-    "spaces": (re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]"), re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]|<\|"), "\n"),
-}
+#: What sends a text to the library whole.
+UNSURE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+#: The pieces of texts with runs of white space.
+PIECES = re.compile(r" ?[^ \n\t]+|[ \n]+(?![^ \n])|[ \n]")
+#: Latin-1 characters by kind: letter or digit, comma or full stop, white space, tab, other visible, unsure.
+KINDS = bytes(
+    ord("t" if c == "\t" else " " if c in " \n" else "," if c in ",." else "a" if c.isalnum() else "!" if UNSURE.match(c) else "#")
+    for c in map(chr, range(256))
+)
+
+
+def kinds(text: str) -> bytes | None:
+    """The kind of each character; None unless all are sure Latin-1."""
+    try:
+        found = text.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return None
+    return None if b"!" in found or "<|" in text else found
+
+
+def apart(found: bytes) -> bool:
+    """No comma or full stop that a tokenizer may join to a neighbour other than a letter, a digit or the end."""
+    return not (found[:1] == b"," or b",," in found or b",#" in found or b"#," in found or b" ," in found or b"t," in found)
+
+
+def words(text: str) -> list[str] | None:
+    """White space is dropped, letters are lower-cased by the tokenizer, and it never joins two pieces."""
+    if (found := kinds(text)) is None:
+        return None if UNSURE.search(text) else text.split()
+    text = text.lower()
+    if apart(found):
+        text = text.replace(",", " , ").replace(".", " . ")
+    return text.split()
+
+
+def spaced(text: str) -> list[str] | None:
+    """One space belongs to the word after it; other white space stands alone, less its last character before a word."""
+    found = kinds(text)
+    if "\t" in text or found is None and UNSURE.search(text):
+        return None
+    if found is None or b"  " in found:
+        return PIECES.findall(text)
+    if apart(found):
+        text = text.replace(",", "\x01,\x01").replace(".", "\x01.\x01")
+    return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+
+
+#: How a tokenizer splits: the pieces (None: the text goes to the library whole) and the separator between pieces in a call.
+SPLITS = {"words": (words, " \x00 "), "spaces": (spaced, "\n")}
 
 
 class Encoder:
@@ -37,9 +79,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = SPLITS[split] if split else None
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         if self.split:
-            self.separator = self.tokenizer.encode(self.split[2], add_special_tokens=False).ids
+            self.separator = self.tokenizer.encode(self.split[1], add_special_tokens=False).ids
             if len(self.separator) != 1:
                 self.split = None
 
@@ -47,7 +89,7 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        between, cut = self.split[2], self.separator[0]
+        between, cut = self.split[1], self.separator[0]
         plain = [p for p in pieces if not p.isspace()]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         alone = [p for p in pieces if p.isspace()]
@@ -65,16 +107,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return self.whole(texts)
-        pattern, unsure, _ = self.split
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if unsure.search(t)]
+        parts, odd = {}, []
+        for i, t in enumerate(texts):
+            if (pieces := self.split[0](t)) is None:
+                odd.append(i)
+            else:
+                parts[i] = pieces
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
-        parts = {i: pattern.findall(t) for i, t in enumerate(texts) if out[i] is None}
         missing = set().union(*parts.values()).difference(self.cache)
         if len(missing) + len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-            missing = set().union(*parts.values())
+            self.cache = {"": b""}
+            missing = set().union(*parts.values()).difference(self.cache)
         self.learn(list(missing))
         get = self.cache.__getitem__
         for i, pieces in parts.items():
@@ -92,11 +137,11 @@ def encoder(path: str, split: str | None) -> Encoder:
     return _encoders[path, split]
 
 
-def encoded(texts: list[str | None], path: str, split: str | None, at_once: int = 1 << 20):
-    """Ids of each text (null: empty), in groups of about `at_once` characters."""
+def encoded(texts, path: str, split: str | None, at_once: int = 1 << 20):
+    """Ids of each text of an Arrow array (null: empty), in groups of about `at_once` characters."""
     group, size, tool = [], 0, encoder(path, split)
     for t in texts:
-        group.append(t or "")
+        group.append(t.as_py() or "")
         size += len(group[-1])
         if size >= at_once:
             yield from tool.encode(group)
