@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import packing, tokens
+from tallyspark.llm import packing, tokens, toxicity
 
-QUERIES = {"op1_token_files": tokens.op1_token_files, "op10_packing": packing.op10_packing}
+QUERIES = {"op1_token_files": tokens.op1_token_files, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
 ORACLES: dict[str, str] = {}
