@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import packing, secrets, tokens, toxicity
+from tallyspark.llm import packing, quality, secrets, tokens, toxicity
 
-QUERIES = {"op1_token_files": tokens.op1_token_files, "op3_secrets": secrets.op3_secrets, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
+QUERIES = {"op1_token_files": tokens.op1_token_files, "op3_secrets": secrets.op3_secrets, "op4_quality": quality.op4_quality, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
 ORACLES: dict[str, str] = {}
