@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import packing, quality, secrets, tokens, toxicity, urls
+from tallyspark.llm import decontamination, packing, quality, secrets, tokens, toxicity, urls
 
-QUERIES = {"op1_token_files": tokens.op1_token_files, "op2_url_filter": urls.op2_url_filter, "op3_secrets": secrets.op3_secrets, "op4_quality": quality.op4_quality, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_token_files": tokens.op1_token_files, "op2_url_filter": urls.op2_url_filter, "op3_secrets": secrets.op3_secrets, "op4_quality": quality.op4_quality, "op8_decontamination": decontamination.op8_decontamination, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
+ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,24 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a few numbers that may be sent to every task; beyond it a shuffle takes the place of the broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` (staged rows of a few numbers), to be broadcast if it has `limit` rows at most: their number is counted."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def row_key() -> list:
+    """What tells rows of documents apart: two rows of one key are alike in doc_id and text."""
+    return [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.length("text").alias("_length")]
+
+
+def lowered(text):
+    """A to Z in lower case; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
