@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontamination, line_dedup, packing, quality, secrets, tokens, toxicity, urls
+from tallyspark.llm import decontamination, jaccard, line_dedup, packing, quality, secrets, tokens, toxicity, urls
 
-QUERIES = {"op1_token_files": tokens.op1_token_files, "op2_url_filter": urls.op2_url_filter, "op3_secrets": secrets.op3_secrets, "op4_quality": quality.op4_quality, "op6_line_dedup": line_dedup.op6_line_dedup, "op8_decontamination": decontamination.op8_decontamination, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontamination.ORACLE}
+QUERIES = {"op1_token_files": tokens.op1_token_files, "op2_url_filter": urls.op2_url_filter, "op3_secrets": secrets.op3_secrets, "op4_quality": quality.op4_quality, "op6_line_dedup": line_dedup.op6_line_dedup, "op7_jaccard_join": jaccard.op7_jaccard_join, "op8_decontamination": decontamination.op8_decontamination, "op9_toxicity": toxicity.op9_toxicity, "op10_packing": packing.op10_packing}
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op8_decontamination": decontamination.ORACLE}
