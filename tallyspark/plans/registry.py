@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans import books
+from tallyspark.plans import books, money_flows
 
-MODULES = (books,)
+MODULES = (books, money_flows)
 
 
 def _iso(fn, columns):

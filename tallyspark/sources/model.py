@@ -86,7 +86,7 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Money received: 40 to 120 percent of a valid order's gross, up to 44 days later; every fiftieth without a party."""
     instrument = F.coalesce(*[F.when(F.col("priority") == k, v) for k, v in INSTRUMENTS.items()])
-    return sales(spark, sf_dir).where("valid").select(
+    return view(spark, sf_dir, "sales").where("valid").select(
         F.col("no").alias("id"), F.when(F.col("no") % 50 != 0, F.col("party")).alias("party"), F.lit("SATIS").alias("direction"),
         F.date_add("date", (F.col("no") % 45).cast("int")).alias("date"), div(F.col("gross_kr") * (40 + F.col("no") % 81), 100).alias("amount_kr"), instrument.alias("instrument"),
         F.concat(F.lit("BANK"), (F.col("party") % 5).cast("string")).alias("bank"),
@@ -113,17 +113,17 @@ def _account():
 _views: dict[tuple, DataFrame] = {}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A model table that several queries of a session share, kept in memory and on disk."""
+def view(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
+    """A model table that several queries of a session share, kept in memory and on disk; `make` if it is none of this module."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _views:
-        _views[key] = {"journal": journal, "sales": sales}[name](spark, sf_dir).persist()
+        _views[key] = (make or {"journal": journal, "sales": sales, "receipts": receipts}[name])(spark, sf_dir).persist()
     return _views[key]
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """voucher, kind, line_no, date, account, debit_kr, credit_kr, doc_no."""
-    s = sales(spark, sf_dir)
+    s = view(spark, sf_dir, "sales")
     rec = receipts(spark, sf_dir).where("party is not null and instrument <> 'ACIK'")
     return (
         posting.sale_accruals(s)
