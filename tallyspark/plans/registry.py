@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans import books, checks, money_flows
+from tallyspark.plans import books, checks, money_flows, valuation
 
-MODULES = (books, money_flows, checks)
+MODULES = (books, money_flows, checks, valuation)
 
 
 def _iso(fn, columns):
