@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import staged, table
+from tallyspark.llm.work import small, staged, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SPACES = " \t\n\r\x0b\x0c"
@@ -124,7 +124,7 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, level: float
         "s.source",
         F.when(F.col("count") >= least_rows, grp(F.col("s.lang"), F.col("s.source"))).when(F.col("small") >= least_rows, grp(F.col("s.lang"))).otherwise("*").alias("grp"),
     )
-    names = staged(names, "groups")
+    names = small(staged(names, "groups"))
     same = F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source"))
     rows = staged(good.alias("d").join(names.alias("g"), same).select("grp", F.array(*vector()).alias("x")), "vectors")
     middle = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)])
@@ -135,8 +135,9 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, level: float
     near = chi2_quantile(share, DIMENSIONS)
     factor = share / chi2_cdf(near, DIMENSIONS + 2)  # makes the trimmed covariance consistent for normal rows
     for _ in range(steps):
-        far = rows.join(fits, "grp").select("grp", "x", "centre", distance().alias("d2"))
+        far = rows.join(small(fits), "grp").select("grp", "x", "centre", distance().alias("d2"))
         cut = far.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
+        cut = small(staged(cut, "cut"))
         away = [F.col("x")[i] - F.col("centre")[i] for i in range(DIMENSIONS)]
         sums = far.join(cut, "grp").where("d2 <= cut").groupBy("grp").agg(
             F.first("centre").alias("centre"),
@@ -144,7 +145,7 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, level: float
             F.array(*[F.avg(a * b) for a in away for b in away]).alias("products"),
         )
         fits = staged(_fits(sums, factor), "fit")
-    judged = stats.alias("d").join(names.alias("g"), same, "left").select("d.*", "grp").join(fits, "grp", "left")
+    judged = stats.alias("d").join(names.alias("g"), same, "left").select("d.*", "grp").join(small(fits), "grp", "left")
     beyond = judged.withColumn("x", F.array(*vector())).withColumn("d2", distance())
     limit = chi2_quantile(level, DIMENSIONS)
     return beyond.select(*stats.columns, F.coalesce(~F.col("base_failed") & (F.col("d2") > limit), F.lit(False)).alias("outlier"))
