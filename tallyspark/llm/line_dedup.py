@@ -80,6 +80,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Data
     classes = staged(classes, "intervals")
     place = F.struct("_id", "uid", "at")
     firsts = classes.groupBy("m", "a", "b").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    firsts = small(staged(firsts, "firsts"))  # written, so that a hot interval can be split in the join
     later = classes.join(firsts, ["m", "a", "b"]).where(place != F.col("origin")).select("uid", "first", "last").distinct()
     by = Window.partitionBy("uid").orderBy("first", "last")
     reached = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
