@@ -35,9 +35,12 @@ SHINGLE = 5
 SHARE = 75
 BUCKETS = 3
 #: 64-bit words of a bit vector.
-BITS = 64
-#: A shingle is hot if the groups that hold it set so many of 64 bits: about 90 groups.
-HOT_BITS = 48
+BITS = 32
+#: A shingle is hot if the groups that hold it set so many of 64 bits; so many groups at least hold it.  A row of the matrix
+#: that is not hot has about as many columns at most, and so adds a few pairs of groups.
+HOT_BITS = 6
+#: Least and most bits of the table of wanted shingles that tasks get (at most 8 MB, whatever the input).
+WANTED_BITS = 1 << 16, 1 << 26
 WORDS_HELD = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -86,6 +89,11 @@ def prefix(n: int, share: int) -> int:
     return n - -(-share * n // 100) + 1
 
 
+def slack(n):
+    """Shingles beyond the prefix that are at hand for those of it that are hot."""
+    return n // 12 + 6
+
+
 def _describe(batches, share: int):
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n", "node", "heads", "buckets", "bits")}
@@ -94,7 +102,7 @@ def _describe(batches, share: int):
             n = len(t)
             out["n"].append(n)
             out["node"].append(node_of(t) if n else None)
-            out["heads"].append(t[: prefix(n, share) + n // 12 + 8] if n else t)
+            out["heads"].append(t[: prefix(n, share) + slack(n)] if n else t)
             u = t.view(np.uint64)
             out["buckets"].append(np.array([mixed(u * f).min() for f in _BUCKET_FACTORS], np.uint64).view(np.int64) if n else t)
             flags = np.zeros(BITS * 64, np.uint8)
@@ -158,6 +166,7 @@ class Join:
         """Links of nodes with the least node of their min-hash buckets."""
         keys = self.nodes.select("node", F.posexplode("buckets").alias("k", "bucket"))
         least = keys.groupBy("k", "bucket").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("k", "bucket", "b")
+        least = staged(least, "buckets")  # written, so that a hot bucket can be split in the join
         return self.linked(keys.join(least, ["k", "bucket"]).where("node <> b").select(F.col("node").alias("a"), "b"))
 
     def met(self, groups: DataFrame) -> DataFrame:
@@ -165,33 +174,60 @@ class Join:
         groups = small(groups)
         group = F.coalesce("root", "node").alias("g")
         rows = self.sets.where("n > 0").join(groups, "node", "left").select(group, "node", "n", "heads")
-        exploded = rows.select("g", "node", "n", F.explode("heads").alias("token"))
+        exploded = rows.select("g", F.explode("heads").alias("token"))
         counted = exploded.groupBy("token").agg(
             F.min("g").alias("low"), F.max("g").alias("high"), F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(g), 64) AS INT)))").alias("seen")
-        ).where("low <> high").select("token", (F.bit_count("seen") >= HOT_BITS).alias("hot"))
+        ).where("low <> high").select("token", F.bit_count("seen").alias("held"))
         counted = staged(counted, "shared")
-        hot = counted.where("hot").select("token")
+        is_hot = F.col("held") >= HOT_BITS
+        hot = staged(counted.where(is_hot).select("token", "held"), "hot")
         # Sets with fewer cold shingles among their first than a prefix needs enter with all their shingles.
         need = (F.col("n") - F.ceil(F.lit(self.share) * F.col("n") / 100) + 1).alias("need")
-        hits = exploded.join(small(hot), "token").groupBy("node").agg(F.first("n").alias("n"), F.countDistinct("token").alias("hits"))
-        held = F.least(F.col("n"), need + F.floor(F.col("n") / 12) + 8)
+        found = self.heads(rows, hot.select("token")).select("node", "n", F.explode("heads").alias("token")).join(small(hot), "token")
+        hits = found.groupBy("node").agg(F.first("n").alias("n"), F.countDistinct("token").alias("hits"))
+        held = F.least(F.col("n"), need + F.floor(F.col("n") / 12) + 6)
         deep = staged(hits.where((held - F.col("hits")) < need).select("node", "n", need), "deep")
-        whole = self.tokens(deep).join(deep, "node").join(groups, "node", "left").select(group, "node", "n", "need", F.posexplode("tokens").alias("at", "token"))
-        whole = whole.join(hot.withColumn("hot", F.lit(True)), "token", "left").select("g", "node", "n", "need", "at", "token", F.coalesce("hot", F.lit(False)).alias("hot"))
-        whole = staged(whole, "whole")
-        cold = whole.where("not hot")
-        # The rest of a prefix, where cold shingles do not fill it, is hot ones in the order of their hashes.
+        whole = self.tokens(deep).join(deep, "node").join(groups, "node", "left").select(group, "node", "need", F.explode("tokens").alias("token"))
+        whole = staged(whole.join(hot, "token", "left"), "whole")
+        cold = whole.where("held is null")
+        # Where cold shingles do not fill a prefix the rest of it is hot ones, those of few groups first.
         filled = cold.groupBy("node").agg(F.count("*").alias("cold"))
-        missing = whole.where("hot").join(filled, "node", "left").where(F.coalesce("cold", F.lit(0)) < F.col("need"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy("at"))
+        missing = whole.where("held is not null").join(filled, "node", "left").where(F.coalesce("cold", F.lit(0)) < F.col("need"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
         fill = missing.withColumn("place", place).where(F.col("place") <= F.col("need") - F.coalesce("cold", F.lit(0)))
-        columns = ["token", "g", "n"]
-        wanted = counted.where("not hot").select("token").unionByName(cold.select("token")).distinct()
-        matrix = exploded.select(columns).join(wanted, "token").unionByName(cold.select(columns)).unionByName(fill.select(columns))
-        matrix = staged(matrix.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
-        x, y = matrix, matrix.select("token", F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        fits = (100 * F.col("high") >= self.share * F.col("low2")) & (100 * F.col("high2") >= self.share * F.col("low"))
-        return x.join(y, "token").where((F.col("g") < F.col("h")) & fits).select("g", "h").distinct()
+        wanted = staged(counted.where(~is_hot).select("token").unionByName(cold.select("token")).unionByName(fill.select("token")).distinct(), "wanted")
+        # Hot shingles that fill a prefix meet those that fill others' only: a set whose prefix is cold has its cold shingles there.
+        first = self.heads(rows, wanted).select("g", F.explode("heads").alias("token")).join(wanted, "token").join(small(hot.select("token")), "token", "left_anti")
+        matrix = staged(first.unionByName(cold.select("g", "token")).unionByName(fill.select("g", "token")).distinct(), "matrix")
+        x, y = matrix, matrix.select("token", F.col("g").alias("h"))
+        return x.join(y, "token").where("g < h").select("g", "h").distinct()
+
+    def heads(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """`rows` (g, node, n, heads) with those of their heads that may be `wanted` (token): a table of bits leaves most others out.
+
+        The table has 16 bits for each wanted shingle up to its most; beyond, more of the others pass, to be sorted out by
+        the join that follows.
+        """
+        least, most = WANTED_BITS
+        size = min(most, max(least, 1 << (16 * wanted.count()).bit_length()))
+        at = F.pmod("token", F.lit(size))
+        words = wanted.select(F.call_function("div", at, F.lit(64)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
+        bits = np.zeros(size // 64, np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+        def keep(batches):
+            held = shared.value
+            for batch in batches:
+                lists = batch.column(3)
+                tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+                place = tokens % size
+                passes = (held[place >> 6] >> (place & 63)) & 1 == 1
+                after = np.append(0, np.cumsum(passes))[ends]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(after, pa.int32()), pa.array(tokens[passes], pa.int64()))], batch.schema.names)
+
+        return rows.mapInArrow(keep, "g long, node long, n long, heads array<long>")
 
     def opened(self, met: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of nodes (a, b) of groups that meet, after the bound of each set's overlap with the other group."""
