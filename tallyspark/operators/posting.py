@@ -131,8 +131,8 @@ def numbered(vouchers: DataFrame, *order: str, series: str = "series") -> DataFr
     The rows are range-partitioned by the order; counts of each part and series (a small table) give the parts' bases, so
     no task sees more than its part.
     """
-    # Written ranges would be better still; with a deterministic input the sampled bounds are the same each time.
-    parts = vouchers.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # Kept, so that the counts and the rows come from one division into ranges.
+    parts = vouchers.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
     counts = parts.groupBy("_part", series).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base_all = counts.groupBy("_part").agg(F.sum("count").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_all"))
