@@ -3,8 +3,8 @@
 A set is a node, named by a hash of its shingles, so that exact copies are one node.  The join is exact; it uses a
 token-group matrix:
 
-1. Groups.  Nodes meet the least node of each of their min-hash buckets; pairs that pass the exact check are linked, and
-   linked nodes form a group.  This puts near copies, however many, into one group with a link for each, not for each pair.
+1. Groups.  Nodes meet one node of each of their min-hash buckets, in a few turns another one each time; pairs that pass
+   the exact check are linked, and linked nodes form a group.  This puts near copies, however many, into one group with a link for each, not for each pair.
 2. Matrix.  A row is a shingle, its columns are the groups that hold it.  Two sets that are similar enough share a
    shingle among the first `n - ceil(share * n) + 1` of each in any order that is the same for all; the order is by hash,
    with hot shingles (those of very many groups) behind all others.  So only these prefixes enter the matrix, and rows
@@ -33,7 +33,8 @@ from tallyspark.llm.work import small, staged, table
 
 SHINGLE = 5
 SHARE = 75
-BUCKETS = 3
+#: Times that the nodes of a bucket meet one of them, so that a family of near copies becomes few groups.
+TURNS = 3
 #: 64-bit words of a bit vector.
 BITS = 32
 #: A shingle is hot if the groups that hold it set so many of 64 bits; so many groups at least hold it.  A row of the matrix
@@ -162,12 +163,18 @@ class Join:
         met = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
         return staged(met.where(100 * F.col("both") >= self.share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
 
-    def starred(self) -> DataFrame:
-        """Links of nodes with the least node of their min-hash buckets."""
+    def starred(self, groups: DataFrame | None, turn: int) -> DataFrame:
+        """Links of nodes with one node of each of their min-hash buckets, another one each `turn`, if their groups differ."""
         keys = self.nodes.select("node", F.posexplode("buckets").alias("k", "bucket"))
-        least = keys.groupBy("k", "bucket").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("k", "bucket", "b")
+        if groups is None:
+            keys = keys.withColumn("g", F.col("node"))
+        else:
+            keys = keys.join(small(groups), "node", "left").select("node", "k", "bucket", F.coalesce("root", "node").alias("g"))
+        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("b"), F.col("g").alias("h"))).alias("chosen")
+        least = keys.groupBy("k", "bucket").agg(chosen, F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("k", "bucket", "chosen.b", "chosen.h")
         least = staged(least, "buckets")  # written, so that a hot bucket can be split in the join
-        return self.linked(keys.join(least, ["k", "bucket"]).where("node <> b").select(F.col("node").alias("a"), "b"))
+        pairs = keys.join(least, ["k", "bucket"]).where("g <> h").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        return self.linked(pairs)
 
     def met(self, groups: DataFrame) -> DataFrame:
         """Pairs of groups (g, h) that share a shingle of their prefixes; `groups` has (node, root) for groups of two or more."""
@@ -249,8 +256,14 @@ class Join:
 
     def classes(self) -> DataFrame:
         """node and root for all nodes with a link to another node."""
-        links = self.starred()
+        links = self.starred(None, 0)
         groups = staged(components(links), "groups")
+        for turn in range(1, TURNS):
+            more = self.starred(groups, turn)
+            if not more.limit(1).count():
+                break
+            links = links.unionByName(more)
+            groups = staged(components(links), "groups")
         more = self.linked(self.opened(self.met(groups), groups))
         return staged(components(links.unionByName(more)), "classes")
 
