@@ -100,3 +100,12 @@ def test_numbers_have_no_gaps(spark):
 def test_empty_tables(spark):
     j = spark.createDataFrame([], "voucher long, kind string, line_no int, date date, account string, debit_kr long, credit_kr long, doc_no long")
     assert ledger.trial_balance(j).count() == 0 and statements.statement(j).first().net_profit == 0 and tax.vat_return(j).count() == 0
+
+
+def test_terms_and_loan_entries(spark):
+    rows = documents.corrected(spark.createDataFrame([(1, "there"), (2, "tbere"), (3, "zzzz"), (4, None)], "id long, term string"), ["there", "nicht"]).orderBy("id").collect()
+    assert [(r.match, r.status) for r in rows] == [("there", "TAM"), ("there", "ONERI"), (None, "BILINMIYOR"), (None, "BILINMIYOR")]
+    assert documents.distance("ab", "ba") == 1 and documents.distance("l0", "1o") == pytest.approx(0.8)
+    df = spark.sql("SELECT 1L AS id, 1000000L AS principal_kr, 2400L AS rate_bp, 14L AS term, DATE'2026-01-31' AS start, 'EsitAnapara' AS method, 500 AS bsmv_bp, cast(array() AS array<struct<months:int,annual_bp:bigint>>) AS tranches")
+    legs = credit.entries(df).collect()
+    assert sum(r.debit_kr - r.credit_kr for r in legs) == 0 and sum(r.debit_kr for r in legs if r.account == "400") == 1_000_000
