@@ -37,7 +37,7 @@ def fifo(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
     upto = F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("p") + F.least(F.lit(0), F.col("least")))
     both = both.withColumn("upto", upto.cast("bigint"))
     before = F.coalesce(F.lag("upto").over(Window.partitionBy(*KEY, "side").orderBy("date", "key")), F.lit(0))
-    both = both.withColumn("since", before).where("upto > since")
+    both = both.withColumn("since", before).where("upto > since").persist()  # read three times below
     # Cells of the sum: about STRIDE invoices each, from the party's own mean.
     mean = both.where("side = 0").groupBy(*KEY).agg(F.greatest(F.ceil(F.max("upto") / F.greatest(F.count("*") / STRIDE, F.lit(1))), F.lit(1)).cast("bigint").alias("cell"))
     met = both.join(mean, KEY)
