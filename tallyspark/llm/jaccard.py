@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
-from tallyspark.llm.work import small, staged, table
+from tallyspark.llm.work import numbered, small, staged, table
 
 SHINGLE = 5
 SHARE = 75
@@ -121,7 +121,7 @@ def _tokens(batches):
 
 
 class Join:
-    """One run over `docs` (uid, doc_id, text); tables that several steps read are written."""
+    """One run over `docs` (uid, doc_id, text; uid as stored, see `numbered`); tables that several steps read are written."""
 
     def __init__(self, docs: DataFrame, share: int = SHARE):
         self.docs, self.share = docs, share
@@ -286,13 +286,13 @@ def with_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and component."""
-    docs = table(spark, sf_dir, "documents").withColumn("uid", F.monotonically_increasing_id())
-    return with_components(docs.select("uid", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows of `docs`, one for each component: the first read of those with its least doc_id; columns as they are."""
-    seen = docs.withColumn("_uid", F.monotonically_increasing_id())
+    seen = numbered(docs, "_uid")
     found = with_components(seen.select(F.col("_uid").alias("uid"), "doc_id", "text"), share)
     found = staged(found.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("component_id"))), "found")
     first = found.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("kept"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import row_key, small, staged, table
+from tallyspark.llm.work import numbered, row_key, small, staged, table
 
 LEAST_WORDS = 50
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -34,11 +34,6 @@ def words(line):
     return F.size(F.array_remove(F.split(line, _SPACES), ""))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with `uid`, the place of a row in the files read; the same in every reading of the same files."""
-    return docs.withColumn("uid", F.monotonically_increasing_id())
-
-
 def ranked(pairs: DataFrame, *columns: str) -> DataFrame:
     """Distinct `columns` that occur twice or more, with `rank`, ascending from 1 in their order (not dense)."""
     repeated = pairs.groupBy(*columns).count().where("count > 1").select(*columns)
@@ -135,7 +130,7 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its lines, the lines deleted, their runs (`first-last`, from 0) and the digest of what is left."""
-    docs = numbered(table(spark, sf_dir, "documents"))
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     _, runs = repeated_runs(docs.select("doc_id", "text", "uid"))
     text = F.coalesce("text", F.lit(""))
     listed = F.array_join(F.transform("deletions", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")

@@ -36,6 +36,12 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
+    """`docs` with a number for each row, written with it: counted anew, it would follow the file splits, which Spark sizes by
+    the executors that are there at each reading."""
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -158,6 +158,38 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, hot):
         assert got[i] == (len(sets[a]), min(ids, default=None))
 
 
+def test_row_numbers_outlive_changes_of_file_splits(spark, monkeypatch, tmp_path):
+    rnd = random.Random(3)
+    family, run = prose(rnd, 120), prose(rnd, 60)
+    rows = [(i, f"{family} w{i}" if i < 20 else f"{prose(rnd, 70)}\n{run}" if i < 40 else prose(rnd, 90)) for i in range(80)]
+    (tmp_path / "d").mkdir()
+    path = str(tmp_path / "d" / "documents.parquet")
+    docs(spark, rows).repartition(8).write.parquet(path)
+    turn = iter(range(10_000))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def staged_with_other_splits(*args):
+        out = staged(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ("1k", "64m")[next(turn) % 2])
+        return out
+
+    for m in (jaccard, line_dedup):
+        monkeypatch.setattr(m, "staged", staged_with_other_splits)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = {r.doc_id: r.component_id for r in jaccard.op7_jaccard_join(spark, str(tmp_path / "d")).collect()}
+        kept = {r.doc_id for r in jaccard.one_of_each(spark.read.parquet(path)).collect()}
+        left = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.read.parquet(path)).collect()}
+        runs = {r.doc_id: r.n_deleted for r in line_dedup.op6_line_dedup(spark, str(tmp_path / "d")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 if i < 20 else i for i in range(80)}
+    assert kept == {0, *range(20, 80)}
+    assert {i for i in range(20, 40) if run in left[i]} == {20}
+    assert {i for i in runs if runs[i]} == set(range(21, 40))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {(r.node, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(60)}
