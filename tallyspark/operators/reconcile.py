@@ -91,3 +91,22 @@ def name_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     y = b.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     met = x.join(y, "word").select("id", "other", "name", "other_name").distinct()
     return met.withColumn("score", F.round(names.similarity("name", "other_name"), 6)).where(F.col("score") >= least).select("id", "other", "score")
+
+
+def name_links(named: DataFrame, least: float) -> DataFrame:
+    """Pairs (name < other) of distinct names of `named` (name) that share words to `least` or more.
+
+    A name's words are ordered, rare ones first.  Two names of that share have numbers of words that differ by it at most,
+    and share a word among the first `n - ceil(least * n) + 1` of each; on those they meet, and the share is checked.
+    `least` is above 0; scores are rounded to six places before the check.
+    """
+    low = least - 1e-6
+    names_ = named.select("name").distinct().withColumn("w", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).where("size(w) > 0")
+    each = names_.select("name", F.size("w").alias("n"), F.explode("w").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("held")), "word")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("held", "word"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(low) * F.col("n")) + 1).select("name", "n", "word")
+    y = first.select(F.col("name").alias("other"), F.col("n").alias("m"), "word")
+    fits = (F.col("name") < F.col("other")) & (F.least("n", "m") >= F.lit(low) * F.greatest("n", "m"))
+    met = first.join(y, "word").where(fits).select("name", "other").distinct()
+    return met.withColumn("score", F.round(names.similarity("name", "other"), 6)).where(F.col("score") >= least)

@@ -71,6 +71,7 @@ _RULES = [("600", "120"), ("391", "120"), ("621", "153"), ("610", "120")]
 QUERIES = {
     "canonical_names": (_named, f"WITH {_NAMED_SQL} SELECT * FROM named"),
     "name_similarity": (_pairs, f"WITH {_NAMED_SQL}, w AS (SELECT id, name, list_distinct(string_split(name, ' ')) AS w FROM named), p AS (SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.id <= 150 AND b.id > 150 AND b.id <= 400) SELECT id, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE i > 0 AND round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
+    "name_links": (lambda s, d: reconcile.name_links(_named(s, d), 0.75), f"WITH {_NAMED_SQL}, w AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM (SELECT DISTINCT name FROM named)), p AS (SELECT a.name, b.name AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.name < b.name) SELECT name, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
     "reconcile_greedy": (lambda s, d: reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), None),
     "reconcile_leftovers": (lambda s, d: reconcile.leftovers(_ours(s, d), reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), _theirs(s, d)), None),
     "balance_chain": (lambda s, d: reconcile.balance_chain(bank_movements(s, d)), over("movement", "SELECT * FROM (SELECT account, seq, CAST(coalesce(lag(balance_kr) OVER (PARTITION BY account ORDER BY seq), 0) + CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END AS BIGINT) AS expected_kr, balance_kr FROM movement) WHERE expected_kr <> balance_kr")),
