@@ -69,9 +69,12 @@ def leftovers(ours: DataFrame, pairs: DataFrame, theirs: DataFrame) -> DataFrame
 def suggestions(items: DataFrame, vouchers: DataFrame, days: int, most: int = 10) -> DataFrame:
     """`items` (id, amount_kr, date) with up to `most` `vouchers` (voucher, amount_kr, date) of the exact amount within `days`.
 
-    The band is cut into steps of its width: an item meets its own and the neighbouring steps only.
+    The band is cut into steps of its width: an item meets its own and the neighbouring steps only.  Of the vouchers of an
+    amount and a day only the first `most` can be among those of an item, so no others enter the join, however frequent the
+    amount is; Spark drops them before its shuffle.
     """
     v = vouchers.withColumn("day", day_number("date")).withColumn("step", F.floor(F.col("day") / (days + 1)))
+    v = v.withColumn("k", F.row_number().over(Window.partitionBy("amount_kr", "day").orderBy("voucher"))).where(F.col("k") <= most)
     i = items.withColumn("iday", day_number("date")).select("id", "amount_kr", "iday", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("iday") / (days + 1)) + k)).alias("step"))
     met = i.join(v.select("voucher", "amount_kr", "day", "step"), ["amount_kr", "step"]).where(F.abs(F.col("iday") - F.col("day")) <= days)
     w = Window.partitionBy("id").orderBy("voucher")

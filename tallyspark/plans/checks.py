@@ -44,14 +44,14 @@ def _statements(s, d):
     return by.withColumn("opening_kr", F.when(F.col("account") % 4 == 3, F.col("opening_kr") + 5).otherwise(F.col("opening_kr")))
 
 
-def _suggest(s, d):
-    items = _r(s, d).where("id % 10 = 0").select("id", "amount_kr", F.date_add("date", (F.col("id") % 70 / 10).cast("int")).alias("date"))
+def _suggest(s, d, part="id % 10 = 0"):
+    items = _r(s, d).where(part).select("id", "amount_kr", F.date_add("date", (F.col("id") % 70 / 10).cast("int")).alias("date"))
     v = _j(s, d).where("kind = 'receipt' and debit_kr > 0").select("voucher", F.col("debit_kr").alias("amount_kr"), "date")
     return reconcile.suggestions(items, v, 3)
 
 
-def _documents(s, d):
-    items = _s(s, d).where("no % 10 = 0").select(F.col("no").alias("id"), F.col("gross_kr").alias("amount_kr"), F.date_add("date", (F.col("no") % 90 / 10).cast("int")).alias("date"))
+def _documents(s, d, part="no % 10 = 0"):
+    items = _s(s, d).where(part).select(F.col("no").alias("id"), F.col("gross_kr").alias("amount_kr"), F.date_add("date", (F.col("no") % 90 / 10).cast("int")).alias("date"))
     v = ledger.voucher_totals(_j(s, d)).join(_j(s, d).groupBy("voucher").agg(F.min("date").alias("date")), "voucher").select("voucher", F.col("debit_kr").alias("amount_kr"), "date")
     return reconcile.suggestions(items, v, 5)
 
@@ -98,4 +98,6 @@ QUERIES = {
     "invoice_tabs": (lambda s, d: audit.invoice_tabs(_s(s, d)), over("sale", "SELECT state, count(*) AS n, CAST(sum(gross_kr) AS BIGINT) AS gross_kr, CAST(sum(net_debt_kr) AS BIGINT) AS net_debt_kr FROM sale GROUP BY state")),
     "party_summary": (lambda s, d: audit.party_summary(_s(s, d), _all(s, d)), over("receipt", _ALL + ", p AS (SELECT no, sum(amount_kr) AS paid FROM alloc GROUP BY no) SELECT party, count(*) AS n, CAST(sum(net_debt_kr) AS BIGINT) AS debt_kr, CAST(coalesce(sum(paid), 0) AS BIGINT) AS paid_kr, CAST(sum(net_debt_kr) - coalesce(sum(paid), 0) AS BIGINT) AS open_kr FROM sale LEFT JOIN p ON p.no = sale.no WHERE valid GROUP BY party")),
 }
+for _name, _fn, _part in (("bank_suggestions", _suggest, "id % 10 = 0"), ("document_suggestions", _documents, "no % 10 = 0")):
+    QUERIES[_name + "_all"] = (lambda s, d, fn=_fn: fn(s, d, "true"), QUERIES[_name][1].replace(f"WHERE {_part})", "WHERE true)"))
 DATES = {"statement_carry": ["period"], "monthly_deviation": ["month"], "cash_book": ["date"], "bank_book": ["date"], "invoice_search": ["date"]}

@@ -34,3 +34,22 @@ def test_names_link_over_all_customers(spark, db):
     share = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
     brute = {(a, b) for a in distinct for b in distinct if a < b and share(a, b) >= 0.75}
     assert {(r.name, r.other) for r in reconcile.name_links(named, 0.75).collect()} == brute and brute
+
+
+@pytest.mark.parametrize("name", ["bank_suggestions", "document_suggestions"])
+def test_every_item_gets_suggestions(spark, db, name):
+    equal(spark, db, name)
+    equal(spark, db, name + "_all")
+    assert registry.QUERIES[name + "_all"](spark, SF).where("id % 10 <> 0").limit(1).count()
+
+
+def test_first_vouchers_of_a_frequent_amount(spark):
+    from datetime import date, timedelta
+
+    day = lambda k: date(2026, 1, 1) + timedelta(k)
+    vouchers = [(v * 7919 % 3001, 500, day(v % 12)) for v in range(3001)]
+    items = [(i, 500, day(i % 15)) for i in range(60)]
+    s = "{} long, amount_kr long, date date"
+    rows = reconcile.suggestions(spark.createDataFrame(items, s.format("id")), spark.createDataFrame(vouchers, s.format("voucher")), 3).collect()
+    want = {(i, v) for i, _, d in items for v in sorted(v for v, _, e in vouchers if abs((d - e).days) <= 3)[:10]}
+    assert {(r.id, r.voucher) for r in rows} == want and len(rows) == len(want)
