@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import accounts as A
 from tallyspark.functions.money import formatted, total
+from tallyspark.operators.posting import numbered
 
 
 def net() -> Column:
@@ -30,7 +31,8 @@ def named(balance: DataFrame, chart: DataFrame) -> DataFrame:
 def general_ledger(journal: DataFrame) -> DataFrame:
     """Movements of each account by date, voucher and line with the running balance and the voucher's contra accounts.
 
-    Contra accounts are those on the other side, neighbouring repeats once, in line order.
+    Contra accounts are those on the other side, neighbouring repeats once, in line order; those of long vouchers are in
+    `long_contras`, by voucher and side.
     """
     debit = F.col("debit_kr") > 0
     line = F.struct("line_no", F.col("account"), debit.alias("debit"))
@@ -43,10 +45,31 @@ def general_ledger(journal: DataFrame) -> DataFrame:
     return out.select("account", "date", "voucher", "line_no", "debit_kr", "credit_kr", F.sum(F.col("debit_kr") - F.col("credit_kr")).over(w).alias("balance_kr"), F.array_join(once, ", ").alias("contra"))
 
 
-#: Vouchers with more lines (openings, closings) name no contra accounts, so that no voucher gathers in one row.
+#: Vouchers with more lines (openings, closings) have their contra accounts in `long_contras`, so that no voucher gathers in one row.
 CONTRA_LINES = 1000
 
 
+def long_contras(journal: DataFrame, chunk: int = CONTRA_LINES) -> DataFrame:
+    """Contra accounts of vouchers with more than CONTRA_LINES lines: `contra` in chunks of `chunk` accounts, numbered from 0, once
+    for all lines of a `side` (debit or credit) of a voucher.
+
+    The order and repeats are those of `general_ledger`; a side whose other side is empty has no rows.  Numbers come from
+    ranges and prefix sums, so no task sees more than its part of a voucher.
+    """
+    many = journal.groupBy("voucher").count().where(f"count > {CONTRA_LINES}").select("voucher")
+    side = F.when(F.col("debit_kr") > 0, "credit").otherwise("debit").alias("side")
+    lines = journal.join(many, "voucher", "left_semi").select("voucher", side, "line_no", "account").distinct()
+    order = ("voucher", "side", "line_no", "account")
+    series = F.concat_ws(" ", F.col("voucher").cast("string"), "side")
+    at = numbered(lines.withColumn("series", series), *order).drop("journal_no")
+    before = at.select("series", (F.col("serial") + 1).alias("serial"), F.col("account").alias("last"))
+    once = at.join(before, ["series", "serial"], "left").where("last is null or last <> account").select("voucher", "side", "line_no", "account", "series")
+    place = (F.col("serial") - 1).alias("place")
+    out = numbered(once, *order).select("voucher", "side", "account", place).withColumn("chunk", F.call_function("div", F.col("place"), F.lit(chunk)))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "account"))), lambda x: x["account"])
+    return out.groupBy("voucher", "side", "chunk").agg(F.array_join(listed, ", ").alias("contra"))
+
+
 def journal_book(journal: DataFrame, last: int) -> DataFrame:
     """The last vouchers by date and number, with their totals."""
     heads = journal.groupBy("voucher").agg(F.min("date").alias("date"), F.min("kind").alias("kind"), total("debit_kr").alias("debit_kr"), total("credit_kr").alias("credit_kr"), F.count("*").alias("n_lines"))

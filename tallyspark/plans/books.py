@@ -113,6 +113,7 @@ QUERIES = {
         lambda s, d: ledger.named(ledger.trial_balance(_j(s, d)), chart(s)),
         over("journal", f"WITH {CHART_SQL}, tb AS ({TB}), dim AS (SELECT code, name, {KIND} || ' · ' || {NATURE} AS nature FROM chart) SELECT tb.account, split_part(account, '.', 1) AS ledger, debit_kr, credit_kr, debit_balance_kr, credit_balance_kr, coalesce(name, '') AS name, coalesce(nature, '') AS nature FROM tb LEFT JOIN dim ON code = split_part(account, '.', 1)"),
     ),
+    "ledger_long_contras": (lambda s, d: ledger.long_contras(_j(s, d)), None),
     "general_ledger": (
         lambda s, d: ledger.general_ledger(_j(s, d)),
         over("journal", "WITH n AS (SELECT voucher FROM journal GROUP BY voucher HAVING count(*) <= 1000), x AS (SELECT a.account, a.date, a.voucher, a.line_no, b.line_no AS l, b.account AS other FROM journal a JOIN n ON n.voucher = a.voucher JOIN journal b ON a.voucher = b.voucher AND (a.debit_kr > 0) <> (b.debit_kr > 0)), y AS (SELECT *, lag(other) OVER (PARTITION BY voucher, account, line_no ORDER BY l, other) AS before FROM x), c AS (SELECT voucher, account, line_no, string_agg(other, ', ' ORDER BY l, other) AS contra FROM y WHERE before IS NULL OR before <> other GROUP BY voucher, account, line_no) SELECT j.account, j.date, j.voucher, j.line_no, debit_kr, credit_kr, CAST(sum(debit_kr - credit_kr) OVER (PARTITION BY j.account ORDER BY j.date, j.voucher, j.line_no) AS BIGINT) AS balance_kr, coalesce(contra, '') AS contra FROM journal j LEFT JOIN c ON c.voucher = j.voucher AND c.account = j.account AND c.line_no = j.line_no"),

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import reconcile
+from tallyspark.operators import ledger, reconcile
 from tallyspark.plans import registry, valuation
 from test_queries import plain
 
@@ -68,3 +68,22 @@ def test_terms_loans_and_numbers_of_whole_tables(spark, db, tmp_path):
     rows = registry.QUERIES["loan_schedule_all"](spark, str(tmp_path)).collect()
     principal = {r.id: r.principal_kr for r in valuation._loans(spark, str(tmp_path)).collect()}
     assert {i: sum(r.principal_kr for r in rows if r.id == i) for i in principal} == principal and len(principal) == 3
+
+
+def test_contra_accounts_of_long_vouchers(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(v, n, f"{rnd.randint(1, 4)}", a, 100 - a) for v in (7, 8) for n in range(1, 31) for a in (rnd.choice((0, 100)),)]
+    rows = [(v, n, x, d, c) for v, n, x, d, c in rows if v == 7 or n <= 5] + [(9, 1, f"120.{k}", 100, 0) for k in range(40)]
+    monkeypatch.setattr(ledger, "CONTRA_LINES", 10)
+    j = spark.createDataFrame(rows, "voucher long, line_no int, account string, debit_kr long, credit_kr long").repartition(5)
+    got = {}
+    for r in ledger.long_contras(j, 3).orderBy("voucher", "side", "chunk").collect():
+        assert r.chunk == len(got.setdefault((r.voucher, r.side), [])) and len(r.contra.split(", ")) <= 3
+        got[r.voucher, r.side].append(r.contra)
+    want = {}
+    for v, side in ((7, "debit"), (7, "credit"), (9, "credit")):
+        accounts = [x for _, x in sorted((n, x) for w, n, x, d, _ in rows if w == v and (d > 0) == (side == "credit"))]
+        want[v, side] = ", ".join(x for i, x in enumerate(accounts) if not i or x != accounts[i - 1])
+    assert {k: ", ".join(x) for k, x in got.items()} == want
