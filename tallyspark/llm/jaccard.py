@@ -1,23 +1,32 @@
 """All pairs of documents whose sets of word shingles have a Jaccard similarity of `share` percent or more, as components.
 
-A set is a node, named by a hash of its shingles, so that exact copies are one node.  The join is exact; it uses a
-token-group matrix:
-
-1. Groups.  Nodes meet one node of each of their min-hash buckets, in a few turns another one each time; pairs that pass
-   the exact check are linked, and linked nodes form a group.  This puts near copies, however many, into one group with a link for each, not for each pair.
-2. Matrix.  A row is a shingle, its columns are the groups that hold it.  Two sets that are similar enough share a
-   shingle among the first `n - ceil(share * n) + 1` of each in any order that is the same for all; the order is by hash,
-   with hot shingles (those of very many groups) behind all others.  So only these prefixes enter the matrix, and rows
-   without a second group leave it.  Sets with too few cold shingles enter with their whole texts.
-3. Bounds.  For two groups that meet in a row, the overlap of a set with the union of the other group's shingles is
-   bounded by bit vectors: shingles whose bits the union lacks are not in it.  Groups whose bound is too low stay shut.
-4. Check.  From groups that open, pairs of sets of fitting sizes and bounds are compared shingle by shingle.
-
-Shingles and nodes are 64-bit hashes; two different ones meet with a chance of 5e-20.  Tables of few numbers are broadcast
-only if they are counted to be small, and shuffled otherwise.
+A set is a node, named by a hash of its shingles, so that exact copies are one node.  The join is exact.  Two sets of n
+and m shingles link if their overlap o has (100 + share) * o >= share * (n + m), hence o >= share * n / 100.
+
+1. Lonely nodes go.  Of each node a prefix in hash order is read, long enough that a node with a partner shares some of it
+   with others; a shingle of one node alone has the same least and greatest holder.  Most nodes end here.
+2. Prefixes.  With counts over all shingles of the remaining nodes, shingles are ordered by rarity; two similar sets share
+   one of the first `n - ceil(share * n) + 1` of each.  Cold shingles, of `COLD` nodes at most, give pairs at once.
+3. Groups.  For the hot ones the token-group matrix stands in for pairs.  Nodes are grouped by the rarest hot shingle of
+   their prefix.  A group stores the union of its members' shingles with their counts, and its core: what over half of the
+   members hold.  A node meets its own group, and larger ones that have a hot shingle of its prefix.
+4. Bounds.  A node that meets a group is encoded against it: c shingles in the core, and those beyond the core that
+   others who meet the group hold.  Both together bound its overlap with any member; groups whose bound is too low stay shut.  Where the group
+   opens, members x and y overlap in min(c_x, c_y) shingles of the core at most.  So a node whose c alone does not reach
+   needs k shingles beyond the core in common with its partner, and only a prefix of these (rarest first) is joined.
+   Nodes whose c reaches overlap in c_x + c_y less the core's size at least: where that is enough they link with the
+   group's best node without a look at any pair.  Of others, what they lack of the core and have beyond it must agree
+   in k entries with their partner, and a prefix of these is joined.
+5. Hot shingles beyond a core make groups within the group in the same way, until none is left.
+6. Check.  The pairs that these prefixes give are compared shingle by shingle.
+
+So a family of near copies, linked or not, costs rows in proportion to its members.  Shingles and nodes are 64-bit
+hashes; two different ones meet with a chance of 5e-20.  Tables are broadcast only if counted to be small.
 
 Cases.  A null or empty text has no shingles and no links; fewer than five words are one shingle; repeated rows are
-copies; a null doc_id never names a component unless all its rows lack one; an empty table gives no rows.
+copies; a null doc_id never names a component unless all its rows lack one; an empty table gives no rows.  Rows are told
+apart by doc_id and text, never by a number that another reading could change; of repeated rows one stays.  Other columns
+may have any names: none of them is renamed, read or lost.
 """
 
 from __future__ import annotations
@@ -25,28 +34,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
-from tallyspark.llm.work import numbered, small, staged, table
+from tallyspark.llm.work import dropped, fresh, light, quoted, small, staged, swept, table
 
 SHINGLE = 5
 SHARE = 75
-#: Times that the nodes of a bucket meet one of them, so that a family of near copies becomes few groups.
-TURNS = 3
-#: 64-bit words of a bit vector.
-BITS = 32
-#: A shingle is hot if the groups that hold it set so many of 64 bits; so many groups at least hold it.  A row of the matrix
-#: that is not hot has about as many columns at most, and so adds a few pairs of groups.
-HOT_BITS = 6
-#: Least and most bits of the table of wanted shingles that tasks get (at most 8 MB, whatever the input).
-WANTED_BITS = 1 << 16, 1 << 26
+#: A shingle is cold if so many nodes (members of a group) hold it at most: it then gives at most so many pairs a node.
+COLD = 16
 WORDS_HELD = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_BUCKET_FACTORS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F], np.uint64)
+_LONGS, _COUNTED = "array<bigint>", "array<struct<held:bigint,token:bigint>>"
 
 
 class _Words(dict):
@@ -86,218 +88,253 @@ def node_of(tokens: np.ndarray) -> int:
     return np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], np.uint64).view(np.int64)[0]
 
 
-def prefix(n: int, share: int) -> int:
-    return n - -(-share * n // 100) + 1
+def least_overlap(n: int, share: int) -> int:
+    return -(-share * n // 100)
 
 
-def slack(n):
-    """Shingles beyond the prefix that are at hand for those of it that are hot."""
-    return n // 12 + 6
+def prefix(n: int, share: int) -> int:
+    """Shingles of a prefix that a node with a partner shares in n // 12 + 1 places: passages in common do not suffice for that."""
+    return min(n, n - least_overlap(n, share) + n // 12 + 1)
 
 
 def _describe(batches, share: int):
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "node", "heads", "buckets", "bits")}
-        for text in batch.column(2):
-            t = shingles(text.as_py())
-            n = len(t)
-            out["n"].append(n)
-            out["node"].append(node_of(t) if n else None)
-            out["heads"].append(t[: prefix(n, share) + slack(n)] if n else t)
-            u = t.view(np.uint64)
-            out["buckets"].append(np.array([mixed(u * f).min() for f in _BUCKET_FACTORS], np.uint64).view(np.int64) if n else t)
-            flags = np.zeros(BITS * 64, np.uint8)
-            flags[(u % np.uint64(BITS * 64)).astype(np.int64)] = 1
-            out["bits"].append(np.packbits(flags).view(np.int64) if n else t)
+        found = [shingles(text.as_py()) for text in batch.column(3)]
         longs = pa.list_(pa.int64())
-        kinds = {"n": pa.int64(), "node": pa.int64(), "heads": longs, "buckets": longs, "bits": longs}
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(out[k], kinds[k]) for k in kinds]], ["uid", "doc_id", *kinds])
+        made = {
+            "n": pa.array(map(len, found), pa.int32()),
+            "node": pa.array([node_of(t) if len(t) else None for t in found], pa.int64()),
+            "heads": pa.array([t[: prefix(len(t), share)] for t in found], longs),
+        }
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made.values()], [*KEY, *made])
 
 
 def _tokens(batches):
     for batch in batches:
-        found = [shingles(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "tokens"])
 
 
-class Join:
-    """One run over `docs` (uid, doc_id, text; uid as stored, see `numbered`); tables that several steps read are written."""
+def _encoded(batches):
+    """Of rows (node, g, n, own, size, low, need, tokens, core): c, what is beyond the core, and what of it is lacking if c reaches `need`."""
+    for batch in batches:
+        c, beyond, lacking = [], [], []
+        for need, tokens, core in zip(batch.column(6), batch.column(7), batch.column(8)):
+            t, p = np.array(tokens.values, np.int64), np.array(core.values, np.int64)
+            inside = np.isin(t, p)
+            c.append(int(inside.sum()))
+            beyond.append(t[~inside])
+            lacking.append(p[~np.isin(p, t)] if c[-1] >= need.as_py() else p[:0])
+        longs = pa.list_(pa.int64())
+        cores = pa.array([len(x) for x in batch.column(8)], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], cores, pa.array(c, pa.int32()), pa.array(beyond, longs), pa.array(lacking, longs)], [*batch.schema.names[:7], "core", "c", "beyond", "lacking"])
 
-    def __init__(self, docs: DataFrame, share: int = SHARE):
-        self.docs, self.share = docs, share
-        sets = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            lambda b: _describe(b, share), "uid long, doc_id long, n long, node long, heads array<long>, buckets array<long>, bits array<long>"
-        )
-        self.sets = staged(sets, "sets")
-        nodes = self.sets.where("n > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-        self.nodes = staged(nodes, "nodes")
 
-    def tokens(self, wanted: DataFrame) -> DataFrame:
-        """node and all its shingles, for the nodes of `wanted` (node)."""
-        uids = staged(self.nodes.join(wanted.select("node").distinct(), "node").select("uid"), "wanted")
-        return staged(self.docs.select("uid", "text").join(small(uids), "uid").select("text").mapInArrow(_tokens, "node long, tokens array<long>"), "tokens")
+#: What tells rows of documents apart, wherever and however often they are read.
+KEY = ["doc_id", "text_hash", "length"]
 
-    def bits(self, wanted: DataFrame) -> DataFrame:
-        """node, n, bits for the nodes of `wanted` (node)."""
-        uids = staged(self.nodes.join(wanted.select("node").distinct(), "node").select("uid"), "wanted")
-        return self.sets.select("uid", "node", "n", "bits").join(small(uids), "uid").select("node", "n", "bits")
 
-    def fitting(self, n, m):
-        return (100 * F.least(n, m) >= self.share * F.greatest(n, m))
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.length("text"), F.lit(-1)).alias("length"), "text")
 
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """Of `pairs` (a, b) those whose sizes and bit vectors allow the similarity."""
-        pairs = staged(pairs.distinct(), "pairs")
-        about = staged(self.bits(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "bits")
-        x = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-        y = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        met = pairs.join(x, "a").join(y, "b").where(self.fitting(F.col("na"), F.col("nb")))
-        most = F.least(F.col("na") - lacking("xa", "xb"), F.col("nb") - lacking("xb", "xa"))
-        return met.where((100 + self.share) * most >= self.share * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Of `pairs` (a, b) those with the similarity."""
-        pairs = staged(self.bounded(pairs), "open")
-        tokens = self.tokens(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        x, y = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        met = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
-        return staged(met.where(100 * F.col("both") >= self.share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
-
-    def starred(self, groups: DataFrame | None, turn: int) -> DataFrame:
-        """Links of nodes with one node of each of their min-hash buckets, another one each `turn`, if their groups differ."""
-        keys = self.nodes.select("node", F.posexplode("buckets").alias("k", "bucket"))
-        if groups is None:
-            keys = keys.withColumn("g", F.col("node"))
-        else:
-            keys = keys.join(small(groups), "node", "left").select("node", "k", "bucket", F.coalesce("root", "node").alias("g"))
-        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("b"), F.col("g").alias("h"))).alias("chosen")
-        least = keys.groupBy("k", "bucket").agg(chosen, F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("k", "bucket", "chosen.b", "chosen.h")
-        least = staged(least, "buckets")  # written, so that a hot bucket can be split in the join
-        pairs = keys.join(least, ["k", "bucket"]).where("g <> h").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        return self.linked(pairs)
-
-    def met(self, groups: DataFrame) -> DataFrame:
-        """Pairs of groups (g, h) that share a shingle of their prefixes; `groups` has (node, root) for groups of two or more."""
-        groups = small(groups)
-        group = F.coalesce("root", "node").alias("g")
-        rows = self.sets.where("n > 0").join(groups, "node", "left").select(group, "node", "n", "heads")
-        exploded = rows.select("g", F.explode("heads").alias("token"))
-        counted = exploded.groupBy("token").agg(
-            F.min("g").alias("low"), F.max("g").alias("high"), F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(g), 64) AS INT)))").alias("seen")
-        ).where("low <> high").select("token", F.bit_count("seen").alias("held"))
-        counted = staged(counted, "shared")
-        is_hot = F.col("held") >= HOT_BITS
-        hot = staged(counted.where(is_hot).select("token", "held"), "hot")
-        # Sets with fewer cold shingles among their first than a prefix needs enter with all their shingles.
-        need = (F.col("n") - F.ceil(F.lit(self.share) * F.col("n") / 100) + 1).alias("need")
-        found = self.heads(rows, hot.select("token")).select("node", "n", F.explode("heads").alias("token")).join(small(hot), "token")
-        hits = found.groupBy("node").agg(F.first("n").alias("n"), F.countDistinct("token").alias("hits"))
-        held = F.least(F.col("n"), need + F.floor(F.col("n") / 12) + 6)
-        deep = staged(hits.where((held - F.col("hits")) < need).select("node", "n", need), "deep")
-        whole = self.tokens(deep).join(deep, "node").join(groups, "node", "left").select(group, "node", "need", F.explode("tokens").alias("token"))
-        whole = staged(whole.join(hot, "token", "left"), "whole")
-        cold = whole.where("held is null")
-        # Where cold shingles do not fill a prefix the rest of it is hot ones, those of few groups first.
-        filled = cold.groupBy("node").agg(F.count("*").alias("cold"))
-        missing = whole.where("held is not null").join(filled, "node", "left").where(F.coalesce("cold", F.lit(0)) < F.col("need"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
-        fill = missing.withColumn("place", place).where(F.col("place") <= F.col("need") - F.coalesce("cold", F.lit(0)))
-        wanted = staged(counted.where(~is_hot).select("token").unionByName(cold.select("token")).unionByName(fill.select("token")).distinct(), "wanted")
-        # Hot shingles that fill a prefix meet those that fill others' only: a set whose prefix is cold has its cold shingles there.
-        first = self.heads(rows, wanted).select("g", F.explode("heads").alias("token")).join(wanted, "token").join(small(hot.select("token")), "token", "left_anti")
-        matrix = staged(first.unionByName(cold.select("g", "token")).unionByName(fill.select("g", "token")).distinct(), "matrix")
-        x, y = matrix, matrix.select("token", F.col("g").alias("h"))
-        return x.join(y, "token").where("g < h").select("g", "h").distinct()
-
-    def heads(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        """`rows` (g, node, n, heads) with those of their heads that may be `wanted` (token): a table of bits leaves most others out.
-
-        The table has 16 bits for each wanted shingle up to its most; beyond, more of the others pass, to be sorted out by
-        the join that follows.
+
+def same_row(x, y) -> Column:
+    return (x["text_hash"] == y["text_hash"]) & (x["length"] == y["length"]) & x["doc_id"].eqNullSafe(y["doc_id"])
+
+
+class Join:
+    """One run over `docs` (doc_id, text); tables that several steps read are written, and deleted after the last of them."""
+
+    def __init__(self, docs: DataFrame, share: int = SHARE):
+        self.docs, self.share, self.spark = keyed(docs), share, docs.sparkSession
+
+    def reaches(self, overlap: Column, sizes: Column) -> Column:
+        return (100 + self.share) * overlap >= self.share * sizes
+
+    def fits(self, n: Column, m: Column) -> Column:
+        return 100 * F.least(n, m) >= self.share * F.greatest(n, m)
+
+    def least(self, n: str) -> Column:
+        return F.ceil(F.lit(self.share) * F.col(n) / 100)
+
+    def described(self) -> tuple[DataFrame, DataFrame]:
+        """A row for each document (KEY, n, node); and the nodes that may have a partner, each with all its shingles."""
+        share = self.share
+        heads = staged(self.docs.mapInArrow(lambda b: _describe(b, share), "doc_id long, text_hash long, length int, n int, node long, heads array<long>"), "heads")
+        sets = staged(heads.drop("heads"), "sets")
+        held = heads.where("n > 0").select("node", F.explode("heads").alias("token")).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        alone = staged(held.where("node = last").groupBy("node").agg(F.count("*").cast("int").alias("alone")), "alone")
+        nodes = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct(*KEY)).alias("row"))
+        some = nodes.join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - self.least("n")).select("node", "row.*")
+        some = staged(some, "some")
+        dropped(heads, alone)
+        swept(self.spark)
+        x, y = self.docs, small(some)
+        texts = x.join(y, same_row(x, y)).select(y["node"], x["text"]).groupBy("node").agg(F.first("text").alias("text"))  # repeated rows are one
+        tokens = staged(texts.mapInArrow(_tokens, "node long, tokens array<long>"), "tokens")
+        dropped(some)
+        return sets, tokens
+
+    def prefixes(self, tokens: DataFrame) -> DataFrame:
+        """node, n, prefix (held, token; rarest first, without shingles of one node alone) of the nodes that may have a partner."""
+        each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        held = each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+        shared = each.join(held, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+        size = F.size("shared") - self.least("n") + 1
+        return staged(shared.where(size > 0).select("node", "n", F.slice("shared", F.lit(1), size.cast("int")).alias("prefix")), "prefixes")
+
+    def cold_pairs(self, prefixes: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share a cold shingle of their prefixes."""
+        each = prefixes.select("node", "n", F.explode(F.filter("prefix", lambda x: x["held"] <= COLD)).alias("x")).select("node", "n", "x.token")
+        met = each.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("met")).where(F.size("met") > 1).select("met").distinct()
+        pairs = met.select("met", F.posexplode("met").alias("i", "x")).select("x", F.explode(F.expr("slice(met, i + 2, size(met))")).alias("y"))
+        return pairs.where(self.fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    def grouped(self, rows: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """One turn of groups over `rows` (scope, node, n, member, hot: held and token, rarest first).
+
+        Pairs to find are those of one scope, one end a member, that share a hot shingle.  Returns links (a, b) that need
+        no check, pairs to check, and the rows of the next turn, whose scopes are this turn's groups.
         """
-        least, most = WANTED_BITS
-        size = min(most, max(least, 1 << (16 * wanted.count()).bit_length()))
-        at = F.pmod("token", F.lit(size))
-        words = wanted.select(F.call_function("div", at, F.lit(64)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
-        bits = np.zeros(size // 64, np.int64)
-        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-        shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-        def keep(batches):
-            held = shared.value
-            for batch in batches:
-                lists = batch.column(3)
-                tokens, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-                place = tokens % size
-                passes = (held[place >> 6] >> (place & 63)) & 1 == 1
-                after = np.append(0, np.cumsum(passes))[ends]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(after, pa.int32()), pa.array(tokens[passes], pa.int64()))], batch.schema.names)
-
-        return rows.mapInArrow(keep, "g long, node long, n long, heads array<long>")
-
-    def opened(self, met: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of nodes (a, b) of groups that meet, after the bound of each set's overlap with the other group."""
-        met = staged(met, "met")
-        both = staged(met.unionByName(met.select(F.col("h").alias("g"), F.col("g").alias("h"))), "both")
-        of = staged(both.select("g").distinct().join(groups.select(F.col("root").alias("g"), "node"), "g", "left").select("g", F.coalesce("node", "g").alias("node")), "members")
-        about = staged(of.join(self.bits(of), "node"), "bits")
-        unions = about.select("g", F.posexplode("bits").alias("at", "word")).groupBy("g", "at").agg(F.bit_or("word").alias("word"))
-        unions = unions.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("all"))
-        unions = staged(about.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(unions, "g"), "unions")
-        asked = both.join(about.select("g", F.col("node").alias("a"), F.col("n").alias("na"), "bits"), "g")
-        asked = asked.join(unions.select(F.col("g").alias("h"), "all", "low", "high"), "h")
-        sizes = (100 * F.col("high") >= self.share * F.col("na")) & (100 * F.col("na") >= self.share * F.col("low"))
-        asked = asked.where(sizes & (100 * (F.col("na") - lacking("bits", "all")) >= self.share * F.col("na"))).select("g", "h", "a", "na")
+        rows = staged(rows.withColumn("g", F.when(F.col("member"), F.xxhash64("scope", F.get("hot", F.lit(0))["token"]))), "rows")
+        members = rows.where("member")
+        groups = staged(members.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "groups")
+        # The matrix: which group has a hot shingle in a member's prefix.
+        hot = rows.join(small(groups.select("g", "size")), "g", "left").select("scope", "node", "n", "g", "size", F.explode("hot").alias("x")).select("scope", "node", "n", "g", "size", "x.token")
+        matrix = members.select("scope", "g", F.explode("hot").alias("x")).select("scope", "g", "x.token").distinct().join(small(groups), "g")
+        matrix = staged(matrix.select("scope", "token", F.col("g").alias("h"), F.col("size").alias("others"), "low", "high"), "matrix")
+        fit = (100 * F.col("high") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("low"))
+        larger = F.col("g").isNull() | (F.struct("others", "h") > F.struct("size", "g"))  # of two groups, the smaller one's members ask
+        asked = hot.join(small(matrix), ["scope", "token"]).where(larger & fit).select("node", "n", F.col("h").alias("g"), F.lit(False).alias("own")).distinct()
+        asked = asked.unionByName(members.select("node", "n", "g", F.lit(True).alias("own")))
+        # What the groups store: counts of the union, and the core.
+        union = members.select("node", "g").join(tokens, "node").select("g", F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
+        union = staged(union.join(small(groups.select("g", "size")), "g"), "union")
+        cores = union.where("2 * held > size").groupBy("g").agg(F.collect_list("token").alias("core"))
+        cores = staged(groups.join(cores, "g", "left").select("g", "size", "low", F.coalesce("core", F.array().cast(_LONGS)).alias("core")), "cores")
+        need = F.ceil(self.share * (F.col("n") + F.greatest(self.least("n"), "low")) / (100 + self.share)).cast("int")
+        asked = asked.join(light(cores, F.size("core")), "g").join(tokens, "node").select("node", "g", "n", "own", "size", "low", need.alias("need"), "tokens", "core")
+        asked = asked.mapInArrow(_encoded, "node long, g long, n int, own boolean, size long, low int, need int, core int, c int, beyond array<long>, lacking array<long>")
         asked = staged(asked, "asked")
-        # A link needs both ends to pass.
-        other = asked.select(F.col("g").alias("h"), F.col("h").alias("g"), F.col("a").alias("b"), F.col("na").alias("nb"))
-        return asked.where("g < h").join(other, ["g", "h"]).where(self.fitting(F.col("na"), F.col("nb"))).select("a", "b")
-
-    def classes(self) -> DataFrame:
-        """node and root for all nodes with a link to another node."""
-        links = self.starred(None, 0)
-        groups = staged(components(links), "groups")
-        for turn in range(1, TURNS):
-            more = self.starred(groups, turn)
-            if not more.limit(1).count():
-                break
-            links = links.unionByName(more)
-            groups = staged(components(links), "groups")
-        more = self.linked(self.opened(self.met(groups), groups))
-        return staged(components(links.unionByName(more)), "classes")
+        around = asked.select("g", "own", F.explode("beyond").alias("token")).groupBy("g", "token").agg(F.count_if("own").alias("held"), F.count("*").alias("seen"))
+        beyond = self.counted(asked, "beyond", around.where("held > 0 and seen > 1"), F.col("held"))
+        opened = asked.drop("beyond").join(beyond, ["node", "g"], "left").withColumn("beyond", F.coalesce("beyond", F.array().cast(_COUNTED)))
+        opened = opened.withColumn("over", F.size("beyond")).where(F.col("c") + F.col("over") >= F.col("need"))
+        opened = opened.withColumn("free", F.col("c") >= F.col("need")).withColumn("w", (100 + self.share) * F.col("c") - self.share * F.col("n"))
+        opened = staged(opened, "opened")
+        # Free nodes link with the best of them where that is certain.
+        best = small(staged(opened.where("free").groupBy("g").agg(F.max(F.struct("w", "node")).alias("best")), "best"))
+        opened = opened.join(best, "g", "left")
+        reached = F.col("free") & (F.col("w") + F.col("best.w") >= (100 + self.share) * F.col("core"))
+        opened = staged(opened.withColumn("linked", F.coalesce(reached, F.lit(False))), "linked")
+        links = opened.where("linked and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+        # Others need shingles beyond the core in common.
+        size = F.when(F.col("free"), F.col("over")).otherwise(F.col("over") - (F.col("need") - F.col("c")) + 1)
+        index = opened.select("g", "node", "n", "own", "linked", "c", "over", F.expr("cast(0 as int)").alias("short"), F.slice("beyond", F.lit(1), size.cast("int")).alias("prefix"))
+        index = staged(index.where(F.size("prefix") > 0), "index")
+        pairs = self.met(index, index).unionByName(self.lacking_pairs(opened, union))
+        rest = index.select(F.col("g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda x: x["held"] > COLD).alias("hot")).where("size(hot) > 0")
+        return links, pairs, rest
+
+    def counted(self, rows: DataFrame, name: str, counts: DataFrame, count: Column) -> DataFrame:
+        """node, g and the list `name` of `rows`, as (held, token) in order of `count`; only tokens of `counts` (g, token)."""
+        each = rows.select("node", "g", F.explode(name).alias("token")).join(counts, ["g", "token"])
+        return each.groupBy("node", "g").agg(F.sort_array(F.collect_list(F.struct(count.alias("held"), "token"))).alias(name))
+
+    def met(self, index: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of rows of a group that share an entry of their prefixes, if bounds allow a link; of entries that many members hold
+        only such as no further turn takes up (`short` rows)."""
+        kept = lambda x: (x["held"] <= COLD) | (F.col("short") == 1)
+        columns = ["g", "node", "n", "own", "linked", "c", "over", "short"]
+        each = lambda df: df.select(*columns, F.explode(F.filter("prefix", kept)).alias("x")).select(*columns, "x.token")
+        x, y = each(index).alias("x"), each(others.where("own")).alias("y")
+        once = (F.col("x.node") < F.col("y.node")) | ~F.col("x.own") | (F.col("x.short") == 1)
+        most = F.least("x.c", "y.c") + F.least("x.over", "y.over")
+        fit = self.fits(F.col("x.n"), F.col("y.n")) & self.reaches(most, F.col("x.n") + F.col("y.n"))
+        on = (F.col("x.g") == F.col("y.g")) & (F.col("x.token") == F.col("y.token"))
+        met = x.join(y, on & once & fit & (F.col("x.node") != F.col("y.node")) & ~(F.col("x.linked") & F.col("y.linked")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def lacking_pairs(self, opened: DataFrame, union: DataFrame) -> DataFrame:
+        """Pairs of free nodes of a group, one of them not linked with its best, that agree in what they lack or have beyond the core."""
+        whole = (100 + self.share) * F.col("core")
+        left = staged(opened.where("free and not linked").groupBy("g").agg(F.max("w").alias("left")), "left")
+        some = opened.where("free").join(small(left), "g")
+        # What a node lacks has the other sign, and counts the members that lack it.
+        lacks = self.counted(some, "lacking", union, F.col("size") - F.col("held"))
+        signed = F.concat(
+            F.transform("beyond", lambda x: F.struct(x["held"].alias("held"), F.xxhash64(F.lit(1), x["token"]).alias("token"))),
+            F.transform(F.coalesce("lacks", F.array().cast(_COUNTED)), lambda x: F.struct(x["held"].alias("held"), F.xxhash64(F.lit(0), x["token"]).alias("token"))),
+        )
+        some = some.drop("lacking").join(lacks.withColumnRenamed("lacking", "lacks"), ["node", "g"], "left").withColumn("all", F.sort_array(signed))
+        index = lambda rows, most: rows.withColumn("k", F.greatest(F.ceil((whole - F.col("w") - most) / (100 + self.share)), F.lit(1)).cast("int")).where("size(all) >= k").select(
+            "g", "node", "n", "own", "linked", "c", "over", F.lit(1).alias("short"), F.slice("all", F.lit(1), F.size("all") - F.col("k") + 1).alias("prefix")
+        )
+        x, y = staged(index(some.where("not linked"), F.col("best.w")), "short"), staged(index(some, F.col("left")), "others")
+        # One of the two is a member of the group.
+        return self.met(x, y).unionByName(self.met(y, x)).distinct()
 
+    def checked(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Of `pairs` (a, b) those that link."""
+        pairs = staged(pairs.distinct(), "pairs")
+        x, y = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        met = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+        return staged(met.where(self.reaches(F.col("both"), F.col("sizes"))).select("a", "b"), "links")
 
-def lacking(x: str, y: str):
-    """Bits of x that y lacks."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda a, b: a + b)
+    def classes(self, tokens: DataFrame) -> DataFrame:
+        """node and root for all nodes with a link to another node."""
+        prefixes = self.prefixes(tokens)
+        swept(self.spark)
+        links = [self.checked(self.cold_pairs(prefixes), tokens)]
+        hot = F.filter("prefix", lambda x: x["held"] > COLD)
+        rows = prefixes.select(F.lit(0).cast("long").alias("scope"), "node", "n", F.lit(True).alias("member"), hot.alias("hot")).where("size(hot) > 0")
+        while rows.limit(1).count():
+            sure, pairs, rows = self.grouped(rows, tokens)
+            links += [sure, self.checked(pairs, tokens)]
+            swept(self.spark)
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        return staged(components(every), "classes")
 
 
 def with_components(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """For every row of `docs` (uid, doc_id, text): uid, doc_id, n_shingles and component_id, the least doc_id that links reach."""
+    """For every row of `docs` (doc_id, text): KEY, n_shingles, component_id, the least doc_id that links reach, and root, the component's node."""
     join = Join(docs, share)
-    sets = join.sets.select("uid", "doc_id", "n", "node")
-    classes = join.classes()
+    sets, tokens = join.described()
+    classes = join.classes(tokens)
+    dropped(tokens)
     rooted = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(classes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = staged(rooted, "rooted")
-    names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return sets.join(names, "node", "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "root", "component_id")
+    return sets.join(names, "node", "left").select(*KEY, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and component."""
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return with_components(docs).select("doc_id", "n_shingles", "component_id")
+    return with_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The rows of `docs`, one for each component: the first read of those with its least doc_id; columns as they are."""
-    seen = numbered(docs, "_uid")
-    found = with_components(seen.select(F.col("_uid").alias("uid"), "doc_id", "text"), share)
-    found = staged(found.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("component_id"))), "found")
-    first = found.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("kept"))
-    gone = found.where("n_shingles > 0").join(first, found["class"].eqNullSafe(first["class"])).where(F.col("uid") != F.col("kept.uid")).select(F.col("uid").alias("_uid"))
-    return seen.join(small(staged(gone, "gone")), "_uid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs`, one for each component: one with its least doc_id, of those the one with the least text hash; columns as they are.
+
+    Rows without shingles stay all.
+    """
+    found = staged(with_components(docs, share).where("n_shingles > 0"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEY)).alias("kept"))
+    x = found.join(first, "root").select(*KEY, F.col("kept.doc_id").alias("doc"), F.col("kept.text_hash").alias("hash"), F.col("kept.length").alias("long"))
+    stays = x["doc_id"].eqNullSafe(x["doc"]) & (x["text_hash"] == x["hash"]) & (x["length"] == x["long"])
+    marked = staged(x.groupBy(*KEY).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "marked")
+    names = {c: fresh(docs.columns, f"_{c}") for c in KEY}
+    rows = docs.select(*[quoted(c) for c in docs.columns], *[c.alias(names[k]) for k, c in zip(KEY, (F.col("doc_id").cast("long"), F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(-1))))])
+    gone = small(marked.select(*KEY))
+    same = (rows[names["text_hash"]] == gone["text_hash"]) & (rows[names["length"]] == gone["length"]) & rows[names["doc_id"]].eqNullSafe(gone["doc_id"])
+    left = rows.join(gone, same, "left_anti").select(*[quoted(c) for c in docs.columns])
+    twice = marked.where("stays")
+    if twice.limit(1).count():  # repeated rows: one of them stays
+        again = small(twice.select(*KEY))
+        same = (rows[names["text_hash"]] == again["text_hash"]) & (rows[names["length"]] == again["length"]) & rows[names["doc_id"]].eqNullSafe(again["doc_id"])
+        left = left.unionByName(rows.join(again, same, "left_semi").dropDuplicates(list(names.values())).select(*[quoted(c) for c in docs.columns]))
+    return left
 
 
 ORACLE = r"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,7 +34,36 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` once and go on from the files: lineage ends here and nothing above runs twice."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables after their last reader."""
+    for df in tables:
+        if hasattr(df, "staged_at"):
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark's cleaner release the shuffle files of finished steps: it acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with underscores behind it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
@@ -55,6 +85,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def light(df: DataFrame, lists: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` (staged), to be broadcast if its rows and the entries of their `lists` (a count in each row) come to `limit` at most."""
+    return F.broadcast(df) if (df.agg(F.sum(lists + 4)).first()[0] or 0) <= limit else df
+
+
 def row_key() -> list:
     """What tells rows of documents apart: two rows of one key are alike in doc_id and text."""
     return [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.length("text").alias("_length")]

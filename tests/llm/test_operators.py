@@ -130,32 +130,74 @@ def test_repeated_runs_against_brute_force(spark):
     assert left.columns == ["doc_id", "text", "n_chars"] and {99, 100} <= {r.doc_id for r in left.collect()}
 
 
-@pytest.mark.parametrize("hot", [6, 3])
-def test_jaccard_components_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(jaccard, "HOT_BITS", hot)
-    rnd = random.Random(hot)
-    base, passage, rows = prose(rnd, 50).split(), prose(rnd, 30).split(), []
-    for i in range(120):
-        if i % 3 == 0:
-            d = list(base)
-            for _ in range(rnd.randint(0, 3)):
-                d[rnd.randrange(50)] = rnd.choice(WORDS)
+def components_by_brute_force(rows):
+    """doc_id to (n_shingles, component_id), for distinct doc_ids."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (x or "").lower().split()) else set() for _, x in rows]
+    number = {t: k for k, t in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [number[t] for t in s]] = 1
+    n, both = held.sum(axis=1), held @ held.T
+    linked = (both > 0) & (4 * both >= 3 * (n[:, None] + n[None, :] - both))
+    root = np.arange(len(rows))
+    while True:  # the least label spreads over links
+        now = np.minimum(root, np.where(linked, root[None, :], len(rows)).min(axis=1))
+        if (now == root).all():
+            break
+        root = now
+    out = {}
+    for k, (i, _) in enumerate(rows):
+        out[i] = int(n[k]), min((rows[j][0] for j in np.flatnonzero(root == root[k]) if rows[j][0] is not None), default=None)
+    return out
+
+
+@pytest.mark.parametrize("cold", [16, 4])
+def test_jaccard_components_against_brute_force(spark, monkeypatch, cold):
+    monkeypatch.setattr(jaccard, "COLD", cold)
+    rnd = random.Random(cold)
+    bases, passage, rows = [prose(rnd, 50).split(), prose(rnd, 80).split()], prose(rnd, 30).split(), []
+    bases.append([*bases[1][:60], *prose(rnd, 20).split()])  # two families with most of their words in common
+    for i in range(160):
+        if i % 4 < 3:
+            d = list(bases[i % 4])
+            for _ in range(rnd.randint(0, 4)):
+                d[rnd.randrange(len(d))] = rnd.choice(WORDS)
+            if rnd.random() < 0.3:
+                d = d[: rnd.randint(40, len(d))]
         else:
             d = prose(rnd, rnd.randint(0, 15)).split() + passage + prose(rnd, rnd.randint(0, 15)).split()
         rows.append((500 - i, " ".join(d)))
     rows += [(900, None), (901, "  "), (None, "a b"), (902, "A  B"), (7, rows[3][1])]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs(spark, rows).withColumn("uid", F.monotonically_increasing_id())).collect()}
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (x or "").lower().split()) else set() for _, x in rows]
-    root = list(range(len(rows)))
-    for _ in rows:  # least label spreads over links
-        for a in range(len(rows)):
-            for b in range(a):
-                if root[a] != root[b] and sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
-                    root = [root[b] if r == root[a] else r for r in root]
-        break
-    for a, (i, _) in enumerate(rows):
-        ids = [rows[b][0] for b in range(len(rows)) if root[b] == root[a] and rows[b][0] is not None]
-        assert got[i] == (len(sets[a]), min(ids, default=None))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs(spark, rows)).collect()}
+    assert got == components_by_brute_force(rows)
+
+
+def test_jaccard_family_without_links(spark):
+    rnd = random.Random(4)
+    base, rows = prose(rnd, 100).split(), []
+    for i in range(2000):  # each has edits of its own: alike in most words, linked with few
+        d = list(base)
+        for k in rnd.sample(range(100), rnd.choice([2, 3, 4, 5])):
+            d[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(d)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs(spark, rows)).collect()}
+    assert got == components_by_brute_force(rows)
+
+
+CLASHES = ["_uid", "uid", "_id", "_text", "_length", "text_hash", "length", "node", "root", "stays", "a.b"]
+
+
+def test_one_of_each_keeps_columns_and_ties(spark):
+    rnd = random.Random(6)
+    text, other = prose(rnd, 60), prose(rnd, 60)
+    rows = [(1, text), (1, text), (1, text + " end"), (None, other), (None, other), (None, None), (None, None), (4, prose(rnd, 30))]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in CLASHES)
+    df = docs(spark, [(*r, *range(100 * k, 100 * k + len(CLASHES))) for k, r in enumerate(rows)], schema)
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    left = [tuple(r) for r in got.collect()]
+    assert all(r[2:] == tuple(range(r[2], r[2] + len(CLASHES))) for r in left)
+    assert sorted((str(r[0]), str(r[1])[:20]) for r in left) == sorted([("1", text[:20]), ("None", other[:20]), ("None", "None"), ("None", "None"), ("4", rows[-1][1][:20])])
 
 
 def test_row_numbers_outlive_changes_of_file_splits(spark, monkeypatch, tmp_path):
