@@ -10,8 +10,8 @@ from tallyspark.functions.money import col
 _FROM = "abcdefghijklmnopqrstuvwxyzçğıöşüâûîÇĞİÖŞÜÂÛÎ"
 _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZCGIOSUAUICGIOSUAUI"
 #: Courtesy titles and words of payment notes (fixed values).
-TITLES = ["SAYIN", "SN", "BAY", "BAYAN", "MR", "MRS", "DR"]
-PAYMENT = ["FAST", "EFT", "HAVALE", "ODEME", "TRANSFER", "PAYMENT", "ANLIK"]
+TITLES = ["DR", "PROF", "MR", "MRS", "SAYIN", "BAY", "BAYAN"]
+PAYMENT = ["FAST", "ANLIK", "ODEME", "HAVALE", "EFT", "TRANSFER", "GONDERILEN", "ALINAN"]
 
 
 def fold(x: str | Column) -> Column:
@@ -20,17 +20,23 @@ def fold(x: str | Column) -> Column:
 
 
 def words(x: str | Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(fold(x), "[^A-Z0-9]+", " "), " "), lambda w: w != "")
+    """Parts between blanks, full stops and commas that hold a letter or a digit."""
+    return F.filter(F.split(fold(x), r"[\s.,]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
 def canonical(x: str | Column) -> Column:
-    """Folded, without a ` - payment note` tail and titles; what would leave nothing stays whole."""
+    """Folded words without titles.
+
+    What follows the first dash (hyphen, en or em dash, with or without blanks) goes if it begins with a payment word; but
+    not if that leaves fewer than two words of a name that has more.
+    """
     folded = fold(x)
-    head, tail = F.substring_index(folded, " - ", 1), F.array_join(F.slice(F.split(folded, " - "), 2, 100), " ")
-    noted = F.exists(F.split(tail, "[^A-Z0-9]+"), lambda w: w.isin(PAYMENT))
-    kept = words(F.when(F.contains(folded, F.lit(" - ")) & noted, head).otherwise(folded))
-    plain = F.filter(kept, lambda w: ~w.isin(TITLES))
-    return F.array_join(F.when(F.size(plain) > 0, plain).otherwise(kept), " ")
+    tail = F.regexp_extract(folded, r"(?s)^[^-–—]*[-–—][-–— ]*(.*)$", 1)
+    noted = tail.rlike("^(" + "|".join(PAYMENT) + ")")
+    plain = lambda t: F.filter(words(t), lambda w: ~w.isin(TITLES))
+    cut, whole = plain(F.regexp_extract(folded, r"(?s)^([^-–—]*)", 1)), plain(folded)
+    many = F.size(F.filter(F.split(folded, r"\s+"), lambda w: w != "")) >= 2
+    return F.array_join(F.when(noted & ~((F.size(cut) < 2) & many), cut).otherwise(whole), " ")
 
 
 def similarity(a: str | Column, b: str | Column) -> Column:

@@ -12,16 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import total
+from tallyspark.operators.running import ranged, running
+from tallyspark.sources.scratch import written
 
 KEY = ["direction", "party"]
 #: Invoices or receipts of a party between two checkpoints of its running sums: intervals meet within a stride only.
 STRIDE = 64
 
 
-def running(*order: str, back: int = 0) -> Column:
-    return Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, back)
-
-
 def fifo(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
     """`invoices` (direction, party, no, date, open_kr) and `receipts` (direction, party, id, date, open_kr) to (id, no, amount_kr).
 
@@ -31,13 +29,15 @@ def fifo(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
     """
     inv = invoices.where("open_kr > 0 and party is not null").select(*KEY, "date", F.lit(0).alias("side"), F.col("no").alias("key"), "open_kr")
     rec = receipts.where("open_kr > 0 and party is not null").select(*KEY, "date", F.lit(1).alias("side"), F.col("id").alias("key"), "open_kr")
-    w = running("date", "side", "key")
-    both = inv.unionByName(rec).withColumn("c", F.sum(F.when(F.col("side") == 0, F.col("open_kr")).otherwise(0)).over(w)).withColumn("p", F.sum(F.when(F.col("side") == 1, F.col("open_kr")).otherwise(0)).over(w))
-    both = both.withColumn("least", F.min(F.when(F.col("side") == 1, F.col("c") - F.col("p"))).over(w))
-    upto = F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("p") + F.least(F.lit(0), F.col("least")))
-    both = both.withColumn("upto", upto.cast("bigint"))
-    before = F.coalesce(F.lag("upto").over(Window.partitionBy(*KEY, "side").orderBy("date", "key")), F.lit(0))
-    both = both.withColumn("since", before).where("upto > since").persist()  # read three times below
+    order = ["date", "side", "key"]
+    of = lambda side: F.when(F.col("side") == side, F.col("open_kr")).otherwise(F.lit(0))
+    both = running(ranged(inv.unionByName(rec), KEY, order), KEY, order, {"c": (F.sum, of(0)), "p": (F.sum, of(1))})
+    short = F.when(F.col("side") == 1, F.col("c") - F.col("p"))
+    both = running(written(both, "sums"), KEY, order, {"least": (F.min, short), "before": (F.min, short, -1)})
+    # An invoice's interval ends at C; a receipt's at what is allocated after it, and begins where that of the receipt before it ended.
+    upto = F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("p") + F.least(F.lit(0), "least")).cast("bigint")
+    since = F.when(F.col("side") == 0, F.col("c") - F.col("open_kr")).otherwise(F.col("p") - F.col("open_kr") + F.least(F.lit(0), "before")).cast("bigint")
+    both = written(both.select(*KEY, "side", "key", since.alias("since"), upto.alias("upto")).where("upto > since"), "intervals")  # read three times below
     # Cells of the sum: about STRIDE invoices each, from the party's own mean.
     mean = both.where("side = 0").groupBy(*KEY).agg(F.greatest(F.ceil(F.max("upto") / F.greatest(F.count("*") / STRIDE, F.lit(1))), F.lit(1)).cast("bigint").alias("cell"))
     met = both.join(mean, KEY)
@@ -70,11 +70,13 @@ def less(rows: DataFrame, key: str, allocated: DataFrame) -> DataFrame:
 def allocate(invoices: DataFrame, receipts: DataFrame, frozen: DataFrame, decisions: DataFrame) -> DataFrame:
     """Frozen allocations (unless their invoice is decided by hand), then decisions, then first in first out: (id, no, amount_kr, source).
 
-    Receipts with a decision take no part in the last step.  What a step hands on is kept, since every later step reads it twice.
+    Receipts with a decision take no part in the last step.  Each step is written, since every later step reads it twice.
     """
-    kept = frozen.join(decisions.select("no").distinct(), "no", "left_anti").join(decisions.select("id").distinct(), "id", "left_anti").select("id", "no", "amount_kr").persist()
+    decisions = written(decisions, "decisions")
+    kept = frozen.join(decisions.select("no").distinct(), "no", "left_anti").join(decisions.select("id").distinct(), "id", "left_anti").select("id", "no", "amount_kr")
+    kept = written(kept, "frozen")
     inv, rec = less(invoices, "no", kept), less(receipts, "id", kept)
-    hand = manual(decisions, inv, rec).persist()
+    hand = written(manual(decisions, inv, rec), "manual")
     inv, rec = less(inv, "no", hand), less(rec, "id", hand)
     auto = fifo(inv, rec.join(decisions.select("id").distinct(), "id", "left_anti"))
     label = lambda df, s: df.withColumn("source", F.lit(s))
@@ -124,34 +126,40 @@ def unallocated(status: DataFrame, receipts: DataFrame, as_of: str) -> DataFrame
 
 
 def invariants(invoices: DataFrame, receipts: DataFrame, allocated: DataFrame, journal: DataFrame) -> DataFrame:
-    """Findings D01 over-allocated receipt, D03 over-paid invoice, D04 negative amount, D05 void invoice, D06 other direction, D07 unbalanced ledger."""
+    """What must hold of `invoices` (no, direction, valid, net_debt_kr, remaining_kr), `receipts` (id, direction, amount_kr,
+    allocated_kr) and their allocations: a row (code, key, amount_kr) where it does not.
+
+    D01 a receipt gives more than it has; D02 its recorded allocation is another; D03 an invoice gets more than its debt; D04 its
+    recorded remainder is negative; D05 an invoice without effect gets something; D06 the ledger is unbalanced; D07 money of
+    the other direction.
+    """
     a = allocated
-    by_receipt, by_invoice = a.groupBy("id").agg(total("amount_kr").alias("s")), a.groupBy("no").agg(total("amount_kr").alias("s"))
-    met = a.join(invoices.select("no", "valid", F.col("direction").alias("idir")), "no", "left").join(receipts.select("id", F.col("direction").alias("rdir")), "id", "left")
-    found = [
-        by_receipt.join(receipts.select("id", "amount_kr"), "id").where("s > amount_kr").select(F.lit("D01").alias("code"), F.col("id").alias("key"), (F.col("s") - F.col("amount_kr")).alias("amount_kr")),
-        by_invoice.join(invoices.select("no", "net_debt_kr"), "no").where("s > net_debt_kr").select(F.lit("D03"), "no", F.col("s") - F.col("net_debt_kr")),
-        a.where("amount_kr <= 0").select(F.lit("D04"), "id", "amount_kr"),
-        met.where("not coalesce(valid, false)").select(F.lit("D05"), "no", "amount_kr"),
-        met.where("idir <> rdir").select(F.lit("D06"), "no", "amount_kr"),
-        journal.agg(total(F.col("debit_kr") - F.col("credit_kr")).alias("off")).where("off <> 0").select(F.lit("D07"), F.lit(0).cast("bigint"), "off"),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    by_receipt = receipts.join(a.groupBy("id").agg(total("amount_kr").alias("s")), "id", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    by_invoice = invoices.join(a.groupBy("no").agg(total("amount_kr").alias("s")), "no", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    finding = lambda code, key, amount: F.struct(F.lit(code).alias("code"), F.col(key).cast("bigint").alias("key"), amount.cast("bigint").alias("amount_kr"))
+    some = lambda *found: F.inline(F.array_compact(F.array(*[F.when(c, x) for c, x in found])))
+    rec = by_receipt.select(some(
+        (F.col("s") > F.col("amount_kr"), finding("D01", "id", F.col("s") - F.col("amount_kr"))), (F.col("s") != F.col("allocated_kr"), finding("D02", "id", F.col("s") - F.col("allocated_kr"))),
+    ))
+    inv = by_invoice.select(some(
+        (F.col("s") > F.col("net_debt_kr"), finding("D03", "no", F.col("s") - F.col("net_debt_kr"))), (F.col("remaining_kr") < 0, finding("D04", "no", F.col("remaining_kr"))), (~F.col("valid") & (F.col("s") != 0), finding("D05", "no", F.col("s"))),
+    ))
+    way = a.join(invoices.select("no", F.col("direction").alias("idir")), "no").join(receipts.select("id", F.col("direction").alias("rdir")), "id").where("idir <> rdir")
+    off = journal.agg(total(F.col("debit_kr") - F.col("credit_kr")).alias("off")).where("off <> 0").select(F.lit("D06"), F.lit(0).cast("bigint"), "off")
+    return rec.union(inv).union(way.select(F.lit("D07"), "no", "amount_kr")).union(off)
 
 
 def prechecks(requests: DataFrame, invoices: DataFrame, receipts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Findings for requested decisions (id, no): K01, K02 unknown, K03 void, K04 party, K05 direction, K06 no debt, K07 taken, K09 later invoice, K10 exceeds."""
+    """Findings for requested decisions (id, no): K01, K02 unknown, K03 void, K04 party, K05 direction, K06 no debt, K07 taken, K08 so decided already, K09 later invoice, K10 exceeds."""
     i = invoices.select("no", F.col("party").alias("ip"), F.col("direction").alias("idir"), F.col("date").alias("idate"), "valid", "net_debt_kr")
     r = receipts.select("id", F.col("party").alias("rp"), F.col("direction").alias("rdir"), F.col("date").alias("rdate"), "amount_kr")
     taken = decisions.select("no", F.col("id").alias("holder"))
     met = requests.join(r, "id", "left").join(i, "no", "left").join(taken.groupBy("no").agg(F.min("holder").alias("holder")), "no", "left")
+    met = met.join(decisions.select("id", "no").distinct().withColumn("own", F.lit(True)), ["id", "no"], "left")
     when = lambda c, code: F.when(c, F.lit(code))
     known = F.array_compact(F.array(
         when(~F.col("valid"), "K03"), when(F.col("rp").isNotNull() & (F.col("rp") != F.col("ip")), "K04"), when(F.col("rdir") != F.col("idir"), "K05"), when(F.col("net_debt_kr") <= 0, "K06"),
-        when(F.col("holder") != F.col("id"), "K07"), when(F.col("idate") > F.col("rdate"), "K09"), when((F.col("net_debt_kr") > 0) & (F.col("amount_kr") > F.col("net_debt_kr")), "K10"),
+        when(F.col("holder") != F.col("id"), "K07"), when(F.col("own"), "K08"), when(F.col("idate") > F.col("rdate"), "K09"), when((F.col("net_debt_kr") > 0) & (F.col("amount_kr") > F.col("net_debt_kr")), "K10"),
     ))
     codes = F.when(F.col("rdir").isNull(), F.array(F.lit("K01"))).when(F.col("idir").isNull(), F.array(F.lit("K02"))).otherwise(known)
     return met.select("id", "no", F.explode(codes).alias("code"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import accounts as A
 from tallyspark.functions.money import total
+from tallyspark.operators.running import ranged, running
 
 
 def contrary_nature(journal: DataFrame, chart: DataFrame) -> DataFrame:
@@ -120,8 +121,8 @@ def cash_book(receipts: DataFrame, opening_kr: int = 25_000_000, limit_kr: int =
 def bank_book(movements: DataFrame, opening_kr: int = 500_000_000) -> DataFrame:
     from tallyspark.operators.reconcile import signed
 
-    w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return movements.select("account", "seq", "date", "direction", "amount_kr", (F.lit(opening_kr) + F.sum(signed()).over(w)).alias("running_kr"))
+    out = running(ranged(movements, ["account"], ["seq"]), ["account"], ["seq"], {"running_kr": (F.sum, signed())})
+    return out.select("account", "seq", "date", "direction", "amount_kr", (F.lit(opening_kr) + F.col("running_kr")).alias("running_kr"))
 
 
 def invoice_search(invoices: DataFrame, text: str | None = None, party: int | None = None, low_kr: int | None = None, high_kr: int | None = None, since: str | None = None, until: str | None = None, state: str | None = None, order: str = "gross_kr", offset: int = 0, limit: int = 50) -> DataFrame:

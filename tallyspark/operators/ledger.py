@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import accounts as A
 from tallyspark.functions.money import formatted, total
 from tallyspark.operators.posting import numbered
+from tallyspark.operators.running import ranged, running
 
 
 def net() -> Column:
@@ -29,26 +30,32 @@ def named(balance: DataFrame, chart: DataFrame) -> DataFrame:
 
 
 def general_ledger(journal: DataFrame) -> DataFrame:
-    """Movements of each account by date, voucher and line with the running balance and the voucher's contra accounts.
+    """Movements of each account by date, voucher and line, with the running balance and the line's `side`.
 
-    Contra accounts are those on the other side, neighbouring repeats once, in line order; those of long vouchers are in
-    `long_contras`, by voucher and side.
+    A line's contra accounts are those of its voucher and side in `contras`: written once, not with each line.
     """
-    debit = F.col("debit_kr") > 0
-    line = F.struct("line_no", F.col("account"), debit.alias("debit"))
-    few = journal.groupBy("voucher").count().where(f"count <= {CONTRA_LINES}").select("voucher")
-    sides = journal.join(few, "voucher", "left_semi").groupBy("voucher").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    other = F.transform(F.filter("lines", lambda x: x["debit"] != (F.col("debit_kr") > 0)), lambda x: x["account"])
-    once = F.filter("contra", lambda x, i: (i == 0) | (x != F.get("contra", i - 1)))
-    w = Window.partitionBy("account").orderBy("date", "voucher", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = journal.join(sides, "voucher", "left").withColumn("contra", F.coalesce(other, F.array().cast("array<string>")))
-    return out.select("account", "date", "voucher", "line_no", "debit_kr", "credit_kr", F.sum(F.col("debit_kr") - F.col("credit_kr")).over(w).alias("balance_kr"), F.array_join(once, ", ").alias("contra"))
+    rows = journal.select("account", "date", "voucher", "line_no", "debit_kr", "credit_kr")
+    order = ["date", "voucher", "line_no"]
+    out = running(ranged(rows, ["account"], order), ["account"], order, {"balance_kr": (F.sum, F.col("debit_kr") - F.col("credit_kr"))})
+    return out.select(*rows.columns, "balance_kr", F.when(F.col("debit_kr") > 0, "debit").otherwise("credit").alias("side"))
 
 
-#: Vouchers with more lines (openings, closings) have their contra accounts in `long_contras`, so that no voucher gathers in one row.
+#: Lines of a voucher up to which its contra accounts gather in one row, and accounts of a row.
 CONTRA_LINES = 1000
 
 
+def contras(journal: DataFrame, chunk: int = CONTRA_LINES) -> DataFrame:
+    """For each voucher and `side` the accounts on the other side, neighbouring repeats once, in line order: `contra` in numbered
+    chunks of `chunk` accounts.  Short vouchers gather in one row, long ones go through ranges and prefix sums."""
+    few = journal.groupBy("voucher").count().where(f"count <= {CONTRA_LINES}").select("voucher")
+    side = F.when(F.col("debit_kr") > 0, "credit").otherwise("debit").alias("side")
+    lines = journal.join(few, "voucher", "left_semi").select("voucher", side, F.struct("line_no", "account").alias("x")).distinct()
+    listed = lines.groupBy("voucher", "side").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["account"]).alias("contra"))
+    once = F.filter("contra", lambda x, i: (i == 0) | (x != F.get("contra", i - 1)))
+    short = listed.select("voucher", "side", F.posexplode(F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(once) - 1, F.lit(chunk)).cast("int")), lambda k: F.array_join(F.slice(once, k * chunk + 1, F.lit(chunk)), ", "))).alias("chunk", "contra"))
+    return short.select("voucher", "side", F.col("chunk").cast("long").alias("chunk"), "contra").unionByName(long_contras(journal, chunk))
+
+
 def long_contras(journal: DataFrame, chunk: int = CONTRA_LINES) -> DataFrame:
     """Contra accounts of vouchers with more than CONTRA_LINES lines: `contra` in chunks of `chunk` accounts, numbered from 0, once
     for all lines of a `side` (debit or credit) of a voucher.
@@ -97,11 +104,14 @@ def subsidiary_summary(journal: DataFrame, prefix: str) -> DataFrame:
 
 
 def page(journal: DataFrame, account: str, offset: int, limit: int) -> DataFrame:
-    """Movements `offset` to `offset + limit` from the end, in order, with the running balance."""
+    """Movements `offset` to `offset + limit` from the end, in order, with the running balance: the account's balance less what follows."""
     own = journal.where(F.col("account") == account)
-    w = Window.partitionBy("account").orderBy("date", "voucher", "line_no")
-    out = own.withColumn("balance_kr", F.sum(F.col("debit_kr") - F.col("credit_kr")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.orderBy(F.desc("date"), F.desc("voucher"), F.desc("line_no")).offset(offset).limit(limit)
+    amount = F.col("debit_kr") - F.col("credit_kr")
+    order = [F.desc("date"), F.desc("voucher"), F.desc("line_no")]
+    balance = own.agg(F.coalesce(F.sum(amount), F.lit(0))).first()[0]
+    last = own.orderBy(*order).limit(offset + limit).withColumn("page", F.lit(1))  # the only rows that a task sees together
+    after = F.coalesce(F.sum(amount).over(Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = last.withColumn("balance_kr", (F.lit(balance) - after).cast("bigint")).orderBy(*order).offset(offset).limit(limit)
     return out.select("date", "voucher", "line_no", "debit_kr", "credit_kr", "balance_kr").orderBy("date", "voucher", "line_no")
 
 
@@ -120,8 +130,9 @@ def with_sub_account(chart: DataFrame, parent: str, sub: str, name: str) -> Data
 
 def account_text(codes: DataFrame, texts: DataFrame) -> DataFrame:
     """The text of each code, else that of its ledger account."""
+    texts = texts.where("text is not null")
     own, parent = texts.select(F.col("code"), F.col("text").alias("own")), texts.select(F.col("code").alias("ledger"), F.col("text").alias("parent"))
-    out = codes.withColumn("ledger", A.ledger_code("code")).join(F.broadcast(own), "code", "left").join(F.broadcast(parent), "ledger", "left")
+    out = codes.withColumn("ledger", A.ledger_code("code")).join(own, "code", "left").join(parent, "ledger", "left")
     return out.select("code", F.coalesce("own", "parent", F.lit("")).alias("text"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import div, kurus, percent_half_up, total
+from tallyspark.sources.scratch import written
 
 KINDS = {"accrual": 1, "void": 2, "return": 3, "cost": 4, "discount": 5, "purchase": 6, "receipt": 8}
 BASE = 1_000_000_000_000
@@ -109,20 +110,27 @@ def voucher_types(journal: DataFrame) -> DataFrame:
     )
 
 
-def validate(lines: DataFrame, postable: DataFrame, period_start: str, period_end: str) -> DataFrame:
-    """First failing rule of each voucher of `lines` (voucher, line_no, date, status, account, debit_kr, credit_kr).
+#: Voucher types that need a document or reference behind them, fixed values.
+NEED_EVIDENCE = ["TAHSIL", "TEDIYE"]
 
-    In this order: it is final already; V2 fewer than two lines; for each line V3 an unknown or inactive account, V4 not
-    exactly one side with an amount; V5 a date outside the period; V1 debits are not credits.
+
+def validate(lines: DataFrame, postable: DataFrame, period_start: str, period_end: str, period_open: bool = True) -> DataFrame:
+    """First failing rule of each voucher of `lines` (voucher, line_no, date, status, kind, evidence, account, debit_kr, credit_kr).
+
+    In this order: it is final already; V2 fewer than two lines; line by line V3 not exactly one side with an amount, or a
+    negative one, then V4 an account that cannot be posted to; V5 a closed period; V6 a date outside it; V1 debits are not
+    credits; V7 a voucher of a kind that needs evidence has none.
     """
     known = lines.join(postable.select(F.col("code").alias("account"), F.lit(True).alias("known")), "account", "left")
-    bad = F.when(F.col("known").isNull(), F.struct("line_no", F.lit("V3").alias("code"))).when((F.col("debit_kr") > 0) == (F.col("credit_kr") > 0), F.struct("line_no", F.lit("V4").alias("code")))
+    amount = ((F.col("debit_kr") > 0) == (F.col("credit_kr") > 0)) | (F.col("debit_kr") < 0) | (F.col("credit_kr") < 0)
+    bad = F.when(amount, F.struct("line_no", F.lit("V3").alias("code"))).when(F.col("known").isNull(), F.struct("line_no", F.lit("V4").alias("code")))
     seen = known.groupBy("voucher").agg(
         F.bool_or(F.col("status") == "Kesin").alias("final"), F.count("*").alias("n"), F.min(bad).alias("line"), F.min("date").alias("date"), (F.sum("debit_kr") - F.sum("credit_kr")).alias("off"),
+        F.bool_or(F.col("kind").isin(NEED_EVIDENCE) & F.col("evidence").isNull()).alias("bare"),
     )
     outside = ~F.col("date").between(F.lit(period_start).cast("date"), F.lit(period_end).cast("date"))
-    first = F.coalesce(F.when(F.col("final"), "FINAL"), F.when(F.col("n") < 2, "V2"), F.col("line.code"), F.when(outside, "V5"), F.when(F.col("off") != 0, "V1"), F.lit("OK"))
-    return seen.select("voucher", first.alias("rule"))
+    rules = [F.when(F.col("final"), "FINAL"), F.when(F.col("n") < 2, "V2"), F.col("line.code"), F.when(F.lit(not period_open), "V5"), F.when(outside, "V6"), F.when(F.col("off") != 0, "V1"), F.when(F.col("bare"), "V7"), F.lit("OK")]
+    return seen.select("voucher", F.coalesce(*rules).alias("rule"))
 
 
 def numbered(vouchers: DataFrame, *order: str, series: str = "series") -> DataFrame:
@@ -131,8 +139,8 @@ def numbered(vouchers: DataFrame, *order: str, series: str = "series") -> DataFr
     The rows are range-partitioned by the order; counts of each part and series (a small table) give the parts' bases, so
     no task sees more than its part.
     """
-    # Kept, so that the counts and the rows come from one division into ranges.
-    parts = vouchers.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    # Written, so that the counts and the rows come from one division into ranges.
+    parts = written(vouchers.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("_part", series).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base_all = counts.groupBy("_part").agg(F.sum("count").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_all"))

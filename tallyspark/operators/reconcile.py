@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import names
+from tallyspark.operators.running import PART, ranged, running
+from tallyspark.sources.scratch import written
 
 
 def signed() -> Column:
@@ -20,9 +22,9 @@ def day_number(date: str | Column) -> Column:
 
 def balance_chain(movements: DataFrame, opening_kr: int = 0) -> DataFrame:
     """Movements whose reported balance is not the last reported one and their amount."""
-    w = Window.partitionBy("account").orderBy("seq")
-    expected = F.coalesce(F.lag("balance_kr").over(w), F.lit(opening_kr)) + signed()
-    return movements.withColumn("expected_kr", expected).where("expected_kr <> balance_kr").select("account", "seq", "expected_kr", "balance_kr")
+    last = {"last": (F.max, F.struct("seq", "balance_kr"), -1)}
+    out = running(ranged(movements, ["account"], ["seq"]), ["account"], ["seq"], last)
+    return out.withColumn("expected_kr", F.coalesce("last.balance_kr", F.lit(opening_kr)) + signed()).where("expected_kr <> balance_kr").select("account", "seq", "expected_kr", "balance_kr")
 
 
 def statement_carry(statements: DataFrame) -> DataFrame:
@@ -34,20 +36,33 @@ def statement_carry(statements: DataFrame) -> DataFrame:
 def reversal_pairs(movements: DataFrame) -> DataFrame:
     """Movements with an earlier one of the account that has the same amount and the other direction: the nearest before."""
     other = F.when(F.col("direction") == "GIRIS", "CIKIS").otherwise("GIRIS")
-    w = Window.partitionBy("account", "amount_kr").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    for way, name in (("GIRIS", "_in"), ("CIKIS", "_out")):
-        movements = movements.withColumn(name, F.max(F.when(F.col("direction") == way, F.col("seq"))).over(w))
-    return movements.withColumn("reverses", F.when(other == "GIRIS", F.col("_in")).otherwise(F.col("_out"))).where("reverses is not null").select("account", "seq", "direction", "amount_kr", "reverses")
+    keys = ["account", "amount_kr"]
+    way = lambda d: F.when(F.col("direction") == d, F.col("seq"))
+    out = running(ranged(movements, keys, ["seq"]), keys, ["seq"], {"_in": (F.max, way("GIRIS"), -1), "_out": (F.max, way("CIKIS"), -1)})
+    return out.withColumn("reverses", F.when(other == "GIRIS", F.col("_in")).otherwise(F.col("_out"))).where("reverses is not null").select("account", "seq", "direction", "amount_kr", "reverses")
+
+
+def islands(ours: DataFrame, theirs: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Rows of both sides (mine, id, day, keys) with `island`: neighbours in time of a key no more than `window` days apart."""
+    side = lambda df, mine: df.select(*keys, day_number("date").alias("day"), F.lit(mine).alias("mine"), "id")
+    order = ["day", "mine", "id"]
+    both = running(ranged(side(ours, True).unionByName(side(theirs, False)), keys, order), keys, order, {"last": (F.max, F.col("day"), -1)})
+    both = written(both.withColumn("apart", (F.col("day") - F.col("last") > window).cast("int")), "apart")
+    return running(both, keys, order, {"island": (F.sum, F.coalesce("apart", F.lit(0)))}).drop(PART)
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, window: int | None = None) -> DataFrame:
     """Pairs (id, their_id) of one name and exact amount: ours, by date and id, each take the nearest counterpart that is left.
 
-    A fold inside the group of a name and an amount; ties go to the smaller id.
+    A fold inside the group of a name and an amount, cut where no two dates are within the window of each other, since nothing
+    can match across such a gap; ties go to the smaller id.
     """
-    item = lambda i: F.struct(day_number("date").alias("day"), F.col(i).alias("id"))
-    a = ours.groupBy("name", "amount_kr").agg(F.sort_array(F.collect_list(item("id"))).alias("ours"))
-    b = theirs.groupBy("name", "amount_kr").agg(F.sort_array(F.collect_list(item("id"))).alias("theirs"))
+    keys = ["name", "amount_kr"]
+    rows = written(islands(ours, theirs, keys, window if window is not None else 1 << 30), "islands")
+    keys += ["island"]
+    item = F.struct("day", "id")
+    a = rows.where("mine").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("ours"))
+    b = rows.where("not mine").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("theirs"))
     start = F.struct(F.col("theirs").alias("left"), F.expr("cast(array() as array<struct<id:bigint,their_id:bigint>>)").alias("pairs"))
 
     def take(acc, x):
@@ -56,7 +71,7 @@ def reconcile(ours: DataFrame, theirs: DataFrame, window: int | None = None) ->
         rest = F.filter(acc["left"], lambda y: y["id"] != near["id"])
         return F.when(fits, F.struct(rest.alias("left"), F.concat(acc["pairs"], F.array(F.struct(x["id"].alias("id"), near["id"].alias("their_id")))).alias("pairs"))).otherwise(acc)
 
-    return a.join(b, ["name", "amount_kr"]).select("name", "amount_kr", F.explode(F.aggregate("ours", start, take)["pairs"]).alias("p")).select("name", "amount_kr", "p.id", "p.their_id")
+    return a.join(b, keys).select("name", "amount_kr", F.explode(F.aggregate("ours", start, take)["pairs"]).alias("p")).select("name", "amount_kr", "p.id", "p.their_id")
 
 
 def leftovers(ours: DataFrame, pairs: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -88,12 +103,16 @@ def classify(texts: DataFrame, types: list[tuple[str, str, list[str]]]) -> DataF
     return texts.select("id", "direction", F.coalesce(*found, F.lit("DIGER")).alias("type"))
 
 
-def name_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Pairs of names (id, name) that share words to `least` or more: they meet on their words, not each with each."""
-    x = a.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    y = b.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    met = x.join(y, "word").select("id", "other", "name", "other_name").distinct()
-    return met.withColumn("score", F.round(names.similarity("name", "other_name"), 6)).where(F.col("score") >= least).select("id", "other", "score")
+def name_pairs(queries: DataFrame, named: DataFrame, least: float) -> DataFrame:
+    """`queries` (id, name) with the distinct names of `named` (name) that share words to `least` or more.
+
+    Names find each other once, by `name_links`, however many rows have them; a query then takes those of its own name.
+    """
+    links = name_links(queries.select("name").unionByName(named.select("name")), least)
+    both = links.unionByName(links.select(F.col("other").alias("name"), F.col("name").alias("other"), "score"))
+    known = named.select(F.col("name").alias("other")).where("other <> ''").distinct()
+    same = known.select(F.col("other").alias("name"), "other", F.lit(1.0).alias("score"))
+    return queries.join(both.unionByName(same), "name").join(known, "other", "left_semi").select("id", "other", "score")
 
 
 def name_links(named: DataFrame, least: float) -> DataFrame:

@@ -79,14 +79,17 @@ def _draft(s, d):
     k = F.col("doc_no") % 97
     return j.select(
         "voucher", "line_no", F.when(k == 1, F.lit("1990-01-01").cast("date")).otherwise(F.col("date")).alias("date"), F.when(k == 2, "Kesin").otherwise("Taslak").alias("status"),
-        F.when((k == 3) & (F.col("line_no") == 2), "999").otherwise(F.when(F.instr("account", ".") > 0, F.substring_index("account", ".", 1)).otherwise(F.col("account"))).alias("account"),
-        F.when((k == 4) & (F.col("line_no") == 1), F.lit(0)).otherwise(F.col("debit_kr")).cast("bigint").alias("debit_kr"), F.when((k == 5) & (F.col("line_no") == 2), F.col("credit_kr") + 1).otherwise(F.col("credit_kr")).alias("credit_kr"),
+        F.when(((k == 3) & (F.col("line_no") == 2)) | ((k == 6) & (F.col("line_no") == 1)), "999").otherwise(F.when(F.instr("account", ".") > 0, F.substring_index("account", ".", 1)).otherwise(F.col("account"))).alias("account"),
+        F.when(k.isin(4, 6) & (F.col("line_no") == 1), F.lit(0)).otherwise(F.col("debit_kr")).cast("bigint").alias("debit_kr"),
+        F.when((k == 5) & (F.col("line_no") == 2), F.col("credit_kr") + 1).when((k == 7) & (F.col("line_no") == 1), F.lit(-3)).otherwise(F.col("credit_kr")).cast("bigint").alias("credit_kr"),
+        F.when(F.col("kind") == "receipt", "TAHSIL").otherwise("MAHSUP").alias("kind"), F.when(k != 8, F.col("doc_no")).alias("evidence"),
     )
 
 
 _DRAFT_SQL = """draft AS (SELECT voucher, line_no, CASE WHEN doc_no % 97 = 1 THEN DATE '1990-01-01' ELSE date END AS date, CASE WHEN doc_no % 97 = 2 THEN 'Kesin' ELSE 'Taslak' END AS status,
- CASE WHEN doc_no % 97 = 3 AND line_no = 2 THEN '999' ELSE split_part(account, '.', 1) END AS account, CASE WHEN doc_no % 97 = 4 AND line_no = 1 THEN 0 ELSE debit_kr END AS debit_kr,
- CASE WHEN doc_no % 97 = 5 AND line_no = 2 THEN credit_kr + 1 ELSE credit_kr END AS credit_kr FROM journal WHERE kind <> 'opening')"""
+ CASE WHEN doc_no % 97 = 3 AND line_no = 2 OR doc_no % 97 = 6 AND line_no = 1 THEN '999' ELSE split_part(account, '.', 1) END AS account, CASE WHEN doc_no % 97 IN (4, 6) AND line_no = 1 THEN 0 ELSE debit_kr END AS debit_kr,
+ CASE WHEN doc_no % 97 = 5 AND line_no = 2 THEN credit_kr + 1 WHEN doc_no % 97 = 7 AND line_no = 1 THEN -3 ELSE credit_kr END AS credit_kr,
+ CASE WHEN kind = 'receipt' THEN 'TAHSIL' ELSE 'MAHSUP' END AS kind, CASE WHEN doc_no % 97 <> 8 THEN doc_no END AS evidence FROM journal WHERE kind <> 'opening')"""
 
 
 def _heads(s, d):
@@ -113,10 +116,17 @@ QUERIES = {
         lambda s, d: ledger.named(ledger.trial_balance(_j(s, d)), chart(s)),
         over("journal", f"WITH {CHART_SQL}, tb AS ({TB}), dim AS (SELECT code, name, {KIND} || ' · ' || {NATURE} AS nature FROM chart) SELECT tb.account, split_part(account, '.', 1) AS ledger, debit_kr, credit_kr, debit_balance_kr, credit_balance_kr, coalesce(name, '') AS name, coalesce(nature, '') AS nature FROM tb LEFT JOIN dim ON code = split_part(account, '.', 1)"),
     ),
-    "ledger_long_contras": (lambda s, d: ledger.long_contras(_j(s, d)), None),
+    "ledger_long_contras": (
+        lambda s, d: ledger.long_contras(_j(s, d)),
+        over("journal", "WITH n AS (SELECT voucher FROM journal GROUP BY voucher HAVING count(*) > 1000), x AS (SELECT DISTINCT j.voucher, CASE WHEN debit_kr > 0 THEN 'credit' ELSE 'debit' END AS side, line_no, account FROM journal j JOIN n ON n.voucher = j.voucher), y AS (SELECT *, lag(account) OVER (PARTITION BY voucher, side ORDER BY line_no, account) AS before FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY voucher, side ORDER BY line_no, account) - 1 AS place FROM y WHERE before IS NULL OR before <> account) SELECT voucher, side, place // 1000 AS chunk, string_agg(account, ', ' ORDER BY place) AS contra FROM z GROUP BY voucher, side, place // 1000"),
+    ),
     "general_ledger": (
         lambda s, d: ledger.general_ledger(_j(s, d)),
-        over("journal", "WITH n AS (SELECT voucher FROM journal GROUP BY voucher HAVING count(*) <= 1000), x AS (SELECT a.account, a.date, a.voucher, a.line_no, b.line_no AS l, b.account AS other FROM journal a JOIN n ON n.voucher = a.voucher JOIN journal b ON a.voucher = b.voucher AND (a.debit_kr > 0) <> (b.debit_kr > 0)), y AS (SELECT *, lag(other) OVER (PARTITION BY voucher, account, line_no ORDER BY l, other) AS before FROM x), c AS (SELECT voucher, account, line_no, string_agg(other, ', ' ORDER BY l, other) AS contra FROM y WHERE before IS NULL OR before <> other GROUP BY voucher, account, line_no) SELECT j.account, j.date, j.voucher, j.line_no, debit_kr, credit_kr, CAST(sum(debit_kr - credit_kr) OVER (PARTITION BY j.account ORDER BY j.date, j.voucher, j.line_no) AS BIGINT) AS balance_kr, coalesce(contra, '') AS contra FROM journal j LEFT JOIN c ON c.voucher = j.voucher AND c.account = j.account AND c.line_no = j.line_no"),
+        over("journal", "SELECT account, date, voucher, line_no, debit_kr, credit_kr, CAST(sum(debit_kr - credit_kr) OVER (PARTITION BY account ORDER BY date, voucher, line_no) AS BIGINT) AS balance_kr, CASE WHEN debit_kr > 0 THEN 'debit' ELSE 'credit' END AS side FROM journal"),
+    ),
+    "ledger_contras": (
+        lambda s, d: ledger.contras(_j(s, d)),
+        over("journal", "WITH x AS (SELECT DISTINCT voucher, CASE WHEN debit_kr > 0 THEN 'credit' ELSE 'debit' END AS side, line_no, account FROM journal), y AS (SELECT *, lag(account) OVER (PARTITION BY voucher, side ORDER BY line_no, account) AS before FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY voucher, side ORDER BY line_no, account) - 1 AS place FROM y WHERE before IS NULL OR before <> account) SELECT voucher, side, place // 1000 AS chunk, string_agg(account, ', ' ORDER BY place) AS contra FROM z GROUP BY voucher, side, place // 1000"),
     ),
     "journal_last_n": (lambda s, d: ledger.journal_book(_j(s, d), 300), over("journal", "SELECT voucher, min(date) AS date, min(kind) AS kind, CAST(sum(debit_kr) AS BIGINT) AS debit_kr, CAST(sum(credit_kr) AS BIGINT) AS credit_kr, count(*) AS n_lines FROM journal GROUP BY voucher ORDER BY min(date) DESC, voucher DESC LIMIT 300")),
     "rollup_hierarchy": (
@@ -139,7 +149,7 @@ QUERIES = {
     "voucher_type": (lambda s, d: posting.voucher_types(_j(s, d)), over("journal", _TYPES)),
     "voucher_validation": (
         lambda s, d: posting.validate(_draft(s, d), ledger.chart_levels(chart(s)).where("postable"), "1994-01-01", "2002-12-31"),
-        over("journal", f"WITH {CHART_SQL}, {_DRAFT_SQL}, l AS (SELECT d.*, CASE WHEN c.code IS NULL THEN 'V3' WHEN (debit_kr > 0) = (credit_kr > 0) THEN 'V4' END AS bad FROM draft d LEFT JOIN (SELECT code FROM chart WHERE length(code) = 3) c ON c.code = d.account), v AS (SELECT voucher, bool_or(status = 'Kesin') AS final, count(*) AS n, min(CASE WHEN bad IS NOT NULL THEN line_no * 10 + CASE bad WHEN 'V3' THEN 3 ELSE 4 END END) AS line, min(date) AS date, sum(debit_kr) - sum(credit_kr) AS off FROM l GROUP BY voucher) SELECT voucher, CASE WHEN final THEN 'FINAL' WHEN n < 2 THEN 'V2' WHEN line IS NOT NULL THEN 'V' || CAST(line % 10 AS VARCHAR) WHEN date NOT BETWEEN DATE '1994-01-01' AND DATE '2002-12-31' THEN 'V5' WHEN off <> 0 THEN 'V1' ELSE 'OK' END AS rule FROM v"),
+        over("journal", f"WITH {CHART_SQL}, {_DRAFT_SQL}, l AS (SELECT d.*, CASE WHEN (debit_kr > 0) = (credit_kr > 0) OR debit_kr < 0 OR credit_kr < 0 THEN 3 WHEN c.code IS NULL THEN 4 END AS bad FROM draft d LEFT JOIN (SELECT code FROM chart WHERE length(code) = 3) c ON c.code = d.account), v AS (SELECT voucher, bool_or(status = 'Kesin') AS final, count(*) AS n, min(line_no * 10 + bad) AS line, min(date) AS date, sum(debit_kr) - sum(credit_kr) AS off, bool_or(kind IN ('TAHSIL', 'TEDIYE') AND evidence IS NULL) AS bare FROM l GROUP BY voucher) SELECT voucher, CASE WHEN final THEN 'FINAL' WHEN n < 2 THEN 'V2' WHEN line IS NOT NULL THEN 'V' || CAST(line % 10 AS VARCHAR) WHEN date NOT BETWEEN DATE '1994-01-01' AND DATE '2002-12-31' THEN 'V6' WHEN off <> 0 THEN 'V1' WHEN bare THEN 'V7' ELSE 'OK' END AS rule FROM v"),
     ),
     "voucher_numbering": (
         lambda s, d: posting.numbered(_heads(s, d), "date", "voucher"),

@@ -8,7 +8,7 @@ from tallyspark.functions import names
 from tallyspark.operators import audit, ledger, reconcile
 from tallyspark.plans.books import CHART_SQL, NATURE
 from tallyspark.plans.money_flows import _ALL, _all
-from tallyspark.sources.model import bank_movements, chart, over, table, view
+from tallyspark.sources.model import chart, over, table, view
 
 _j = lambda s, d: view(s, d, "journal")
 _s = lambda s, d: view(s, d, "sales")
@@ -27,7 +27,7 @@ _NAMED_SQL = """named AS (SELECT id, raw, CASE WHEN tail THEN 'STI ' || seg || '
 
 def _pairs(s, d):
     n = _named(s, d).select("id", "name")
-    return reconcile.name_pairs(n.where("id <= 150"), n.where("id > 150 and id <= 400"), 0.75)
+    return reconcile.name_pairs(n.where("id % 100 = 0"), n, 0.75)
 
 
 def _ours(s, d):
@@ -39,19 +39,19 @@ def _theirs(s, d):
 
 
 def _statements(s, d):
-    m = bank_movements(s, d).withColumn("period", F.trunc("date", "week"))
+    m = view(s, d, "movements").withColumn("period", F.trunc("date", "week"))
     by = m.groupBy("account", "period").agg(F.min_by(F.col("balance_kr") - reconcile.signed(), "seq").alias("opening_kr"), F.max_by("balance_kr", "seq").alias("closing_kr"))
     return by.withColumn("opening_kr", F.when(F.col("account") % 4 == 3, F.col("opening_kr") + 5).otherwise(F.col("opening_kr")))
 
 
-def _suggest(s, d, part="id % 10 = 0"):
-    items = _r(s, d).where(part).select("id", "amount_kr", F.date_add("date", (F.col("id") % 70 / 10).cast("int")).alias("date"))
+def _suggest(s, d):
+    items = _r(s, d).select("id", "amount_kr", F.date_add("date", (F.col("id") % 70 / 10).cast("int")).alias("date"))
     v = _j(s, d).where("kind = 'receipt' and debit_kr > 0").select("voucher", F.col("debit_kr").alias("amount_kr"), "date")
     return reconcile.suggestions(items, v, 3)
 
 
-def _documents(s, d, part="no % 10 = 0"):
-    items = _s(s, d).where(part).select(F.col("no").alias("id"), F.col("gross_kr").alias("amount_kr"), F.date_add("date", (F.col("no") % 90 / 10).cast("int")).alias("date"))
+def _documents(s, d):
+    items = _s(s, d).select(F.col("no").alias("id"), F.col("gross_kr").alias("amount_kr"), F.date_add("date", (F.col("no") % 90 / 10).cast("int")).alias("date"))
     v = ledger.voucher_totals(_j(s, d)).join(_j(s, d).groupBy("voucher").agg(F.min("date").alias("date")), "voucher").select("voucher", F.col("debit_kr").alias("amount_kr"), "date")
     return reconcile.suggestions(items, v, 5)
 
@@ -62,23 +62,22 @@ _OPEN_SQL = "op AS (SELECT no, party, date, net_debt_kr AS open_kr FROM sale)"
 
 
 def _numbers(s, d):
-    e = table(s, d, "events").select((F.col("user_id") % 5).alias("series"), F.col("event_id").alias("number"), F.col("ts").cast("date").alias("date"))
-    return e.where("number % 5 = series")
+    return table(s, d, "events").select((F.col("event_id") % 5).alias("series"), F.call_function("div", F.col("event_id"), F.lit(5)).alias("number"), F.col("ts").cast("date").alias("date"))
 
 
 _RULES = [("600", "120"), ("391", "120"), ("621", "153"), ("610", "120")]
 
 QUERIES = {
     "canonical_names": (_named, f"WITH {_NAMED_SQL} SELECT * FROM named"),
-    "name_similarity": (_pairs, f"WITH {_NAMED_SQL}, w AS (SELECT id, name, list_distinct(string_split(name, ' ')) AS w FROM named), p AS (SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.id <= 150 AND b.id > 150 AND b.id <= 400) SELECT id, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE i > 0 AND round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
+    "name_similarity": (_pairs, f"WITH {_NAMED_SQL}, w AS (SELECT id, name, list_distinct(string_split(name, ' ')) AS w FROM named WHERE id % 100 = 0), v AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) AS v FROM named), p AS (SELECT id, v.name AS other, len(list_intersect(w, v)) AS i, len(w) + len(v) AS n FROM w, v) SELECT id, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE i > 0 AND round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
     "name_links": (lambda s, d: reconcile.name_links(_named(s, d), 0.75), f"WITH {_NAMED_SQL}, w AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM (SELECT DISTINCT name FROM named)), p AS (SELECT a.name, b.name AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.name < b.name) SELECT name, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
     "reconcile_greedy": (lambda s, d: reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), None),
     "reconcile_leftovers": (lambda s, d: reconcile.leftovers(_ours(s, d), reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), _theirs(s, d)), None),
-    "balance_chain": (lambda s, d: reconcile.balance_chain(bank_movements(s, d)), over("movement", "SELECT * FROM (SELECT account, seq, CAST(coalesce(lag(balance_kr) OVER (PARTITION BY account ORDER BY seq), 0) + CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END AS BIGINT) AS expected_kr, balance_kr FROM movement) WHERE expected_kr <> balance_kr")),
+    "balance_chain": (lambda s, d: reconcile.balance_chain(view(s, d, "movements")), over("movement", "SELECT * FROM (SELECT account, seq, CAST(coalesce(lag(balance_kr) OVER (PARTITION BY account ORDER BY seq), 0) + CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END AS BIGINT) AS expected_kr, balance_kr FROM movement) WHERE expected_kr <> balance_kr")),
     "statement_carry": (lambda s, d: reconcile.statement_carry(_statements(s, d)), over("movement", "WITH m AS (SELECT *, CAST(date_trunc('week', date) AS DATE) AS period FROM movement), b AS (SELECT account, period, arg_min(balance_kr - CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END, seq) + CASE WHEN account % 4 = 3 THEN 5 ELSE 0 END AS opening_kr, arg_max(balance_kr, seq) AS closing_kr FROM m GROUP BY account, period) SELECT * FROM (SELECT *, lag(closing_kr) OVER (PARTITION BY account ORDER BY period) AS carried_kr FROM b) WHERE carried_kr <> opening_kr")),
-    "reversal_pairs": (lambda s, d: reconcile.reversal_pairs(bank_movements(s, d).withColumn("amount_kr", F.col("amount_kr") % 500)), over("movement", "WITH m AS (SELECT account, seq, direction, amount_kr % 500 AS amount_kr FROM movement), w AS (SELECT *, max(CASE WHEN direction = 'GIRIS' THEN seq END) OVER w AS i, max(CASE WHEN direction = 'CIKIS' THEN seq END) OVER w AS o FROM m WINDOW w AS (PARTITION BY account, amount_kr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT account, seq, direction, amount_kr, CASE WHEN direction = 'GIRIS' THEN o ELSE i END AS reverses FROM w WHERE CASE WHEN direction = 'GIRIS' THEN o ELSE i END IS NOT NULL")),
-    "bank_suggestions": (_suggest, over("journal", f"WITH i AS (SELECT id, amount_kr, date + CAST(id % 70 // 10 AS INTEGER) AS date FROM receipt WHERE id % 10 = 0), v AS (SELECT voucher, debit_kr AS amount_kr, date FROM journal WHERE kind = 'receipt' AND debit_kr > 0) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 3) WHERE k <= 10")),
-    "document_suggestions": (_documents, over("journal", f"WITH i AS (SELECT no AS id, gross_kr AS amount_kr, date + CAST(no % 90 // 10 AS INTEGER) AS date FROM sale WHERE no % 10 = 0), v AS (SELECT voucher, sum(debit_kr) AS amount_kr, min(date) AS date FROM journal GROUP BY voucher) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 5) WHERE k <= 10")),
+    "reversal_pairs": (lambda s, d: reconcile.reversal_pairs(view(s, d, "movements").withColumn("amount_kr", F.col("amount_kr") % 500)), over("movement", "WITH m AS (SELECT account, seq, direction, amount_kr % 500 AS amount_kr FROM movement), w AS (SELECT *, max(CASE WHEN direction = 'GIRIS' THEN seq END) OVER w AS i, max(CASE WHEN direction = 'CIKIS' THEN seq END) OVER w AS o FROM m WINDOW w AS (PARTITION BY account, amount_kr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT account, seq, direction, amount_kr, CASE WHEN direction = 'GIRIS' THEN o ELSE i END AS reverses FROM w WHERE CASE WHEN direction = 'GIRIS' THEN o ELSE i END IS NOT NULL")),
+    "bank_suggestions": (_suggest, over("journal", f"WITH i AS (SELECT id, amount_kr, date + CAST(id % 70 // 10 AS INTEGER) AS date FROM receipt), v AS (SELECT voucher, debit_kr AS amount_kr, date FROM journal WHERE kind = 'receipt' AND debit_kr > 0) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 3) WHERE k <= 10")),
+    "document_suggestions": (_documents, over("journal", f"WITH i AS (SELECT no AS id, gross_kr AS amount_kr, date + CAST(no % 90 // 10 AS INTEGER) AS date FROM sale), v AS (SELECT voucher, sum(debit_kr) AS amount_kr, min(date) AS date FROM journal GROUP BY voucher) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 5) WHERE k <= 10")),
     "bank_text_types": (lambda s, d: reconcile.classify(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.when(F.col("event_type") == "purchase", "GIRIS").otherwise("CIKIS").alias("direction")), TYPES), "SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'GIRIS' ELSE 'CIKIS' END AS direction, CASE WHEN event_type <> 'purchase' AND upper(event_type) LIKE '%VIEW%' THEN 'KIRA' WHEN event_type = 'purchase' THEN 'SATIS' WHEN upper(event_type) LIKE '%REFUND%' OR upper(event_type) LIKE '%CLICK%' THEN 'IADE' ELSE 'DIGER' END AS type FROM events"),
     "contrary_nature": (lambda s, d: audit.contrary_nature(_j(s, d), chart(s)), over("journal", f"WITH {CHART_SQL}, n AS (SELECT account, split_part(account, '.', 1) AS k, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal GROUP BY account), m AS (SELECT account, code, {NATURE} AS nature, net_kr FROM n JOIN chart ON code = k) SELECT account, nature, net_kr, CASE WHEN code IN ('100', '102', '153') THEN 'high' WHEN code IN ('120', '320', '191', '391') THEN 'mid' ELSE 'low' END AS severity FROM m WHERE (nature = 'debit' AND net_kr < 0) OR (nature = 'credit' AND net_kr > 0)")),
     "monthly_deviation": (lambda s, d: audit.monthly_deviation(_j(s, d), "6"), over("journal", "WITH b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(abs(debit_kr - credit_kr)) AS BIGINT) AS amount_kr FROM journal WHERE account LIKE '6%' GROUP BY 1 HAVING sum(abs(debit_kr - credit_kr)) <> 0), m AS (SELECT sum(amount_kr)::DOUBLE / count(*) AS mean FROM b HAVING count(*) >= 3) SELECT * FROM (SELECT month, amount_kr, round(100 * (amount_kr - mean) / mean, 6) AS deviation FROM b, m) WHERE abs(deviation) > 15")),
@@ -91,13 +90,12 @@ QUERIES = {
     "cut_off": (lambda s, d: audit.cut_off(_s(s, d), "1998-12-31"), over("sale", "SELECT no, party, CAST(date_diff('day', DATE '1998-12-31', date) AS INTEGER) AS offset_days, gross_kr, return_net_kr > 0 AS returned FROM sale WHERE abs(date_diff('day', DATE '1998-12-31', date)) <= 5")),
     "concentration": (lambda s, d: audit.concentration(_s(s, d), 1), over("sale", "WITH b AS (SELECT party, CAST(sum(net_kr) AS BIGINT) AS net_kr FROM sale WHERE valid GROUP BY party), t AS (SELECT sum(net_kr) AS total_kr FROM b) SELECT party, net_kr, round(1000.0::DOUBLE * net_kr / total_kr::DOUBLE, 6) AS per_mille FROM b, t WHERE 1000 * net_kr >= total_kr")),
     "chain_equality": (lambda s, d: audit.chain_equality(_j(s, d), ["621"], ["153"]), over("journal", "SELECT l AS left_kr, r AS right_kr, l - r AS difference_kr FROM (SELECT CAST(sum(CASE WHEN left(account, 3) = '621' THEN debit_kr ELSE 0 END) AS BIGINT) AS l, CAST(sum(CASE WHEN left(account, 3) = '153' THEN credit_kr ELSE 0 END) AS BIGINT) AS r FROM journal)")),
-    "sequence_gaps": (lambda s, d: audit.sequence_gaps(_numbers(s, d)), "WITH n AS (SELECT user_id % 5 AS series, event_id AS number, CAST(ts AS DATE) AS date FROM events WHERE event_id % 5 = user_id % 5), w AS (SELECT *, lag(number) OVER (PARTITION BY series ORDER BY number) AS before, lag(date) OVER (PARTITION BY series ORDER BY number) AS d FROM n) SELECT series, number, before, date < d AS back_dated FROM w WHERE number - before <> 1 OR date < d"),
+    "sequence_gaps": (lambda s, d: audit.sequence_gaps(_numbers(s, d)), "WITH n AS (SELECT event_id % 5 AS series, event_id // 5 AS number, CAST(ts AS DATE) AS date FROM events), w AS (SELECT *, lag(number) OVER (PARTITION BY series ORDER BY number) AS before, lag(date) OVER (PARTITION BY series ORDER BY number) AS d FROM n) SELECT series, number, before, date < d AS back_dated FROM w WHERE number - before <> 1 OR date < d"),
     "cash_book": (lambda s, d: audit.cash_book(_r(s, d)), over("receipt", "SELECT id, date, amount_kr, CAST(25000000 + sum(amount_kr) OVER (ORDER BY date, id) AS BIGINT) AS balance_kr, amount_kr > 700000 AS over_limit FROM receipt WHERE instrument = 'NAKIT'")),
-    "bank_book": (lambda s, d: audit.bank_book(bank_movements(s, d)), over("movement", "SELECT account, seq, date, direction, amount_kr, CAST(500000000 + sum(CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END) OVER (PARTITION BY account ORDER BY seq) AS BIGINT) AS running_kr FROM movement")),
+    "bank_book": (lambda s, d: audit.bank_book(view(s, d, "movements")), over("movement", "SELECT account, seq, date, direction, amount_kr, CAST(500000000 + sum(CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END) OVER (PARTITION BY account ORDER BY seq) AS BIGINT) AS running_kr FROM movement")),
     "invoice_search": (lambda s, d: audit.invoice_search(_s(s, d), text="12", low_kr=1_000_000, since="1997-01-01", state="KABUL", offset=10, limit=40), over("sale", "SELECT no, party, date, state, gross_kr, CAST(net_debt_kr AS BIGINT) AS net_debt_kr FROM sale WHERE CAST(no AS VARCHAR) LIKE '%12%' AND gross_kr >= 1000000 AND date >= DATE '1997-01-01' AND state = 'KABUL' ORDER BY gross_kr DESC, no LIMIT 40 OFFSET 10")),
     "invoice_tabs": (lambda s, d: audit.invoice_tabs(_s(s, d)), over("sale", "SELECT state, count(*) AS n, CAST(sum(gross_kr) AS BIGINT) AS gross_kr, CAST(sum(net_debt_kr) AS BIGINT) AS net_debt_kr FROM sale GROUP BY state")),
     "party_summary": (lambda s, d: audit.party_summary(_s(s, d), _all(s, d)), over("receipt", _ALL + ", p AS (SELECT no, sum(amount_kr) AS paid FROM alloc GROUP BY no) SELECT party, count(*) AS n, CAST(sum(net_debt_kr) AS BIGINT) AS debt_kr, CAST(coalesce(sum(paid), 0) AS BIGINT) AS paid_kr, CAST(sum(net_debt_kr) - coalesce(sum(paid), 0) AS BIGINT) AS open_kr FROM sale LEFT JOIN p ON p.no = sale.no WHERE valid GROUP BY party")),
 }
-for _name, _fn, _part in (("bank_suggestions", _suggest, "id % 10 = 0"), ("document_suggestions", _documents, "no % 10 = 0")):
-    QUERIES[_name + "_all"] = (lambda s, d, fn=_fn: fn(s, d, "true"), QUERIES[_name][1].replace(f"WHERE {_part})", "WHERE true)"))
+QUERIES |= {f"{k}_all": QUERIES[k] for k in ("bank_suggestions", "document_suggestions")}
 DATES = {"statement_carry": ["period"], "monthly_deviation": ["month"], "cash_book": ["date"], "bank_book": ["date"], "invoice_search": ["date"]}

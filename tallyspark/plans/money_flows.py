@@ -70,15 +70,28 @@ _STATUS = ", status AS (SELECT r.id, r.party, r.open_kr AS amount_kr, CAST(coale
 def _corrupt(s, d):
     """Allocations with planted faults, for checks that must find them."""
     k = F.col("id") % 101
+    void = _s(s, d).where("not valid").agg(F.min("no")).first()[0]
     a = _all(s, d).select("id", "no", "amount_kr")
-    return a.withColumn("amount_kr", F.when(k == 1, F.col("amount_kr") * 10).when(k == 2, -F.col("amount_kr")).otherwise(F.col("amount_kr"))).withColumn("no", F.when(k == 3, F.lit(-1)).otherwise(F.col("no")))
+    return a.withColumn("amount_kr", F.when(k == 1, F.col("amount_kr") * 10).when(k == 2, -F.col("amount_kr")).otherwise(F.col("amount_kr"))).withColumn("no", F.when(k == 3, F.lit(void)).otherwise(F.col("no")))
 
 
-_CORRUPT_SQL = ", bad AS (SELECT id, CASE WHEN id % 101 = 3 THEN -1 ELSE no END AS no, CASE WHEN id % 101 = 1 THEN amount_kr * 10 WHEN id % 101 = 2 THEN -amount_kr ELSE amount_kr END AS amount_kr FROM alloc)"
+def _corrupted(s, d):
+    return view(s, d, "corrupted", _corrupt)
+
+
+def _checked(s, d):
+    """Findings over the planted faults; what invoices and receipts record is what the faultless allocation gave them."""
+    bad = _corrupted(s, d)
+    owed = _s(s, d).join(bad.groupBy("no").agg(F.sum("amount_kr").alias("paid")), "no", "left").withColumn("remaining_kr", F.col("net_debt_kr") - F.coalesce("paid", F.lit(0)))
+    money = _money(s, d).join(_status(s, d).select("id", "allocated_kr"), "id")
+    return allocation.invariants(owed, money, bad, _j(s, d))
+
+
+_CORRUPT_SQL = ", bad AS (SELECT id, CASE WHEN id % 101 = 3 THEN (SELECT min(no) FROM sale WHERE NOT valid) ELSE no END AS no, CASE WHEN id % 101 = 1 THEN amount_kr * 10 WHEN id % 101 = 2 THEN -amount_kr ELSE amount_kr END AS amount_kr FROM alloc)"
 
 
 def _requests(s, d):
-    return table(s, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 5).when(F.col("o_orderkey") % 35 == 0, F.lit(-1)).otherwise(F.col("o_orderkey")).alias("no"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 5).when(F.col("o_orderkey") % 35 == 0, F.lit(-1)).otherwise(F.col("o_orderkey")).alias("no"))
 
 
 def _rates(spark):
@@ -140,7 +153,7 @@ QUERIES = {
     "allocation_sync_diff": (lambda s, d: allocation.sync(_frozen(s, d), _all(s, d)), over("receipt", _ALL + ", a AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM frozen), b AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM alloc) SELECT *, 'YENI' AS action FROM b WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT *, 'IPTAL' FROM a WHERE key NOT IN (SELECT key FROM b)")),
     "decision_effect": (lambda s, d: allocation.effect(allocation.fifo(_open(s, d), _money(s, d)), _all(s, d)), over("receipt", _ALL + ", f AS (" + _fifo_sql("inv", "rec") + ") SELECT *, CASE WHEN before_kr = 0 THEN 'written' WHEN after_kr = 0 THEN 'dropped' ELSE 'changed' END AS outcome FROM (SELECT coalesce(f.id, a.id) AS id, coalesce(f.no, a.no) AS no, coalesce(f.amount_kr, 0) AS before_kr, coalesce(a.amount_kr, 0) AS after_kr FROM f FULL JOIN alloc a ON a.id = f.id AND a.no = f.no) WHERE before_kr <> after_kr")),
     "unallocated": (lambda s, d: allocation.unallocated(_status(s, d), _money(s, d), "2001-12-31"), over("receipt", _ALL + _STATUS + " SELECT s.id, s.party, bank, remaining_kr, status, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age_days FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0")),
-    "invariants": (lambda s, d: allocation.invariants(_s(s, d), _money(s, d), _corrupt(s, d), _j(s, d)), over("receipt", _ALL + _CORRUPT_SQL + " SELECT 'D01' AS code, b.id AS key, CAST(s - open_kr AS BIGINT) AS amount_kr FROM (SELECT id, sum(amount_kr) AS s FROM bad GROUP BY id) b JOIN rec ON rec.id = b.id WHERE s > open_kr UNION ALL SELECT 'D03', b.no, CAST(s - open_kr AS BIGINT) FROM (SELECT no, sum(amount_kr) AS s FROM bad GROUP BY no) b JOIN inv ON inv.no = b.no WHERE s > open_kr UNION ALL SELECT 'D04', id, amount_kr FROM bad WHERE amount_kr <= 0 UNION ALL SELECT 'D05', b.no, amount_kr FROM bad b LEFT JOIN sale s ON s.no = b.no WHERE NOT coalesce(valid, false)")),
-    "prechecks": (lambda s, d: allocation.prechecks(_requests(s, d), _s(s, d), _money(s, d), _decisions(s, d)), over("receipt", _BASE + ", q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 5 WHEN o_orderkey % 35 = 0 THEN -1 ELSE o_orderkey END AS no FROM orders WHERE o_orderkey % 5 = 0), m AS (SELECT q.id, q.no, r.id IS NULL AS k1, s.no IS NULL AS k2, valid, r.party AS rp, s.party AS ip, net_debt_kr, r.open_kr AS amount, s.date > r.date AS late, (SELECT min(d.id) FROM dec d WHERE d.no = q.no) AS holder FROM q LEFT JOIN rec r ON r.id = q.id LEFT JOIN sale s ON s.no = q.no) SELECT id, no, unnest(CASE WHEN k1 THEN ['K01'] WHEN k2 THEN ['K02'] ELSE list_filter([CASE WHEN NOT valid THEN 'K03' END, CASE WHEN rp <> ip THEN 'K04' END, CASE WHEN net_debt_kr <= 0 THEN 'K06' END, CASE WHEN holder <> id THEN 'K07' END, CASE WHEN late THEN 'K09' END, CASE WHEN net_debt_kr > 0 AND amount > net_debt_kr THEN 'K10' END], lambda x: x IS NOT NULL) END) AS code FROM m")),
+    "invariants": (_checked, over("journal", _ALL + _CORRUPT_SQL + ", g AS (SELECT id, sum(amount_kr) AS g FROM alloc GROUP BY id), br AS (SELECT rec.id, open_kr, coalesce(s, 0) AS s, coalesce(g, 0) AS g FROM rec LEFT JOIN (SELECT id, sum(amount_kr) AS s FROM bad GROUP BY id) b ON b.id = rec.id LEFT JOIN g ON g.id = rec.id), bi AS (SELECT sale.no, valid, net_debt_kr, coalesce(s, 0) AS s FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS s FROM bad GROUP BY no) b ON b.no = sale.no) SELECT 'D01' AS code, id AS key, CAST(s - open_kr AS BIGINT) AS amount_kr FROM br WHERE s > open_kr UNION ALL SELECT 'D02', id, CAST(s - g AS BIGINT) FROM br WHERE s <> g UNION ALL SELECT 'D03', no, CAST(s - net_debt_kr AS BIGINT) FROM bi WHERE s > net_debt_kr UNION ALL SELECT 'D04', no, CAST(net_debt_kr - s AS BIGINT) FROM bi WHERE net_debt_kr - s < 0 UNION ALL SELECT 'D05', no, CAST(s AS BIGINT) FROM bi WHERE NOT valid AND s <> 0 UNION ALL SELECT 'D06', 0, CAST(o AS BIGINT) FROM (SELECT sum(debit_kr - credit_kr) AS o FROM journal) WHERE o <> 0")),
+    "prechecks": (lambda s, d: allocation.prechecks(_requests(s, d), _s(s, d), _money(s, d), _decisions(s, d)), over("receipt", _BASE + ", q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 5 WHEN o_orderkey % 35 = 0 THEN -1 ELSE o_orderkey END AS no FROM orders), m AS (SELECT q.id, q.no, r.id IS NULL AS k1, s.no IS NULL AS k2, valid, r.party AS rp, s.party AS ip, net_debt_kr, r.open_kr AS amount, s.date > r.date AS late, (SELECT min(d.id) FROM dec d WHERE d.no = q.no) AS holder, EXISTS (SELECT 1 FROM dec d WHERE d.no = q.no AND d.id = q.id) AS own FROM q LEFT JOIN rec r ON r.id = q.id LEFT JOIN sale s ON s.no = q.no) SELECT id, no, unnest(CASE WHEN k1 THEN ['K01'] WHEN k2 THEN ['K02'] ELSE list_filter([CASE WHEN NOT valid THEN 'K03' END, CASE WHEN rp <> ip THEN 'K04' END, CASE WHEN net_debt_kr <= 0 THEN 'K06' END, CASE WHEN holder <> id THEN 'K07' END, CASE WHEN own THEN 'K08' END, CASE WHEN late THEN 'K09' END, CASE WHEN net_debt_kr > 0 AND amount > net_debt_kr THEN 'K10' END], lambda x: x IS NOT NULL) END) AS code FROM m")),
 }
 DATES = dict.fromkeys(("vat_return", "vat_by_rate", "party_declaration"), ["month"])

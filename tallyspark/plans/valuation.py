@@ -43,18 +43,18 @@ def _staff(s, d):
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 40 + 1).alias("heads"), (F.col("s_suppkey") * 100_003 % 9_000_000 + 2_000_000).alias("wage_kr"), (F.col("s_suppkey") % 150).alias("tenths"), kurus(F.abs("s_acctbal")).alias("booked_kr"))
 
 
-def _loans(s, d, part="true"):
+def _loans(s, d):
     c = F.col("c_custkey")
     method = F.element_at(F.array(*map(F.lit, ("Annuite", "EsitAnapara", "Spot"))), (c % 3 + 1).cast("int"))
     tranche = F.array(F.struct(F.lit(4).alias("months"), (c % 5000 + 100).alias("annual_bp")), F.struct(F.lit(3).alias("months"), (c % 3000 + 500).alias("annual_bp")))
     none = F.expr("cast(array() as array<struct<months:int,annual_bp:bigint>>)")
-    return table(s, d, "customer").where(part).select(
+    return table(s, d, "customer").select(
         c.alias("id"), (c * 1_000_003 % 90_000_000 + 1_000_000).alias("principal_kr"), (c % 4800).alias("rate_bp"), (c % 23 + 2).alias("term"), F.lit("2026-01-31").cast("date").alias("start"), method.alias("method"),
         F.lit(500).alias("bsmv_bp"), F.when(c % 4 == 0, tranche).otherwise(none).alias("tranches"),
     )
 
 
-_LOANS_SQL = """loans AS (SELECT c_custkey AS id, c_custkey * 1000003 % 90000000 + 1000000 AS p, c_custkey % 23 + 2 AS n, list_extract(['Annuite', 'EsitAnapara', 'Spot'], CAST(c_custkey % 3 + 1 AS INTEGER)) AS method FROM customer WHERE c_custkey < 400),
+_LOANS_SQL = """loans AS (SELECT c_custkey AS id, c_custkey * 1000003 % 90000000 + 1000000 AS p, c_custkey % 23 + 2 AS n, list_extract(['Annuite', 'EsitAnapara', 'Spot'], CAST(c_custkey % 3 + 1 AS INTEGER)) AS method FROM customer),
 months AS (SELECT id, p, n, method, i, CAST(CASE WHEN id % 4 = 0 THEN CASE WHEN i <= 4 THEN id % 5000 + 100 ELSE id % 3000 + 500 END ELSE id % 4800 END AS DOUBLE) / 10000 / 12 AS r FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM loans)),
 plan(id, i, p, n, method, r, fixed, part, interest, rest) AS (
  SELECT id, 0::BIGINT, p, n, method, -1.0::DOUBLE, 0::BIGINT, 0::BIGINT, 0::BIGINT, p FROM loans
@@ -107,13 +107,6 @@ def _all_numbers(s, d):
     return documents.spelled(table(s, d, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "number")
 
 
-def _numbers(s, d):
-    ones, tens = F.array(*map(F.lit, ("", "bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz"))), F.array(*map(F.lit, ("", "on", "yirmi", "otuz", "kırk", "elli", "altmış", "yetmiş", "seksen", "doksan")))
-    digit = lambda n, k: F.get(n, F.floor(F.col("o_orderkey") / k).cast("int") % 10)
-    text = F.concat_ws(" ", digit(ones, 1000), F.when(F.col("o_orderkey") >= 1000, "bin"), F.when(digit(ones, 100) != "", F.concat(digit(ones, 100), F.lit(" yüz"))), digit(tens, 10), digit(ones, 1))
-    return documents.spelled(table(s, d, "orders").where("o_orderkey between 1 and 9999").select("o_orderkey", text.alias("text"))).select("o_orderkey", "number")
-
-
 QUERIES = {
     "worksheet": (lambda s, d: adjustments.worksheet(_net(s, d), _entries(s)), over("journal", f"WITH {_N}, {_ENTRIES_SQL}, u AS (SELECT split_part(account, '.', 1) AS code, 'VUK' AS kind, net_kr, CAST(NULL AS VARCHAR) AS no FROM n UNION ALL SELECT account, kind, debit_kr - credit_kr, no FROM entries), g AS (SELECT code, CAST(sum(CASE WHEN kind = 'VUK' THEN net_kr ELSE 0 END) AS BIGINT) AS vuk, CAST(sum(CASE WHEN kind = 'AJE' THEN net_kr ELSE 0 END) AS BIGINT) AS aje, CAST(sum(CASE WHEN kind = 'RJE' THEN net_kr ELSE 0 END) AS BIGINT) AS rje, CAST(0 AS BIGINT) AS cf, coalesce(string_agg(DISTINCT no, ',' ORDER BY no), '') AS refs FROM u GROUP BY code) SELECT *, vuk + aje AS adjusted, vuk + aje + rje + cf AS tfrs FROM g WHERE vuk <> 0 OR aje <> 0 OR rje <> 0")),
     "carry_forward": (lambda s, d: adjustments.carried(_entries(s)), f"WITH {_ENTRIES_SQL} SELECT no, 'CF' AS kind, CASE WHEN carry = 'TASI_BIRAK' AND left(account, 1) IN ('6', '7') THEN '570' ELSE account END AS account, CASE WHEN carry = 'TERS_CEVIR' THEN credit_kr ELSE debit_kr END AS debit_kr, CASE WHEN carry = 'TERS_CEVIR' THEN debit_kr ELSE credit_kr END AS credit_kr FROM entries WHERE carry NOT IN ('TASIMA_YOK', 'YENIDEN_URET')"),
@@ -123,17 +116,20 @@ QUERIES = {
     "severance": (lambda s, d: adjustments.severance(_staff(s, d)), f"WITH s AS (SELECT s_suppkey AS id, s_suppkey % 40 + 1 AS heads, s_suppkey * 100003 % 9000000 + 2000000 AS wage, s_suppkey % 150 AS tenths, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS booked FROM supplier), e AS (SELECT id, booked, (2 * heads * least(wage, 7372987) * tenths + 10) // 20 AS earned FROM s), p AS (SELECT *, CAST((2 * CAST(earned AS HUGEINT) * {950000 * adjustments.compound_ppm(35000, 10)} + 1000000000000) // 2000000000000 AS BIGINT) AS prov FROM e), d AS (SELECT *, prov - booked AS diff, (2 * greatest(prov - booked, 0) * 100000 + 1000000) // 2000000 AS short FROM p) SELECT id, earned AS earned_kr, prov AS provision_kr, diff AS difference_kr, short AS short_kr, greatest(diff, 0) - short AS long_kr FROM d"),
     "inventory_nrv": (lambda s, d: adjustments.realisable(_net(s, d)), over("journal", f"WITH {_N} SELECT account, net_kr, v AS value_kr, greatest(net_kr - v, 0) AS impairment_kr FROM (SELECT account, net_kr, CAST((2 * CAST(net_kr AS HUGEINT) * 912000000000 + 1000000000000) // 2000000000000 AS BIGINT) AS v FROM n WHERE account LIKE '15%' AND account NOT LIKE '158%' AND account NOT LIKE '159%' AND net_kr > 0)")),
     "scenario_legs": (lambda s, d: adjustments.scenario(view(s, d, "sales").where("gross_kr > 0").select(F.col("no").alias("id"), F.col("gross_kr").alias("amount_kr"), (F.col("no") % 2 == 0).alias("gain"))), over("sale", "WITH r AS (SELECT no AS id, gross_kr AS a, no % 2 = 0 AS gain, (gross_kr * 250000 + 500000) // 1000000 AS t FROM sale WHERE gross_kr > 0) " + " UNION ALL ".join(f"SELECT id, '{acc}' AS account, CAST({dd} AS BIGINT) AS debit_kr, CAST({cc} AS BIGINT) AS credit_kr FROM r WHERE {'gain' if g else 'NOT gain'}" for g, acc, dd, cc in [(1, "252", "a", "0"), (1, "522.90", "0", "a"), (1, "522.90", "t", "0"), (1, "484", "0", "t"), (0, "654.90", "a", "0"), (0, "252", "0", "a"), (0, "284", "t", "0"), (0, "691", "0", "t")]))),
-    "loan_schedule": (lambda s, d: credit.schedule(_loans(s, d, "c_custkey < 400")), f"WITH RECURSIVE {_LOANS_SQL} SELECT id, CAST(i AS INTEGER) AS no, CAST(DATE '2026-01-31' + to_months(CAST(i AS INTEGER)) AS DATE) AS date, part + interest + CAST(round(interest * 500 / 10000.0::DOUBLE) AS BIGINT) AS payment_kr, part AS principal_kr, interest AS interest_kr, CAST(round(interest * 500 / 10000.0::DOUBLE) AS BIGINT) AS bsmv_kr, rest AS left_kr FROM plan WHERE i > 0"),
-    "loan_schedule_all": (lambda s, d: credit.schedule(_loans(s, d)), None),
-    "loan_entries": (lambda s, d: credit.entries(_loans(s, d)), None),
+    "loan_schedule": (lambda s, d: credit.schedule(_loans(s, d)), f"WITH RECURSIVE {_LOANS_SQL} SELECT id, CAST(i AS INTEGER) AS no, CAST(DATE '2026-01-31' + to_months(CAST(i AS INTEGER)) AS DATE) AS date, part + interest + CAST(round(interest * 500 / 10000.0::DOUBLE) AS BIGINT) AS payment_kr, part AS principal_kr, interest AS interest_kr, CAST(round(interest * 500 / 10000.0::DOUBLE) AS BIGINT) AS bsmv_kr, rest AS left_kr FROM plan WHERE i > 0"),
+    "loan_entries": (
+        lambda s, d: credit.entries(_loans(s, d)),
+        f"WITH RECURSIVE {_LOANS_SQL}, acc AS (SELECT id, p, CASE WHEN n <= 12 THEN '300' ELSE '400' END AS loan FROM loans), e AS (SELECT id, 0 AS no, DATE '2026-01-31' AS date, '102' AS account, p AS debit_kr, 0 AS credit_kr FROM acc UNION ALL SELECT id, 0, DATE '2026-01-31', loan, 0, p FROM acc UNION ALL SELECT id, no, date, account, d, c FROM (SELECT id, i AS no, CAST(DATE '2026-01-31' + to_months(CAST(i AS INTEGER)) AS DATE) AS date, unnest([{{'account': loan, 'd': part, 'c': 0}}, {{'account': '780', 'd': interest, 'c': 0}}, {{'account': '780.01', 'd': tax, 'c': 0}}, {{'account': '102', 'd': 0, 'c': part + interest + tax}}], recursive := true) FROM (SELECT plan.id, i, part, interest, CAST(round(interest * 500 / 10000.0::DOUBLE) AS BIGINT) AS tax, loan FROM plan JOIN acc ON acc.id = plan.id WHERE i > 0))) SELECT id, CAST(no AS INTEGER) AS no, date, account, CAST(debit_kr AS BIGINT) AS debit_kr, CAST(credit_kr AS BIGINT) AS credit_kr FROM e WHERE debit_kr > 0 OR credit_kr > 0",
+    ),
     "simplify_text": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(names.simplify("text")).alias("md5"), F.length(names.simplify("text")).alias("n")), "WITH x AS (SELECT doc_id, trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžğışß', 'aaaaaaceeeeiiiinooooouuuuyyszgiss'), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS md5, CAST(length(t) AS INTEGER) AS n FROM x"),
     "language_guess": (lambda s, d: documents.guess_language(table(s, d, "documents")), "WITH x AS (SELECT doc_id, string_split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžğışß', 'aaaaaaceeeeiiiinooooouuuuyyszgiss'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), s AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS r, '{k}' AS language, CAST(len(list_filter(w, lambda v: list_contains({ws}, v))) AS INTEGER) AS score FROM x" for i, (k, ws) in enumerate(documents.FREQUENT.items())) + "), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, r) AS k FROM s) SELECT doc_id, CASE WHEN score > 0 THEN language ELSE '' END AS language, score FROM b WHERE k = 1"),
     "parse_amounts": (_amounts, "WITH o AS (SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS kr FROM orders) SELECT id, CASE WHEN id % 17 = 0 THEN 'okunamadı' ELSE replace(format('{:,}', kr // 100), ',', '.') || ',' || lpad(CAST(kr % 100 AS VARCHAR), 2, '0') END AS raw, CASE WHEN id % 17 <> 0 THEN kr END AS amount_kr FROM o"),
     "template_fingerprint": (lambda s, d: table(s, d, "documents").select("doc_id", documents.fingerprint("text").alias("fingerprint")), "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10))[1:60], lambda x: regexp_replace(lower(x), '[^a-z]+', '', 'g')), lambda x: x <> ''), '|')) AS fingerprint FROM documents"),
     "rule_confidence": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("trials"), F.count_if(F.col("event_type") == "purchase").alias("hits")).select("user_id", "trials", "hits", F.round(documents.wilson("hits", "trials"), 6).alias("confidence")), "WITH r AS (SELECT user_id, count(*) AS trials, count(*) FILTER (WHERE event_type = 'purchase') AS hits FROM events GROUP BY user_id), p AS (SELECT *, hits::DOUBLE / trials AS p, trials::DOUBLE AS n, 1.96::DOUBLE AS z FROM r) SELECT user_id, trials, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS confidence FROM p"),
     "equation_checks": (lambda s, d: documents.equations(_values(s, d), s.createDataFrame(_EQ, "equation string, field string, sign int")), over("sale", "WITH v AS (SELECT no, net_kr + vat_kr AS a, gross_kr + CASE WHEN no % 50 = 0 THEN 9 ELSE no % 3 END AS g, return_net_kr + return_vat_kr + discount_net_kr + discount_vat_kr AS b, CASE WHEN valid THEN CAST(net_debt_kr AS BIGINT) END AS o FROM sale) SELECT no AS doc_id, 'invoice' AS equation, CAST(a AS BIGINT) AS sum_kr, CAST(g AS BIGINT) AS target_kr, CASE WHEN abs(a - g) <= 3 THEN 'holds' ELSE 'fails' END AS status FROM v UNION ALL SELECT no, 'debt', CAST(g - b AS BIGINT), o, CASE WHEN o IS NULL THEN 'open' WHEN abs(g - b - o) <= 3 THEN 'holds' ELSE 'fails' END FROM v")),
-    "words_to_number": (_numbers, "SELECT o_orderkey, o_orderkey AS number FROM orders WHERE o_orderkey BETWEEN 1 AND 9999"),
+    "words_to_number": (_all_numbers, "SELECT o_orderkey, o_orderkey AS number FROM orders"),
     "words_to_number_all": (_all_numbers, "SELECT o_orderkey, o_orderkey AS number FROM orders"),
     "term_distance": (lambda s, d: documents.corrected(_terms(s, d), LEXICON), None),
 }
-DATES = {"loan_schedule": ["date"]}
+QUERIES["loan_schedule_all"] = QUERIES["loan_schedule"]
+DATES = dict.fromkeys(("loan_schedule", "loan_schedule_all", "loan_entries"), ["date"])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.money import div, kurus, percent
 from tallyspark.operators import posting
+from tallyspark.operators.running import PART, ranged, running
+from tallyspark.sources.scratch import version, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,23 +103,22 @@ def bank_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from tallyspark.operators.reconcile import signed
 
-    return df.where("amount_kr > 0").withColumn("balance_kr", F.sum(signed()).over(_account()) + F.when(F.col("seq") % 97 == 0, 1).otherwise(0))
-
-
-def _account():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranged(df.where("amount_kr > 0"), ["account"], ["seq"])
+    out = running(parts, ["account"], ["seq"], {"balance_kr": (F.sum, signed())}).drop(PART)
+    return out.withColumn("balance_kr", F.col("balance_kr") + F.when(F.col("seq") % 97 == 0, 1).otherwise(0))
 
 
 _views: dict[tuple, DataFrame] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
-    """A model table that several queries of a session share, kept in memory and on disk; `make` if it is none of this module."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A model table that several queries of a session share, written once; `make` if it is none of this module.
+
+    It is made anew when the files under `sf_dir` are others, and outlives lost executors.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _views:
-        _views[key] = (make or {"journal": journal, "sales": sales, "receipts": receipts}[name])(spark, sf_dir).persist()
+        _views[key] = written((make or {"journal": journal, "sales": sales, "receipts": receipts, "movements": bank_movements}[name])(spark, sf_dir), name)
     return _views[key]
 
 
