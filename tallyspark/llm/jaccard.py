@@ -178,7 +178,7 @@ class Join:
         """node, n, prefix (held, token; rarest first, without shingles of one node alone) of the nodes that may have a partner."""
         each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
         held = each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-        shared = each.join(held, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+        shared = each.join(held.hint("shuffle_hash"), "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
         size = F.size("shared") - self.least("n") + 1
         return staged(shared.where(size > 0).select("node", "n", F.slice("shared", F.lit(1), size.cast("int")).alias("prefix")), "prefixes")
 
@@ -205,14 +205,14 @@ class Join:
         fit = (100 * F.col("high") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("low"))
         larger = F.col("g").isNull() | (F.struct("others", "h") > F.struct("size", "g"))  # of two groups, the smaller one's members ask
         asked = hot.join(small(matrix), ["scope", "token"]).where(larger & fit).select("node", "n", F.col("h").alias("g"), F.lit(False).alias("own")).distinct()
-        asked = asked.unionByName(members.select("node", "n", "g", F.lit(True).alias("own")))
+        asked = staged(asked.unionByName(members.select("node", "n", "g", F.lit(True).alias("own"))), "met")
         # What the groups store: counts of the union, and the core.
-        union = members.select("node", "g").join(tokens, "node").select("g", F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
+        union = tokens.join(small(members.select("node", "g")), "node").select("g", F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
         union = staged(union.join(small(groups.select("g", "size")), "g"), "union")
         cores = union.where("2 * held > size").groupBy("g").agg(F.collect_list("token").alias("core"))
         cores = staged(groups.join(cores, "g", "left").select("g", "size", "low", F.coalesce("core", F.array().cast(_LONGS)).alias("core")), "cores")
         need = F.ceil(self.share * (F.col("n") + F.greatest(self.least("n"), "low")) / (100 + self.share)).cast("int")
-        asked = asked.join(light(cores, F.size("core")), "g").join(tokens, "node").select("node", "g", "n", "own", "size", "low", need.alias("need"), "tokens", "core")
+        asked = tokens.join(small(asked), "node").join(light(cores, F.size("core")), "g").select("node", "g", "n", "own", "size", "low", need.alias("need"), "tokens", "core")
         asked = asked.mapInArrow(_encoded, "node long, g long, n int, own boolean, size long, low int, need int, core int, c int, beyond array<long>, lacking array<long>")
         asked = staged(asked, "asked")
         around = asked.select("g", "own", F.explode("beyond").alias("token")).groupBy("g", "token").agg(F.count_if("own").alias("held"), F.count("*").alias("seen"))
@@ -225,7 +225,7 @@ class Join:
         best = small(staged(opened.where("free").groupBy("g").agg(F.max(F.struct("w", "node")).alias("best")), "best"))
         opened = opened.join(best, "g", "left")
         reached = F.col("free") & (F.col("w") + F.col("best.w") >= (100 + self.share) * F.col("core"))
-        opened = staged(opened.withColumn("linked", F.coalesce(reached, F.lit(False))), "linked")
+        opened = opened.withColumn("linked", F.coalesce(reached, F.lit(False)))
         links = opened.where("linked and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
         # Others need shingles beyond the core in common.
         size = F.when(F.col("free"), F.col("over")).otherwise(F.col("over") - (F.col("need") - F.col("c")) + 1)
@@ -258,6 +258,8 @@ class Join:
         """Pairs of free nodes of a group, one of them not linked with its best, that agree in what they lack or have beyond the core."""
         whole = (100 + self.share) * F.col("core")
         left = staged(opened.where("free and not linked").groupBy("g").agg(F.max("w").alias("left")), "left")
+        if not left.limit(1).count():
+            return left.select(F.col("g").alias("a"), F.col("g").alias("b"))
         some = opened.where("free").join(small(left), "g")
         # What a node lacks has the other sign, and counts the members that lack it.
         lacks = self.counted(some, "lacking", union, F.col("size") - F.col("held"))
@@ -276,23 +278,26 @@ class Join:
     def checked(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         """Of `pairs` (a, b) those that link."""
         pairs = staged(pairs.distinct(), "pairs")
-        x, y = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        met = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+        ends = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
+        some = tokens.join(ends, "node")
+        x, y = some.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), some.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        met = x.join(small(pairs), "a").join(y, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("both"))
         return staged(met.where(self.reaches(F.col("both"), F.col("sizes"))).select("a", "b"), "links")
 
     def classes(self, tokens: DataFrame) -> DataFrame:
         """node and root for all nodes with a link to another node."""
         prefixes = self.prefixes(tokens)
         swept(self.spark)
-        links = [self.checked(self.cold_pairs(prefixes), tokens)]
+        links, pairs = [], self.cold_pairs(prefixes)
         hot = F.filter("prefix", lambda x: x["held"] > COLD)
         rows = prefixes.select(F.lit(0).cast("long").alias("scope"), "node", "n", F.lit(True).alias("member"), hot.alias("hot")).where("size(hot) > 0")
         while rows.limit(1).count():
-            sure, pairs, rows = self.grouped(rows, tokens)
-            links += [sure, self.checked(pairs, tokens)]
+            sure, more, rows = self.grouped(rows, tokens)
+            links.append(sure)
+            pairs = pairs.unionByName(more)
             swept(self.spark)
-        every = links[0]
-        for x in links[1:]:
+        every = self.checked(pairs, tokens)
+        for x in links:
             every = every.unionByName(x)
         return staged(components(every), "classes")
 
