@@ -1,15 +1,18 @@
 """Secrets by one deterministic automaton for all rules.
 
-The rules' expressions are parsed, joined into one nondeterministic automaton that may start at every byte, made
-deterministic by subset construction over classes of bytes, and minimised; what is left are two arrays: a class for each
-byte and a row of successors for each state, with the accepting states last.  A text is scanned byte by byte, once for
-all rules; several thousand stretches of a batch advance together as numpy vectors.  A stretch may begin after any byte
-that leads every state back to the start (line feeds, most punctuation, all bytes beyond ASCII), so that cutting there
-changes nothing.  Where the automaton accepts, the rule's own expression gives the exact span within the piece between
-two such bytes: leftmost, longest, non-overlapping for each kind.
+The rules' expressions are parsed, reversed and joined into one nondeterministic automaton that may start at every byte,
+made deterministic by subset construction over classes of bytes, and minimised; what is left are two arrays: a class for
+each byte and a row of successors for each state, with the accepting states last.  A text is scanned once, from its end,
+byte by byte and for all rules; where the automaton accepts, a match of the rule begins.  Several thousand stretches of a
+batch advance together as numpy vectors: a stretch may begin at any byte that leads every state back to the start (line
+feeds, most punctuation, all bytes beyond ASCII), so that cutting there changes nothing.  From the leftmost beginning on
+the rule's own automaton, made in the same way but held to its place, runs to the last byte at which it accepts; the next
+match begins behind it.  So automata alone decide the spans: leftmost, longest, non-overlapping for each kind.  Every byte is
+read once by the scan and once for each kind whose match holds it, in texts of any form and length.
 
 Cases.  A null or empty text has no spans; spans are in code points, end exclusive; repeated rows are scanned like any
-other; a text without a byte that leads back is one long stretch, which costs time but no more memory than its length.
+other; a text without a byte that leads back is one long stretch, read without vectors; an empty table gives no rows.  A
+column named `secrets` is replaced; others keep their names and values, whatever they are.
 """
 
 from __future__ import annotations
@@ -21,34 +24,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tallyspark.llm.work import table
+from tallyspark.llm.work import table, with_column
 
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
-    #: What the automaton looks for: the beginning that a span must have.  It is as short as its kind allows, since every
-    #: length that two rules can count side by side multiplies the states.
-    seek: str
-    #: The exact expression, and the group and least length that a match must have.
-    exact: str
-    group: int = 0
+    #: The expression is `head` and `rest`; a match is dropped if `rest` has fewer than `least` characters.
+    rest: str
+    head: str = ""
     least: int = 1
 
+    @property
+    def whole(self) -> str:
+        return self.head + self.rest
 
-KEY = "(?i:password|passwd|secret|token|api_?key)"
+
+#: Lengths are counted on matches, since a match that is too short takes its text all the same; only where every match is a
+#: whole run of its characters may the automaton count instead.
 BASE = (
-    Rule("assign", KEY + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{3}", f"({KEY})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]{4}", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 0, 24),
+    Rule("assign", "[A-Za-z0-9+/_.=-]+", "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?", 6),
+    Rule("access", "AKIA[A-Z0-9]+", least=20),
+    Rule("hex", "[0-9a-f]{24,}"),
 )
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("platform_token", "gh[oprsu]_[A-Za-z0-9]{4}", "gh[oprsu]_[A-Za-z0-9]+", 0, 20),
-    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{4}", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("map_key", "AIza[A-Za-z0-9_-]{4}", "AIza[A-Za-z0-9_-]+", 0, 24),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{4}", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("platform_token", "gh[oprsu]_[A-Za-z0-9]+", least=20),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", least=15),
+    Rule("map_key", "AIza[A-Za-z0-9_-]+", least=24),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
 
@@ -162,6 +168,18 @@ class Nfa:
         return chars
 
 
+    def reversed(self) -> Nfa:
+        other = Nfa()
+        other.steps, other.free = [[] for _ in self.steps], [[] for _ in self.free]
+        for s, steps in enumerate(self.steps):
+            for chars, t in steps:
+                other.steps[t].append((chars, s))
+        for s, free in enumerate(self.free):
+            for t in free:
+                other.free[t].append(s)
+        return other
+
+
 @dataclass
 class Automaton:
     classes: np.ndarray  # of each byte
@@ -174,11 +192,13 @@ class Automaton:
         return len(self.rules)
 
 
-def compiled(patterns: list[str]) -> Automaton:
+def compiled(patterns: list[str], backwards: bool = False, held: bool = False) -> Automaton:
+    """One automaton for all `patterns`, of their reversals if `backwards`; it may start at every byte, or only at the first if `held`."""
     nfa = Nfa()
-    begin, ends = nfa.state(), {}
-    for k, p in enumerate(patterns):
-        a, b = nfa.add(p)
+    begin, ends, parts = nfa.state(), {}, [nfa.add(p) for p in patterns]
+    if backwards:
+        nfa, parts = nfa.reversed(), [(b, a) for a, b in parts]
+    for k, (a, b) in enumerate(parts):
         nfa.free[begin].append(a)
         ends[b] = 1 << k
     # Bytes that no expression tells apart share a class.
@@ -202,7 +222,7 @@ def compiled(patterns: list[str]) -> Automaton:
     for states in order:  # grows while it is read
         row = []
         for byte in example:
-            to = frozenset(start.union(*(reach[t] for s in states for chars, t in nfa.steps[s] if byte in chars)))
+            to = frozenset((frozenset() if held else start).union(*(reach[t] for s in states for chars, t in nfa.steps[s] if byte in chars)))
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
@@ -228,6 +248,10 @@ def compiled(patterns: list[str]) -> Automaton:
     return Automaton(classes, successors.astype(np.int32), accepted, int((accepted == 0).sum()), back)
 
 
+#: So few stretches at once are read one by one: a vector's step costs more than theirs.
+FEW = 12
+
+
 def scan(data: np.ndarray, a: Automaton, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Positions of bytes after which a rule is accepted, ascending, and the rules' bits."""
     none = np.zeros(0, np.int64)
@@ -246,8 +270,9 @@ def scan(data: np.ndarray, a: Automaton, lanes: int = 8192) -> tuple[np.ndarray,
     symbols = a.classes[data]
     state = np.zeros(len(at), np.int32)
     where, what, limit = [], [], a.first * width
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # lanes longer than each step
-    for step in range(int(lengths[0])):
+    steps = int(lengths[min(FEW, len(lengths) - 1)]) if len(lengths) > FEW else 0
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than each step
+    for step in range(steps):
         n = active[step]
         if n < len(state):
             state, at = state[:n], at[:n]
@@ -257,67 +282,101 @@ def scan(data: np.ndarray, a: Automaton, lanes: int = 8192) -> tuple[np.ndarray,
             where.append(at[found])
             what.append(state[found] // width)
         at = at + 1
-    if not where:
-        return none, none
+    successors = flat.tolist()
+    for k in range(min(FEW, len(lengths))):  # the rest of the longest
+        s, first, end = int(state[k]) if len(state) > k else 0, int(starts[order[k]]) + steps, int(starts[order[k]] + lengths[k])
+        own, kinds = [], []
+        for i, c in enumerate(symbols[first:end].tolist(), first):
+            s = successors[s + c]
+            if s >= limit:
+                own.append(i)
+                kinds.append(s // width)
+        where.append(np.array(own, np.int64))
+        what.append(np.array(kinds, np.int32))
     where, what = np.concatenate(where), np.concatenate(what)
     order = np.argsort(where, kind="stable")
     return where[order], a.rules[what[order]]
 
 
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+class Held:
+    """A rule's own automaton, from a given place on."""
+
+    def __init__(self, pattern: str):
+        a = compiled([pattern], held=True)
+        self.width, self.first = a.successors.shape[1], a.first * a.successors.shape[1]
+        self.next, self.classes = (a.successors * self.width).ravel().tolist(), a.classes.tolist()
+        self.over = next((s * self.width for s in range(a.first) if (a.successors[s] == s).all()), -1)
+
+    def end(self, text: bytes, at: int) -> int:
+        """Behind the last byte at which it accepts, begun at `at`; `at` itself if it never does."""
+        s, last, steps, classes = 0, at, self.next, self.classes
+        for i in range(at, len(text)):
+            s = steps[s + classes[text[i]]]
+            if s >= self.first:
+                last = i + 1
+            elif s == self.over:
+                break
+        return last
+
+
+class Finder:
+    """The automata of `rules`."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.rules, self.scanned = rules, compiled([r.whole for r in rules], backwards=True)
+        self.whole = [Held(r.whole) for r in rules]
+        self.head = [Held(r.head) if r.head else None for r in rules]
+
+    def matches(self, text: bytes, starts: list[int], k: int) -> list[tuple[int, int]]:
+        """Spans of rule `k` in `text`, matches of which begin at `starts` (ascending)."""
+        out, after = [], 0
+        for s in starts:
+            if s >= after:
+                after = self.whole[k].end(text, s)
+                if after - (self.head[k].end(text, s) if self.head[k] else s) >= self.rules[k].least:
+                    out.append((s, after))
+        return out
 
 
-def _find(texts: pa.Array, a: Automaton, rules: tuple[Rule, ...], exact: list) -> list[list[dict]]:
+def _find(texts: pa.Array, finder: Finder) -> list[list[dict]]:
     texts = texts.fill_null("").cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
     starts = bounds[:-1] - bounds[0] + np.arange(len(texts))  # a line feed after each text
     data = np.insert(raw, bounds[1:] - bounds[0], 10)
-    where, what = scan(data, a)
+    where, what = scan(data[::-1], finder.scanned)
+    where, what = len(data) - 1 - where[::-1], what[::-1]
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    if not len(where):
-        return out
-    cuts = np.flatnonzero(a.back[data])
-    piece = np.searchsorted(cuts, where)  # the piece ends at cuts[piece]
-    pieces, first = np.unique(piece, return_index=True)
-    bits = np.bitwise_or.reduceat(what, first)
-    rows = np.searchsorted(starts, cuts[pieces], side="right") - 1
-    for p, b, row in zip(pieces.tolist(), bits.tolist(), rows.tolist()):
-        begin, end = (cuts[p - 1] + 1 if p else 0), cuts[p]
-        text = data[begin:end].tobytes()
-        for k, rule in enumerate(rules):
-            if b >> k & 1:
-                for m in exact[k].finditer(text):
-                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        out[row].append((int(begin + m.start()), int(begin + m.end()), k))
-    for row in sorted(set(rows.tolist())):
-        end = starts[row + 1] if row + 1 < len(starts) else len(data)
-        points = np.cumsum((data[starts[row] : end] & 0xC0) != 0x80)
-        point = lambda x: int(points[x - starts[row] - 1]) if x > starts[row] else 0
-        out[row] = [{"kind": rules[k].kind, "start": point(s), "end": point(e)} for s, e, k in sorted(out[row], key=lambda x: (x[0], x[2]))]
+    rows = np.searchsorted(starts, where, side="right") - 1
+    own, first = np.unique(rows, return_index=True)
+    for row, at, bits in zip(own.tolist(), np.split(where, first[1:]), np.split(what, first[1:])):
+        begin, end = int(starts[row]), int(starts[row + 1]) if row + 1 < len(starts) else len(data)
+        at, text = at - begin, data[begin:end].tobytes()
+        found = [(s, k, e) for k in range(len(finder.rules)) for s, e in finder.matches(text, at[bits >> k & 1 == 1].tolist(), k)]
+        if found:
+            points = np.append(0, np.cumsum((data[begin:end] & 0xC0) != 0x80))
+            out[row] = [{"kind": finder.rules[k].kind, "start": int(points[s]), "end": int(points[e])} for s, k, e in sorted(found)]
     return out
 
 
 def with_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, at_once: int = 8 << 20) -> DataFrame:
     """`df` (text) with its columns and `secrets`, the spans by start, then rule; about `at_once` bytes are scanned together."""
-    a = compiled([r.seek for r in rules])
-    rest = [f for f in df.schema.fields if f.name != "secrets"]
-    at = [f.name for f in rest].index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", secrets {SPANS}"
+    finder = Finder(rules)
+    at = [f.name for f in df.schema.fields if f.name != "secrets"].index("text")
+    span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches):
-        exact = [re.compile(r.exact.encode()) for r in rules]
         for batch in batches:
             sizes = np.cumsum([0, *(x.as_buffer().size if x.is_valid else 0 for x in batch.column(at).cast(pa.large_binary()))])
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + at_once)) - 1)
                 some = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(_find(some.column(at), a, rules, exact), kind)], [*some.schema.names, "secrets"])
+                yield some, pa.array(_find(some.column(at), finder), kind)
                 i = j
 
-    return df.select(*[F.col(f"`{f.name}`") for f in rest]).mapInArrow(find, schema)
+    return with_column(df, find, "secrets", ArrayType(span))
 
 
 def listed(spans):

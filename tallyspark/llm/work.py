@@ -6,8 +6,10 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,21 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_column(df: DataFrame, make, name: str, kind: DataType) -> DataFrame:
+    """`df` and `name`, which replaces a column of that name: `make` gets batches and yields (batch, array of new values).
+
+    The columns go by number meanwhile, since Arrow functions cannot address every name that a column may have.
+    """
+    rest = [f for f in df.schema.fields if f.name != name]
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)), StructField("new", kind)])
+
+    def added(batches):
+        for batch, new in make(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "new"])
+
+    return df.select(*[quoted(f.name).alias(f"c{i}") for i, f in enumerate(rest)]).mapInArrow(added, schema).toDF(*[f.name for f in rest], name)
+
+
 def numbered(docs: DataFrame, name: str = "uid") -> DataFrame:
     """`docs` with a number for each row, written with it: counted anew, it would follow the file splits, which Spark sizes by
     the executors that are there at each reading."""
