@@ -2,18 +2,21 @@
 
 `statistics` counts words, symbols, repeated lines and repeated five-word windows of every whole text.  `outliers` takes
 a vector of four transformed statistics (logarithm of word length, logarithm of symbol share, roots of the shares of
-repeated lines and words) and estimates for every language and source the centre and scatter with the least determinant
-that three quarters of the rows can have: from medians and quartiles on, concentration steps refit mean and covariance
-to the rows nearest to the last fit.  A row is an outlier if its Mahalanobis distance is beyond the quantile `level` of
-its chi-squared distribution.  Rows never gather: a step is two aggregations with partial sums over one staged table of
-numbers, and the fits (one row a group) are joined back.
-
-Sources with fewer than `least_rows` rows share an estimate for their language, languages with fewer share one; a group
-that is still smaller keeps all its rows.  `FLOORS` are the least standard deviations, so that a statistic that is
-constant in most rows does not make every other value an outlier.
-
-Cases.  A null or empty text has no words and fails the base rule; null languages and sources are groups of their own;
-repeated rows are judged alike; an empty table gives no rows.
+repeated lines and words) and estimates, for every language and source, the centre and scatter of the `share` of the rows
+whose scatter has the least determinant.  Several deterministic starts (medians and quartiles; mean and covariance; the
+covariance of bounded scores) are followed by concentration steps, which refit to the rows nearest to the last fit,
+each until its determinant stops falling; the start that ends with the least determinant wins.  A row is an outlier if
+its Mahalanobis distance is beyond the quantile `level` of its chi-squared distribution.  Rows never gather: a step is
+two aggregations with partial sums over one staged table of numbers, and the fits (some rows a group) are joined back.
+
+The scatter is regularised alike at every size: it counts `PRIOR` rows of the scatter `FLOORS` besides its own, so that a
+group of few rows has an estimate near to these values and a large one its own.  `FLOORS` are the least standard
+deviations too: a statistic that is constant in most rows would make every other value an outlier.
+
+Cases.  A null or empty text has no words and fails the base rule; null languages and sources are groups of their own; a
+group of one row keeps it; repeated rows are judged alike; an empty table gives no rows.  Of `statistics` only the four
+named columns are read; `outliers` returns the columns that it gets, whatever their names, and `outlier`,
+which replaces one of that name.
 """
 
 from __future__ import annotations
@@ -26,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import small, staged, table
+from tallyspark.llm.work import dropped, quoted, small, staged, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SPACES = " \t\n\r\x0b\x0c"
 WINDOW = 5
 DIMENSIONS = 4
 FLOORS = (0.06, 0.4, 0.2, 0.15)
+PRIOR = 20
+#: A fall of the determinant's logarithm that is worth another step.
+FALL = 1e-3
 
 
 def counted(text: str) -> tuple[int, ...]:
@@ -88,67 +94,95 @@ def chi2_quantile(p: float, k: int) -> float:
     return a
 
 
-def distance():
-    """Squared Mahalanobis distance of x to centre under the inverse scatter, as one expression."""
-    d = [F.col("x")[i] - F.col("centre")[i] for i in range(DIMENSIONS)]
+def distance(x: str = "x"):
+    """Squared Mahalanobis distance of `x` to centre under the inverse scatter, as one expression."""
+    d = [F.col(x)[i] - F.col("centre")[i] for i in range(DIMENSIONS)]
     return sum((F.col("inverse")[i * DIMENSIONS + j] * d[i] * d[j] for i in range(DIMENSIONS) for j in range(DIMENSIONS)), F.lit(0.0))
 
 
-FIT = "grp string, centre array<double>, inverse array<double>"
+FIT = "grp string, start int, centre array<double>, inverse array<double>, logdet double"
 
 
-def _fits(moments: DataFrame, factor: float) -> DataFrame:
-    """Fits from each group's number of rows, their mean deviation from `centre` and mean products of deviations."""
+def scatter(products, mean, rows: float, factor: float) -> np.ndarray:
+    """The regularised scatter of `rows` rows from their mean products."""
+    cov = (np.array(products, float).reshape(DIMENSIONS, DIMENSIONS) - np.outer(mean, mean)) * factor
+    cov = (rows * cov + PRIOR * np.diag(np.square(FLOORS))) / (rows + PRIOR)
+    return cov + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
+
+
+def fits_of(moments: DataFrame, factor: float) -> DataFrame:
+    """Fits from a number of rows, their mean deviations from `centre`, and mean products of these, in units of `unit`."""
 
     def solve(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                mean = np.array(r.means, float)
-                cov = (np.array(r.products, float).reshape(DIMENSIONS, DIMENSIONS) - np.outer(mean, mean)) * factor
-                cov += np.diag(np.maximum(0, np.array(FLOORS) ** 2 - np.diag(cov)))
-                rows.append((r.grp, (np.array(r.centre, float) + mean).tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield type(pdf)(rows, columns=["grp", "centre", "inverse"])
+                mean, unit = np.array(r.means, float), np.array(r.unit, float)
+                products = np.array(r.products, float).reshape(DIMENSIONS, DIMENSIONS) * np.outer(unit, unit)
+                cov = scatter(products, mean * unit, r.n, factor)
+                rows.append((r.grp, r.start, (np.array(r.centre, float) + mean * unit * r.moved).tolist(), np.linalg.inv(cov).ravel().tolist(), np.linalg.slogdet(cov)[1]))
+            yield type(pdf)(rows, columns=["grp", "start", "centre", "inverse", "logdet"])
 
     return moments.mapInPandas(solve, FIT)
 
 
-def outliers(stats: DataFrame, share: float = 0.75, steps: int = 4, level: float = 0.9999, least_rows: int = 100) -> DataFrame:
-    """`stats` (staged, with COUNTS and `base_failed`) with `outlier`, false where `base_failed`."""
-    grp = lambda *parts: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p), F.lit("")) for p in parts])
-    good = stats.where(~F.col("base_failed"))
-    sizes = good.groupBy("lang", "source").count()
-    by_lang = sizes.groupBy("lang").agg(F.sum(F.when(F.col("count") < least_rows, F.col("count"))).alias("small"))
-    names = sizes.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang"))).select(
-        "s.lang",
-        "s.source",
-        F.when(F.col("count") >= least_rows, grp(F.col("s.lang"), F.col("s.source"))).when(F.col("small") >= least_rows, grp(F.col("s.lang"))).otherwise("*").alias("grp"),
-    )
-    names = small(staged(names, "groups"))
-    same = F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source"))
-    rows = staged(good.alias("d").join(names.alias("g"), same).select("grp", F.array(*vector()).alias("x")), "vectors")
-    middle = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)])
-    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)]
-    inverse = F.array(*[1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)])
-    fits = middle.where(F.col("n") >= min(20, least_rows)).select("grp", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("centre"), inverse.alias("inverse"))
-    fits = staged(fits, "fit")
+def moments(rows: DataFrame, values: list, centre, unit, start, moved: int, *keys: str) -> DataFrame:
+    """Means and mean products of `values` by `keys`; a fit's centre moves by the means if `moved`."""
+    return rows.groupBy(*keys).agg(
+        start.alias("start") if start is not None else F.lit(0).alias("_"),
+        F.count("*").alias("n"), centre.alias("centre"), unit.alias("unit"), F.lit(moved).alias("moved"), F.array(*[F.avg(a) for a in values]).alias("means"), F.array(*[F.avg(a * b) for a in values for b in values]).alias("products"),
+    )
+
+
+def estimates(rows: DataFrame, share: float = 0.75) -> DataFrame:
+    """grp, centre, inverse and logdet for every group of `rows` (grp, x; staged): the least determinant that the starts reach."""
+    units = F.array(*[F.lit(1.0)] * DIMENSIONS)
+    middle = rows.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)])
+    scale = F.array(*[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)])
+    middle = staged(middle.select("grp", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("middle"), scale.alias("scale")), "middle")
+    inverse = F.array(*[1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)])
+    quartiles = middle.select("grp", F.lit(0).alias("start"), F.col("middle").alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("logdet"))
+    about = rows.join(small(middle), "grp")
+    away = [F.col("x")[i] - F.col("middle")[i] for i in range(DIMENSIONS)]
+    whole = moments(about, away, F.first("middle"), units, F.lit(1), 1, "grp")
+    bounded = moments(about, [F.tanh(d / F.col("scale")[i]) for i, d in enumerate(away)], F.first("middle"), F.first("scale"), F.lit(2), 0, "grp")
+    active = staged(quartiles.unionByName(fits_of(whole.unionByName(bounded), 1.0).withColumn("logdet", F.lit(float("inf")))), "fit")
     near = chi2_quantile(share, DIMENSIONS)
     factor = share / chi2_cdf(near, DIMENSIONS + 2)  # makes the trimmed covariance consistent for normal rows
-    for _ in range(steps):
-        far = rows.join(small(fits), "grp").select("grp", "x", "centre", distance().alias("d2"))
-        cut = far.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
-        cut = small(staged(cut, "cut"))
-        away = [F.col("x")[i] - F.col("centre")[i] for i in range(DIMENSIONS)]
-        sums = far.join(cut, "grp").where("d2 <= cut").groupBy("grp").agg(
-            F.first("centre").alias("centre"),
-            F.array(*[F.avg(a) for a in away]).alias("means"),
-            F.array(*[F.avg(a * b) for a in away for b in away]).alias("products"),
-        )
-        fits = staged(_fits(sums, factor), "fit")
-    judged = stats.alias("d").join(names.alias("g"), same, "left").select("d.*", "grp").join(small(fits), "grp", "left")
-    beyond = judged.withColumn("x", F.array(*vector())).withColumn("d2", distance())
-    limit = chi2_quantile(level, DIMENSIONS)
-    return beyond.select(*stats.columns, F.coalesce(~F.col("base_failed") & (F.col("d2") > limit), F.lit(False)).alias("outlier"))
+    ended = [active.select("grp", "start", "centre", "inverse", "logdet").limit(0)]
+    while active.limit(1).count():
+        far = rows.join(small(active), "grp").select("grp", "start", "x", "centre", distance().alias("d2"))
+        cut = staged(far.groupBy("grp", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut")), "cut")
+        near = far.join(small(cut), ["grp", "start"]).where("d2 <= cut")
+        sums = moments(near, [F.col("x")[i] - F.col("centre")[i] for i in range(DIMENSIONS)], F.first("centre"), units, None, 1, "grp", "start").drop("_")
+        old = active.select("grp", "start", F.struct("centre", "inverse", "logdet").alias("old"))
+        stepped = staged(fits_of(sums, factor).join(old, ["grp", "start"]).withColumn("falls", F.col("logdet") < F.col("old.logdet") - FALL), "step")
+        ended.append(stepped.where("not falls").select("grp", "start", "old.*"))
+        dropped(active, cut)
+        active = stepped.where("falls").select("grp", "start", "centre", "inverse", "logdet")
+    every = ended[1] if len(ended) > 1 else ended[0]
+    for x in ended[2:]:
+        every = every.unionByName(x)
+    best = every.groupBy("grp").agg(F.min(F.struct("logdet", "start", "centre", "inverse")).alias("fit"))
+    return staged(best.select("grp", "fit.centre", "fit.inverse", "fit.logdet"), "fits")
+
+
+def group_of(lang, source):
+    """A name for each language and source; nulls have names of their own."""
+    part = lambda p: F.coalesce(F.concat(F.length(p).cast("string"), F.lit("="), p), F.lit("-"))
+    return F.concat(part(lang), part(source))
+
+
+def outliers(stats: DataFrame, share: float = 0.75, level: float = 0.9999) -> DataFrame:
+    """`stats` (staged, with lang, source, COUNTS and `base_failed`) with `outlier`, false where `base_failed`."""
+    grp = group_of(F.col("lang"), F.col("source"))
+    rows = staged(stats.where(~F.col("base_failed")).select(grp.alias("grp"), F.array(*vector()).alias("x")), "vectors")
+    fits = estimates(rows, share)
+    dropped(rows)
+    packed = stats.select(F.struct(*[quoted(c) for c in stats.columns if c.lower() != "outlier"]).alias("row"), grp.alias("grp"), F.array(*vector()).alias("x"), "base_failed")
+    beyond = distance() > chi2_quantile(level, DIMENSIONS)
+    judged = packed.join(small(fits), "grp", "left").select("row", F.coalesce(~F.col("base_failed") & beyond, F.lit(False)).alias("outlier"))
+    return judged.select("row.*", "outlier")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
