@@ -9,7 +9,8 @@ the exact check: all shingles of the window stand at their places.  Nothing but
 
 Cases.  A null or empty text has no words and no hits; a null item text has no window; null item_ids count as an item
 named by the empty string; repeated items share their windows and are listed each; repeated documents are judged one by
-one; an empty table on either side gives no hits.
+one; an empty table on either side gives no hits.  Other columns may have any names: rows travel packed, so that none of
+them is renamed, read or lost.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import lowered, row_key, small, staged, table
+from tallyspark.llm.work import lowered, quoted, row_key, small, staged, table
 
 WINDOW = 13
 SHINGLE = 5
@@ -116,9 +117,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns."""
     bad = staged(contamination(docs, items).where(contaminated()).select("_id", "_text", "_length").distinct(), "contaminated")
-    keyed = docs.select("*", *row_key())
+    keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), *row_key())
     same = [keyed[c].eqNullSafe(bad[c]) for c in ("_id", "_text", "_length")]
-    return keyed.join(small(bad), same[0] & same[1] & same[2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(small(bad), same[0] & same[1] & same[2], "left_anti").select("row.*")
 
 
 ORACLE = r"""

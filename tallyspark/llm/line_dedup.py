@@ -14,8 +14,9 @@ first copy, by doc_id and place, stays; overlapping deletions of a document join
 into itself keeps its first period.
 
 Cases.  A null text is empty; lines without words neither count nor part a run, and go if lines on both sides go with
-one run; a null doc_id comes first; repeated rows are copies like any other (the row read first stays); extra columns
-are kept; an empty table gives no rows.
+one run; a null doc_id comes first; repeated rows are copies like any other (the row read first stays); an empty table
+gives no rows.  Other columns may have any names: rows travel packed, so that none of them is renamed, read or lost; only
+`text` changes, and `n_chars` where there is one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import numbered, row_key, small, staged, table
+from tallyspark.llm.work import dropped, light, numbered, quoted, row_key, small, staged, table
 
 LEAST_WORDS = 50
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -47,7 +48,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Data
     read = read.select("uid", *KEY, F.size("lines").alias("n_lines"), F.filter("lines", lambda x: x["words"] > 0).alias("lines"))
     each = read.select("uid", *KEY, "n_lines", F.posexplode_outer("lines").alias("idx", "x"))
     each = staged(each.select("uid", *KEY, "n_lines", "idx", "x.pos", "x.words", F.xxhash64("x.line").alias("h1"), F.hash("x.line").alias("h2")), "lines")
-    all_docs = each.where("coalesce(idx, 0) = 0").select("uid", *KEY, "n_lines")
+    all_docs = staged(each.where("coalesce(idx, 0) = 0").select("uid", *KEY, "n_lines"), "rows")
 
     rest = each.where("idx is not null").select("uid", "_id", "idx", "pos", "words", "h1", "h2")
     first_ranks = staged(ranked(rest, "h1", "h2"), "ranks")
@@ -60,7 +61,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Data
     ranks = stretches.select("uid", F.explode("x").alias("x")).select("uid", "x.idx", "x.rank")
     windows = staged(_windows(stretches, least_words), "windows")
     longest = windows.agg(F.max("m")).first()[0] or 0
-    classes, p = None, 1
+    classes, p, levels = None, 1, []
     while p <= longest:
         a, b = ranks.select("uid", F.col("idx").alias("at"), F.col("rank").alias("a")), ranks.select("uid", F.col("idx").alias("to"), F.col("rank").alias("b"))
         some = windows.where((F.col("m") >= p) & (F.col("m") < 2 * p)).withColumn("to", F.col("at") + F.col("m") - p)
@@ -68,11 +69,14 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Data
         classes = some if classes is None else classes.unionByName(some)
         if 2 * p <= longest:
             pairs = a.withColumn("to", F.col("at") + p).join(b, ["uid", "to"]).select("uid", F.col("at").alias("idx"), "a", "b")
-            ranks = staged(pairs.join(staged(ranked(pairs, "a", "b"), "ranks"), ["a", "b"]).select("uid", "idx", "rank"), "level")
+            numbers = staged(ranked(pairs, "a", "b"), "ranks")
+            ranks = staged(pairs.join(numbers, ["a", "b"]).select("uid", "idx", "rank"), "level")
+            levels += [numbers, ranks]
         p *= 2
     if classes is None:
         classes = windows.select("uid", "_id", "at", "first", "last", "m", F.lit(0).alias("a"), F.lit(0).alias("b"))
     classes = staged(classes, "intervals")
+    dropped(each, first_ranks, stretches, windows, *levels)
     place = F.struct("_id", "uid", "at")
     firsts = classes.groupBy("m", "a", "b").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     firsts = small(staged(firsts, "firsts"))  # written, so that a hot interval can be split in the join
@@ -101,14 +105,14 @@ def _windows(stretches: DataFrame, least_words: int) -> DataFrame:
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """`docs` (with uid) and `deletions`, the array of (first, last) to delete, null if none."""
+    """`docs` (row, text, uid) and `deletions`, the array of (first, last) to delete, null if none."""
     listed = runs.groupBy("uid", *KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("deletions"))
-    listed = small(staged(listed, "deletions"))
-    keyed = docs.drop("deletions").select("*", *row_key())
+    listed = light(staged(listed, "deletions"), F.size("deletions"))
+    keyed = docs.select("row", "text", "uid", *row_key())
     same = keyed["uid"] == listed["uid"]
     for c in KEY:
         same = same & keyed[c].eqNullSafe(listed[c])
-    return keyed.join(listed, same, "left").select(*[keyed[c] for c in docs.columns if c != "deletions"], listed["deletions"])
+    return keyed.join(listed, same, "left").select(keyed["row"], keyed["text"], listed["deletions"])
 
 
 def remaining(text, runs):
@@ -120,22 +124,25 @@ def remaining(text, runs):
 def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with their columns, later copies of repeated runs deleted from `text` (and `n_chars` renewed); rows that lose all
     their words that way go."""
-    seen = numbered(docs.withColumnRenamed("uid", "_uid") if "uid" in docs.columns else docs)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select(F.struct(*[quoted(c) for c in rest]).alias("row"), "doc_id", "text", (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).alias("n_chars"))
+    seen = numbered(packed.select(F.struct("row", "n_chars").alias("row"), "doc_id", "text"))
     _, runs = repeated_runs(seen.select("doc_id", "text", "uid"), least_words)
-    left = with_runs(seen, runs).withColumn("_left", remaining(F.col("text"), F.col("deletions")))
-    left = left.where(F.col("deletions").isNull() | (words(F.col("_left")) > 0))
-    renewed = {"text": F.col("_left"), "n_chars": F.when(F.col("deletions").isNull(), F.col("n_chars")).otherwise(F.length("_left")) if "n_chars" in docs.columns else None}
-    return left.select(*[(renewed.get(c) if renewed.get(c) is not None else F.col("_uid" if c == "uid" else f"`{c}`")).alias(c) for c in docs.columns])
+    left = with_runs(seen, runs).withColumn("left", remaining(F.col("text"), F.col("deletions")))
+    left = left.where(F.col("deletions").isNull() | (words(F.col("left")) > 0))
+    n_chars = F.when(F.col("deletions").isNull(), F.col("row.n_chars")).otherwise(F.length("left"))
+    own = {"text": F.col("left"), "n_chars": n_chars}
+    return left.select(*[own[c].alias(c) if c in own else F.col("row.row")[c].alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its lines, the lines deleted, their runs (`first-last`, from 0) and the digest of what is left."""
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = numbered(table(spark, sf_dir, "documents").select(F.struct("doc_id").alias("row"), "doc_id", "text"))
     _, runs = repeated_runs(docs.select("doc_id", "text", "uid"))
     text = F.coalesce("text", F.lit(""))
     listed = F.array_join(F.transform("deletions", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
-    return with_runs(docs.select("doc_id", "text", "uid"), runs).select(
-        "doc_id",
+    return with_runs(docs, runs).select(
+        F.col("row.doc_id").alias("doc_id"),
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("deletions", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long").alias("n_deleted"),
         F.coalesce(listed, F.lit("")).alias("runs"),

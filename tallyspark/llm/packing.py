@@ -8,7 +8,8 @@ partition, are merged in the same way `fan_in` at a time until one is left, whic
 but leftovers leaves its partition, and a task holds `open_windows` (or `fan_in`) windows at most.
 
 Cases.  A null or empty text is its end id alone; null and repeated doc_ids are packed like any other; an empty table
-gives no rows; very long texts are cut into full windows.  `sequence_id` numbers are unique but not dense: the high bits
+gives no rows; very long texts are cut into full windows.  Columns beside doc_id and text are not read, so their names do not
+matter.  `sequence_id` numbers are unique but not dense: the high bits
 tell the task, so that a repeated task gives the same rows.
 """
 

@@ -11,7 +11,8 @@ Quotes are only looked for within their conversation; joins are on conversation
 side, so that neither long conversations nor common lines multiply rows.
 
 Cases.  A null text is empty; a message with a null conv_id or turn has no links; of messages that share conv_id and
-turn the least answer holds for both; a message of quotes only has an empty body; extra columns are kept.
+turn the least answer holds for both; a message of quotes only has an empty body; an empty
+table gives no rows.  Columns named like the six new ones are replaced; others keep their names and values, whatever they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.work import staged, table
+from tallyspark.llm.work import quoted, staged, table
 
 _MARKS = r"^((?:[ \t]*>)+)"
 _NAMED = r"(?i)(wrote|schrieb|a écrit|escribió) ?:\s*$"
@@ -46,9 +47,10 @@ def body(text):
 
 def linked(messages: DataFrame) -> DataFrame:
     """`messages` (conv_id, turn, text) with body, n_quotes and n_linked (passages), reply_to, depth and path (turns from the first)."""
-    new = ("body", "n_quotes", "n_linked", "reply_to", "depth", "path", "_uid")
+    new = ("body", "n_quotes", "n_linked", "reply_to", "depth", "path")
     rest = [c for c in messages.columns if c not in new]
-    kept = staged(messages.select(*[F.col(f"`{c}`") for c in rest], F.monotonically_increasing_id().alias("_uid")), "messages")
+    packed = F.struct(*[quoted(c) for c in rest]).alias("row")
+    kept = staged(messages.select(packed, "conv_id", "turn", "text", F.monotonically_increasing_id().alias("_uid")), "messages")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     each = kept.select("_uid", "conv_id", "turn", F.posexplode(F.transform(lines, lambda x: F.struct(level(x).alias("level"), normalised(x).alias("line")))).alias("pos", "x"))
     each = each.select("_uid", "conv_id", "turn", "pos", "x.level", F.xxhash64("x.line").alias("hash"), (F.length("x.line") > 0).alias("full"))
@@ -75,7 +77,7 @@ def linked(messages: DataFrame) -> DataFrame:
     out = found.join(tree.select("conv_id", "turn", "reply_to", "path"), ["conv_id", "turn"], "left")
     path = F.coalesce("path", F.array("turn"))
     return out.select(
-        *[F.col(f"`{c}`") for c in rest],
+        "row.*",
         body(F.col("text")).alias("body"),
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

@@ -7,6 +7,8 @@ kept in the index table beside the files, so a reader finds any document with tw
 
 Cases.  A null text is empty and still gets its end id; a null doc_id sorts first and is stored as the smallest 64-bit
 number; repeated doc_ids lie next to each other in the order of their texts' hashes; an empty table makes no parts.
+Columns beside doc_id and text are not read, so their names do not matter.  Parts hold `PART_BYTES` of text or less on
+average, however large the table is.
 A task writes under a name of its own and renames when it is done, so that a repeated or speculative task replaces a
 part with the same bytes.
 """
@@ -29,6 +31,7 @@ from tallyspark.llm.encoding import encoded, encoder
 from tallyspark.llm.work import fresh_path, table
 
 NULL_ID = -(1 << 63)
+PART_BYTES = 256 << 20
 INDEX_SCHEMA = "part int, docs long, tokens long, width int"
 
 
@@ -38,7 +41,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, split: s
     `end_id` closes each document; `split` is the kind of tokenizer (see `encoding.SPLITS`).
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
     ordered = ["doc_id", "tie"]
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     parts = rows.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered).select("doc_id", "text")
@@ -81,12 +84,13 @@ def _write_part(batches, path: str, tokenizer: str, end_id: int, split: str | No
     yield pa.RecordBatch.from_pylist([{"part": part, "docs": docs, "tokens": tokens, "width": dtype.itemsize}], pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
 
-def mapped(fs, name: str, dtype: str) -> np.ndarray:
-    """The file as an array: mapped where the file system is mounted, read otherwise."""
+def mapped(fs, name: str, dtype: str):
+    """A reader of entries `a` to `b` of the file: from a map where the file system is mounted, by ranges otherwise."""
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(name, dtype, "r")
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype)
+        array = np.memmap(name, dtype, "r")
+        return lambda a, b: array[a:b]
+    file, size = fs.open_input_file(name), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * size, a * size), dtype)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -95,22 +99,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     with fs.open_input_stream(f"{root}/index.json") as f:
         index = json.loads(f.read())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    rows = [(r["part"], r["base"], r["width"]) for r in index]
+    rows = [(r["part"], r["base"], r["width"], r["docs"]) for r in index]
     if not rows:
         return spark.createDataFrame([], schema)
-    files = spark.createDataFrame(rows, "part int, base long, width int").repartition(len(rows))
+    files = spark.createDataFrame(rows, "part int, base long, width int, docs long").repartition(len(rows))
     return files.mapInArrow(lambda batches: _read_parts(batches, path), schema)
 
 
-def _read_parts(batches, path: str, docs_at_once: int = 20_000):
+def _read_parts(batches, path: str, docs_at_once: int = 5_000):
     fs, root = pafs.FileSystem.from_uri(path)
     for row in (r for b in batches for r in b.to_pylist()):
         name = f"{root}/part-{row['part']:06d}"
         ids, off, doc = mapped(fs, f"{name}.ids", f"<u{row['width']}"), mapped(fs, f"{name}.off", "<i8"), mapped(fs, f"{name}.doc", "<i8")
-        for i in range(0, len(doc), docs_at_once):
-            some = np.array(doc[i : i + docs_at_once])
-            bounds = np.array(off[i : i + len(some) + 1])
-            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in range(0, row["docs"], docs_at_once):
+            end = min(i + docs_at_once, row["docs"])
+            some, bounds = np.array(doc(i, end)), np.array(off(i, end + 1))
+            crc = [zlib.crc32(ids(a, b).astype("<u4")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int64(), mask=some == NULL_ID), pa.array(bounds[:-1] + row["base"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -6,12 +6,16 @@ with the log-odds of their document frequencies in labelled rows as weights.  A
 words within an exception phrase do not count.  The score is the logistic function of the weights' sum, normalised by
 the text's length, and of the share of such words, fitted on the same labelled rows.
 
-Bounds.  The fit uses `sample` labelled rows at most (those with the smallest hashes of their doc_id), `terms` terms at
-most are kept; the automaton, sent to every task, is bounded by them.  Scores cover every row and its whole text.
+Bounds.  The fit uses `sample` labelled rows at most (those with the smallest hashes of their doc_id).  Candidate terms are
+those in `least_share` of the sample's toxic rows, so their number is bounded by the sample, not by the corpus; the
+`terms` heaviest are kept.  On the tables at hand 150 to 200 terms pass the weights' limit, so this bound does not bind.  The
+automaton, sent to every task, is bounded by them.  Scores cover every row and its whole text.
 
 Cases.  A null or empty text has no words and the score of a text without terms; without labelled rows of both kinds the
 score is the smoothed share of toxic labels; labels without doc_id or toxic mark, or for unknown documents, are not used;
-of contradicting labels the toxic one holds; repeated doc_ids are scored row by row.
+of contradicting labels the toxic one holds; repeated doc_ids are scored row by row; an empty table gives no rows, and
+without labels at all every score is one half.  `scored` replaces a column named `toxicity`; `without_toxic` packs its rows,
+so that no column is renamed, read or lost, whatever its name.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tallyspark.llm.work import staged, table
+from tallyspark.llm.work import quoted, staged, table, with_column
 
 PREFIX = range(4, 13)
 #: Look-alikes of Latin letters, fixed values.
@@ -128,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2
     def counted(toxic: bool, kept: set[str] | None, least: int) -> dict[str, int]:
         found = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(lambda b: _count(b, kept), "term string, n long")
         found = found.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return {r.term: r.n for r in found.orderBy(F.desc("n"), "term").limit(20 * terms).collect()}
+        return {r.term: r.n for r in found.collect()}  # terms of the bounded sample
 
     positive = counted(True, None, max(least, int(least_share * p)))
     negative = counted(False, set(positive), 1)
@@ -167,17 +172,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with its columns and `toxicity`, a double from 0 to 1."""
-    rest = [f for f in docs.schema.fields if f.name != "toxicity"]
-    at = [f.name for f in rest].index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", toxicity double"
+    at = [f.name for f in docs.schema.fields if f.name != "toxicity"].index("text")
 
     def score(batches):
         automaton = model.automaton()
         for batch in batches:
-            marks = pa.array(model.score(features(batch.column(at), automaton)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*batch.schema.names, "toxicity"])
+            yield batch, pa.array(model.score(features(batch.column(at), automaton)), pa.float64())
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest]).mapInArrow(score, schema)
+    return with_column(docs, score, "toxicity", DoubleType())
 
 
 def held_out(doc_id="doc_id"):
@@ -199,4 +201,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs` below the threshold, with their columns."""
-    return scored(docs, fit(docs, labels)).where(F.col("toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns if c != "toxicity"])
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), "text")
+    return scored(packed, fit(docs, labels)).where(F.col("toxicity") < threshold).select("row.*")

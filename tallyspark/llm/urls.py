@@ -11,7 +11,7 @@ the table of ratios that every task gets (4 bytes each, 11 MB), which is why it
 Cases.  A null URL, or one without `://`, has an empty host and path, matches no rule and scores 0; it is judged by the
 cut like any other.  A path that is empty starts with no rule's path.  Without URLs that a rule allows, or without any
 that a rule blocks, there is no ratio: every score and the cut are 0 and undecided URLs are allowed.  Repeated rows are
-counted and judged one by one.
+counted and judged one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tallyspark.llm.work import table
+from tallyspark.llm.work import table, with_column
 
 #: Symbol 0 stands before the URL, 1 for any character that is not listed; letters are folded.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
@@ -97,8 +98,8 @@ def scores(urls, ratios: np.ndarray | None) -> np.ndarray:
 
 
 def with_ratio(df: DataFrame, cells: int = 400) -> tuple[DataFrame, float]:
-    """`df` (url, verdict or null) with `score`, and the calibrated cut."""
-    spark = df.sparkSession
+    """`df` (url, verdict or null) with `score` (which replaces one of that name), and the calibrated cut."""
+    spark, df = df.sparkSession, df.drop("score")
     known = df.where("verdict is not null").select("url", (F.col("verdict") == "allow").alias("allowed"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("aside"))
     counted = known.where("not aside").select("url", "allowed").mapInArrow(_count, "gram long, allowed boolean, n long").groupBy("gram", "allowed").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # 2 * SYMBOLS ** ORDER rows at most
@@ -112,24 +113,22 @@ def with_ratio(df: DataFrame, cells: int = 400) -> tuple[DataFrame, float]:
         ratios = (both[0] - both[1]).astype(np.float32)
     shared = spark.sparkContext.broadcast(ratios)
 
-    def score(batches):
-        for batch in batches:
-            at = batch.schema.names.index("url")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at), shared.value))], [*batch.schema.names, "score"])
+    def scored(d: DataFrame) -> DataFrame:
+        at = d.columns.index("url")
+        return with_column(d, lambda batches: ((b, pa.array(scores(b.column(at), shared.value))) for b in batches), "score", DoubleType())
 
-    fields = lambda d: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + ", score double"
     cut = 0.0
     if ratios is not None:
         calibration = known.where("aside")
         cell = F.least(F.greatest(F.floor(F.col("score") * cells / 8), F.lit(-cells)), F.lit(cells))  # scores from -8 to 8
-        histogram = calibration.mapInArrow(score, fields(calibration)).groupBy(cell.alias("cell"), "allowed").count().toPandas()
+        histogram = scored(calibration).groupBy(cell.alias("cell"), "allowed").count().toPandas()
         if histogram["allowed"].nunique() == 2:
             h = histogram.pivot_table("count", "cell", "allowed", "sum", 0).sort_index()
             edges = np.append(h.index.to_numpy(float), h.index.max() + 1) * 8 / cells
             wrong = np.append(0, h[True].cumsum()) / h[True].sum() + 1 - np.append(0, h[False].cumsum()) / h[False].sum()
             best = edges[np.flatnonzero(wrong <= wrong.min() + 1e-12)]
             cut = float((best.min() + best.max()) / 2)
-    return df.mapInArrow(score, fields(df)), cut
+    return scored(df), cut
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """The training-data operators against brute force, round trips and planted cases, with nulls, ties and clashing columns."""
 
+import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,31 +63,96 @@ def test_packing_keeps_every_id_once(spark):
     assert filled.max() <= 2048 and filled.sum() / (2048 * len(filled)) > 0.9 and set(got.doc_id) == set(ids)
 
 
-def test_secrets_against_expressions(spark):
+#: The contract's expressions of the base kinds, group and least length; those of the method are the rules' own.
+EXACT = {
+    "assign": ("(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+}
+
+
+def spans_by_expressions(text):
+    raw, want = (text or "").encode(), []
+    for k, rule in enumerate(secrets.RULES):
+        exact, group, least = EXACT.get(rule.kind, (rule.whole, 0, rule.least))
+        for m in re.finditer(exact.encode(), raw):
+            if m.end(group) - m.start(group) >= least:
+                want.append((len(raw[: m.start()].decode()), k, rule.kind, len(raw[: m.end()].decode())))
+    return [(a, kind, b) for a, _, kind, b in sorted(want)]
+
+
+def test_secrets_against_expressions(spark, tmp_path):
     rnd = random.Random(3)
-    parts = ["password", "Secret", "token", "api_key", " ", ":", "=", '"', "AKIA", "ABCD1234", "abcdef0123456789", "é", "漢", "\n", "ghp_", "-----BEGIN ", "PRIVATE KEY-----", ",", "ſ"]
+    parts = ["password", "Secret", "token", "api_key", " ", ":", "=", '"', "AKIA", "ABCD1234", "abcdef0123456789", "é", "漢", "\n", "ghp_", "-----BEGIN ", "PRIVATE KEY-----", ",", "ſ", "eyJ", ".", "xoxb-", "AIza"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    rows = {r.doc_id: r.secrets for r in secrets.with_secrets(docs(spark, [(i, x, "clash") for i, x in enumerate([*texts, None])], "doc_id long, text string, secrets string")).collect()}
-    for i, text in enumerate([*texts, ""]):
-        want = []
-        for k, rule in enumerate(secrets.RULES):
-            raw = text.encode()
-            for m in re.finditer(rule.exact.encode(), raw):
-                if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    want.append((len(raw[: m.start()].decode()), k, rule.kind, len(raw[: m.end()].decode())))
-        assert [(s.start, s.kind, s.end) for s in rows[i]] == [(a, kind, b) for a, _, kind, b in sorted(want)]
-
-
-def test_quality_counts_and_outliers(spark):
-    assert quality.counted("a b c d e\na b c d e\n\n#") == (11, 11, 1, 1, 10, 3)
-    assert quality.counted("") == (0, 0, 0, 0, 0, 0)
+    texts += [None, "", "secret=token:abcdefgh", "token = 'ab' password: x=y==zzz", prose(rnd, 20_000) + " token=" + "a" * 30]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.with_secrets(docs(spark, rows)).collect()}
+    assert all(got[i] == spans_by_expressions(x) for i, x in rows)
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in secrets.op3_secrets(spark, str(tmp_path)).collect():
+        want = spans_by_expressions(texts[r.doc_id])
+        base = [f"{k}:{a}:{b}" for a, k, b in want if k in EXACT]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, kind, _ in want) for k in EXACT)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and r.spans == ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "a0", "token=", "-----BEGIN ", "AKIA", "x"])
+def test_secrets_of_a_text_of_one_megabyte(unit):
+    text, began = unit * (1_000_000 // len(unit)) + ".eyJx.y", time.time()
+    found = secrets._find(pa.array([text]), secrets.Finder())[0]
+    assert time.time() - began < 20 and len(found) <= 2  # time in proportion to the text
+
+
+def counted_plainly(text):
+    words = re.findall("[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_query_against_counts(spark, tmp_path):
+    rnd = random.Random(12)
+    lines = [prose(rnd, k) for k in (1, 3, 7)]
+    rows = [(i, "\n".join(rnd.choice([*lines, prose(rnd, 9), "#| x", ""]) for _ in range(rnd.randint(0, 9))), rnd.choice(["en", None]), rnd.choice(["a", "b"])) for i in range(150)]
+    rows += [(200, None, "en", "a"), (201, "", None, None), (None, "one", "de", "c"), (202, "é 漢 " * 30, "fr", "a")]
+    docs(spark, rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in quality.op4_quality(spark, str(tmp_path)).collect()}
+    for i, text, *_ in rows:
+        n = counted_plainly(text)
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == n
+        assert got[i].base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (got[i].base_failed and got[i].kept)
+
+
+def test_quality_outliers(spark):
     rnd = random.Random(2)
     rows = [(i, prose(rnd, 120), "en" if i % 2 else None, "s", 1) for i in range(400)] + [(900 + i, " ".join(w + "###" for w in prose(rnd, 120).split()), "en", "s", 1) for i in range(20)]
     stats = quality.statistics(docs(spark, rows, "doc_id long, text string, lang string, source string, outlier int")).withColumn("base_failed", F.col("n_words") < 10)
-    gone = {r.doc_id for r in quality.outliers(staged(stats, "s")).where("outlier").collect()}
+    gone = {r.doc_id for r in quality.outliers(staged(stats.withColumn("row", F.lit(1)).withColumn("outlier", F.lit(5)), "s")).where("outlier").collect()}
     assert gone == {900 + i for i in range(20)}
 
 
+def test_least_determinants_against_all_subsets(spark):
+    rng, rows = np.random.default_rng(4), []
+    for g in range(12):
+        x = rng.normal(0, 1, (12, 4)) @ rng.normal(0, 1, (4, 4))
+        x[: g % 4] += 20  # none to three strays
+        rows += [(f"g{g}", r.tolist()) for r in x]
+    rows += [("one", [0.0] * 4), ("two", [1.0] * 4), ("two", [2.0] * 4)]
+    fits = {r.grp: r for r in quality.estimates(staged(spark.createDataFrame(rows, "grp string, x array<double>"), "x")).collect()}
+    near = quality.chi2_quantile(0.75, 4)
+    factor = 0.75 / quality.chi2_cdf(near, 6)
+    best = 0
+    for g in range(12):
+        x = np.array([r for k, r in rows if k == f"g{g}"])
+        least = min(np.linalg.slogdet(quality.scatter((x[list(c)].T @ x[list(c)] / 9).ravel(), x[list(c)].mean(axis=0), 9, factor))[1] for c in itertools.combinations(range(12), 9))
+        assert least - 1e-9 <= fits[f"g{g}"].logdet <= least + 0.7
+        best += fits[f"g{g}"].logdet < least + 1e-6
+        assert np.abs(np.array(fits[f"g{g}"].centre)).max() < 8  # strays do not pull it
+    assert best >= 8 and {"one", "two"} <= set(fits)
+
+
 def test_url_rules_and_models(spark):
     rows = [(i, f"http://a{i % 7}.example.net/{'en' if i % 2 else 'fr'}/{i}", None) for i in range(200)]
     rows += [(900, None, None), (901, "nothing", None), (902, "HTTP://X.Org/fr/1?q#z", None), (903, "x://net", None), (904, "x://b.com/en/1", None)]
@@ -280,9 +349,54 @@ def test_quotations(spark):
     assert got[1, 4].reply_to is None and got[1, 4].n_quotes == 1 and got[2, 0].body == "" and got[1, 3].body == ""
 
 
+#: Names that operators use inside, or give to their results.
+NAMES = ["_uid", "uid", "_id", "_text", "_length", "deletions", "toxicity", "score", "body", "path", "row", "best", "left", "node", "outlier", "secrets", "verdict", "lang", "source", "a.b", "Text_", "n_chars"]
+
+
+def clashing(spark, texts):
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in NAMES)
+    return docs(spark, [(i, t, *range(100 * i, 100 * i + len(NAMES))) for i, t in enumerate(texts)], schema)
+
+
+@pytest.mark.parametrize("name", ["jaccard", "lines", "benchmark", "toxicity", "secrets"])
+def test_columns_of_any_name_stay(spark, name):
+    rnd = random.Random(7)
+    run = prose(rnd, 60)
+    texts = [prose(rnd, 80), prose(rnd, 50) + "\n" + run, run + "\n" + prose(rnd, 50), None, "", prose(rnd, 30)]
+    df = clashing(spark, texts)
+    items = spark.createDataFrame([("x", prose(rnd, 30))], "item_id string, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    out = {"jaccard": lambda: jaccard.one_of_each(df), "lines": lambda: line_dedup.deduplicated(df), "benchmark": lambda: decontamination.without_contaminated(df, items), "toxicity": lambda: toxicity.without_toxic(df, labels, 2.0), "secrets": lambda: secrets.with_secrets(df)}[name]()
+    changed = {"lines": ["n_chars"], "secrets": ["secrets"]}.get(name, [])
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert all(r[c] == 100 * r.doc_id + k for k, c in enumerate(NAMES) if c not in changed)
+        assert r.text == texts[r.doc_id] or (name == "lines" and r.doc_id == 2)
+
+
+def test_messages_and_pages_with_columns_of_any_name(spark):
+    m = docs(spark, [(1, 0, "Hi there all", 5, 6), (1, 1, "> Hi there all\nYes", 7, 8)], "conv_id long, turn long, text string, best long, origin long")
+    assert {(r.turn, r.reply_to, r.best, r.origin) for r in quotation.linked(m).collect()} == {(0, None, 5, 6), (1, 0, 7, 8)}
+    p = docs(spark, [("http://a.net/x", "block", "s", 1)], "url string, verdict string, score string, gram long")
+    scored, _ = urls.with_ratio(p)
+    assert scored.columns == ["url", "verdict", "gram", "score"] and scored.first().gram == 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id string, text string")
     assert packing.packed_documents(none).count() == 0
     assert line_dedup.deduplicated(none).count() == 0 and jaccard.one_of_each(none).count() == 0
-    assert decontamination.without_contaminated(none, spark.createDataFrame([], "item_id string, text string")).count() == 0
+    assert decontamination.without_contaminated(none, items).count() == 0
     assert quality.outliers(staged(quality.statistics(none).withColumn("base_failed", F.lit(False)), "s")).count() == 0
+    path = fresh_path(spark, "t")
+    tokens.write_tokens(none, path, public_tokenizers.path("word_bpe_49k.json"), 2, "words")
+    assert tokens.read_tokens(spark, path).count() == 0
+    assert urls.with_ratio(spark.createDataFrame([], "url string, verdict string"))[0].count() == 0
+    assert secrets.with_secrets(none).count() == 0 and toxicity.without_toxic(none, labels).count() == 0
+    assert quotation.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    some = docs(spark, [(1, "a b"), (2, None)])
+    assert decontamination.without_contaminated(some, items).count() == 2 and toxicity.without_toxic(some, labels).count() == 2
