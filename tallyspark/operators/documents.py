@@ -143,3 +143,61 @@ def line_items(lines: DataFrame) -> DataFrame:
     triples = F.flatten(F.flatten(F.transform("v", lambda q, i: F.transform("v", lambda p, j: F.transform(F.filter("v", lambda a, k: (i < j) & (j < k) & (F.abs(q * p - a) <= 0.011)), lambda a: F.struct(a.alias("amount"), q.alias("qty"), p.alias("price")))))))
     name = F.trim(F.regexp_extract("text", r"^([^\d]*)", 1))
     return df.select("doc_id", "line", name.alias("name"), F.array_max(triples).alias("t")).where("t is not null and length(name) >= 2").select("doc_id", "line", "name", "t.qty", "t.price", "t.amount")
+
+
+#: Points of a document's confidence, and what findings take from it, fixed values.
+POINTS = {"language": 10, "kind": 10, "total": 15, "date": 10, "party": 10, "words": 25, "items": 20, "sum": 15}
+SEVERITY = {"B00": 0, "B01": 40, "B02": 10, "B03": 40, "B04": 10, "B05": 10, "B06": 10, "B07": 40, "B08": 10}
+READY = 60
+
+
+def resolve(read: DataFrame) -> DataFrame:
+    """What speaks for and against each document as it was read: findings in order, confidence from 0 to 100, ready for the books or not.
+
+    `read`: doc_id, language, kind, date, party, net_kr, vat_kr, rate, total_kr, words_kr (the amount in words), items_kr (their
+    sum), n_items, n_read (items that are numbers), needs_party; null or empty where nothing was read.
+    B00 digits and words, or items and total, confirm each other; B01 no language; B02 no kind; B03 digits against words; B04
+    items against net (or total, if net or tax is missing); B05 net and tax against total; B06 tax against its rate by more than
+    100 kurus; B07 a field is missing that must be there; B08 items that are no numbers.  B01, B03 and B07 keep a document
+    from the books.
+    """
+    c = F.col
+    empty = lambda x: F.coalesce(c(x), F.lit("")) == ""
+    spoken = c("total_kr").isNotNull() & c("words_kr").isNotNull()
+    spoken_right = spoken & ((c("words_kr") == c("total_kr")) | (c("words_kr") == c("total_kr") - c("total_kr") % 100))
+    whole = c("net_kr").isNotNull() & c("vat_kr").isNotNull()
+    itemised = (c("n_read") > 0) & c("total_kr").isNotNull()
+    itemised_right = itemised & (c("items_kr") == F.when(whole, c("net_kr")).otherwise(c("total_kr")))
+    three = whole & c("total_kr").isNotNull()
+    expected = F.call_function("div", c("net_kr") * c("rate"), F.lit(100))
+    found = [
+        ("B01", empty("language")), ("B02", empty("kind")), ("B08", c("n_read") < c("n_items")), ("B00", spoken_right), ("B03", spoken & ~spoken_right), ("B00", itemised_right), ("B04", itemised & ~itemised_right),
+        ("B05", three & (c("net_kr") + c("vat_kr") != c("total_kr"))), ("B06", three & (c("rate") > 0) & (c("net_kr") > 0) & (F.abs(expected - c("vat_kr")) > 100)),
+        ("B07", c("date").isNull() | c("total_kr").isNull() | (c("needs_party") & empty("party") & ~empty("kind"))),
+    ]
+    points = {
+        "language": ~empty("language"), "kind": ~empty("kind"), "total": c("total_kr").isNotNull(), "date": c("date").isNotNull(), "party": ~empty("party"), "words": spoken_right, "items": itemised_right,
+        "sum": three & (c("net_kr") + c("vat_kr") == c("total_kr")),
+    }
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    score = sum((F.when(yes(x), POINTS[k]).otherwise(0) for k, x in points.items()), F.lit(0)) - sum((F.when(yes(x), SEVERITY[k]).otherwise(0) for k, x in found), F.lit(0))
+    codes = F.array_compact(F.array(*[F.when(yes(x), F.lit(k)) for k, x in found]))
+    held = F.arrays_overlap(codes, F.array(*[F.lit(k) for k, v in SEVERITY.items() if v == 40]))
+    confidence = F.greatest(F.least(score, F.lit(100)), F.lit(0))
+    return read.select("doc_id", F.array_join(codes, ",").alias("findings"), confidence.cast("int").alias("confidence"), (~held & (confidence >= READY)).alias("ready"))
+
+
+def corridors(words: DataFrame, factor: float = 1.2) -> DataFrame:
+    """Columns of each page (doc_id, page, corridor, x0, x1): runs of words that no gap of `factor` times the median height parts."""
+    height = words.groupBy("doc_id", "page").agg(F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("height"))
+    w = Window.partitionBy("doc_id", "page").orderBy("x0", "x1", "k")
+    reached = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = words.join(height, ["doc_id", "page"]).withColumn("new", F.coalesce((F.col("x0") - reached >= factor * F.col("height")).cast("int"), F.lit(0)))
+    return out.withColumn("corridor", F.sum("new").over(w)).groupBy("doc_id", "page", "corridor").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+
+
+def grid(words: DataFrame, lines: DataFrame, factor: float = 1.2) -> DataFrame:
+    """Cells (doc_id, page, line, corridor, text) of each page: `lines` are (doc_id, page, k, line), the line of each word."""
+    at = corridors(words, factor)
+    met = words.join(lines, ["doc_id", "page", "k"]).join(at.select("doc_id", "page", "corridor", F.col("x0").alias("from"), F.col("x1").alias("to")), ["doc_id", "page"]).where("x0 >= from and x1 <= to")
+    return met.groupBy("doc_id", "page", "line", "corridor").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "k", "text"))), lambda v: v["text"]), " ").alias("text"))
