@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-QUERIES = ["trial_balance", "general_ledger", "rollup_hierarchy", "income_statement", "monthly_comparison", "vat_return", "fifo_allocation", "unexpected_contra", "voucher_numbering", "worksheet"]
+QUERIES = ["trial_balance", "general_ledger", "rollup_hierarchy", "income_statement", "monthly_comparison", "vat_return", "fifo_allocation", "full_allocation", "instalment_match", "unexpected_contra", "voucher_numbering", "worksheet"]
 WARM = 3
 
 
@@ -38,7 +38,9 @@ def main() -> None:
             known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(round(time.time() - t, 3))
         cold[name], warm[name] = times[0], round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "sum of warm medians", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": warm, "cold": cold, "journal_rows": rows, "journal_build_sec": round(build, 2), "cores": int(cpus), "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    warm["full_allocation"] = cold["full_allocation"]  # later runs read what the first one wrote
+    warm["journal_build"] = round(build, 3)
+    print(json.dumps({"metric": "sum of warm medians, with the builds of journal and allocation", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": warm, "cold": cold, "journal_rows": rows, "journal_build_sec": round(build, 2), "cores": int(cpus), "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

@@ -23,7 +23,7 @@ def test_trial_balance(two_vouchers):
 
 
 def test_running_balance_and_contra(two_vouchers):
-    rows = ledger.general_ledger(two_vouchers).where("account = '100'").orderBy("date").collect()
+    rows = ledger.general_ledger(two_vouchers).join(ledger.contras(two_vouchers), ["voucher", "side"]).where("account = '100'").orderBy("date").collect()
     assert [(r.balance_kr, r.contra) for r in rows] == [(-1_200_000, "153, 191"), (600_000, "600, 391")]
 
 

@@ -9,7 +9,7 @@ import pytest
 from tallyspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["trial_balance_named", "general_ledger", "rollup_hierarchy", "voucher_validation", "monthly_comparison", "ratios", "vat_return", "fifo_allocation", "prechecks", "balance_chain", "contrary_nature", "worksheet", "loan_schedule", "equation_checks"]
+SOME = ["trial_balance_named", "general_ledger", "rollup_hierarchy", "voucher_validation", "monthly_comparison", "ratios", "vat_return", "fifo_allocation", "prechecks", "balance_chain", "contrary_nature", "worksheet", "loan_schedule", "loan_entries", "equation_checks", "ledger_contras", "name_similarity", "reversal_pairs", "statement_carry", "bank_book", "ledger_page", "invariants", "instalment_match", "provenance_edges", "document_checks", "line_items", "layout_grid"]
 
 
 def plain(df):
