@@ -47,31 +47,73 @@ def equations(values: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("doc_id", "equation", "sum_kr", "target_kr", F.when(F.col("got") < F.col("fields"), "open").when(holds, "holds").otherwise("fails").alias("status"))
 
 
-_UNITS = {"sifir": 0, "bir": 1, "iki": 2, "uc": 3, "dort": 4, "bes": 5, "alti": 6, "yedi": 7, "sekiz": 8, "dokuz": 9, "on": 10, "yirmi": 20, "otuz": 30, "kirk": 40, "elli": 50, "altmis": 60, "yetmis": 70, "seksen": 80, "doksan": 90}
-_SCALES = {"bin": 10**3, "milyon": 10**6, "milyar": 10**9}
-
-
-def words_to_number(text: str | None) -> int | None:
-    """Turkish number words (marks folded) to the number; null where a word is none."""
-    total = block = 0
-    seen = False
-    for w in (text or "").split():
-        if w == "yuz":
-            block = max(block, 1) * 100 if block < 10 else block + 100
-        elif w in _UNITS:
-            block += _UNITS[w]
-        elif w in _SCALES:
-            total, block = total + max(block, 1) * _SCALES[w], 0
-        else:
-            return None
-        seen = True
-    return total + block if seen else None
-
-
-def spelled(df: DataFrame) -> DataFrame:
+#: Number words without accents, fixed values: from 0 up, the tens from 20 (Turkish: all in one row with those), other forms,
+#: hundreds, scales, and words that stand among them and say nothing.
+NUMBER_WORDS = {
+    "tr": {
+        "ones": "sifir bir iki uc dort bes alti yedi sekiz dokuz on", "tens": "yirmi otuz kirk elli altmis yetmis seksen doksan", "also": {}, "hundreds": {"yuz": 100},
+        "scales": {"bin": 10**3, "milyon": 10**6, "milyar": 10**9}, "noise": "yalniz yaziyla tl turk lirasi lira kurus ve",
+    },
+    "en": {
+        "ones": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen", "tens": "twenty thirty forty fifty sixty seventy eighty ninety", "also": {}, "hundreds": {"hundred": 100},
+        "scales": {"thousand": 10**3, "million": 10**6, "billion": 10**9}, "noise": "and only say dollars dollar cents cent pounds euros",
+    },
+    "de": {
+        "ones": "null eins zwei drei vier funf sechs sieben acht neun zehn elf zwolf dreizehn vierzehn funfzehn sechzehn siebzehn achtzehn neunzehn", "tens": "zwanzig dreissig vierzig funfzig sechzig siebzig achtzig neunzig", "also": {"ein": 1}, "hundreds": {"hundert": 100},
+        "scales": {"tausend": 10**3, "million": 10**6, "millionen": 10**6, "milliarde": 10**9, "milliarden": 10**9}, "noise": "und euro cent in worten",
+    },
+    "fr": {
+        "ones": "zero un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize", "tens": "vingt trente quarante cinquante soixante", "also": {"une": 1, "vingts": 20}, "hundreds": {"cent": 100, "cents": 100},
+        "scales": {"mille": 10**3, "million": 10**6, "millions": 10**6, "milliard": 10**9, "milliards": 10**9}, "noise": "et euros euro centimes centime la somme de",
+    },
+    "ru": {
+        "ones": "ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать", "tens": "двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто",
+        "also": {"одна": 1, "одно": 1, "две": 2}, "hundreds": {"сто": 100, "двести": 200, "триста": 300, "четыреста": 400, "пятьсот": 500, "шестьсот": 600, "семьсот": 700, "восемьсот": 800, "девятьсот": 900},
+        "scales": {"тысяча": 10**3, "тысячи": 10**3, "тысяч": 10**3, "миллион": 10**6, "миллиона": 10**6, "миллионов": 10**6, "миллиард": 10**9, "миллиарда": 10**9, "миллиардов": 10**9}, "noise": "и рублей рубль рубля копеек копейки прописью",
+    },
+}
+
+
+def number_words(language: str) -> dict[str, tuple[int, int]]:
+    """Each word's value and kind: 0 adds, 1 is a hundred, 2 a scale, 3 says nothing."""
+    w = NUMBER_WORDS[language]
+    found = {x: (0, 3) for x in w["noise"].split()}
+    found |= {x: (i, 0) for i, x in enumerate(w["ones"].split())} | {x: (20 + 10 * i, 0) for i, x in enumerate(w["tens"].split())} | {x: (v, 0) for x, v in w["also"].items()}
+    return found | {x: (v, 1) for x, v in w["hundreds"].items()} | {x: (v, 2) for x, v in w["scales"].items()}
+
+
+def words_to_number(text: str | Column, language: str = "tr") -> Column:
+    """The whole number that `text` says; null where a word does not begin with a number word or one that says nothing.
+
+    A word is read from its beginning as the longest words that it is made of (`siebenundsiebzig`); an ending that is none is
+    an inflection.  Values add up; a hundred multiplies what stands before it, a scale closes the block; French
+    `quatre vingt` is 80.  Digits are skipped.
+    """
+    known = number_words(language)
+    pattern = r"\G(" + "|".join(sorted(known, key=lambda x: (-len(x), x))) + ")"
+    x = F.col(text) if isinstance(text, str) else text
+    plain = F.regexp_replace(F.translate(F.lower(x), "ё", "е"), r"[^\p{L}\p{N}]+", " ") if language == "ru" else simplify(F.translate(x, "İ", "i"))
+    words = F.filter(F.split(plain, " "), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    table = F.create_map(*[v for k, (n, kind) in known.items() for v in (F.lit(k), F.struct(F.lit(n).cast("bigint").alias("value"), F.lit(kind).alias("kind")))])
+    values = F.filter(F.transform(F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(pattern), 1))), lambda k: F.element_at(table, k)), lambda v: v["kind"] < 3)
+    zero = F.lit(0).cast("bigint")
+
+    def step(a, v):
+        n, block = v["value"], a["block"]
+        eighty = (F.lit(language) == "fr") & (n == 20) & (a["last"] == 4)
+        hundred = F.when(n >= 200, block + n).when(block == 0, n).otherwise(block * 100)
+        now = F.when(v["kind"] == 1, hundred).when(v["kind"] == 2, zero).when(eighty, block + 76).otherwise(block + n)
+        total = F.when(v["kind"] == 2, a["total"] + F.greatest(block, F.lit(1).cast("bigint")) * n).otherwise(a["total"])
+        return F.struct(total.alias("total"), now.alias("block"), n.alias("last"))
+
+    start = F.struct(zero.alias("total"), zero.alias("block"), zero.alias("last"))
+    said = F.aggregate(values, start, step, lambda a: a["total"] + a["block"])
+    return F.when((F.size(values) > 0) & F.forall(words, lambda w: w.rlike("^" + pattern[2:])), said)
+
+
+def spelled(df: DataFrame, language: str = "tr") -> DataFrame:
     """`df` (text) with `number`."""
-    udf = F.pandas_udf(lambda s: s.map(words_to_number).astype("Int64"), "long")
-    return df.withColumn("number", udf(simplify("text")))
+    return df.withColumn("number", words_to_number("text", language))
 
 
 #: Letters that scans confuse; a swap costs 0.4.

@@ -102,7 +102,47 @@ def _grid(s, d):
 
 _GRID_SQL = "SELECT l_orderkey AS doc_id, 1 AS page, CAST(l_linenumber AS BIGINT) AS line, c AS corridor, CASE c WHEN 0 THEN 'Kalem ' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS text FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL), (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS c)"
 
+def _below(language: str) -> list[str]:
+    """How a language says 0 to 999."""
+    w = documents.NUMBER_WORDS[language]
+    ones, tens, hundred = w["ones"].split(), ["", "", *w["tens"].split()], list(w["hundreds"])
+
+    def two(n: int) -> str:
+        if n < len(ones):
+            return ones[n]
+        if language == "fr" and n >= 60:
+            rest = n - (60 if n < 80 else 80)
+            return ("soixante" if n < 80 else "quatre-vingt") + (f" {two(rest)}" if rest else "")
+        if n < 20:
+            return f"{ones[10]} {ones[n - 10]}"
+        one = ones[n % 10] if n % 10 else ""
+        return f"{'ein' if n % 10 == 1 else one}und{tens[n // 10]}" if language == "de" and one else f"{tens[n // 10]} {one}".strip()
+
+    def three(n: int) -> str:
+        h = n // 100
+        front = "" if not h else hundred[h - 1] if language == "ru" else hundred[0] if h == 1 and language in ("tr", "fr") else f"{'ein' if language == 'de' and h == 1 else ones[h]} {hundred[0]}"
+        return f"{front} {two(n % 100) if n % 100 or not h else ''}".strip()
+
+    return [three(n) for n in range(1000)]
+
+
+def _spelled(s, d):
+    """Orders' keys in words of five languages, read back."""
+    out = None
+    for language, w in documents.NUMBER_WORDS.items():
+        said = F.array(*map(F.lit, _below(language)))
+        thousand, million = (next(k for k, v in w["scales"].items() if v == size) for size in (10**3, 10**6))
+        n = F.col("o_orderkey")
+        part = lambda k: (F.call_function("div", n, F.lit(k)) % 1000).cast("int")
+        block = lambda k, word: F.when(part(k) > 0, F.concat_ws(" ", F.get(said, part(k)), F.lit(word)))
+        text = F.concat_ws(" ", block(10**6, million), block(10**3, thousand), F.when((part(1) > 0) | (n == 0), F.get(said, part(1))))
+        one = documents.spelled(table(s, d, "orders").select("o_orderkey", text.alias("text")), language).select("o_orderkey", F.lit(language).alias("language"), "number")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "words_to_number_languages": (_spelled, "SELECT o_orderkey, language, o_orderkey AS number FROM orders, (SELECT unnest(['tr', 'en', 'de', 'fr', 'ru']) AS language)"),
     "instalment_match": (_matched, over("sale", _MATCH_SQL + " SELECT * FROM x")),
     "instalment_leftovers": (lambda s, d: tracing.unmatched(_movements(s, d), _matched(s, d)).select("ref", "amount_kr", "name", "date"), over("sale", _MATCH_SQL + " SELECT ref, amount_kr, name, date FROM m WHERE ref NOT IN (SELECT ref FROM x WHERE ref IS NOT NULL)")),
     "provenance_edges": (lambda s, d: tracing.provenance(_s(s, d), _r(s, d), _all(s, d), _vouchers(s, d)), over("receipt journal", _ALL + _EDGES_SQL)),

@@ -47,7 +47,19 @@ def test_names_and_amounts(spark):
     r = spark.sql("SELECT 'SAYIN Ali VELİ - FAST Anlık Ödeme' AS n, '1.234' AS a, '1 234,56' AS b, 'okunamadı' AS c")
     got = r.select(names.canonical("n"), names.parse_amount("a", ","), names.parse_amount("a", "."), names.parse_amount("b", ","), names.parse_amount("c", ",")).first()
     assert got[0] == "ALI VELI" and got[1] == 123_400 and got[2] is None and got[3] == 123_456 and got[4] is None
-    assert documents.words_to_number("yuz iki bin yuz yetmis yedi") == 102_177 and documents.words_to_number("x") is None
+
+
+@pytest.mark.parametrize(
+    "language, text, number",
+    [
+        ("tr", "yüz iki bin yüz yetmiş yedi", 102_177), ("tr", "YALNIZ ON BEŞ BİN TÜRK LİRASI", 15_000), ("tr", "bin", 1_000), ("tr", "dokuz yüz doksan dokuz", 999), ("tr", "x", None), ("tr", "", None), ("tr", "bir milyon iki yüz elli bin", 1_250_000),
+        ("en", "one hundred two thousand one hundred seventy-seven", 102_177), ("en", "Say: Fifteen Thousand Dollars Only", 15_000), ("en", "nineteen", 19), ("en", "two million three hundred forty-five thousand", 2_345_000),
+        ("de", "einhundertsiebenundsiebzig", 177), ("de", "zwölftausenddreihundertfünf", 12_305), ("de", "eine Million Euro", 1_000_000), ("fr", "quatre-vingt-dix-sept", 97), ("fr", "deux mille trois cents", 2_300), ("fr", "soixante et onze", 71),
+        ("fr", "quatre-vingts", 80), ("ru", "двести тысяч триста сорок один рубль", 200_341), ("ru", "одна тысяча", 1_000), ("ru", "пятьсот", 500),
+    ],
+)
+def test_number_words(spark, language, text, number):
+    assert spark.createDataFrame([(text,)], "t string").select(documents.words_to_number("t", language)).first()[0] == number
 
 
 def test_loan(spark):
