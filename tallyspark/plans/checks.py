@@ -62,7 +62,7 @@ _OPEN_SQL = "op AS (SELECT no, party, date, net_debt_kr AS open_kr FROM sale)"
 
 
 def _numbers(s, d):
-    return table(s, d, "events").select((F.col("event_id") % 5).alias("series"), F.call_function("div", F.col("event_id"), F.lit(5)).alias("number"), F.col("ts").cast("date").alias("date"))
+    return table(s, d, "events").select((F.col("event_id") % 5).alias("series"), (F.call_function("div", F.col("event_id"), F.lit(5)) + F.call_function("div", F.col("event_id"), F.lit(200))).alias("number"), F.date_sub(F.col("ts").cast("date"), F.when(F.col("event_id") % 50 == 0, 9).otherwise(0)).alias("date"))
 
 
 _RULES = [("600", "120"), ("391", "120"), ("621", "153"), ("610", "120")]
@@ -90,7 +90,7 @@ QUERIES = {
     "cut_off": (lambda s, d: audit.cut_off(_s(s, d), "1998-12-31"), over("sale", "SELECT no, party, CAST(date_diff('day', DATE '1998-12-31', date) AS INTEGER) AS offset_days, gross_kr, return_net_kr > 0 AS returned FROM sale WHERE abs(date_diff('day', DATE '1998-12-31', date)) <= 5")),
     "concentration": (lambda s, d: audit.concentration(_s(s, d), 1), over("sale", "WITH b AS (SELECT party, CAST(sum(net_kr) AS BIGINT) AS net_kr FROM sale WHERE valid GROUP BY party), t AS (SELECT sum(net_kr) AS total_kr FROM b) SELECT party, net_kr, round(1000.0::DOUBLE * net_kr / total_kr::DOUBLE, 6) AS per_mille FROM b, t WHERE 1000 * net_kr >= total_kr")),
     "chain_equality": (lambda s, d: audit.chain_equality(_j(s, d), ["621"], ["153"]), over("journal", "SELECT l AS left_kr, r AS right_kr, l - r AS difference_kr FROM (SELECT CAST(sum(CASE WHEN left(account, 3) = '621' THEN debit_kr ELSE 0 END) AS BIGINT) AS l, CAST(sum(CASE WHEN left(account, 3) = '153' THEN credit_kr ELSE 0 END) AS BIGINT) AS r FROM journal)")),
-    "sequence_gaps": (lambda s, d: audit.sequence_gaps(_numbers(s, d)), "WITH n AS (SELECT event_id % 5 AS series, event_id // 5 AS number, CAST(ts AS DATE) AS date FROM events), w AS (SELECT *, lag(number) OVER (PARTITION BY series ORDER BY number) AS before, lag(date) OVER (PARTITION BY series ORDER BY number) AS d FROM n) SELECT series, number, before, date < d AS back_dated FROM w WHERE number - before <> 1 OR date < d"),
+    "sequence_gaps": (lambda s, d: audit.sequence_gaps(_numbers(s, d)), "WITH n AS (SELECT event_id % 5 AS series, event_id // 5 + event_id // 200 AS number, CAST(ts AS DATE) - CASE WHEN event_id % 50 = 0 THEN 9 ELSE 0 END AS date FROM events), w AS (SELECT *, lag(number) OVER (PARTITION BY series ORDER BY number) AS before, lag(date) OVER (PARTITION BY series ORDER BY number) AS d FROM n) SELECT series, number, before, date < d AS back_dated FROM w WHERE number - before <> 1 OR date < d"),
     "cash_book": (lambda s, d: audit.cash_book(_r(s, d)), over("receipt", "SELECT id, date, amount_kr, CAST(25000000 + sum(amount_kr) OVER (ORDER BY date, id) AS BIGINT) AS balance_kr, amount_kr > 700000 AS over_limit FROM receipt WHERE instrument = 'NAKIT'")),
     "bank_book": (lambda s, d: audit.bank_book(view(s, d, "movements")), over("movement", "SELECT account, seq, date, direction, amount_kr, CAST(500000000 + sum(CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END) OVER (PARTITION BY account ORDER BY seq) AS BIGINT) AS running_kr FROM movement")),
     "invoice_search": (lambda s, d: audit.invoice_search(_s(s, d), text="12", low_kr=1_000_000, since="1997-01-01", state="KABUL", offset=10, limit=40), over("sale", "SELECT no, party, date, state, gross_kr, CAST(net_debt_kr AS BIGINT) AS net_debt_kr FROM sale WHERE CAST(no AS VARCHAR) LIKE '%12%' AND gross_kr >= 1000000 AND date >= DATE '1997-01-01' AND state = 'KABUL' ORDER BY gross_kr DESC, no LIMIT 40 OFFSET 10")),
