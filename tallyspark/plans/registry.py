@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans import books, checks, desk, money_flows, papers, valuation
+from tallyspark.plans import books, checks, desk, money_flows, papers, reading, valuation
 
-MODULES = (books, money_flows, checks, valuation, papers, desk)
+MODULES = (books, money_flows, checks, valuation, papers, desk, reading)
 
 
 def _iso(fn, columns):
