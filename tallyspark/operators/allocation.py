@@ -92,15 +92,25 @@ def receipt_status(receipts: DataFrame, allocated: DataFrame, decisions: DataFra
     return out.select("id", "party", F.col("open_kr").alias("amount_kr"), got.alias("allocated_kr"), (F.col("open_kr") - got).alias("remaining_kr"), status.alias("status"))
 
 
-def payment_legs(allocated: DataFrame, receipts: DataFrame) -> DataFrame:
-    """The account legs that pay each invoice: a debit for each instrument, one credit to the party, KARMA if instruments differ."""
-    account = F.when(F.col("instrument") == "BANKA", "102").when(F.col("instrument") == "NAKIT", "100").when(F.col("instrument") == "CEK", "101").when(F.col("instrument") == "SENET", "121").otherwise("120")
-    met = allocated.join(receipts.select("id", "instrument"), "id").withColumn("account", account)
-    legs = met.groupBy("no", "account").agg(total("amount_kr").alias("debit_kr"))
+def money_account(instrument: str | Column, sale: Column) -> Column:
+    """Where the money of an instrument is booked: cheques and notes received for sales, given for purchases; all else goes through the bank."""
+    i = F.col(instrument) if isinstance(instrument, str) else instrument
+    return F.when(i == "NAKIT", "100").when(i == "CEK", F.when(sale, "101").otherwise("103")).when(i == "SENET", F.when(sale, "121").otherwise("321")).otherwise("102")
+
+
+def payment_legs(allocated: DataFrame, money: DataFrame, direction: str = "SATIS") -> DataFrame:
+    """The account legs that pay each invoice of a direction: one for each instrument's account and one for the party, KARMA if instruments differ.
+
+    Sales debit the money's accounts and credit 120, purchases debit 320 and credit the money's accounts.
+    """
+    sale = direction == "SATIS"
+    met = allocated.join(money.select("id", "instrument"), "id").withColumn("account", money_account("instrument", F.lit(sale)))
+    legs = met.groupBy("no", "account").agg(total("amount_kr").alias("amount_kr"))
     kinds = met.groupBy("no").agg(F.when(F.countDistinct("instrument") > 1, "KARMA").otherwise(F.min("instrument")).alias("instrument"), total("amount_kr").alias("amount_kr"))
     zero = F.lit(0).cast("bigint")
-    debits = legs.join(kinds, "no").select("no", "instrument", "account", "debit_kr", zero.alias("credit_kr"))
-    return debits.unionByName(kinds.select("no", "instrument", F.lit("120").alias("account"), zero.alias("debit_kr"), F.col("amount_kr").alias("credit_kr")))
+    side = lambda df, account, debit: df.select(F.lit(direction).alias("direction"), "no", "instrument", account.alias("account"), (F.col("amount_kr") if debit else zero).alias("debit_kr"), (zero if debit else F.col("amount_kr")).alias("credit_kr"))
+    own = legs.join(kinds.select("no", "instrument"), "no")
+    return side(own, F.col("account"), sale).unionByName(side(kinds, F.lit("120" if sale else "320"), not sale))
 
 
 def sync(old: DataFrame, new: DataFrame) -> DataFrame:

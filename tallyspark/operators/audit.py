@@ -101,10 +101,10 @@ def chain_equality(journal: DataFrame, left: list[str], right: list[str]) -> Dat
 
 
 def sequence_gaps(numbers: DataFrame) -> DataFrame:
-    """`numbers` (series, number, date): numbers that do not follow the one before, or are dated earlier."""
-    w = Window.partitionBy("series").orderBy("number")
-    out = numbers.withColumn("before", F.lag("number").over(w)).withColumn("date_before", F.lag("date").over(w))
-    return out.where("number - before <> 1 or date < date_before").select("series", "number", "before", (F.col("date") < F.col("date_before")).alias("back_dated"))
+    """`numbers` (series, number, date): numbers that do not follow the one before, or are dated earlier; a series may hold all rows."""
+    last = {"last": (F.max, F.struct("number", "date"), -1)}
+    out = running(ranged(numbers, ["series"], ["number"]), ["series"], ["number"], last)
+    return out.where("number - last.number <> 1 or date < last.date").select("series", "number", F.col("last.number").alias("before"), (F.col("date") < F.col("last.date")).alias("back_dated"))
 
 
 def cash_book(receipts: DataFrame, opening_kr: int = 25_000_000, limit_kr: int = 700_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import accounts as A
 from tallyspark.functions.money import total
+from tallyspark.operators import allocation
 from tallyspark.operators.posting import numbered
 from tallyspark.operators.running import PART, ranged, running
 
@@ -78,34 +79,35 @@ def health(**findings: DataFrame) -> DataFrame:
     return counts.withColumn("sound", sum((F.col(c) for c in findings), F.lit(0)) == 0)
 
 
-def allocation_lines(allocated: DataFrame, receipts: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Two lines for each allocation: the instrument's account against the party's, by the direction of the invoice."""
-    own = F.when(F.col("instrument") == "BANKA", "102").when(F.col("instrument") == "NAKIT", "100").when(F.col("instrument") == "CEK", "101").when(F.col("instrument") == "SENET", "121").otherwise("159")
-    met = allocated.join(receipts.select("id", "instrument"), "id").join(invoices.select("no", "direction", "party"), "no")
-    sale = F.col("direction") == "SATIS"
-    party = F.concat(F.when(sale, "120.").otherwise("320."), F.col("party").cast("string"))
-    zero, amount = F.lit(0).cast("bigint"), F.col("amount_kr")
-    line = lambda n, account, debit: F.struct(F.lit(n).alias("line_no"), account.alias("account"), F.when(debit, amount).otherwise(zero).alias("debit_kr"), F.when(debit, zero).otherwise(amount).alias("credit_kr"))
-    return met.select("id", "no", F.inline(F.array(line(1, own, sale), line(2, party, ~sale))))
+def allocation_lines(allocated: DataFrame, money: DataFrame, direction: str = "SATIS") -> DataFrame:
+    """Two lines for each allocation: the money's account against 120 for sales; 320 against the money's account for purchases."""
+    sale = direction == "SATIS"
+    met = allocated.join(money.select("id", "instrument"), "id")
+    own, zero, amount = allocation.money_account("instrument", F.lit(sale)), F.lit(0).cast("bigint"), F.col("amount_kr")
+    first, second = (own, F.lit("120")) if sale else (F.lit("320"), own)
+    line = lambda n, account, debit: F.struct(F.lit(n).alias("line_no"), account.alias("account"), (amount if debit else zero).alias("debit_kr"), (zero if debit else amount).alias("credit_kr"))
+    return met.select(F.lit(direction).alias("direction"), "id", "no", F.inline(F.array(line(1, first, True), line(2, second, False))))
 
 
-def waiting(unallocated: DataFrame, days: int = 7) -> DataFrame:
-    """Money that no invoice has, by bank: receipts, sum, the oldest, and how many wait for more than `days` days."""
-    return unallocated.groupBy("bank").agg(F.count("*").alias("n"), total("remaining_kr").alias("open_kr"), F.max("age_days").alias("oldest_days"), F.count_if(F.col("age_days") > days).alias("reminders"))
+def waiting(unallocated: DataFrame, awaited: DataFrame, days: int = 7) -> DataFrame:
+    """Money that no invoice has, by bank: receipts, sum, the oldest, how many are marked as waiting for an invoice (`awaited`: id), and of these those of
+    more than `days` days, which call for a reminder."""
+    marked = unallocated.join(awaited.select("id").distinct().withColumn("awaited", F.lit(True)), "id", "left").withColumn("awaited", F.coalesce("awaited", F.lit(False)))
+    late = F.col("awaited") & (F.col("age_days") > days)
+    return marked.groupBy("bank").agg(F.count("*").alias("n"), total("remaining_kr").alias("open_kr"), F.max("age_days").alias("oldest_days"), F.count_if("awaited").alias("awaited"), F.count_if(late).alias("reminders"))
 
 
-def cash_transfers(receipts: DataFrame) -> DataFrame:
-    """What banks paid into the cash box: a month's cash receipts as one transfer on its first day."""
-    own = receipts.where("instrument = 'NAKIT'")
+def cash_transfers(money: DataFrame) -> DataFrame:
+    """What banks pay into the cash box: what leaves it in a month (cash of any direction but sales), as one transfer on the month's first day."""
+    own = money.where("instrument = 'NAKIT' and direction <> 'SATIS'")
     return own.groupBy(F.trunc("date", "month").alias("date")).agg(F.count("*").alias("n"), total("amount_kr").alias("amount_kr"))
 
 
 def asset_cards(assets: DataFrame, journal: DataFrame, prefix: str) -> DataFrame:
-    """`assets` (code, n, value_kr) by account with the ledger's balance under `prefix`, and the difference."""
-    booked = journal.where(A.under("account", prefix)).groupBy(A.ledger_code("account").alias("code")).agg(total(F.col("debit_kr") - F.col("credit_kr")).alias("booked_kr"))
-    out = assets.groupBy("code").agg(total("n").alias("n"), total("value_kr").alias("value_kr")).join(booked, "code", "full_outer")
-    have = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("code", have("n").alias("n"), have("value_kr").alias("value_kr"), have("booked_kr").alias("booked_kr"), (have("value_kr") - have("booked_kr")).alias("difference_kr"))
+    """`assets` (id, code, value_kr) under `prefix` (`*` for all), each with the ledger's balance of exactly its account."""
+    own = assets.where(A.under_any("code", prefix))
+    booked = journal.groupBy(F.col("account").alias("code")).agg(total(F.col("debit_kr") - F.col("credit_kr")).alias("booked_kr"))
+    return own.join(booked, "code", "left").select("id", "code", "value_kr", F.coalesce("booked_kr", F.lit(0)).alias("booked_kr"))
 
 
 def normal_code(code: str | Column) -> Column:

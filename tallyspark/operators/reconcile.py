@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,33 @@ def reversal_pairs(movements: DataFrame) -> DataFrame:
     return out.withColumn("reverses", F.when(other == "GIRIS", F.col("_in")).otherwise(F.col("_out"))).where("reverses is not null").select("account", "seq", "direction", "amount_kr", "reverses")
 
 
+#: Words of a movement's text that hint at a reversal, folded (fixed values).
+REVERSAL_HINTS = ["TERS ", "IPTAL", "IADE", "GERI DONE", "REVERSAL", "REFUND", "CHARGEBACK", "TERS:", "ISLEM IPTAL"]
+
+
+def reversals(movements: DataFrame, least: float = 0.5) -> DataFrame:
+    """`movements` (account, seq, direction, amount_kr, text, name) that reverse an earlier one, with the latest such as `reverses`.
+
+    The text must hint at it, and an earlier movement of the account must have the same amount, the other direction and a name that shares words
+    to `least` or more (or both have none).  Names meet once, through `name_links`; a hint then asks for each name like its own
+    for the last movement before it, which is a running maximum within (account, amount, direction, name).
+    """
+    none = "\0"
+    rows = movements.withColumn("name", F.coalesce(names.canonical("name"), F.lit(none)))
+    hint = F.exists(F.array(*map(F.lit, REVERSAL_HINTS)), lambda h: F.contains(names.fold("text"), h))
+    asked = rows.where(F.coalesce(hint, F.lit(False))).select("account", "amount_kr", "direction", "seq", "name")
+    known = rows.select("name").distinct()
+    links = name_links(known.where(F.col("name") != none), least)
+    like = links.select("name", "other").unionByName(links.select(F.col("other").alias("name"), F.col("name").alias("other"))).unionByName(known.where("name <> ''").select("name", F.col("name").alias("other")))
+    other = F.when(F.col("direction") == "GIRIS", "CIKIS").otherwise("GIRIS")
+    keys, order = ["account", "amount_kr", "way", "other"], ["seq", "side"]
+    asks = asked.join(like, "name").select("account", "amount_kr", other.alias("way"), "other", "seq", F.lit(1).alias("side"))
+    gives = rows.select("account", "amount_kr", F.col("direction").alias("way"), F.col("name").alias("other"), "seq", F.lit(0).alias("side"))
+    met = running(ranged(asks.unionByName(gives), keys, order), keys, order, {"last": (F.max, F.when(F.col("side") == 0, F.col("seq")), -1)})
+    found = met.where("side = 1 and last is not null").groupBy("account", "seq", F.when(F.col("way") == "GIRIS", "CIKIS").otherwise("GIRIS").alias("direction"), "amount_kr")
+    return found.agg(F.max("last").alias("reverses"))
+
+
 def islands(ours: DataFrame, theirs: DataFrame, keys: list[str], window: int) -> DataFrame:
     """Rows of both sides (mine, id, day, keys) with `island`: neighbours in time of a key no more than `window` days apart."""
     side = lambda df, mine: df.select(*keys, day_number("date").alias("day"), F.lit(mine).alias("mine"), "id")
@@ -51,33 +82,93 @@ def islands(ours: DataFrame, theirs: DataFrame, keys: list[str], window: int) ->
     return running(both, keys, order, {"island": (F.sum, F.coalesce("apart", F.lit(0)))}).drop(PART)
 
 
+class _Open:
+    """Counterparts of one group that are still open, by day; within a day the smallest id goes first."""
+
+    def __init__(self):
+        self.days: list[int] = []  # ascending
+        self.ids: dict[int, deque] = {}
+
+    def add(self, day: int, number: int) -> None:
+        if day not in self.ids:
+            self.days.append(day)
+            self.ids[day] = deque()
+        self.ids[day].append(number)
+
+    def nearest(self, day: int, window: float) -> int | None:
+        """The id of the nearest, taken out; those too far back for this and any later day are forgotten."""
+        gone = bisect_left(self.days, day - window)
+        for d in self.days[:gone]:
+            del self.ids[d]
+        del self.days[:gone]
+        k = bisect_left(self.days, day)
+        near = [(abs(d - day), self.ids[d][0], d) for d in self.days[max(k - 1, 0) : k + 1] if abs(d - day) <= window]
+        if not near:
+            return None
+        _, number, d = min(near)
+        self.ids[d].popleft()
+        if not self.ids[d]:
+            del self.ids[d]
+            del self.days[bisect_left(self.days, d)]
+        return number
+
+
+def _pairs(window: int | None):
+    """Of rows (name, amount_kr, island, day, mine, id) in order: pairs.  Ours wait until all counterparts within the window have come."""
+    far = float("inf") if window is None else window
+
+    def made(batches):
+        key, out = None, []
+        waiting, open_ = deque(), _Open()
+
+        def settle(upto: float) -> None:
+            while waiting and waiting[0][0] < upto:
+                day, number = waiting.popleft()
+                their = open_.nearest(day, far)
+                if their is not None:
+                    out.append((key[0], key[1], number, their))
+
+        for batch in batches:
+            for *group, day, mine, number in zip(*[c.to_pylist() for c in batch.columns]):
+                if group != key:
+                    settle(float("inf"))
+                    key, open_ = group, _Open()
+                settle(day - far)
+                if mine:
+                    waiting.append((day, number))
+                else:
+                    open_.add(day, number)
+            yield _batch(out)
+            out.clear()
+        settle(float("inf"))
+        yield _batch(out)
+
+    def _batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(4)], ["name", "amount_kr", "id", "their_id"])
+
+    return made
+
+
 def reconcile(ours: DataFrame, theirs: DataFrame, window: int | None = None) -> DataFrame:
-    """Pairs (id, their_id) of one name and exact amount: ours, by date and id, each take the nearest counterpart that is left.
+    """Pairs (id, their_id) of one name and exact amount: ours, by date and id, each take the nearest counterpart that is left; ties go to the smaller id.
 
-    A fold inside the group of a name and an amount, cut where no two dates are within the window of each other, since nothing
-    can match across such a gap; ties go to the smaller id.
+    A name and an amount are a group, cut where no two dates are within the window of each other, since nothing can match across such a
+    gap.  A group is read in order of time and never gathered: what a task holds are the rows within two windows of the day it is
+    at, so a group may have any share of all rows.  Without a window, its counterparts all stay open and are held.  No name is a name too.
     """
+    plain = lambda df: df.withColumn("name", F.coalesce("name", F.lit("")))
     keys = ["name", "amount_kr"]
-    rows = written(islands(ours, theirs, keys, window if window is not None else 1 << 30), "islands")
-    keys += ["island"]
-    item = F.struct("day", "id")
-    a = rows.where("mine").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("ours"))
-    b = rows.where("not mine").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("theirs"))
-    start = F.struct(F.col("theirs").alias("left"), F.expr("cast(array() as array<struct<id:bigint,their_id:bigint>>)").alias("pairs"))
-
-    def take(acc, x):
-        near = F.array_min(F.transform(acc["left"], lambda y: F.struct(F.abs(y["day"] - x["day"]).alias("far"), y["id"].alias("id"), y["day"].alias("day"))))
-        fits = near.isNotNull() if window is None else near.isNotNull() & (near["far"] <= window)
-        rest = F.filter(acc["left"], lambda y: y["id"] != near["id"])
-        return F.when(fits, F.struct(rest.alias("left"), F.concat(acc["pairs"], F.array(F.struct(x["id"].alias("id"), near["id"].alias("their_id")))).alias("pairs"))).otherwise(acc)
-
-    return a.join(b, keys).select("name", "amount_kr", F.explode(F.aggregate("ours", start, take)["pairs"]).alias("p")).select("name", "amount_kr", "p.id", "p.their_id")
+    rows = islands(plain(ours), plain(theirs), keys, window if window is not None else 1 << 30).withColumn("day", F.col("day").cast("long"))
+    order = [*keys, "island", "day", "id"]
+    sides = rows.select(*keys, F.col("island").cast("long").alias("island"), "day", "mine", F.col("id").cast("long").alias("id"))
+    return sides.repartition(*keys, "island").sortWithinPartitions(*order).mapInArrow(_pairs(window), "name string, amount_kr long, id long, their_id long")
 
 
 def leftovers(ours: DataFrame, pairs: DataFrame, theirs: DataFrame) -> DataFrame:
     """Ours without a pair: GrupIciEksik if the other side knows the name, IsimYok if not."""
-    known = theirs.select("name").distinct().withColumn("known", F.lit(True))
-    rest = ours.join(pairs.select("id"), "id", "left_anti").join(known, "name", "left")
+    plain = lambda df: df.withColumn("name", F.coalesce("name", F.lit("")))
+    known = plain(theirs).select("name").distinct().withColumn("known", F.lit(True))
+    rest = plain(ours).join(pairs.select("id"), "id", "left_anti").join(known, "name", "left")
     return rest.select("id", "name", "amount_kr", F.when(F.col("known"), "GrupIciEksik").otherwise("IsimYok").alias("category"))
 
 

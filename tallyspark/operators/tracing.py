@@ -63,8 +63,11 @@ def provenance(invoices: DataFrame, receipts: DataFrame, allocated: DataFrame, v
 
 
 def provenance_confidence(invoices: DataFrame, allocated: DataFrame) -> DataFrame:
-    """How far an invoice's chain reaches: TAM (100) if all of its debt is traced to money, KISMI (60) if some, YOK (0)."""
+    """How far an invoice's chain reaches: TAM (100) if nothing of it is open, KISMI (60) if some of its debt is traced to money, else ESLESMEYEN (30).
+
+    An invoice without debt has nothing open.
+    """
     paid = allocated.groupBy("no").agg(total("amount_kr").alias("paid_kr"))
-    out = invoices.where("net_debt_kr > 0").join(paid, "no", "left").withColumn("paid_kr", F.coalesce("paid_kr", F.lit(0)))
-    level = F.when(F.col("paid_kr") >= F.col("net_debt_kr"), "TAM").when(F.col("paid_kr") > 0, "KISMI").otherwise("YOK")
-    return out.select("no", "net_debt_kr", "paid_kr", level.alias("level"), F.when(level == "TAM", 100).when(level == "KISMI", 60).otherwise(0).alias("confidence"))
+    out = invoices.join(paid, "no", "left").withColumn("paid_kr", F.coalesce("paid_kr", F.lit(0)))
+    level = F.when(F.col("paid_kr") >= F.col("net_debt_kr"), "TAM").when(F.col("paid_kr") > 0, "KISMI").otherwise("ESLESMEYEN")
+    return out.select("no", "net_debt_kr", "paid_kr", level.alias("level"), F.when(level == "TAM", 100).when(level == "KISMI", 60).otherwise(30).alias("confidence"))

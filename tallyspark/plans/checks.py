@@ -38,6 +38,18 @@ def _theirs(s, d):
     return _ours(s, d).where("id % 4 <> 0").select((F.col("id") * 2 + 1).alias("id"), "name", "amount_kr", F.date_add("date", (F.col("id") % 9).cast("int")).alias("date"))
 
 
+def _reconciled(s, d):
+    return view(s, d, "reconciled", lambda s, d: reconcile.reconcile(_ours(s, d), _theirs(s, d), 31))
+
+
+def _texts(s, d):
+    """Movements with names and notes; some names have none, some notes hint at a reversal."""
+    u = F.col("user")
+    name = F.when(u % 11 != 0, F.concat(F.lit("Sayın Firma "), F.chr(65 + u % 5), F.lit(" Grup "), (u % 3).cast("string")))
+    text = F.when(F.col("seq") % 4 == 0, "Havale iadesi").when(F.col("seq") % 4 == 1, "Payment REFUND").when(F.col("seq") % 4 == 2, "ödeme")
+    return view(s, d, "movements").select("account", "seq", "direction", (F.col("amount_kr") % 300).alias("amount_kr"), text.alias("text"), name.alias("name"))
+
+
 def _statements(s, d):
     m = view(s, d, "movements").withColumn("period", F.trunc("date", "week"))
     by = m.groupBy("account", "period").agg(F.min_by(F.col("balance_kr") - reconcile.signed(), "seq").alias("opening_kr"), F.max_by("balance_kr", "seq").alias("closing_kr"))
@@ -57,6 +69,13 @@ def _documents(s, d):
 
 
 _DAY = lambda x: f"(year({x}) * 372 + month({x}) * 31 + day({x}))"
+#: Step by step, the i-th of ours in every group takes the nearest of what is left.
+_GREEDY_SQL = f"""our AS (SELECT id, bank AS name, amount_kr % 997 AS amount_kr, date FROM receipt), their AS (SELECT id * 2 + 1 AS id, name, amount_kr, date + CAST(id % 9 AS INTEGER) AS date FROM our WHERE id % 4 <> 0),
+g AS (SELECT * FROM (SELECT name, amount_kr, list({{'day': {_DAY("date")}, 'id': id}} ORDER BY {_DAY("date")}, id) AS ours FROM our GROUP BY ALL) JOIN (SELECT name, amount_kr, list({{'day': {_DAY("date")}, 'id': id}}) AS theirs FROM their GROUP BY ALL) USING (name, amount_kr)),
+p AS (SELECT name, amount_kr, ours, 0 AS i, theirs AS rest, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS their_id FROM g
+  UNION ALL SELECT name, amount_kr, ours, i + 1, list_filter(rest, lambda y: y.id IS DISTINCT FROM near.id), ours[i + 1].id, near.id FROM (SELECT *, list_sort(list_transform(list_filter(rest, lambda y: abs(y.day - ours[i + 1].day) <= 31), lambda y: {{'far': abs(y.day - ours[i + 1].day), 'id': y.id}}))[1] AS near FROM p WHERE i < len(ours)))"""
+_REVERSAL_SQL = """m AS (SELECT account, seq, direction, amount_kr % 300 AS amount_kr, seq % 4 IN (0, 1) AS hint, CASE WHEN "user" % 11 <> 0 THEN ['FIRMA', chr(CAST(65 + "user" % 5 AS INTEGER)), 'GRUP', CAST("user" % 3 AS VARCHAR)] END AS w FROM movement)
+SELECT a.account, a.seq, a.direction, a.amount_kr, max(b.seq) AS reverses FROM m a JOIN m b ON a.account = b.account AND a.amount_kr = b.amount_kr AND a.direction <> b.direction AND b.seq < a.seq AND a.hint AND ((a.w IS NULL AND b.w IS NULL) OR len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w)))) GROUP BY ALL"""
 TYPES = [("KIRA", "CIKIS", ["VIEW"]), ("SATIS", "GIRIS", ["PURCHASE", "SHOP"]), ("IADE", "CIKIS", ["REFUND", "CLICK"])]
 _OPEN_SQL = "op AS (SELECT no, party, date, net_debt_kr AS open_kr FROM sale)"
 
@@ -71,8 +90,9 @@ QUERIES = {
     "canonical_names": (_named, f"WITH {_NAMED_SQL} SELECT * FROM named"),
     "name_similarity": (_pairs, f"WITH {_NAMED_SQL}, w AS (SELECT id, name, list_distinct(string_split(name, ' ')) AS w FROM named WHERE id % 100 = 0), v AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) AS v FROM named), p AS (SELECT id, v.name AS other, len(list_intersect(w, v)) AS i, len(w) + len(v) AS n FROM w, v) SELECT id, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE i > 0 AND round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
     "name_links": (lambda s, d: reconcile.name_links(_named(s, d), 0.75), f"WITH {_NAMED_SQL}, w AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM (SELECT DISTINCT name FROM named)), p AS (SELECT a.name, b.name AS other, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.name < b.name) SELECT name, other, round(1.0::DOUBLE * i / (n - i), 6) AS score FROM p WHERE round(1.0::DOUBLE * i / (n - i), 6) >= 0.75"),
-    "reconcile_greedy": (lambda s, d: reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), None),
-    "reconcile_leftovers": (lambda s, d: reconcile.leftovers(_ours(s, d), reconcile.reconcile(_ours(s, d), _theirs(s, d), 31), _theirs(s, d)), None),
+    "reconcile_greedy": (_reconciled, over("receipt", f"WITH {_GREEDY_SQL} SELECT name, amount_kr, id, their_id FROM p WHERE their_id IS NOT NULL")),
+    "reconcile_leftovers": (lambda s, d: reconcile.leftovers(_ours(s, d), _reconciled(s, d), _theirs(s, d)), over("receipt", f"WITH {_GREEDY_SQL} SELECT id, name, amount_kr, CASE WHEN name IN (SELECT name FROM their) THEN 'GrupIciEksik' ELSE 'IsimYok' END AS category FROM our WHERE id NOT IN (SELECT id FROM p WHERE their_id IS NOT NULL)")),
+    "reversals": (lambda s, d: reconcile.reversals(_texts(s, d)), over("movement", f"WITH {_REVERSAL_SQL}")),
     "balance_chain": (lambda s, d: reconcile.balance_chain(view(s, d, "movements")), over("movement", "SELECT * FROM (SELECT account, seq, CAST(coalesce(lag(balance_kr) OVER (PARTITION BY account ORDER BY seq), 0) + CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END AS BIGINT) AS expected_kr, balance_kr FROM movement) WHERE expected_kr <> balance_kr")),
     "statement_carry": (lambda s, d: reconcile.statement_carry(_statements(s, d)), over("movement", "WITH m AS (SELECT *, CAST(date_trunc('week', date) AS DATE) AS period FROM movement), b AS (SELECT account, period, arg_min(balance_kr - CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END, seq) + CASE WHEN account % 4 = 3 THEN 5 ELSE 0 END AS opening_kr, arg_max(balance_kr, seq) AS closing_kr FROM m GROUP BY account, period) SELECT * FROM (SELECT *, lag(closing_kr) OVER (PARTITION BY account ORDER BY period) AS carried_kr FROM b) WHERE carried_kr <> opening_kr")),
     "reversal_pairs": (lambda s, d: reconcile.reversal_pairs(view(s, d, "movements").withColumn("amount_kr", F.col("amount_kr") % 500)), over("movement", "WITH m AS (SELECT account, seq, direction, amount_kr % 500 AS amount_kr FROM movement), w AS (SELECT *, max(CASE WHEN direction = 'GIRIS' THEN seq END) OVER w AS i, max(CASE WHEN direction = 'CIKIS' THEN seq END) OVER w AS o FROM m WINDOW w AS (PARTITION BY account, amount_kr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT account, seq, direction, amount_kr, CASE WHEN direction = 'GIRIS' THEN o ELSE i END AS reverses FROM w WHERE CASE WHEN direction = 'GIRIS' THEN o ELSE i END IS NOT NULL")),
@@ -97,5 +117,4 @@ QUERIES = {
     "invoice_tabs": (lambda s, d: audit.invoice_tabs(_s(s, d)), over("sale", "SELECT state, count(*) AS n, CAST(sum(gross_kr) AS BIGINT) AS gross_kr, CAST(sum(net_debt_kr) AS BIGINT) AS net_debt_kr FROM sale GROUP BY state")),
     "party_summary": (lambda s, d: audit.party_summary(_s(s, d), _all(s, d)), over("receipt", _ALL + ", p AS (SELECT no, sum(amount_kr) AS paid FROM alloc GROUP BY no) SELECT party, count(*) AS n, CAST(sum(net_debt_kr) AS BIGINT) AS debt_kr, CAST(coalesce(sum(paid), 0) AS BIGINT) AS paid_kr, CAST(sum(net_debt_kr) - coalesce(sum(paid), 0) AS BIGINT) AS open_kr FROM sale LEFT JOIN p ON p.no = sale.no WHERE valid GROUP BY party")),
 }
-QUERIES |= {f"{k}_all": QUERIES[k] for k in ("bank_suggestions", "document_suggestions")}
 DATES = {"statement_carry": ["period"], "monthly_deviation": ["month"], "cash_book": ["date"], "bank_book": ["date"], "invoice_search": ["date"]}

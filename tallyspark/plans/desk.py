@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import kurus
-from tallyspark.operators import allocation, audit, desk, ledger, posting
+from tallyspark.operators import allocation, audit, desk, ledger, lifecycle, posting
 from tallyspark.plans.books import _DRAFT_SQL, CHART_SQL, NATURE, _draft
-from tallyspark.plans.money_flows import _ALL, _STATUS, _all, _checked, _CORRUPT_SQL, _money, _status
+from tallyspark.plans.money_flows import _ALL, _MONEY_SQL, _PAID, _STATUS, _all, _checked, _CORRUPT_SQL, _money, _paid, _status
 from tallyspark.sources.model import chart, over, table, view
 
 _j = lambda s, d: view(s, d, "journal")
 _s = lambda s, d: view(s, d, "sales")
 _r = lambda s, d: view(s, d, "receipts")
+_p = lambda s, d: view(s, d, "payments")
 
 
 def _final(s, d):
@@ -56,7 +57,7 @@ def _open(s, d):
 
 def _assets(s, d):
     p = table(s, d, "part")
-    return p.select(F.when(F.col("p_partkey") % 10 == 0, "252").otherwise("153").alias("code"), F.lit(1).cast("bigint").alias("n"), kurus("p_retailprice").alias("value_kr"))
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, "252").when(F.col("p_partkey") % 10 == 1, "158").otherwise("153").alias("code"), kurus("p_retailprice").alias("value_kr"))
 
 
 def _codes(s, d):
@@ -78,7 +79,22 @@ def _numbers(s, d):
     return table(s, d, "events").select((F.col("event_id") % 3).alias("series"), F.col("event_id").alias("number"), F.date_add(F.col("ts").cast("date"), -F.when(F.col("event_id") % 50 == 0, 9).otherwise(0)).alias("date"))
 
 
+def _lifecycle(s, d):
+    """Events as what happened to invoices; a third of them to the invoice 0."""
+    k = F.col("event_id") % 7
+    event = F.when(k.isin(0, 4), "olustur").when(k.isin(1, 3, 5), "gonder").when(k == 2, "kesinlesti").otherwise("sil")
+    rows = table(s, d, "events").select(F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") * 7 + F.col("event_id") % 5).alias("no"), F.col("ts").alias("at"), F.col("event_id").alias("id"), event.alias("event"))
+    return view(s, d, "lifecycle", lambda s, d: lifecycle.lifecycle(rows))
+
+
+_LIFE_SQL = """WITH RECURSIVE e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id * 7 + event_id % 5 END AS no, ts AS tm, event_id AS id, CASE WHEN event_id % 7 IN (0, 4) THEN 'olustur' WHEN event_id % 7 IN (1, 3, 5) THEN 'gonder' WHEN event_id % 7 = 2 THEN 'kesinlesti' ELSE 'sil' END AS event FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY tm, id) AS i FROM e),
+r AS (SELECT no, tm, id, event, i, 'YOK' AS before, CASE WHEN event = 'olustur' THEN 'TASLAK' ELSE 'YOK' END AS after FROM k WHERE i = 1
+  UNION ALL SELECT k.no, k.tm, k.id, k.event, k.i, r.after, CASE WHEN r.after = 'YOK' AND k.event = 'olustur' THEN 'TASLAK' WHEN r.after = 'TASLAK' AND k.event = 'gonder' THEN 'GONDERILDI' WHEN r.after = 'GONDERILDI' AND k.event = 'kesinlesti' THEN 'KESINLESTI' ELSE r.after END FROM r JOIN k ON k.no = r.no AND k.i = r.i + 1)"""
+
 QUERIES = {
+    "invoice_lifecycle": (lambda s, d: _lifecycle(s, d).drop("at"), _LIFE_SQL + " SELECT no, id, event, before, after, before <> after AS accepted FROM r"),
+    "invoice_states": (lambda s, d: lifecycle.invoices(_lifecycle(s, d)), _LIFE_SQL + ", s AS (SELECT no, arg_max(after, i) AS state, max(CASE WHEN event = 'gonder' AND before <> after THEN id END) AS sent, max(CASE WHEN event = 'kesinlesti' AND before <> after THEN tm END) AS final, count(*) FILTER (before = after) AS refused FROM r GROUP BY no) SELECT no, state, CASE WHEN sent IS NOT NULL THEN 'EF-' || CAST(no AS VARCHAR) || '-' || lpad(CAST(sent AS VARCHAR), CAST(greatest(6, length(CAST(sent AS VARCHAR))) AS INTEGER), '0') END AS uuid, CASE WHEN final IS NOT NULL THEN 'arsiv/' || CAST(no AS VARCHAR) || '.xml' END AS archive, CAST(final AS DATE) AS voucher_date, refused FROM s WHERE state <> 'YOK'"),
     "voucher_finalize": (_final, over("journal", _FINAL_SQL)),
     "voucher_chronology": (lambda s, d: desk.chronology(_numbers(s, d)), "WITH n AS (SELECT event_id % 3 AS series, event_id AS number, CAST(ts AS DATE) - CASE WHEN event_id % 50 = 0 THEN 9 ELSE 0 END AS date FROM events) SELECT * FROM (SELECT *, max(date) OVER (PARTITION BY series ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM n) WHERE date < latest"),
     "reversal_guards": (lambda s, d: desk.reversal_findings(_requests(s, d), _vouchers(s, d)), over("journal", _GUARD_SQL)),
@@ -89,13 +105,13 @@ QUERIES = {
  bi AS (SELECT sale.no, valid, net_debt_kr, coalesce(s, 0) AS s FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS s FROM bad GROUP BY no) b ON b.no = sale.no), n AS (SELECT account, split_part(account, '.', 1) AS k, sum(debit_kr - credit_kr) AS net_kr FROM journal GROUP BY account), m AS (SELECT {NATURE} AS nature, net_kr FROM n JOIN chart ON code = k),
  t AS (SELECT (SELECT count(*) FILTER (WHERE s > open_kr) + count(*) FILTER (WHERE s <> g) FROM br) + (SELECT count(*) FILTER (WHERE s > net_debt_kr) * 2 + count(*) FILTER (WHERE NOT valid AND s <> 0) FROM bi) + (SELECT CAST(sum(debit_kr - credit_kr) <> 0 AS BIGINT) FROM journal) AS invariants, (SELECT count(*) FROM m WHERE (nature = 'debit') = (net_kr < 0) AND net_kr <> 0) AS contrary, (SELECT CAST(sum(debit_kr) <> sum(credit_kr) AS BIGINT) FROM journal) AS unbalanced)
  SELECT invariants, contrary, unbalanced, invariants + contrary + unbalanced = 0 AS sound FROM t""")),
-    "allocation_voucher_lines": (lambda s, d: desk.allocation_lines(_all(s, d), _r(s, d), _s(s, d)), over("receipt", _ALL + ", x AS (SELECT a.id, a.no, a.amount_kr, instrument, sale.party FROM alloc a JOIN rec ON rec.id = a.id JOIN sale ON sale.no = a.no) SELECT id, no, 1 AS line_no, CASE instrument WHEN 'BANKA' THEN '102' WHEN 'NAKIT' THEN '100' WHEN 'CEK' THEN '101' WHEN 'SENET' THEN '121' ELSE '159' END AS account, amount_kr AS debit_kr, CAST(0 AS BIGINT) AS credit_kr FROM x UNION ALL SELECT id, no, 2, '120.' || CAST(party AS VARCHAR), 0, amount_kr FROM x")),
-    "unallocated_by_bank": (lambda s, d: desk.waiting(_open(s, d)), over("receipt", _ALL + _STATUS + " SELECT bank, count(*) AS n, CAST(sum(remaining_kr) AS BIGINT) AS open_kr, max(age) AS oldest_days, count(*) FILTER (WHERE age > 7) AS reminders FROM (SELECT bank, remaining_kr, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0) GROUP BY bank")),
-    "cash_transfers": (lambda s, d: desk.cash_transfers(_r(s, d)), over("receipt", "SELECT CAST(date_trunc('month', date) AS DATE) AS date, count(*) AS n, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM receipt WHERE instrument = 'NAKIT' GROUP BY 1")),
-    "asset_cards": (lambda s, d: desk.asset_cards(_assets(s, d), _j(s, d), "15"), over("journal", "WITH a AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN '252' ELSE '153' END AS code, count(*) AS n, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS v FROM part GROUP BY 1), b AS (SELECT split_part(account, '.', 1) AS code, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS b FROM journal WHERE account LIKE '15%' GROUP BY 1) SELECT coalesce(a.code, b.code) AS code, coalesce(n, 0) AS n, coalesce(v, 0) AS value_kr, coalesce(b, 0) AS booked_kr, coalesce(v, 0) - coalesce(b, 0) AS difference_kr FROM a FULL JOIN b ON a.code = b.code")),
+    "allocation_voucher_lines": (lambda s, d: desk.allocation_lines(_all(s, d), _r(s, d)).unionByName(desk.allocation_lines(_paid(s, d), _p(s, d), "ALIS")), over("receipt payment", _ALL + f", {_PAID}" + _MONEY_SQL + " SELECT direction, id, no, 1 AS line_no, CASE WHEN direction = 'SATIS' THEN account ELSE '320' END AS account, amount_kr AS debit_kr, CAST(0 AS BIGINT) AS credit_kr FROM m UNION ALL SELECT direction, id, no, 2, CASE WHEN direction = 'SATIS' THEN '120' ELSE account END, 0, amount_kr FROM m")),
+    "unallocated_by_bank": (lambda s, d: desk.waiting(_open(s, d), _r(s, d).where("id % 3 = 0")), over("receipt", _ALL + _STATUS + " SELECT bank, count(*) AS n, CAST(sum(remaining_kr) AS BIGINT) AS open_kr, max(age) AS oldest_days, count(*) FILTER (WHERE id % 3 = 0) AS awaited, count(*) FILTER (WHERE id % 3 = 0 AND age > 7) AS reminders FROM (SELECT rec.id, bank, remaining_kr, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0) GROUP BY bank")),
+    "cash_transfers": (lambda s, d: desk.cash_transfers(_r(s, d).unionByName(_p(s, d))), over("receipt payment", "SELECT CAST(date_trunc('month', date) AS DATE) AS date, count(*) AS n, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM payment WHERE instrument = 'NAKIT' GROUP BY 1")),
+    "asset_cards": (lambda s, d: desk.asset_cards(_assets(s, d), _j(s, d), "15"), over("journal", "WITH a AS (SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '252' WHEN 1 THEN '158' ELSE '153' END AS code, CAST(round(p_retailprice * 100) AS BIGINT) AS value_kr FROM part) SELECT a.*, CAST(coalesce((SELECT sum(debit_kr - credit_kr) FROM journal WHERE account = code), 0) AS BIGINT) AS booked_kr FROM a WHERE starts_with(code, '15')")),
     "code_normalize": (_codes, _CODES_SQL),
     "entry_states": (lambda s, d: desk.latest_state(_states(s, d)), "WITH e AS (SELECT event_id // 4 AS no, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'KESIN' WHEN event_id % 3 = 0 THEN 'VAZGECILDI' ELSE 'TASLAK' END AS state FROM events) SELECT no, CASE WHEN bool_or(state = 'KESIN') THEN 'KESIN' ELSE arg_max(state, seq) END AS state, bool_or(state = 'KESIN') OR arg_max(state, seq) <> 'VAZGECILDI' AS counts FROM e GROUP BY no"),
     "receipt_lists": (lambda s, d: desk.receipt_lists(_r(s, d), _all(s, d)), over("receipt", _ALL + ", p AS (SELECT id, count(*) AS n, min(no) AS first_no, max(no) AS last_no, sum(amount_kr) AS paid FROM alloc GROUP BY id) SELECT rec.id, rec.party, rec.date, rec.instrument, open_kr AS amount_kr, coalesce(n, 0) AS n, first_no, last_no, CAST(open_kr - coalesce(paid, 0) AS BIGINT) AS left_kr FROM rec LEFT JOIN p ON p.id = rec.id")),
     "party_statement": (lambda s, d: ledger.general_ledger(_j(s, d).where("account like '120.%'")).withColumn("party", F.substring_index("account", ".", -1)), over("journal", "SELECT account, date, voucher, line_no, debit_kr, credit_kr, CAST(sum(debit_kr - credit_kr) OVER (PARTITION BY account ORDER BY date, voucher, line_no) AS BIGINT) AS balance_kr, CASE WHEN debit_kr > 0 THEN 'debit' ELSE 'credit' END AS side, split_part(account, '.', 2) AS party FROM journal WHERE account LIKE '120.%'")),
 }
-DATES = {"voucher_finalize": ["date"], "voucher_chronology": ["date", "latest"], "period_ledger": ["date"], "voucher_detail": ["date"], "cash_transfers": ["date"], "receipt_lists": ["date"], "party_statement": ["date"]}
+DATES = {"invoice_states": ["voucher_date"], "voucher_finalize": ["date"], "voucher_chronology": ["date", "latest"], "period_ledger": ["date"], "voucher_detail": ["date"], "cash_transfers": ["date"], "receipt_lists": ["date"], "party_statement": ["date"]}

@@ -43,6 +43,11 @@ def _allocated(s, d):
     return allocation.allocate(_open(s, d), _money(s, d), _frozen(s, d), _decisions(s, d))
 
 
+def _paid(s, d):
+    """What was paid to suppliers, to their invoices."""
+    return view(s, d, "paid", lambda s, d: allocation.fifo(view(s, d, "purchases").withColumn("open_kr", F.col("gross_kr")), view(s, d, "payments").withColumn("open_kr", F.col("amount_kr"))))
+
+
 def _status(s, d):
     return allocation.receipt_status(_money(s, d), _all(s, d), _decisions(s, d))
 
@@ -64,6 +69,14 @@ _ALL = (
     " hand AS (" + _MANUAL.format("inv1", "rec1") + "), inv2 AS (SELECT no, party, date, open_kr - coalesce((SELECT sum(amount_kr) FROM hand h WHERE h.no = inv1.no), 0) AS open_kr FROM inv1), rec2 AS (SELECT * FROM rec1 WHERE id NOT IN (SELECT id FROM dec)),"
     " alloc AS (SELECT *, 'DONMUS' AS source FROM kept UNION ALL SELECT *, 'MANUEL' FROM hand UNION ALL SELECT *, 'FIFO' FROM (" + _fifo_sql("inv2", "rec2") + "))"
 )
+_PAID = "pinv AS (SELECT no, party, date, gross_kr AS open_kr FROM purchase), pay AS (SELECT id, party, date, amount_kr AS open_kr, instrument, bank FROM payment), palloc AS (" + _fifo_sql("pinv", "pay") + ")"
+_ACCOUNT = "CASE instrument WHEN 'NAKIT' THEN '100' WHEN 'CEK' THEN CASE WHEN direction = 'SATIS' THEN '101' ELSE '103' END WHEN 'SENET' THEN CASE WHEN direction = 'SATIS' THEN '121' ELSE '321' END ELSE '102' END"
+_MONEY_SQL = f", m AS (SELECT *, {_ACCOUNT} AS account FROM (SELECT 'SATIS' AS direction, a.id, a.no, instrument, amount_kr FROM alloc a JOIN rec ON rec.id = a.id UNION ALL SELECT 'ALIS', a.id, a.no, instrument, amount_kr FROM palloc a JOIN pay ON pay.id = a.id))"
+_LEGS = (
+    _MONEY_SQL + ", k AS (SELECT direction, no, CASE WHEN count(DISTINCT instrument) > 1 THEN 'KARMA' ELSE min(instrument) END AS instrument, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM m GROUP BY direction, no), l AS (SELECT direction, no, account, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM m GROUP BY ALL),"
+    " x AS (SELECT l.direction, l.no, instrument, account, l.amount_kr, l.direction = 'SATIS' AS debit FROM l JOIN k ON k.no = l.no AND k.direction = l.direction UNION ALL SELECT direction, no, instrument, CASE WHEN direction = 'SATIS' THEN '120' ELSE '320' END, amount_kr, direction <> 'SATIS' FROM k)"
+    " SELECT direction, no, instrument, account, CASE WHEN debit THEN amount_kr ELSE 0 END AS debit_kr, CASE WHEN debit THEN 0 ELSE amount_kr END AS credit_kr FROM x"
+)
 _STATUS = ", status AS (SELECT r.id, r.party, r.open_kr AS amount_kr, CAST(coalesce(g, 0) AS BIGINT) AS allocated_kr, CAST(r.open_kr - coalesce(g, 0) AS BIGINT) AS remaining_kr, CASE WHEN d.id IS NOT NULL AND coalesce(g, 0) > 0 THEN 'MANUEL' WHEN r.party IS NULL OR coalesce(g, 0) = 0 THEN 'BEKLIYOR' ELSE 'OTOMATIK' END AS status FROM rec r LEFT JOIN (SELECT id AS k, sum(amount_kr) AS g FROM alloc GROUP BY id) ON k = r.id LEFT JOIN (SELECT DISTINCT id FROM dec) d ON d.id = r.id)"
 
 
@@ -149,7 +162,8 @@ QUERIES = {
     "manual_allocation": (lambda s, d: allocation.manual(_decisions(s, d), _open(s, d), _money(s, d)), over("receipt", _BASE + " " + _MANUAL.format("inv", "rec"))),
     "full_allocation": (_all, over("receipt", _ALL + " SELECT * FROM alloc")),
     "receipt_status": (_status, over("receipt", _ALL + _STATUS + " SELECT * FROM status")),
-    "payment_vouchers": (lambda s, d: allocation.payment_legs(_all(s, d), _money(s, d)), over("receipt", _ALL + ", m AS (SELECT a.no, instrument, amount_kr, CASE instrument WHEN 'BANKA' THEN '102' WHEN 'NAKIT' THEN '100' WHEN 'CEK' THEN '101' WHEN 'SENET' THEN '121' ELSE '120' END AS account FROM alloc a JOIN rec ON rec.id = a.id), k AS (SELECT no, CASE WHEN count(DISTINCT instrument) > 1 THEN 'KARMA' ELSE min(instrument) END AS instrument, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM m GROUP BY no) SELECT l.no, k.instrument, account, debit_kr, CAST(0 AS BIGINT) AS credit_kr FROM (SELECT no, account, CAST(sum(amount_kr) AS BIGINT) AS debit_kr FROM m GROUP BY no, account) l JOIN k ON k.no = l.no UNION ALL SELECT no, instrument, '120', 0, amount_kr FROM k")),
+    "purchase_allocation": (_paid, over("payment", f"WITH {_PAID} SELECT * FROM palloc")),
+    "payment_vouchers": (lambda s, d: allocation.payment_legs(_all(s, d), _money(s, d)).unionByName(allocation.payment_legs(_paid(s, d), view(s, d, "payments"), "ALIS")), over("receipt payment", _ALL + f", {_PAID}" + _LEGS)),
     "allocation_sync_diff": (lambda s, d: allocation.sync(_frozen(s, d), _all(s, d)), over("receipt", _ALL + ", a AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM frozen), b AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM alloc) SELECT *, 'YENI' AS action FROM b WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT *, 'IPTAL' FROM a WHERE key NOT IN (SELECT key FROM b)")),
     "decision_effect": (lambda s, d: allocation.effect(allocation.fifo(_open(s, d), _money(s, d)), _all(s, d)), over("receipt", _ALL + ", f AS (" + _fifo_sql("inv", "rec") + ") SELECT *, CASE WHEN before_kr = 0 THEN 'written' WHEN after_kr = 0 THEN 'dropped' ELSE 'changed' END AS outcome FROM (SELECT coalesce(f.id, a.id) AS id, coalesce(f.no, a.no) AS no, coalesce(f.amount_kr, 0) AS before_kr, coalesce(a.amount_kr, 0) AS after_kr FROM f FULL JOIN alloc a ON a.id = f.id AND a.no = f.no) WHERE before_kr <> after_kr")),
     "unallocated": (lambda s, d: allocation.unallocated(_status(s, d), _money(s, d), "2001-12-31"), over("receipt", _ALL + _STATUS + " SELECT s.id, s.party, bank, remaining_kr, status, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age_days FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0")),

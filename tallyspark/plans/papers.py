@@ -146,7 +146,7 @@ QUERIES = {
     "instalment_match": (_matched, over("sale", _MATCH_SQL + " SELECT * FROM x")),
     "instalment_leftovers": (lambda s, d: tracing.unmatched(_movements(s, d), _matched(s, d)).select("ref", "amount_kr", "name", "date"), over("sale", _MATCH_SQL + " SELECT ref, amount_kr, name, date FROM m WHERE ref NOT IN (SELECT ref FROM x WHERE ref IS NOT NULL)")),
     "provenance_edges": (lambda s, d: tracing.provenance(_s(s, d), _r(s, d), _all(s, d), _vouchers(s, d)), over("receipt journal", _ALL + _EDGES_SQL)),
-    "provenance_confidence": (lambda s, d: tracing.provenance_confidence(_s(s, d), _all(s, d)), over("receipt", _ALL + " SELECT no, CAST(net_debt_kr AS BIGINT) AS net_debt_kr, CAST(paid AS BIGINT) AS paid_kr, CASE WHEN paid >= net_debt_kr THEN 'TAM' WHEN paid > 0 THEN 'KISMI' ELSE 'YOK' END AS level, CASE WHEN paid >= net_debt_kr THEN 100 WHEN paid > 0 THEN 60 ELSE 0 END AS confidence FROM (SELECT sale.no, net_debt_kr, coalesce(p, 0) AS paid FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS p FROM alloc GROUP BY no) a ON a.no = sale.no WHERE net_debt_kr > 0)")),
+    "provenance_confidence": (lambda s, d: tracing.provenance_confidence(_s(s, d), _all(s, d)), over("receipt", _ALL + " SELECT no, CAST(net_debt_kr AS BIGINT) AS net_debt_kr, CAST(paid AS BIGINT) AS paid_kr, CASE WHEN paid >= net_debt_kr THEN 'TAM' WHEN paid > 0 THEN 'KISMI' ELSE 'ESLESMEYEN' END AS level, CASE WHEN paid >= net_debt_kr THEN 100 WHEN paid > 0 THEN 60 ELSE 30 END AS confidence FROM (SELECT sale.no, net_debt_kr, coalesce(p, 0) AS paid FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS p FROM alloc GROUP BY no) a ON a.no = sale.no)")),
     "document_checks": (lambda s, d: documents.resolve(_read(s, d)), over("sale", f"WITH {_READ_SQL}")),
     "line_items": (_lines, _LINES_SQL),
     "layout_grid": (_grid, _GRID_SQL),

@@ -95,6 +95,15 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("amount_kr > 0")
 
 
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money paid to suppliers: 50 to 110 percent of a purchase invoice, up to 39 days later, by an instrument of its number."""
+    instrument = F.element_at(F.array(*map(F.lit, INSTRUMENTS.values())), (F.col("no") % 5 + 1).cast("int"))
+    return purchases(spark, sf_dir).select(
+        F.col("no").alias("id"), "party", F.lit("ALIS").alias("direction"), F.date_add("date", (F.col("no") % 40).cast("int")).alias("date"), div(F.col("gross_kr") * (50 + F.col("no") % 61), 100).alias("amount_kr"), instrument.alias("instrument"),
+        F.concat(F.lit("BANK"), (F.col("party") % 5).cast("string")).alias("bank"),
+    ).where("amount_kr > 0")
+
+
 def bank_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an account's movements: purchases come in, the rest goes out; every 97th reported balance is off by one."""
     df = table(spark, sf_dir, "events").where("value is not null").select(
@@ -118,7 +127,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _views:
-        _views[key] = written((make or {"journal": journal, "sales": sales, "receipts": receipts, "movements": bank_movements}[name])(spark, sf_dir), name)
+        _views[key] = written((make or {"journal": journal, "sales": sales, "receipts": receipts, "purchases": purchases, "payments": payments, "movements": bank_movements}[name])(spark, sf_dir), name)
     return _views[key]
 
 
@@ -154,6 +163,8 @@ MODEL_SQL = {
     "receipt": """SELECT * FROM (SELECT no AS id, CASE WHEN no % 50 <> 0 THEN party END AS party, date + CAST(no % 45 AS INTEGER) AS date, gross_kr * (40 + no % 81) // 100 AS amount_kr,
   CASE priority WHEN '1-URGENT' THEN 'BANKA' WHEN '2-HIGH' THEN 'NAKIT' WHEN '3-MEDIUM' THEN 'CEK' WHEN '4-NOT SPECIFIED' THEN 'SENET' WHEN '5-LOW' THEN 'ACIK' END AS instrument, 'BANK' || CAST(party % 5 AS VARCHAR) AS bank
   FROM sale WHERE valid) WHERE amount_kr > 0""",
+    "payment": """SELECT * FROM (SELECT no AS id, party, date + CAST(no % 40 AS INTEGER) AS date, gross_kr * (50 + no % 61) // 100 AS amount_kr, list_extract(['BANKA', 'NAKIT', 'CEK', 'SENET', 'ACIK'], CAST(no % 5 + 1 AS INTEGER)) AS instrument, 'BANK' || CAST(party % 5 AS VARCHAR) AS bank
+  FROM purchase) WHERE amount_kr > 0""",
     "posted": """SELECT 1000000000000 + no AS voucher, 'accrual' AS kind, line_no, date, account, d AS debit_kr, c AS credit_kr, no AS doc_no FROM (
   SELECT no, date, 1 AS line_no, '120.' || CAST(party AS VARCHAR) AS account, gross_kr AS d, 0 AS c FROM sale WHERE state <> 'TASLAK'
   UNION ALL SELECT no, date, 2, CASE WHEN export THEN '601' ELSE '600' END, 0, net_kr FROM sale WHERE state <> 'TASLAK'
@@ -178,7 +189,7 @@ MODEL_SQL = {
     "movement": """SELECT *, CAST(sum(CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END) OVER (PARTITION BY account ORDER BY seq) AS BIGINT) + CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END AS balance_kr FROM (
   SELECT user_id % 10 AS account, event_id AS seq, CAST(ts AS DATE) AS date, user_id AS "user", CASE WHEN event_type = 'purchase' THEN 'GIRIS' ELSE 'CIKIS' END AS direction, CAST(round(value * 100) AS BIGINT) AS amount_kr FROM events WHERE value IS NOT NULL) WHERE amount_kr > 0""",
 }
-_NEEDS = {"sale": ["line"], "rate_vat": ["line"], "purchase": ["line"], "receipt": ["sale"], "posted": ["sale", "rate_vat"], "journal": ["posted", "purchase", "receipt"]}
+_NEEDS = {"sale": ["line"], "rate_vat": ["line"], "purchase": ["line"], "receipt": ["sale"], "payment": ["purchase"], "posted": ["sale", "rate_vat"], "journal": ["posted", "purchase", "receipt"]}
 
 
 def over(names: str, sql: str) -> str:

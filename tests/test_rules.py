@@ -107,14 +107,14 @@ def test_documents_are_resolved(spark):
 
 
 def test_provenance_of_an_invoice(spark):
-    inv = spark.createDataFrame([(1, 100), (2, 50), (3, 10)], "no long, net_debt_kr long")
+    inv = spark.createDataFrame([(1, 100), (2, 50), (3, 10), (4, 0)], "no long, net_debt_kr long")
     rec = spark.createDataFrame([(7, "B", 90), (8, None, 60)], "id long, bank string, amount_kr long")
     a = spark.createDataFrame([(7, 1, 90), (8, 1, 10), (8, 2, 40)], "id long, no long, amount_kr long")
     v = spark.createDataFrame([(70, "accrual", 1, 100), (71, "receipt", 7, 90), (72, "cost", 9, 5)], "voucher long, kind string, doc_no long, amount_kr long")
     assert {(r.source, r.target, r.kind) for r in tracing.provenance(inv, rec, a, v).collect()} == {
         ("invoice:1", "voucher:70", "accrual"), ("receipt:7", "invoice:1", "allocation"), ("receipt:8", "invoice:1", "allocation"), ("receipt:8", "invoice:2", "allocation"), ("receipt:7", "voucher:71", "receipt"), ("bank:B", "receipt:7", "bank"),
     }
-    assert {r.no: (r.level, r.confidence) for r in tracing.provenance_confidence(inv, a).collect()} == {1: ("TAM", 100), 2: ("KISMI", 60), 3: ("YOK", 0)}
+    assert {r.no: (r.level, r.confidence) for r in tracing.provenance_confidence(inv, a).collect()} == {1: ("TAM", 100), 2: ("KISMI", 60), 3: ("ESLESMEYEN", 30), 4: ("TAM", 100)}
 
 
 def test_views_follow_their_input(spark, tmp_path):

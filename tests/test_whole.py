@@ -39,8 +39,7 @@ def test_names_link_over_all_customers(spark, db):
 @pytest.mark.parametrize("name", ["bank_suggestions", "document_suggestions"])
 def test_every_item_gets_suggestions(spark, db, name):
     equal(spark, db, name)
-    equal(spark, db, name + "_all")
-    assert registry.QUERIES[name + "_all"](spark, SF).where("id % 10 <> 0").limit(1).count()
+    assert registry.QUERIES[name](spark, SF).where("id % 10 <> 0").limit(1).count()
 
 
 def test_first_vouchers_of_a_frequent_amount(spark):
@@ -56,16 +55,16 @@ def test_first_vouchers_of_a_frequent_amount(spark):
 
 
 def test_terms_loans_and_numbers_of_whole_tables(spark, db, tmp_path):
-    equal(spark, db, "words_to_number_all")
+    equal(spark, db, "words_to_number")
     keys = [0, 1, 10, 100, 101, 999, 1000, 1001, 9999, 10_000, 21_034, 100_000, 999_999, 1_000_000, 6_000_001, 1_000_000_000, 345_678_901_234]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    got = registry.QUERIES["words_to_number_all"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["words_to_number"](spark, str(tmp_path)).collect()
     assert sorted((r.o_orderkey, r.number) for r in got) == [(k, k) for k in keys]
     spark.createDataFrame([(1, "one two three tbere"), (2, "avec"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.term: r.match for r in registry.QUERIES["term_distance"](spark, str(tmp_path)).collect()}["tbere"] == "there"
     spark.createDataFrame([(399,), (400,), (15_000,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     assert {r.id for r in registry.QUERIES["loan_entries"](spark, str(tmp_path)).select("id").collect()} == {399, 400, 15_000}
-    rows = registry.QUERIES["loan_schedule_all"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["loan_schedule"](spark, str(tmp_path)).collect()
     principal = {r.id: r.principal_kr for r in valuation._loans(spark, str(tmp_path)).collect()}
     assert {i: sum(r.principal_kr for r in rows if r.id == i) for i in principal} == principal and len(principal) == 3
 
