@@ -16,8 +16,10 @@ and m shingles link if their overlap o has (100 + share) * o >= share * (n + m),
    needs k shingles beyond the core in common with its partner, and only a prefix of these (rarest first) is joined.
    Nodes whose c reaches overlap in c_x + c_y less the core's size at least: where that is enough they link with the
    group's best node without a look at any pair.  Of others, what they lack of the core and have beyond it must agree
-   in k entries with their partner, and a prefix of these is joined.
-5. Hot shingles beyond a core make groups within the group in the same way, until none is left.
+   in k entries with their partner; of a prefix of these, cold entries are joined.
+5. Hot shingles beyond a core, and hot entries of what nodes lack or have beyond it, make groups within the group in the same way,
+   until none is left.  At most half of a group's members have such an entry, since a core is what over half of them hold: so there are
+   log2 of the largest group's members turns at most, and copies that lack the same part of a page get a core of their own.
 6. Check.  The pairs that these prefixes give are compared shingle by shingle.
 
 So a family of near copies, linked or not, costs rows in proportion to its members.  Shingles and nodes are 64-bit
@@ -231,9 +233,9 @@ class Join:
         size = F.when(F.col("free"), F.col("over")).otherwise(F.col("over") - (F.col("need") - F.col("c")) + 1)
         index = opened.select("g", "node", "n", "own", "linked", "c", "over", F.expr("cast(0 as int)").alias("short"), F.slice("beyond", F.lit(1), size.cast("int")).alias("prefix"))
         index = staged(index.where(F.size("prefix") > 0), "index")
-        pairs = self.met(index, index).unionByName(self.lacking_pairs(opened, union))
-        rest = index.select(F.col("g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda x: x["held"] > COLD).alias("hot")).where("size(hot) > 0")
-        return links, pairs, rest
+        rest = index.select(F.col("g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda x: x["held"] > COLD).alias("hot"))
+        lacking, more = self.lacking(opened, union)
+        return links, self.met(index, index).unionByName(lacking), rest.unionByName(more).where("size(hot) > 0")
 
     def counted(self, rows: DataFrame, name: str, counts: DataFrame, count: Column) -> DataFrame:
         """node, g and the list `name` of `rows`, as (held, token) in order of `count`; only tokens of `counts` (g, token)."""
@@ -241,9 +243,8 @@ class Join:
         return each.groupBy("node", "g").agg(F.sort_array(F.collect_list(F.struct(count.alias("held"), "token"))).alias(name))
 
     def met(self, index: DataFrame, others: DataFrame) -> DataFrame:
-        """Pairs of rows of a group that share an entry of their prefixes, if bounds allow a link; of entries that many members hold
-        only such as no further turn takes up (`short` rows)."""
-        kept = lambda x: (x["held"] <= COLD) | (F.col("short") == 1)
+        """Pairs of rows of a group that share a cold entry of their prefixes, if bounds allow a link; a further turn takes up the hot ones."""
+        kept = lambda x: x["held"] <= COLD
         columns = ["g", "node", "n", "own", "linked", "c", "over", "short"]
         each = lambda df: df.select(*columns, F.explode(F.filter("prefix", kept)).alias("x")).select(*columns, "x.token")
         x, y = each(index).alias("x"), each(others.where("own")).alias("y")
@@ -254,12 +255,11 @@ class Join:
         met = x.join(y, on & once & fit & (F.col("x.node") != F.col("y.node")) & ~(F.col("x.linked") & F.col("y.linked")))
         return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    def lacking_pairs(self, opened: DataFrame, union: DataFrame) -> DataFrame:
-        """Pairs of free nodes of a group, one of them not linked with its best, that agree in what they lack or have beyond the core."""
+    def lacking(self, opened: DataFrame, union: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of free nodes of a group, one end not linked with its best, that agree in what they lack or have beyond the core: pairs that share a cold
+        entry, and rows of a turn for the hot ones."""
         whole = (100 + self.share) * F.col("core")
         left = staged(opened.where("free and not linked").groupBy("g").agg(F.max("w").alias("left")), "left")
-        if not left.limit(1).count():
-            return left.select(F.col("g").alias("a"), F.col("g").alias("b"))
         some = opened.where("free").join(small(left), "g")
         # What a node lacks has the other sign, and counts the members that lack it.
         lacks = self.counted(some, "lacking", union, F.col("size") - F.col("held"))
@@ -272,8 +272,11 @@ class Join:
             "g", "node", "n", "own", "linked", "c", "over", F.lit(1).alias("short"), F.slice("all", F.lit(1), F.size("all") - F.col("k") + 1).alias("prefix")
         )
         x, y = staged(index(some.where("not linked"), F.col("best.w")), "short"), staged(index(some, F.col("left")), "others")
+        # The best is at least as good as the best of those not linked: of a node not linked, the first prefix holds the second.
+        ends = x.unionByName(y.where("linked"))
+        rest = ends.select(F.xxhash64(F.lit("signed"), "g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda e: e["held"] > COLD).alias("hot"))
         # One of the two is a member of the group.
-        return self.met(x, y).unionByName(self.met(y, x)).distinct()
+        return self.met(x, y).unionByName(self.met(y, x)).distinct(), rest
 
     def checked(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         """Of `pairs` (a, b) those that link."""
