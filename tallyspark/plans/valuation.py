@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import names
 from tallyspark.functions.money import kurus
-from tallyspark.operators import adjustments, credit, documents
+from tallyspark.operators import adjustments, credit, documents, terms
 from tallyspark.plans.books import CHART_SQL
 from tallyspark.sources.model import chart, over, table, view
 
@@ -83,6 +83,20 @@ def _terms(s, d):
     return words.select(F.xxhash64("term").alias("id"), "term")
 
 
+def _lexicon(s, d):
+    """Words of four letters or more that one document in fifty holds: a bounded number, whatever the documents are."""
+    each = table(s, d, "documents").select(F.explode(F.array_distinct(F.split(names.simplify("text"), " "))).alias("term"))
+    held = each.where("length(term) >= 4").groupBy("term").agg(F.count("*").alias("held"))
+    documents_ = table(s, d, "documents").agg(F.count("*").alias("n"))
+    often = held.join(F.broadcast(documents_), F.col("held") * 50 >= F.col("n"))
+    return often.select("term", F.lit(None).cast("string").alias("account"), F.pmod(F.xxhash64("term"), F.lit(1 << 62)).alias("place"))
+
+
+def registry_corrections(s, d):
+    """Every word of the documents against their frequent words."""
+    return terms.corrections(_terms(s, d), _lexicon(s, d), s.createDataFrame([], "term string"))
+
+
 LEXICON = ["the", "then", "there", "tion", "nicht", "dans", "avec", "para", "ción", "und", "eine", "that", "with", "from", "have"]
 
 
@@ -128,6 +142,7 @@ QUERIES = {
     "rule_confidence": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("trials"), F.count_if(F.col("event_type") == "purchase").alias("hits")).select("user_id", "trials", "hits", F.round(documents.wilson("hits", "trials"), 6).alias("confidence")), "WITH r AS (SELECT user_id, count(*) AS trials, count(*) FILTER (WHERE event_type = 'purchase') AS hits FROM events GROUP BY user_id), p AS (SELECT *, hits::DOUBLE / trials AS p, trials::DOUBLE AS n, 1.96::DOUBLE AS z FROM r) SELECT user_id, trials, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS confidence FROM p"),
     "equation_checks": (lambda s, d: documents.equations(_values(s, d), s.createDataFrame(_EQ, "equation string, field string, sign int")), over("sale", "WITH v AS (SELECT no, net_kr + vat_kr AS a, gross_kr + CASE WHEN no % 50 = 0 THEN 9 ELSE no % 3 END AS g, return_net_kr + return_vat_kr + discount_net_kr + discount_vat_kr AS b, CASE WHEN valid THEN CAST(net_debt_kr AS BIGINT) END AS o FROM sale) SELECT no AS doc_id, 'invoice' AS equation, CAST(a AS BIGINT) AS sum_kr, CAST(g AS BIGINT) AS target_kr, CASE WHEN abs(a - g) <= 3 THEN 'holds' ELSE 'fails' END AS status FROM v UNION ALL SELECT no, 'debt', CAST(g - b AS BIGINT), o, CASE WHEN o IS NULL THEN 'open' WHEN abs(g - b - o) <= 3 THEN 'holds' ELSE 'fails' END FROM v")),
     "words_to_number": (_all_numbers, "SELECT o_orderkey, o_orderkey AS number FROM orders"),
+    "term_corrections": (registry_corrections, None),
     "term_distance": (lambda s, d: documents.corrected(_terms(s, d), LEXICON), None),
 }
 DATES = dict.fromkeys(("loan_schedule", "loan_entries"), ["date"])
