@@ -52,7 +52,7 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszgiss"
 
 def simplify(x: str | Column) -> Column:
     """Lower case without accents; anything but letters and digits becomes one blank."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(col(x)), _MARKED, _PLAIN), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.translate(col(x), "İ", "i")), _MARKED, _PLAIN), "[^a-z0-9]+", " "))
 
 
 def parse_amount(x: str | Column, decimal: str) -> Column:

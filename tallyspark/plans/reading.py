@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import candidates
+from tallyspark.operators import candidates, headings
 from tallyspark.operators.candidates import AMOUNT, DATE, TAX_ID, TEXT, Equation, Field
-from tallyspark.sources.model import over, view
+from tallyspark.sources.model import over, table, view
 
 FIELDS = [
     Field("matrah", AMOUNT, ("matrah", "mal hizmet toplam tutari", "net tutar")), Field("kdv", AMOUNT, ("kdv", "hesaplanan kdv")), Field("toplam", AMOUNT, ("toplam", "genel toplam", "odenecek tutar")),
@@ -63,7 +63,61 @@ def _found(s, d):
     return view(s, d, "candidates", lambda s, d: candidates.candidates(candidates.lines_of(_printed(s, d)), FIELDS))
 
 
+def _cells(s, d):
+    """A page for each order with inflected headings in two languages, headings that say one thing twice, and lines with numbers."""
+    k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    head = F.when(k == 0, "SIRA   CİNSİ   MİKTARLARI   BİRİM FİYATI   TUTARLARI").when(k == 1, "No   Description   Quantities   Unit Prices   Amounts").when(k == 2, "TUTAR   TUTARI   MİKTARI   BİRİMİ").otherwise("2026   MİKTAR   TUTAR")
+    lines = F.array(F.lit("SAYIN   Musteri   Adres"), head, F.concat(F.lit("1   Pamuk   "), n, F.lit("   2,00")), F.lit("KDV Oranı   İskontosu   Toplam"))
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("line", "text"))
+    return rows.select("doc_id", "line", F.posexplode(F.split("text", "   ")).alias("j", "text"))
+
+
+_HEADINGS = [(0, 1, "SIRA:SIRA CİNSİ:MAL_ADI MİKTARLARI:MIKTAR BİRİM_FİYATI:BIRIM_FIYAT TUTARLARI:TUTAR"), (1, 1, "No:SIRA Description:MAL_ADI Quantities:MIKTAR Unit_Prices:BIRIM_FIYAT Amounts:TUTAR"), (2, 3, "KDV_Oranı:KDV_ORANI İskontosu:ISKONTO Toplam:TUTAR"), (3, 3, "KDV_Oranı:KDV_ORANI İskontosu:ISKONTO Toplam:TUTAR")]
+_HEADINGS_SQL = ", ".join(f"({k}, {line}, {j}, '{x.split(':')[0].replace('_', ' ')}', '{x.split(':')[1]}')" for k, line, xs in _HEADINGS for j, x in enumerate(xs.split()))
+
+
+def _parties(s, d):
+    return table(s, d, "customer").select(_party_name(F.col("c_custkey") % 400).alias("name"))
+
+
+def _party_name(k):
+    """Names of four hundred parties; five pairs differ in letters that look alike."""
+    code = F.when(k < 5, F.concat(F.lit("B"), k.cast("string"), F.lit("ROA"))).when(k < 10, F.concat(F.lit("B"), (k - 5).cast("string"), F.lit("R0A"))).otherwise(F.concat(F.lit("Ş"), F.translate(k.cast("string"), "0123456789", "KLMNPRTVYZ")))
+    return F.concat(code, F.lit(" TİCARET VE SANAYİ A.Ş."))
+
+
+def _names_read(s, d):
+    """Each customer's name as it was read: as it is, without accents, with a letter that looks like another, cut at a word, or something else."""
+    k = F.col("c_custkey")
+    name = _party_name(k % 400)
+    return table(s, d, "customer").select(k.alias("id"), F.when(k % 5 == 0, name).when(k % 5 == 1, F.translate(name, "Şİ", "Si")).when(k % 5 == 2, F.replace(name, F.lit("SAN"), F.lit("5AN"))).when(k % 5 == 3, F.regexp_replace(name, " A.*$", "")).otherwise(F.concat(F.lit("qqwwxx jj "), k.cast("string"))).alias("text"))
+
+
+def _rules(s, d):
+    """A third of all events concern one rule; how often a rule is right follows its number."""
+    e = F.col("event_id")
+    rule = F.when(e % 3 == 0, 0).otherwise(F.col("user_id") + 1)
+    return table(s, d, "events").select(rule.alias("rule"), e.alias("seq"), ((e * 7919 % 101) < (rule * 37 % 90) + 5).alias("right"), F.concat(F.lit("made "), e.cast("string")).alias("made"))
+
+
+def _rule_kinds(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ("same cell", "next cell", "below"))), (F.col("rule") % 3 + 1).cast("int"))
+    return _rules(s, d).select("rule").distinct().select("rule", kind.alias("strategy"), F.concat(F.lit("field "), (F.col("rule") % 4).cast("string")).alias("field"))
+
+
+_RULES_SQL = """e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS rule, event_id AS seq FROM events), o AS (SELECT rule, seq, (seq * 7919 % 101) < (rule * 37 % 90) + 5 AS ok FROM e),
+c AS (SELECT *, sum(ok::BIGINT) OVER w AS h, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION BY rule ORDER BY seq)),
+b AS (SELECT *, (h::DOUBLE / n + 1.9208 / n - 1.96 * sqrt((h::DOUBLE / n) * (1 - h::DOUBLE / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n) AS low FROM c),
+g AS (SELECT rule, min(seq) AS gone FROM b WHERE NOT ok AND n >= 3 AND low < 0.2 GROUP BY rule),
+u AS (SELECT b.*, gone FROM b LEFT JOIN g ON g.rule = b.rule WHERE gone IS NULL OR seq <= gone),
+s AS (SELECT rule, CAST(arg_max(h, seq) AS BIGINT) AS hits, arg_max(n, seq) AS trials, round(arg_max(low, seq), 6) AS confidence, CASE WHEN max(gone) IS NULL THEN 'AKTIF' ELSE 'EMEKLI' END AS state, max(gone) AS retired_at, 'made ' || CAST(max(CASE WHEN NOT ok THEN seq END) AS VARCHAR) AS counterexample FROM u GROUP BY rule)"""
+
+
 QUERIES = {
+    "column_names": (lambda s, d: headings.column_names(_cells(s, d)), f"WITH h(k, line, j, raw, meaning) AS (VALUES {_HEADINGS_SQL}) SELECT o_orderkey AS doc_id, CAST(line AS INTEGER) AS line, CAST(j AS INTEGER) AS j, raw, meaning FROM orders JOIN h ON h.k = o_orderkey % 4"),
+    "party_match": (lambda s, d: headings.party_match(_names_read(s, d), _parties(s, d)), None),
+    "rule_states": (lambda s, d: headings.rule_states(_rules(s, d)), f"WITH {_RULES_SQL} SELECT * FROM s"),
+    "dirty_rules": (lambda s, d: headings.dirty_rules(headings.rule_states(_rules(s, d)), _rule_kinds(s, d)), f"WITH {_RULES_SQL} SELECT list_extract(['same cell', 'next cell', 'below'], CAST(rule % 3 + 1 AS INTEGER)) AS strategy, 'field ' || CAST(rule % 4 AS VARCHAR) AS field, count(*) FILTER (state = 'EMEKLI') AS retired, count(*) FILTER (state = 'AKTIF') AS active, round(100.0::DOUBLE * count(*) FILTER (state = 'EMEKLI') / count(*), 1) AS decay, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY 1, 2"),
     "field_candidates": (_found, over("sale", f"WITH {_CANDIDATES} SELECT * FROM cand")),
     "candidate_selection": (lambda s, d: candidates.chosen(_found(s, d), EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} SELECT * FROM pick")),
     "auto_fill": (lambda s, d: candidates.filled(_found(s, d), EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} {_FILLED}")),
