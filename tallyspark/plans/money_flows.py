@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import kurus
-from tallyspark.operators import allocation, tax
+from tallyspark.operators import allocation, allocation_ledger, tax
 from tallyspark.sources.model import order_lines, over, table, view
 
 _j = lambda s, d: view(s, d, "journal")
@@ -48,6 +48,12 @@ def _paid(s, d):
     return view(s, d, "paid", lambda s, d: allocation.fifo(view(s, d, "purchases").withColumn("open_kr", F.col("gross_kr")), view(s, d, "payments").withColumn("open_kr", F.col("amount_kr"))))
 
 
+def _synced(s, d):
+    """The ledger after the first two years, brought to what is allocated now."""
+    first = allocation_ledger.synced(s.createDataFrame([], allocation_ledger.SCHEMA), _frozen(s, d).withColumn("source", F.lit("FIFO")))
+    return allocation_ledger.synced(view(s, d, "ledger1", lambda s, d: first), _all(s, d))
+
+
 def _status(s, d):
     return allocation.receipt_status(_money(s, d), _all(s, d), _decisions(s, d))
 
@@ -69,6 +75,11 @@ _ALL = (
     " hand AS (" + _MANUAL.format("inv1", "rec1") + "), inv2 AS (SELECT no, party, date, open_kr - coalesce((SELECT sum(amount_kr) FROM hand h WHERE h.no = inv1.no), 0) AS open_kr FROM inv1), rec2 AS (SELECT * FROM rec1 WHERE id NOT IN (SELECT id FROM dec)),"
     " alloc AS (SELECT *, 'DONMUS' AS source FROM kept UNION ALL SELECT *, 'MANUEL' FROM hand UNION ALL SELECT *, 'FIFO' FROM (" + _fifo_sql("inv2", "rec2") + "))"
 )
+_SYNC_SQL = """, w1 AS (SELECT DISTINCT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM frozen), l1 AS (SELECT *, row_number() OVER (ORDER BY key) AS serial FROM w1),
+w2 AS (SELECT id, no, amount_kr, min(CASE WHEN source = 'MANUEL' THEN 'MANUEL' ELSE 'OTOMATIK' END) AS source, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM alloc GROUP BY id, no, amount_kr),
+gone AS (SELECT *, (SELECT max(serial) FROM l1) + row_number() OVER (ORDER BY serial) AS stn FROM l1 WHERE key NOT IN (SELECT key FROM w2)), new AS (SELECT *, (SELECT max(serial) FROM l1) + (SELECT count(*) FROM gone) + row_number() OVER (ORDER BY key) AS serial FROM w2 WHERE key NOT IN (SELECT key FROM l1))
+SELECT l1.serial, l1.key, format('THS-F{:06d}', l1.serial) AS voucher_no, l1.id, l1.no, l1.amount_kr, 'OTOMATIK' AS source, CASE WHEN stn IS NULL THEN 'AKTIF' ELSE 'IPTAL' END AS state, CASE WHEN stn IS NOT NULL THEN format('STR-{:06d}', stn) END AS counter, false AS reversal FROM l1 LEFT JOIN gone ON gone.serial = l1.serial
+UNION ALL SELECT stn, 'STORNO|' || key, format('STR-{:06d}', stn), id, no, amount_kr, 'OTOMATIK', 'AKTIF', format('THS-F{:06d}', serial), true FROM gone UNION ALL SELECT serial, key, format('THS-F{:06d}', serial), id, no, amount_kr, source, 'AKTIF', NULL, false FROM new"""
 _PAID = "pinv AS (SELECT no, party, date, gross_kr AS open_kr FROM purchase), pay AS (SELECT id, party, date, amount_kr AS open_kr, instrument, bank FROM payment), palloc AS (" + _fifo_sql("pinv", "pay") + ")"
 _ACCOUNT = "CASE instrument WHEN 'NAKIT' THEN '100' WHEN 'CEK' THEN CASE WHEN direction = 'SATIS' THEN '101' ELSE '103' END WHEN 'SENET' THEN CASE WHEN direction = 'SATIS' THEN '121' ELSE '321' END ELSE '102' END"
 _MONEY_SQL = f", m AS (SELECT *, {_ACCOUNT} AS account FROM (SELECT 'SATIS' AS direction, a.id, a.no, instrument, amount_kr FROM alloc a JOIN rec ON rec.id = a.id UNION ALL SELECT 'ALIS', a.id, a.no, instrument, amount_kr FROM palloc a JOIN pay ON pay.id = a.id))"
@@ -165,6 +176,7 @@ QUERIES = {
     "purchase_allocation": (_paid, over("payment", f"WITH {_PAID} SELECT * FROM palloc")),
     "payment_vouchers": (lambda s, d: allocation.payment_legs(_all(s, d), _money(s, d)).unionByName(allocation.payment_legs(_paid(s, d), view(s, d, "payments"), "ALIS")), over("receipt payment", _ALL + f", {_PAID}" + _LEGS)),
     "allocation_sync_diff": (lambda s, d: allocation.sync(_frozen(s, d), _all(s, d)), over("receipt", _ALL + ", a AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM frozen), b AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM alloc) SELECT *, 'YENI' AS action FROM b WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT *, 'IPTAL' FROM a WHERE key NOT IN (SELECT key FROM b)")),
+    "ledger_sync": (_synced, over("receipt", _ALL + _SYNC_SQL)),
     "decision_effect": (lambda s, d: allocation.effect(allocation.fifo(_open(s, d), _money(s, d)), _all(s, d)), over("receipt", _ALL + ", f AS (" + _fifo_sql("inv", "rec") + ") SELECT *, CASE WHEN before_kr = 0 THEN 'written' WHEN after_kr = 0 THEN 'dropped' ELSE 'changed' END AS outcome FROM (SELECT coalesce(f.id, a.id) AS id, coalesce(f.no, a.no) AS no, coalesce(f.amount_kr, 0) AS before_kr, coalesce(a.amount_kr, 0) AS after_kr FROM f FULL JOIN alloc a ON a.id = f.id AND a.no = f.no) WHERE before_kr <> after_kr")),
     "unallocated": (lambda s, d: allocation.unallocated(_status(s, d), _money(s, d), "2001-12-31"), over("receipt", _ALL + _STATUS + " SELECT s.id, s.party, bank, remaining_kr, status, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age_days FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0")),
     "invariants": (_checked, over("journal", _ALL + _CORRUPT_SQL + ", g AS (SELECT id, sum(amount_kr) AS g FROM alloc GROUP BY id), br AS (SELECT rec.id, open_kr, coalesce(s, 0) AS s, coalesce(g, 0) AS g FROM rec LEFT JOIN (SELECT id, sum(amount_kr) AS s FROM bad GROUP BY id) b ON b.id = rec.id LEFT JOIN g ON g.id = rec.id), bi AS (SELECT sale.no, valid, net_debt_kr, coalesce(s, 0) AS s FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS s FROM bad GROUP BY no) b ON b.no = sale.no) SELECT 'D01' AS code, id AS key, CAST(s - open_kr AS BIGINT) AS amount_kr FROM br WHERE s > open_kr UNION ALL SELECT 'D02', id, CAST(s - g AS BIGINT) FROM br WHERE s <> g UNION ALL SELECT 'D03', no, CAST(s - net_debt_kr AS BIGINT) FROM bi WHERE s > net_debt_kr UNION ALL SELECT 'D04', no, CAST(net_debt_kr - s AS BIGINT) FROM bi WHERE net_debt_kr - s < 0 UNION ALL SELECT 'D05', no, CAST(s AS BIGINT) FROM bi WHERE NOT valid AND s <> 0 UNION ALL SELECT 'D06', 0, CAST(o AS BIGINT) FROM (SELECT sum(debit_kr - credit_kr) AS o FROM journal) WHERE o <> 0")),
