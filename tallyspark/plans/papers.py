@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents, ledger, tracing
+from tallyspark.operators import documents, layout, ledger, tracing
 from tallyspark.plans.money_flows import _ALL, _all
 from tallyspark.sources.model import over, table, view
 
@@ -86,21 +86,64 @@ _LINES_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS line,
 
 
 def _words(s, d):
-    """Pages with three columns of words, a page for each order and a line for each of its line numbers."""
-    least = [F.min(c).cast("long").cast("string").alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")]
-    x = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n")).agg(*least)
-    x = x.select("doc_id", "page", "n", F.array(F.lit("Kalem"), "l_partkey", "l_suppkey", "l_quantity").alias("w"))
-    each = x.select("doc_id", "page", "n", F.posexplode("w").alias("i", "text"))
-    x0 = F.element_at(F.array(*map(F.lit, (10.0, 45.0, 200.0, 400.0))), F.col("i") + 1)
-    return each.select("doc_id", "page", (F.col("n") * 4 + F.col("i")).cast("long").alias("k"), "text", x0.alias("x0"), (F.col("n") * 20).cast("double").alias("y0"), (x0 + 30).alias("x1"), (F.col("n") * 20 + 10).cast("double").alias("y1"), "n")
-
-
-def _grid(s, d):
-    w = _words(s, d)
-    return documents.grid(w.drop("n"), w.select("doc_id", "page", "k", F.col("n").cast("long").alias("line")))
-
+    """A printed invoice for each order: a head of two columns, a table whose words drift up and down, and a total, on the next page for every fourth."""
+    c = F.col
+    least = [F.min(x).cast("long").alias(x) for x in ("l_partkey", "l_suppkey", "l_quantity")]
+    n, o, text = c("l_linenumber").cast("long"), c("o_orderkey"), lambda x: x.cast("string")
+    word = lambda k, said, x0, y0, wide, high=10, page=1: F.struct(F.lit(page).alias("page"), (F.lit(k) if isinstance(k, int) else k).cast("long").alias("k"), said.alias("text"), F.lit(x0).cast("double").alias("x0"), (F.lit(y0) if isinstance(y0, int) else y0).cast("double").alias("y0"), F.lit(x0 + wide).cast("double").alias("x1"), ((F.lit(y0) if isinstance(y0, int) else y0) + high).cast("double").alias("y1"))
+    head = [
+        word(0, F.lit("FATURA"), 60, 20, 80, 18), word(1, F.lit("Fatura"), 60, 60, 35), word(2, F.lit("No:"), 96, 60, 18), word(3, text(o), 400, 60 + o % 8, 60), word(4, F.lit("Sayin"), 60, 90, 32), word(5, F.lit("Tarih"), 330, 90, 30),
+        word(6, F.lit("Musteri"), 60, 106, 40), word(7, text(c("o_custkey")), 104, 106 + o % 3, 36), word(8, F.date_format("o_orderdate", "dd.MM.yyyy"), 330, 106, 50), word(9, F.lit("Toplam"), 360, 312, 40),
+    ]
+    last = F.when(o % 4 == 0, word(0, text(o * 3), 370, 20, 50, page=2)).otherwise(word(10, text(o * 3), 470, 312 + o % 8, 50))
+    heads = table(s, d, "orders").select(o.alias("doc_id"), F.explode(F.array(*head, last)).alias("w"))
+    y = lambda x: 160 + n * 14 + x
+    row = [word(100 + n * 4, F.lit("Kalem"), 45, y(0), 35), word(101 + n * 4, text(c("l_partkey")), 165, y(c("l_partkey") % 5), 35), word(102 + n * 4, text(c("l_quantity")), 240, y(n % 3 * 2), 20), word(103 + n * 4, text(c("l_suppkey")), 330, y(c("l_partkey") % 5 + n % 3 * 2), 30)]
+    items = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least).select(c("l_orderkey").alias("doc_id"), F.explode(F.array(*row)).alias("w"))
+    return heads.unionByName(items).select("doc_id", "w.*")
+
+
+_NAMES = ["fatura no", "sayin", "tarih", "toplam"]
+
+
+def _lines_of(s, d):
+    return view(s, d, "layout_lines", lambda s, d: layout.lines(_words(s, d)))
+
+
+#: Lines by recursion over the words of a page in order.
+_LAYOUT_SQL = """WITH RECURSIVE li AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, CAST(min(l_partkey) AS BIGINT) AS p, CAST(min(l_suppkey) AS BIGINT) AS s, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL),
+w AS (SELECT doc_id, page, k, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x0 + wide AS DOUBLE) AS x1, CAST(y0 + high AS DOUBLE) AS y1 FROM (
+  SELECT o_orderkey AS doc_id, unnest([{'page': 1, 'k': 0, 'text': 'FATURA', 'x0': 60, 'y0': 20, 'wide': 80, 'high': 18}, {'page': 1, 'k': 1, 'text': 'Fatura', 'x0': 60, 'y0': 60, 'wide': 35, 'high': 10}, {'page': 1, 'k': 2, 'text': 'No:', 'x0': 96, 'y0': 60, 'wide': 18, 'high': 10},
+    {'page': 1, 'k': 3, 'text': CAST(o_orderkey AS VARCHAR), 'x0': 400, 'y0': 60 + o_orderkey % 8, 'wide': 60, 'high': 10}, {'page': 1, 'k': 4, 'text': 'Sayin', 'x0': 60, 'y0': 90, 'wide': 32, 'high': 10}, {'page': 1, 'k': 5, 'text': 'Tarih', 'x0': 330, 'y0': 90, 'wide': 30, 'high': 10},
+    {'page': 1, 'k': 6, 'text': 'Musteri', 'x0': 60, 'y0': 106, 'wide': 40, 'high': 10}, {'page': 1, 'k': 7, 'text': CAST(o_custkey AS VARCHAR), 'x0': 104, 'y0': 106 + o_orderkey % 3, 'wide': 36, 'high': 10}, {'page': 1, 'k': 8, 'text': strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y'), 'x0': 330, 'y0': 106, 'wide': 50, 'high': 10},
+    {'page': 1, 'k': 9, 'text': 'Toplam', 'x0': 360, 'y0': 312, 'wide': 40, 'high': 10}, CASE WHEN o_orderkey % 4 = 0 THEN {'page': 2, 'k': 0, 'text': CAST(o_orderkey * 3 AS VARCHAR), 'x0': 370, 'y0': 20, 'wide': 50, 'high': 10} ELSE {'page': 1, 'k': 10, 'text': CAST(o_orderkey * 3 AS VARCHAR), 'x0': 470, 'y0': 312 + o_orderkey % 8, 'wide': 50, 'high': 10} END], recursive := true) FROM orders
+  UNION ALL SELECT o, unnest([{'page': 1, 'k': 100 + n * 4, 'text': 'Kalem', 'x0': 45, 'y0': 160 + n * 14, 'wide': 35, 'high': 10}, {'page': 1, 'k': 101 + n * 4, 'text': CAST(p AS VARCHAR), 'x0': 165, 'y0': 160 + n * 14 + p % 5, 'wide': 35, 'high': 10}, {'page': 1, 'k': 102 + n * 4, 'text': CAST(q AS VARCHAR), 'x0': 240, 'y0': 160 + n * 14 + n % 3 * 2, 'wide': 20, 'high': 10},
+    {'page': 1, 'k': 103 + n * 4, 'text': CAST(s AS VARCHAR), 'x0': 330, 'y0': 160 + n * 14 + p % 5 + n % 3 * 2, 'wide': 30, 'high': 10}], recursive := true) FROM li)),
+s AS (SELECT doc_id, page, text, x0, x1, (y0 + y1) / 2 AS mid, y1 - y0 AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY CAST(trunc((y0 + y1) / 2) AS BIGINT), CAST(trunc(x0) AS BIGINT), k) AS i FROM w),
+f AS (SELECT doc_id, page, i, CAST(1 AS BIGINT) AS line, mid AS total, 1 AS n FROM s WHERE i = 1 UNION ALL SELECT doc_id, page, i, CASE WHEN far THEN line + 1 ELSE line END, CASE WHEN far THEN mid ELSE total + mid END, CASE WHEN far THEN 1 ELSE n + 1 END FROM (SELECT s.doc_id, s.page, s.i, s.mid, line, total, n, abs(total / n - s.mid) > greatest(0.6::DOUBLE * s.h, 2) AS far FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.i = f.i + 1)),
+t AS (SELECT s.*, line, lag(x1) OVER (PARTITION BY s.doc_id, s.page, line ORDER BY x0, s.i) AS before FROM s JOIN f ON f.doc_id = s.doc_id AND f.page = s.page AND f.i = s.i),
+z AS (SELECT doc_id, page, line, avg(mid) AS y, string_agg(CASE WHEN x0 - before > 0.9::DOUBLE * h THEN '   ' WHEN x0 - before > 0.5 THEN ' ' ELSE '' END || text, '' ORDER BY x0, i) AS text FROM t GROUP BY ALL)"""
+_GRID_SQL = (
+    _LAYOUT_SQL
+    + """, g AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY line)) AS gap FROM z), m AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap > 0)) AS gs FROM g GROUP BY ALL),
+b AS (SELECT g.doc_id, g.page, line, CAST(sum(CASE WHEN gap > 1.8::DOUBLE * gs[len(gs) // 2 + 1] THEN 1 ELSE 0 END) OVER (PARTITION BY g.doc_id, g.page ORDER BY line) AS BIGINT) AS band FROM g JOIN m ON m.doc_id = g.doc_id AND m.page = g.page),
+v AS (SELECT t.*, band FROM t JOIN b ON b.doc_id = t.doc_id AND b.page = t.page AND b.line = t.line), hs AS (SELECT doc_id, page, band, list_sort(list(h)) AS hs FROM v GROUP BY ALL),
+r AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page, band ORDER BY x0, x1, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM v),
+k AS (SELECT r.doc_id, r.page, r.band, list((reached + x0) / 2) AS cs FROM r JOIN hs ON hs.doc_id = r.doc_id AND hs.page = r.page AND hs.band = r.band WHERE len(hs) >= 4 AND x0 - reached >= 1.2::DOUBLE * greatest(hs[len(hs) // 2 + 1], 1) GROUP BY ALL),
+c AS (SELECT v.*, sum(CASE WHEN len(list_filter(cs, lambda u: u > before AND u < x0)) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY v.doc_id, v.page, line ORDER BY x0, i) AS cell FROM v LEFT JOIN k ON k.doc_id = v.doc_id AND k.page = v.page AND k.band = v.band)
+SELECT doc_id, page, line, band, CAST(cell AS INTEGER) AS cell, string_agg(text, ' ' ORDER BY x0, i) AS text FROM c GROUP BY ALL"""
+)
+_LABELS_SQL = (
+    _LAYOUT_SQL
+    + f""", lab(label) AS (VALUES {', '.join(f"('{x}')" for x in _NAMES)}), plain AS (SELECT t.*, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS p FROM t),
+hit AS (SELECT z.doc_id, z.page, z.line, y, label FROM z JOIN lab ON contains(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), label)),
+e AS (SELECT hit.*, p.x0 AS ex0, p.x1 AS ex1, p.h AS eh FROM hit JOIN plain p ON p.doc_id = hit.doc_id AND p.page = hit.page AND p.line = hit.line WHERE contains(label, p.p) QUALIFY row_number() OVER (PARTITION BY hit.doc_id, hit.page, hit.line, label ORDER BY p.x0 DESC, p.i DESC) = 1),
+seq AS (SELECT doc_id, page, line, y, lead(page) OVER o AS np, lead(line) OVER o AS nl, lead(y) OVER o AS ny FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY page, line)),
+rt AS (SELECT e.doc_id, label, e.page, e.line, string_agg(t.text, ' ' ORDER BY x0, i) AS value, min(x0 - ex1) AS distance FROM e JOIN t ON t.doc_id = e.doc_id AND t.page = e.page AND t.line = e.line WHERE x0 > ex1 + 1 AND h <= 2 * eh GROUP BY ALL),
+un AS (SELECT e.doc_id, label, e.page, e.line, string_agg(t.text, ' ' ORDER BY x0, i) AS value, min(abs(ny - e.y)) AS distance FROM e JOIN seq ON seq.doc_id = e.doc_id AND seq.page = e.page AND seq.line = e.line JOIN t ON t.doc_id = e.doc_id AND t.page = np AND t.line = nl WHERE t.x1 > ex0 - 2 * eh AND t.x0 < ex1 + 12 * eh AND h <= 2 * eh GROUP BY ALL)
+SELECT doc_id, label, CAST(row_number() OVER (PARTITION BY doc_id, label ORDER BY distance, page, line, w) AS INTEGER) AS place, value, relation, distance FROM (SELECT *, 'SAGINDA' AS relation, 1 AS w FROM rt UNION ALL SELECT *, 'ALTINDA', 2 FROM un)"""
+)
 
-_GRID_SQL = "SELECT l_orderkey AS doc_id, 1 AS page, CAST(l_linenumber AS BIGINT) AS line, c AS corridor, CASE c WHEN 0 THEN 'Kalem ' || CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS text FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL), (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS c)"
 
 def _below(language: str) -> list[str]:
     """How a language says 0 to 999."""
@@ -149,6 +192,8 @@ QUERIES = {
     "provenance_confidence": (lambda s, d: tracing.provenance_confidence(_s(s, d), _all(s, d)), over("receipt", _ALL + " SELECT no, CAST(net_debt_kr AS BIGINT) AS net_debt_kr, CAST(paid AS BIGINT) AS paid_kr, CASE WHEN paid >= net_debt_kr THEN 'TAM' WHEN paid > 0 THEN 'KISMI' ELSE 'ESLESMEYEN' END AS level, CASE WHEN paid >= net_debt_kr THEN 100 WHEN paid > 0 THEN 60 ELSE 30 END AS confidence FROM (SELECT sale.no, net_debt_kr, coalesce(p, 0) AS paid FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS p FROM alloc GROUP BY no) a ON a.no = sale.no)")),
     "document_checks": (lambda s, d: documents.resolve(_read(s, d)), over("sale", f"WITH {_READ_SQL}")),
     "line_items": (_lines, _LINES_SQL),
-    "layout_grid": (_grid, _GRID_SQL),
+    "layout_lines": (lambda s, d: _lines_of(s, d).select("doc_id", "page", "line", "y", "text"), _LAYOUT_SQL + " SELECT * FROM z"),
+    "layout_grid": (lambda s, d: layout.grid(_lines_of(s, d)), _GRID_SQL),
+    "label_values": (lambda s, d: layout.label_values(_lines_of(s, d), _NAMES), _LABELS_SQL),
 }
 DATES = {"instalment_match": ["paid_on"], "instalment_leftovers": ["date"]}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents
+from tallyspark.operators import documents, layout
 from tallyspark.sources import io
 from tallyspark.streaming import ingest
 
@@ -18,7 +18,7 @@ def test_chart_and_statement(spark, tmp_path):
 def test_positioned_words(spark):
     xhtml = '<word xMin="10" yMin="0" xMax="20" yMax="10">A&amp;B</word><word xMin="40" yMin="1" xMax="50" yMax="11">12</word><word xMin="10" yMin="30" xMax="20" yMax="40">next</word>'
     words = documents.positioned(spark.createDataFrame([(1, 1, xhtml)], "doc_id long, page int, xhtml string"))
-    assert [r.text for r in documents.text_lines(words).orderBy("line").collect()] == ["A&B   12", "next"]
+    assert [r.text for r in layout.lines(words).orderBy("line").collect()] == ["A&B   12", "next"]
     items = documents.line_items(spark.createDataFrame([(1, 1, "Pens 3 2.50 7.50"), (1, 2, "1 2 3")], "doc_id long, line int, text string")).collect()
     assert [(r.name, r.qty, r.price, r.amount) for r in items] == [("Pens", 3.0, 2.5, 7.5)]
 
