@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.accounts import ledger_code
@@ -93,11 +93,12 @@ def scenario(rows: DataFrame, tax_ppm: int = 250_000) -> DataFrame:
 
 def validated(entries: DataFrame, known: DataFrame) -> DataFrame:
     """First failing rule of each entry: U1 fewer than two lines, U2 a line without exactly one side, U3 unbalanced, U4 unknown account, U5 RJE on 6 or 7, U6 the same lines as an earlier entry."""
-    met = entries.join(F.broadcast(known.select(F.col("code").alias("account"), F.lit(True).alias("known"))), "account", "left")
+    met = entries.join(known.select(F.col("code").alias("account"), F.lit(True).alias("known")), "account", "left")
     e = met.groupBy("no").agg(
         F.count("*").alias("n"), F.bool_or((F.col("debit_kr") > 0) == (F.col("credit_kr") > 0)).alias("side"), F.sum(F.col("debit_kr") - F.col("credit_kr")).alias("off"), F.bool_or(F.col("known").isNull()).alias("unknown"),
         F.bool_or((F.col("kind") == "RJE") & F.substring("account", 1, 1).isin("6", "7")).alias("touch"), F.sort_array(F.collect_list(F.struct("account", "debit_kr", "credit_kr"))).alias("lines"),
     )
-    again = F.row_number().over(Window.partitionBy("lines").orderBy("no")) > 1
+    e = e.join(e.groupBy("lines").agg(F.min("no").alias("earliest")), "lines")  # combined before the shuffle: however many entries are alike
+    again = F.col("no") > F.col("earliest")
     rule = F.when(F.col("n") < 2, "U1").when(F.col("side"), "U2").when(F.col("off") != 0, "U3").when(F.col("unknown"), "U4").when(F.col("touch"), "U5").when(F.col("again"), "U6").otherwise("OK")
     return e.withColumn("again", again).select("no", rule.alias("rule"))

@@ -110,6 +110,12 @@ def _leveled(s, d):
     return ledger.voucher_totals(_j(s, d)).select("voucher", level.alias("level"), "debit_kr")
 
 
+def _whole_chart(s, d):
+    """The chart with the sub-accounts that the journal was posted to."""
+    subs = _j(s, d).where("instr(account, '.') > 0").select(F.col("account").alias("code")).distinct()
+    return chart(s).unionByName(subs.withColumn("name", F.concat(F.lit("Alt hesap "), "code")))
+
+
 QUERIES = {
     "trial_balance": (lambda s, d: ledger.trial_balance(_j(s, d)), over("journal", TB)),
     "trial_balance_named": (
@@ -137,7 +143,7 @@ QUERIES = {
     "voucher_totals": (lambda s, d: ledger.voucher_totals(_j(s, d)), over("journal", "SELECT voucher, CAST(sum(debit_kr) AS BIGINT) AS debit_kr, CAST(sum(credit_kr) AS BIGINT) AS credit_kr FROM journal GROUP BY voucher")),
     "subsidiary_summary": (lambda s, d: ledger.subsidiary_summary(_j(s, d), "120"), over("journal", "SELECT account, count(*) AS n, CAST(sum(debit_kr) AS BIGINT) AS debit_kr, CAST(sum(credit_kr) AS BIGINT) AS credit_kr, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal WHERE account LIKE '120%' GROUP BY account")),
     "ledger_page": (lambda s, d: ledger.page(_j(s, d), "153", 100, 200), over("journal", "SELECT date, voucher, line_no, debit_kr, credit_kr, balance_kr FROM (SELECT *, CAST(sum(debit_kr - credit_kr) OVER (ORDER BY date, voucher, line_no) AS BIGINT) AS balance_kr, row_number() OVER (ORDER BY date DESC, voucher DESC, line_no DESC) AS k FROM journal WHERE account = '153') WHERE k > 100 AND k <= 300")),
-    "account_levels": (lambda s, d: ledger.chart_levels(chart(s)), f"WITH {CHART_SQL} SELECT code, name, {KIND} AS type, {NATURE} AS nature, CAST(length(code) AS INTEGER) AS level, length(code) = 3 AS postable FROM chart"),
+    "account_levels": (lambda s, d: ledger.chart_levels(_whole_chart(s, d)), over("journal", f"WITH {CHART_SQL}, whole AS (SELECT code, name FROM chart UNION ALL SELECT DISTINCT account, 'Alt hesap ' || account FROM journal WHERE contains(account, '.')) SELECT code, name, {KIND} AS type, {NATURE} AS nature, CAST(CASE WHEN contains(code, '.') THEN 2 + len(string_split(code, '.')) ELSE length(code) END AS INTEGER) AS level, (length(code) = 3 OR contains(code, '.')) AND code NOT IN (SELECT split_part(code, '.', 1) FROM whole WHERE contains(code, '.')) AS postable FROM whole WHERE left(code, 1) <> '8'")),
     "party_balance": (lambda s, d: ledger.subsidiary_summary(_j(s, d), "320"), over("journal", "SELECT account, count(*) AS n, CAST(sum(debit_kr) AS BIGINT) AS debit_kr, CAST(sum(credit_kr) AS BIGINT) AS credit_kr, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal WHERE account LIKE '320%' GROUP BY account")),
     "invoice_totals": (lambda s, d: posting.invoice_totals(_invoice_lines(s, d)), "WITH l AS (SELECT l_orderkey AS no, CAST(l_quantity AS BIGINT) * (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) AS net, CAST(round(l_tax * 100) AS BIGINT) AS rate, l_returnflag = 'N' AS exempt FROM lineitem) SELECT no, CAST(sum(net) AS BIGINT) AS net_kr, CAST(sum(CASE WHEN exempt THEN 0 ELSE (net * rate + 50) // 100 END) AS BIGINT) AS vat_kr, CAST(sum(net + CASE WHEN exempt THEN 0 ELSE (net * rate + 50) // 100 END) AS BIGINT) AS gross_kr FROM l GROUP BY no"),
     "invoice_postings": (lambda s, d: posting.sale_accruals(_s(s, d)), over("journal", "SELECT * FROM journal WHERE kind = 'accrual'")),

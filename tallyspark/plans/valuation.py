@@ -30,9 +30,28 @@ def _entries(s):
     return s.createDataFrame(_ENTRIES, "no string, kind string, carry string, account string, debit_kr long, credit_kr long")
 
 
-def _known(s):
+def _made(s, d):
+    """An adjusting entry for each sale: against its party, some of one line, of two sides, unbalanced, on an unknown account or on profit and loss; many are alike."""
+    no, c = F.col("no"), F.col
+    fault, amount, zero = no % 11, c("net_kr") % 5 + 1, F.lit(0).cast("bigint")
+    account = F.when(fault == 4, "999").when(no % 2 == 0, "654.90").otherwise("153")
+    line = lambda a, debit, credit: F.struct(a.alias("account"), debit.alias("debit_kr"), credit.alias("credit_kr"))
+    first = line(account, amount, F.when(fault == 2, amount).otherwise(zero))
+    second = line(F.concat(F.lit("120."), c("party").cast("string")), zero, amount + F.when(fault == 3, 1).otherwise(0))
+    carry = F.element_at(F.array(*map(F.lit, _CARRY)), (no % 5 + 1).cast("int"))
+    return view(s, d, "sales").select(F.concat(F.lit("E"), no.cast("string")).alias("no"), F.when(no % 3 == 0, "RJE").otherwise("AJE").alias("kind"), carry.alias("carry"), F.inline(F.array_compact(F.array(first, F.when(fault != 1, second)))))
+
+
+_CARRY = ["TASI_BIRAK", "TERS_CEVIR", "TASIMA_YOK", "YENIDEN_URET", "AYNEN"]
+_MADE_SQL = f"""entries AS (SELECT 'E' || CAST(no AS VARCHAR) AS no, CASE WHEN no % 3 = 0 THEN 'RJE' ELSE 'AJE' END AS kind, list_extract({_CARRY}, CAST(no % 5 + 1 AS INTEGER)) AS carry, account, CAST(debit_kr AS BIGINT) AS debit_kr, CAST(credit_kr AS BIGINT) AS credit_kr FROM (
+  SELECT no, CASE WHEN no % 11 = 4 THEN '999' WHEN no % 2 = 0 THEN '654.90' ELSE '153' END AS account, net_kr % 5 + 1 AS debit_kr, CASE WHEN no % 11 = 2 THEN net_kr % 5 + 1 ELSE 0 END AS credit_kr FROM sale
+  UNION ALL SELECT no, '120.' || CAST(party AS VARCHAR), 0, net_kr % 5 + 1 + CASE WHEN no % 11 = 3 THEN 1 ELSE 0 END FROM sale WHERE no % 11 <> 1))"""
+
+
+def _known(s, d):
+    """The chart, accounts of adjustments, and whatever the journal was posted to."""
     extra = s.createDataFrame([("654.90",), ("129.90",), ("657.90",), ("122.90",), ("303.90",)], "code string")
-    return chart(s).select("code").unionByName(extra)
+    return chart(s).select("code").unionByName(extra).unionByName(_j(s, d).select(F.col("account").alias("code"))).distinct()
 
 
 _N = "n AS (SELECT account, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal GROUP BY account)"
@@ -123,8 +142,8 @@ def _all_numbers(s, d):
 
 QUERIES = {
     "worksheet": (lambda s, d: adjustments.worksheet(_net(s, d), _entries(s)), over("journal", f"WITH {_N}, {_ENTRIES_SQL}, u AS (SELECT split_part(account, '.', 1) AS code, 'VUK' AS kind, net_kr, CAST(NULL AS VARCHAR) AS no FROM n UNION ALL SELECT account, kind, debit_kr - credit_kr, no FROM entries), g AS (SELECT code, CAST(sum(CASE WHEN kind = 'VUK' THEN net_kr ELSE 0 END) AS BIGINT) AS vuk, CAST(sum(CASE WHEN kind = 'AJE' THEN net_kr ELSE 0 END) AS BIGINT) AS aje, CAST(sum(CASE WHEN kind = 'RJE' THEN net_kr ELSE 0 END) AS BIGINT) AS rje, CAST(0 AS BIGINT) AS cf, coalesce(string_agg(DISTINCT no, ',' ORDER BY no), '') AS refs FROM u GROUP BY code) SELECT *, vuk + aje AS adjusted, vuk + aje + rje + cf AS tfrs FROM g WHERE vuk <> 0 OR aje <> 0 OR rje <> 0")),
-    "carry_forward": (lambda s, d: adjustments.carried(_entries(s)), f"WITH {_ENTRIES_SQL} SELECT no, 'CF' AS kind, CASE WHEN carry = 'TASI_BIRAK' AND left(account, 1) IN ('6', '7') THEN '570' ELSE account END AS account, CASE WHEN carry = 'TERS_CEVIR' THEN credit_kr ELSE debit_kr END AS debit_kr, CASE WHEN carry = 'TERS_CEVIR' THEN debit_kr ELSE credit_kr END AS credit_kr FROM entries WHERE carry NOT IN ('TASIMA_YOK', 'YENIDEN_URET')"),
-    "entry_validation": (lambda s, d: adjustments.validated(_entries(s), _known(s)), f"WITH {CHART_SQL}, {_ENTRIES_SQL}, k AS (SELECT code FROM chart UNION ALL SELECT unnest(['654.90', '129.90', '657.90', '122.90', '303.90'])), e AS (SELECT no, count(*) AS n, bool_or((debit_kr > 0) = (credit_kr > 0)) AS side, sum(debit_kr - credit_kr) AS off, bool_or(account NOT IN (SELECT code FROM k)) AS unknown, bool_or(kind = 'RJE' AND left(account, 1) IN ('6', '7')) AS touch, string_agg(account || ':' || debit_kr || ':' || credit_kr, ',' ORDER BY account, debit_kr, credit_kr) AS x FROM entries GROUP BY no), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY no) > 1 AS again FROM e) SELECT no, CASE WHEN n < 2 THEN 'U1' WHEN side THEN 'U2' WHEN off <> 0 THEN 'U3' WHEN unknown THEN 'U4' WHEN touch THEN 'U5' WHEN again THEN 'U6' ELSE 'OK' END AS rule FROM r"),
+    "carry_forward": (lambda s, d: adjustments.carried(_made(s, d)), over("sale", f"WITH {_MADE_SQL} SELECT no, 'CF' AS kind, CASE WHEN carry = 'TASI_BIRAK' AND left(account, 1) IN ('6', '7') THEN '570' ELSE account END AS account, CASE WHEN carry = 'TERS_CEVIR' THEN credit_kr ELSE debit_kr END AS debit_kr, CASE WHEN carry = 'TERS_CEVIR' THEN debit_kr ELSE credit_kr END AS credit_kr FROM entries WHERE carry NOT IN ('TASIMA_YOK', 'YENIDEN_URET')")),
+    "entry_validation": (lambda s, d: adjustments.validated(_made(s, d), _known(s, d)), over("journal", f"WITH {CHART_SQL}, {_MADE_SQL}, k AS (SELECT code FROM chart UNION SELECT unnest(['654.90', '129.90', '657.90', '122.90', '303.90']) UNION SELECT account FROM journal), e AS (SELECT no, count(*) AS n, bool_or((debit_kr > 0) = (credit_kr > 0)) AS side, sum(debit_kr - credit_kr) AS off, bool_or(account NOT IN (SELECT code FROM k)) AS unknown, bool_or(kind = 'RJE' AND left(account, 1) IN ('6', '7')) AS touch, string_agg(account || ':' || debit_kr || ':' || credit_kr, ',' ORDER BY account, debit_kr, credit_kr) AS x FROM entries GROUP BY no), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY no) > 1 AS again FROM e) SELECT no, CASE WHEN n < 2 THEN 'U1' WHEN side THEN 'U2' WHEN off <> 0 THEN 'U3' WHEN unknown THEN 'U4' WHEN touch THEN 'U5' WHEN again THEN 'U6' ELSE 'OK' END AS rule FROM r")),
     "rediscount": (lambda s, d: adjustments.rediscount(_net(s, d)), over("journal", f"WITH {_N}, a AS (SELECT account, CASE WHEN account LIKE '12%' AND left(account, 3) NOT IN ('122', '128', '129') THEN 'receivable' WHEN account LIKE '32%' AND left(account, 3) <> '322' THEN 'payable' END AS side, net_kr FROM n), b AS (SELECT account, side, CASE WHEN side = 'receivable' THEN net_kr ELSE -net_kr END AS amount_kr FROM a WHERE side IS NOT NULL) SELECT *, amount_kr - CAST((2 * CAST(amount_kr AS HUGEINT) * 365000000 + 388850000) // (2 * 388850000) AS BIGINT) AS discount_kr FROM b WHERE amount_kr >= 1000000")),
     "expected_loss": (lambda s, d: adjustments.expected_loss(_net(s, d)), over("journal", f"WITH {_N}, g AS (SELECT CAST(greatest(sum(CASE WHEN account LIKE '120%' THEN net_kr ELSE 0 END), 0) + greatest(sum(CASE WHEN account LIKE '121%' THEN net_kr ELSE 0 END), 0) AS HUGEINT) AS g FROM n), p AS (SELECT g, {', '.join(f'(2 * g * {b} + 1000000) // 2000000 AS p{i}' for i, b in enumerate((500000, 250000, 120000, 80000), 1))} FROM g), q AS (SELECT *, g - p1 - p2 - p3 - p4 AS p5 FROM p) " + " UNION ALL ".join(f"SELECT {i} AS bucket, CAST(p{i} AS BIGINT) AS amount_kr, CAST((2 * p{i} * {r * 1050000} + 1000000000000) // 2000000000000 AS BIGINT) AS loss_kr FROM q" for i, r in enumerate((5000, 20000, 60000, 150000, 400000), 1)))),
     "severance": (lambda s, d: adjustments.severance(_staff(s, d)), f"WITH s AS (SELECT s_suppkey AS id, s_suppkey % 40 + 1 AS heads, s_suppkey * 100003 % 9000000 + 2000000 AS wage, s_suppkey % 150 AS tenths, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS booked FROM supplier), e AS (SELECT id, booked, (2 * heads * least(wage, 7372987) * tenths + 10) // 20 AS earned FROM s), p AS (SELECT *, CAST((2 * CAST(earned AS HUGEINT) * {950000 * adjustments.compound_ppm(35000, 10)} + 1000000000000) // 2000000000000 AS BIGINT) AS prov FROM e), d AS (SELECT *, prov - booked AS diff, (2 * greatest(prov - booked, 0) * 100000 + 1000000) // 2000000 AS short FROM p) SELECT id, earned AS earned_kr, prov AS provision_kr, diff AS difference_kr, short AS short_kr, greatest(diff, 0) - short AS long_kr FROM d"),
