@@ -176,7 +176,9 @@ def line_items(lines: DataFrame) -> DataFrame:
 
 #: Points of a document's confidence, and what findings take from it, fixed values.
 POINTS = {"language": 10, "kind": 10, "total": 15, "date": 10, "party": 10, "words": 25, "items": 20, "sum": 15}
-SEVERITY = {"B00": 0, "B01": 40, "B02": 10, "B03": 40, "B04": 10, "B05": 10, "B06": 10, "B07": 40, "B08": 10}
+SEVERITY = {"B00": 0, "B01": 40, "B02": 10, "B03": 40, "B04": 10, "B05": 10, "B06": 10, "B07": 40, "B08": 10, "B09": 0, "B10": 10, "B11": 10}
+#: Languages whose tax fields are read as well.
+CORE = ["tr", "en"]
 READY = 60
 
 
@@ -184,11 +186,12 @@ def resolve(read: DataFrame) -> DataFrame:
     """What speaks for and against each document as it was read: findings in order, confidence from 0 to 100, ready for the books or not.
 
     `read`: doc_id, language, kind, date, party, net_kr, vat_kr, rate, total_kr, words_kr (the amount in words), items_kr (their
-    sum), n_items, n_read (items that are numbers), needs_party; null or empty where nothing was read.
+    sum), n_items, n_read (items that are numbers), needs_party; null or empty where nothing was read.  It may have label_states,
+    an array of what `terms.corrected` says of each label (ONERI: one suggestion; BELIRSIZ: several).
     B00 digits and words, or items and total, confirm each other; B01 no language; B02 no kind; B03 digits against words; B04
     items against net (or total, if net or tax is missing); B05 net and tax against total; B06 tax against its rate by more than
-    100 kurus; B07 a field is missing that must be there; B08 items that are no numbers.  B01, B03 and B07 keep a document
-    from the books.
+    100 kurus; B07 a field is missing that must be there; B08 items that are no numbers; B09 tax fields of the language are not
+    read; B10 a label has a suggestion, B11 several, each label for itself.  B01, B03 and B07 keep a document from the books.
     """
     c = F.col
     empty = lambda x: F.coalesce(c(x), F.lit("")) == ""
@@ -200,7 +203,7 @@ def resolve(read: DataFrame) -> DataFrame:
     three = whole & c("total_kr").isNotNull()
     expected = F.call_function("div", c("net_kr") * c("rate"), F.lit(100))
     found = [
-        ("B01", empty("language")), ("B02", empty("kind")), ("B08", c("n_read") < c("n_items")), ("B00", spoken_right), ("B03", spoken & ~spoken_right), ("B00", itemised_right), ("B04", itemised & ~itemised_right),
+        ("B01", empty("language")), ("B09", ~empty("language") & ~c("language").isin(CORE)), ("B02", empty("kind")), ("B08", c("n_read") < c("n_items")), ("B00", spoken_right), ("B03", spoken & ~spoken_right), ("B00", itemised_right), ("B04", itemised & ~itemised_right),
         ("B05", three & (c("net_kr") + c("vat_kr") != c("total_kr"))), ("B06", three & (c("rate") > 0) & (c("net_kr") > 0) & (F.abs(expected - c("vat_kr")) > 100)),
         ("B07", c("date").isNull() | c("total_kr").isNull() | (c("needs_party") & empty("party") & ~empty("kind"))),
     ]
@@ -211,6 +214,10 @@ def resolve(read: DataFrame) -> DataFrame:
     yes = lambda x: F.coalesce(x, F.lit(False))
     score = sum((F.when(yes(x), POINTS[k]).otherwise(0) for k, x in points.items()), F.lit(0)) - sum((F.when(yes(x), SEVERITY[k]).otherwise(0) for k, x in found), F.lit(0))
     codes = F.array_compact(F.array(*[F.when(yes(x), F.lit(k)) for k, x in found]))
+    if "label_states" in read.columns:
+        unsure = F.filter(F.coalesce("label_states", F.array().cast("array<string>")), lambda x: x.isin("ONERI", "BELIRSIZ"))
+        codes = F.concat(codes, F.transform(unsure, lambda x: F.when(x == "ONERI", "B10").otherwise("B11")))
+        score = score - 10 * F.size(unsure)
     held = F.arrays_overlap(codes, F.array(*[F.lit(k) for k, v in SEVERITY.items() if v == 40]))
     confidence = F.greatest(F.least(score, F.lit(100)), F.lit(0))
     return read.select("doc_id", F.array_join(codes, ",").alias("findings"), confidence.cast("int").alias("confidence"), (~held & (confidence >= READY)).alias("ready"))

@@ -53,18 +53,19 @@ def _read(s, d):
     """Invoices as they would be read from paper, with planted faults by number."""
     k, c = F.col("no") % 29, F.col
     return _s(s, d).where("gross_kr > 0").select(
-        c("no").alias("doc_id"), F.when(k == 1, "").otherwise("tr").alias("language"), F.when(k == 2, "").otherwise("fatura").alias("kind"), F.when(k != 3, c("date")).alias("date"), F.when(k != 4, c("party").cast("string")).alias("party"),
+        c("no").alias("doc_id"), F.when(k == 1, "").when(k == 14, "ru").otherwise("tr").alias("language"), F.when(k == 2, "").otherwise("fatura").alias("kind"), F.when(k != 3, c("date")).alias("date"), F.when(k != 4, c("party").cast("string")).alias("party"),
         F.when(k != 5, c("net_kr")).alias("net_kr"), F.when(k == 6, c("vat_kr") + 7).otherwise(c("vat_kr")).alias("vat_kr"), F.when(k.isin(7, 8), F.lit(10)).alias("rate"), F.when(k != 9, c("gross_kr")).alias("total_kr"),
         F.when(k == 10, c("gross_kr") + 100).when(k < 20, c("gross_kr") - c("gross_kr") % 100).alias("words_kr"), F.when(k == 11, c("net_kr") - 1).otherwise(c("net_kr")).alias("items_kr"), F.lit(3).alias("n_items"), F.when(k == 12, 2).when(k == 13, 0).otherwise(3).alias("n_read"), F.lit(True).alias("needs_party"),
+        F.when(k == 15, F.array(*map(F.lit, ("TAM", "ONERI", "BELIRSIZ", "ONERI")))).when(k == 16, F.array(F.lit("TAM"))).alias("label_states"),
     )
 
 
 _READ_SQL = """d AS (SELECT no AS doc_id, k <> 1 AS lang, k <> 2 AS kind, CASE WHEN k <> 3 THEN date END AS date, k <> 4 AS party, CASE WHEN k <> 5 THEN net_kr END AS net, CASE WHEN k = 6 THEN vat_kr + 7 ELSE vat_kr END AS vat, CASE WHEN k IN (7, 8) THEN 10 END AS rate, CASE WHEN k <> 9 THEN gross_kr END AS total,
- CASE WHEN k = 10 THEN gross_kr + 100 WHEN k < 20 THEN gross_kr - gross_kr % 100 END AS words, CASE WHEN k = 11 THEN net_kr - 1 ELSE net_kr END AS items, CASE WHEN k = 12 THEN 2 WHEN k = 13 THEN 0 ELSE 3 END AS n_read FROM (SELECT *, no % 29 AS k FROM sale WHERE gross_kr > 0)),
+ CASE WHEN k = 10 THEN gross_kr + 100 WHEN k < 20 THEN gross_kr - gross_kr % 100 END AS words, CASE WHEN k = 11 THEN net_kr - 1 ELSE net_kr END AS items, CASE WHEN k = 12 THEN 2 WHEN k = 13 THEN 0 ELSE 3 END AS n_read, k FROM (SELECT *, no % 29 AS k FROM sale WHERE gross_kr > 0)),
 t AS (SELECT *, coalesce(words = total OR words = total - total % 100, false) AS said, coalesce(NOT (words = total OR words = total - total % 100), false) AS unsaid, coalesce(n_read > 0 AND items = CASE WHEN net IS NOT NULL AND vat IS NOT NULL THEN net ELSE total END AND total IS NOT NULL, false) AS summed,
  coalesce(n_read > 0 AND total IS NOT NULL AND items <> CASE WHEN net IS NOT NULL AND vat IS NOT NULL THEN net ELSE total END, false) AS unsummed, coalesce(net + vat <> total, false) AS off, coalesce(net + vat = total, false) AS even, coalesce(rate > 0 AND net > 0 AND total IS NOT NULL AND abs(net * rate // 100 - vat) > 100, false) AS rated, date IS NULL OR total IS NULL OR (NOT party AND kind) AS lacks FROM d),
-c AS (SELECT doc_id, list_filter([CASE WHEN NOT lang THEN 'B01' END, CASE WHEN NOT kind THEN 'B02' END, CASE WHEN n_read < 3 THEN 'B08' END, CASE WHEN said THEN 'B00' END, CASE WHEN unsaid THEN 'B03' END, CASE WHEN summed THEN 'B00' END, CASE WHEN unsummed THEN 'B04' END, CASE WHEN off THEN 'B05' END, CASE WHEN rated THEN 'B06' END, CASE WHEN lacks THEN 'B07' END], lambda x: x IS NOT NULL) AS codes,
- greatest(least(10 * lang::INT + 10 * kind::INT + CASE WHEN total IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN date IS NOT NULL THEN 10 ELSE 0 END + 10 * party::INT + 25 * said::INT + 20 * summed::INT + 15 * even::INT - 40 * (NOT lang)::INT - 10 * (NOT kind)::INT - 10 * (n_read < 3)::INT - 40 * unsaid::INT - 10 * unsummed::INT - 10 * off::INT - 10 * rated::INT - 40 * lacks::INT, 100), 0) AS score FROM t)
+c AS (SELECT doc_id, list_filter([CASE WHEN NOT lang THEN 'B01' END, CASE WHEN k = 14 THEN 'B09' END, CASE WHEN NOT kind THEN 'B02' END, CASE WHEN n_read < 3 THEN 'B08' END, CASE WHEN said THEN 'B00' END, CASE WHEN unsaid THEN 'B03' END, CASE WHEN summed THEN 'B00' END, CASE WHEN unsummed THEN 'B04' END, CASE WHEN off THEN 'B05' END, CASE WHEN rated THEN 'B06' END, CASE WHEN lacks THEN 'B07' END, CASE WHEN k = 15 THEN 'B10' END, CASE WHEN k = 15 THEN 'B11' END, CASE WHEN k = 15 THEN 'B10' END], lambda x: x IS NOT NULL) AS codes,
+ greatest(least(10 * lang::INT + 10 * kind::INT + CASE WHEN total IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN date IS NOT NULL THEN 10 ELSE 0 END + 10 * party::INT + 25 * said::INT + 20 * summed::INT + 15 * even::INT - 40 * (NOT lang)::INT - 10 * (NOT kind)::INT - 10 * (n_read < 3)::INT - 40 * unsaid::INT - 10 * unsummed::INT - 10 * off::INT - 10 * rated::INT - 40 * lacks::INT - CASE WHEN k = 15 THEN 30 ELSE 0 END, 100), 0) AS score FROM t)
 SELECT doc_id, array_to_string(codes, ',') AS findings, CAST(score AS INTEGER) AS confidence, NOT list_has_any(codes, ['B01', 'B03', 'B07']) AND score >= 60 AS ready FROM c"""
 
 

@@ -124,3 +124,14 @@ def test_views_follow_their_input(spark, tmp_path):
     assert view(spark, str(tmp_path), "x", make).count() == 3
     write(300)
     assert view(spark, str(tmp_path), "x", make).count() == 300
+
+
+def test_labels_and_languages_of_documents(spark):
+    from tallyspark.operators import documents
+
+    schema = "doc_id long, language string, kind string, date string, party string, net_kr long, vat_kr long, rate int, total_kr long, words_kr long, items_kr long, n_items int, n_read int, needs_party boolean, label_states array<string>"
+    slip = (1, "ru", "makbuz", "2026-02-10", None, None, None, None, 10_217_736, 10_217_700, None, 0, 0, False, None)
+    rows = [slip, (2, *slip[1:-1], ["TAM", None, "ONERI", "BELIRSIZ"]), (3, None, *slip[2:-1], []), (4, "en", *slip[2:])]
+    got = documents.resolve(spark.createDataFrame(rows, schema)).collect()
+    # 10 language, 10 kind, 15 total, 10 date, 25 words
+    assert {r.doc_id: (r.findings, r.confidence, r.ready) for r in got} == {1: ("B09,B00", 70, True), 2: ("B09,B00,B10,B11", 50, False), 3: ("B01,B00", 20, False), 4: ("B00", 70, True)}
