@@ -187,13 +187,6 @@ def suggestions(items: DataFrame, vouchers: DataFrame, days: int, most: int = 10
     return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("id", "voucher", F.abs(F.col("iday") - F.col("day")).alias("days"))
 
 
-def classify(texts: DataFrame, types: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """`texts` (id, text, direction) by the first type (name, direction, keywords) whose keyword the folded text holds."""
-    folded = names.fold("text")
-    found = [F.when((F.col("direction") == d) & F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(folded, k)), n) for n, d, words in types]
-    return texts.select("id", "direction", F.coalesce(*found, F.lit("DIGER")).alias("type"))
-
-
 def name_pairs(queries: DataFrame, named: DataFrame, least: float) -> DataFrame:
     """`queries` (id, name) with the distinct names of `named` (name) that share words to `least` or more.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import names
-from tallyspark.operators import audit, ledger, reconcile
+from tallyspark.operators import audit, ledger, movements, reconcile
 from tallyspark.plans.books import CHART_SQL, NATURE
 from tallyspark.plans.money_flows import _ALL, _all
 from tallyspark.sources.model import chart, over, table, view
@@ -76,7 +76,26 @@ p AS (SELECT name, amount_kr, ours, 0 AS i, theirs AS rest, CAST(NULL AS BIGINT)
   UNION ALL SELECT name, amount_kr, ours, i + 1, list_filter(rest, lambda y: y.id IS DISTINCT FROM near.id), ours[i + 1].id, near.id FROM (SELECT *, list_sort(list_transform(list_filter(rest, lambda y: abs(y.day - ours[i + 1].day) <= 31), lambda y: {{'far': abs(y.day - ours[i + 1].day), 'id': y.id}}))[1] AS near FROM p WHERE i < len(ours)))"""
 _REVERSAL_SQL = """m AS (SELECT account, seq, direction, amount_kr % 300 AS amount_kr, seq % 4 IN (0, 1) AS hint, CASE WHEN "user" % 11 <> 0 THEN ['FIRMA', chr(CAST(65 + "user" % 5 AS INTEGER)), 'GRUP', CAST("user" % 3 AS VARCHAR)] END AS w FROM movement)
 SELECT a.account, a.seq, a.direction, a.amount_kr, max(b.seq) AS reverses FROM m a JOIN m b ON a.account = b.account AND a.amount_kr = b.amount_kr AND a.direction <> b.direction AND b.seq < a.seq AND a.hint AND ((a.w IS NULL AND b.w IS NULL) OR len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w)))) GROUP BY ALL"""
-TYPES = [("KIRA", "CIKIS", ["VIEW"]), ("SATIS", "GIRIS", ["PURCHASE", "SHOP"]), ("IADE", "CIKIS", ["REFUND", "CLICK"])]
+#: Texts of movements with what they are if money comes in and if it goes out.
+_SAID = [
+    ("GELEN TRANSFER 12", "havale_eft_fast_tahsilat", "DIGER"), ("Giden EFT ücreti", "havale_eft_fast_tahsilat", "banka_masrafi"), ("Hesap işletim bedeli", "DIGER", "banka_masrafi"), ("B.S.M.V", "DIGER", "bsmv_ayri_satir"),
+    ("KKDF kesintisi", "DIGER", "kkdf"), ("spot kredi", "kredi_kullanim", "DIGER"), ("Kredi taksit ödeme", "DIGER", "kredi_taksit_odeme"), ("Vadeli faiz", "mevduat_faizi", "DIGER"), ("KDV ödeme", "DIGER", "vergi_sgk_odeme"),
+    ("Damga", "DIGER", "damga_odeme"), ("toplu maaş", "DIGER", "maas_odemesi"), ("Kendi hesap virman", "kendi_hesap_virman", "kendi_hesap_virman"), ("Sanal POS", "pos_yatis", "DIGER"), ("USD kur farkı", "doviz_kur_farki", "doviz_kur_farki"),
+    ("market", "DIGER", "DIGER"), ("", "DIGER", "DIGER"), ("EFT MTV", "havale_eft_fast_tahsilat", "havale_eft_fast_odeme"),
+]
+_SAID_SQL = "said(k, came, went) AS (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (_, a, b) in enumerate(_SAID)) + "), typed AS (SELECT seq AS id, direction, amount_kr, CASE WHEN direction = 'GIRIS' THEN came ELSE went END AS type FROM movement JOIN said ON k = seq % 17)"
+_BOOKED = {"havale_eft_fast_tahsilat": ("102", "120"), "havale_eft_fast_odeme": ("320", "102"), "banka_masrafi": ("770", "102"), "bsmv_ayri_satir": ("780", "102"), "kkdf": ("153", "102"), "kredi_kullanim": ("102", "300"), "vergi_sgk_odeme": ("360", "102"), "damga_odeme": ("360", "102"), "maas_odemesi": ("335", "102"), "kendi_hesap_virman": ("102.hedef", "102.kaynak")}
+_DRAFTED_SQL = f"""WITH {_SAID_SQL}, acc(type, debit, credit) AS (VALUES {', '.join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _BOOKED.items())}),
+t AS (SELECT typed.*, debit, credit, CASE WHEN typed.type = 'DIGER' THEN 'YOK' WHEN debit IS NULL THEN 'AYRISTIRMA' WHEN typed.type = 'banka_masrafi' THEN 'OTOMATIK' ELSE 'ONAY' END AS status FROM typed LEFT JOIN acc ON acc.type = typed.type)
+SELECT id, status, 0 AS line_no, CAST(NULL AS VARCHAR) AS account, CAST(NULL AS BIGINT) AS debit_kr, CAST(NULL AS BIGINT) AS credit_kr FROM t WHERE status IN ('YOK', 'AYRISTIRMA') UNION ALL SELECT id, status, 1, debit, amount_kr, 0 FROM t WHERE status IN ('ONAY', 'OTOMATIK') UNION ALL SELECT id, status, 2, credit, 0, amount_kr FROM t WHERE status IN ('ONAY', 'OTOMATIK')"""
+
+
+def _typed(s, d):
+    texts = F.array(*[F.lit(x) for x, _, _ in _SAID])
+    said = view(s, d, "movements").select(F.col("seq").alias("id"), "direction", "amount_kr", F.get(texts, (F.col("seq") % len(_SAID)).cast("int")).alias("text"))
+    return movements.classified(said, movements.MOVEMENTS)
+
+
 _OPEN_SQL = "op AS (SELECT no, party, date, net_debt_kr AS open_kr FROM sale)"
 
 
@@ -98,7 +117,8 @@ QUERIES = {
     "reversal_pairs": (lambda s, d: reconcile.reversal_pairs(view(s, d, "movements").withColumn("amount_kr", F.col("amount_kr") % 500)), over("movement", "WITH m AS (SELECT account, seq, direction, amount_kr % 500 AS amount_kr FROM movement), w AS (SELECT *, max(CASE WHEN direction = 'GIRIS' THEN seq END) OVER w AS i, max(CASE WHEN direction = 'CIKIS' THEN seq END) OVER w AS o FROM m WINDOW w AS (PARTITION BY account, amount_kr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT account, seq, direction, amount_kr, CASE WHEN direction = 'GIRIS' THEN o ELSE i END AS reverses FROM w WHERE CASE WHEN direction = 'GIRIS' THEN o ELSE i END IS NOT NULL")),
     "bank_suggestions": (_suggest, over("journal", f"WITH i AS (SELECT id, amount_kr, date + CAST(id % 70 // 10 AS INTEGER) AS date FROM receipt), v AS (SELECT voucher, debit_kr AS amount_kr, date FROM journal WHERE kind = 'receipt' AND debit_kr > 0) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 3) WHERE k <= 10")),
     "document_suggestions": (_documents, over("journal", f"WITH i AS (SELECT no AS id, gross_kr AS amount_kr, date + CAST(no % 90 // 10 AS INTEGER) AS date FROM sale), v AS (SELECT voucher, sum(debit_kr) AS amount_kr, min(date) AS date FROM journal GROUP BY voucher) SELECT id, voucher, days FROM (SELECT id, voucher, CAST(abs({_DAY('i.date')} - {_DAY('v.date')}) AS INTEGER) AS days, row_number() OVER (PARTITION BY id ORDER BY voucher) AS k FROM i JOIN v ON i.amount_kr = v.amount_kr AND abs({_DAY('i.date')} - {_DAY('v.date')}) <= 5) WHERE k <= 10")),
-    "bank_text_types": (lambda s, d: reconcile.classify(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.when(F.col("event_type") == "purchase", "GIRIS").otherwise("CIKIS").alias("direction")), TYPES), "SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'GIRIS' ELSE 'CIKIS' END AS direction, CASE WHEN event_type <> 'purchase' AND upper(event_type) LIKE '%VIEW%' THEN 'KIRA' WHEN event_type = 'purchase' THEN 'SATIS' WHEN upper(event_type) LIKE '%REFUND%' OR upper(event_type) LIKE '%CLICK%' THEN 'IADE' ELSE 'DIGER' END AS type FROM events"),
+    "bank_text_types": (lambda s, d: _typed(s, d).select("id", "direction", "type"), over("movement", f"WITH {_SAID_SQL} SELECT id, direction, type FROM typed")),
+    "bank_movement_drafts": (lambda s, d: movements.drafted(_typed(s, d), movements.MOVEMENTS), over("movement", _DRAFTED_SQL)),
     "contrary_nature": (lambda s, d: audit.contrary_nature(_j(s, d), chart(s)), over("journal", f"WITH {CHART_SQL}, n AS (SELECT account, split_part(account, '.', 1) AS k, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal GROUP BY account), m AS (SELECT account, code, {NATURE} AS nature, net_kr FROM n JOIN chart ON code = k) SELECT account, nature, net_kr, CASE WHEN code IN ('100', '102', '153') THEN 'high' WHEN code IN ('120', '320', '191', '391') THEN 'mid' ELSE 'low' END AS severity FROM m WHERE (nature = 'debit' AND net_kr < 0) OR (nature = 'credit' AND net_kr > 0)")),
     "monthly_deviation": (lambda s, d: audit.monthly_deviation(_j(s, d), "6"), over("journal", "WITH b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(abs(debit_kr - credit_kr)) AS BIGINT) AS amount_kr FROM journal WHERE account LIKE '6%' GROUP BY 1 HAVING sum(abs(debit_kr - credit_kr)) <> 0), m AS (SELECT sum(amount_kr)::DOUBLE / count(*) AS mean FROM b HAVING count(*) >= 3) SELECT * FROM (SELECT month, amount_kr, round(100 * (amount_kr - mean) / mean, 6) AS deviation FROM b, m) WHERE abs(deviation) > 15")),
     "ageing": (lambda s, d: audit.ageing(_s(s, d).select("party", "date", F.col("net_debt_kr").alias("open_kr")), "2001-08-01"), over("sale", f"WITH {_OPEN_SQL}, a AS (SELECT *, date_diff('day', date, DATE '2001-08-01') AS age FROM op WHERE open_kr > 0) SELECT party, CAST(sum(CASE WHEN age <= 30 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_30, CAST(sum(CASE WHEN age > 30 AND age <= 90 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_90, CAST(sum(CASE WHEN age > 90 AND age <= 180 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_180, CAST(sum(CASE WHEN age > 180 AND age <= 365 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_365, CAST(sum(CASE WHEN age > 365 THEN open_kr ELSE 0 END) AS BIGINT) AS older, CAST(sum(open_kr) AS BIGINT) AS total_kr FROM a GROUP BY party")),
