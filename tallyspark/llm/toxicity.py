@@ -1,10 +1,13 @@
 """Toxicity by a weighted lexicon that is matched with an Aho-Corasick automaton after folding.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits or signs within words to Latin letters, and
-turns everything that is no letter into blanks.  Lexicon terms are word beginnings (of `PREFIX` letters) and whole words
-with the log-odds of their document frequencies in labelled rows as weights.  A word counts with its heaviest term;
-words within an exception phrase do not count.  The score is the logistic function of the weights' sum, normalised by
-the text's length, and of the share of such words, fitted on the same labelled rows.
+Folding lower-cases, turns letters into their compatibility forms and drops what has no width, maps look-alike letters of
+other scripts and digits or signs within words to Latin letters, joins words that are spelled letter by letter, and turns
+everything that is no letter into blanks.  Lexicon terms are word beginnings (of `PREFIX` letters) and whole words with
+the log-odds of their document frequencies in labelled rows as weights.  They are learned from letters with their accents,
+which tell words of a language apart, and looked for with and without them.  A word counts with its heaviest term; words within an exception phrase do not count.  Exceptions are pairs of neighbouring words, one of them of the
+lexicon, that stand in `least` harmless rows or more and do not speak for toxicity as a pair; others may be given as
+`exceptions`.  The score is the logistic function of the weights' sum, normalised by the text's length, and of the share of
+such words, fitted on the same labelled rows.
 
 Bounds.  The fit uses `sample` labelled rows at most (those with the smallest hashes of their doc_id).  Candidate terms are
 those in `least_share` of the sample's toxic rows, so their number is bounded by the sample, not by the corpus; the
@@ -22,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -39,9 +44,10 @@ PREFIX = range(4, 13)
 HOMOGLYPHS = dict(zip("авекмнорстухіѕјԁԛԝɡαεικνορτυχ", "abekmhopctyxisjdqwgaeiknoptux"))
 #: Digits and signs that stand for letters within words, fixed values.
 STAND_INS = dict(zip("013457@$!", "oieastasi"))
-#: Harmless phrases with words of the lexicon.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "white trash bags", "clown fish", "sore loser bracket", "pond scum")
 
+_THIN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+_MARK = re.compile("[\u0300-\u036f]+")  # those that no letter took up
+_SPELLED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_]|[013457@$!](?=[ ._*-][^\W\d_]))[ ._*-]){3,}[^\W\d_](?![^\W_])")
 _STAND_IN = re.compile(r"[013457@$!](?=[^\W\d_])")
 _OTHER = re.compile(r"[\W\d_]+")
 _LOOKS = str.maketrans(HOMOGLYPHS)
@@ -53,11 +59,30 @@ def fold(text: str | None) -> str:
         return " "
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_LOOKS)
+        text = _MARK.sub("", unicodedata.normalize("NFKC", _THIN.sub("", text))).lower().translate(_LOOKS)
+    text = _SPELLED.sub(lambda m: m[0][::2], text)  # a letter and a separator by turns
     text = _STAND_IN.sub(lambda m: STAND_INS[m[0]], text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
+class _Bare(dict):
+    """Letters without their accents, by code point."""
+
+    def __missing__(self, point: int) -> int:
+        first, *rest = unicodedata.normalize("NFD", chr(point))
+        self[point] = ord(first) if rest and all(map(unicodedata.combining, rest)) else point
+        return self[point]
+
+
+_BARE = _Bare()
+
+
+def readings(folded: str) -> tuple[str, ...]:
+    """A folded text, and the same without accents if it has any; letters stand at the same places."""
+    bare = folded if folded.isascii() else folded.translate(_BARE)
+    return (folded,) if bare == folded else (folded, bare)
+
+
 def terms_of(text: str | None) -> set[str]:
     """Beginnings and whole words as they stand in the folded text: ` begin` and ` whole `."""
     found = set()
@@ -67,11 +92,18 @@ def terms_of(text: str | None) -> set[str]:
     return found
 
 
+def pairs_of(text: str | None, automaton) -> set[str]:
+    """Neighbouring words of which one begins or is a term of the lexicon."""
+    words = fold(text).split()
+    hit = [any(True for _ in automaton.iter(f" {w} ")) for w in words]
+    return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y}
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def automaton(self):
         a = ahocorasick.Automaton()
@@ -95,7 +127,7 @@ def features(texts, automaton) -> np.ndarray:
         folded = fold(text.as_py())
         best: dict[int, float] = {}
         spans = []
-        for end, (size, weight) in automaton.iter(folded) if len(automaton) else ():
+        for end, (size, weight) in chain.from_iterable(map(automaton.iter, readings(folded))) if len(automaton) else ():
             start = end - size + 1
             if weight is None:
                 spans.append((start, end))
@@ -110,28 +142,31 @@ def features(texts, automaton) -> np.ndarray:
     return out
 
 
-def _count(batches, kept: set[str] | None):
+def _count(batches, kept: set[str] | None, found_in=terms_of):
     """Document frequencies of terms in a task's rows; the rows are a bounded sample."""
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0):
-            found = terms_of(text.as_py())
+            found = found_in(text.as_py())
             counts.update(found if kept is None else found & kept)
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2_000, least: int = 5, least_share: float = 0.004, least_weight: float = 2.5) -> Model:
-    """Learn the lexicon and the score from rows of `labels` (doc_id, toxic); the caller leaves out held-out rows."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2_000, least: int = 5, least_share: float = 0.004, least_weight: float = 2.5, exceptions: tuple[str, ...] = ()) -> Model:
+    """Learn the lexicon, its exceptions and the score from rows of `labels` (doc_id, toxic); the caller leaves out held-out rows.
+
+    `exceptions` are harmless phrases beside those that the rows show.
+    """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so it can be sent to every task
     rows = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
     by = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     p, n = by.get(True, 0), by.get(False, 0)
     if not p or not n:
-        return Model(coefficients=(math.log((p + 1) / (n + 1)), 0.0, 0.0))
+        return Model(coefficients=(math.log((p + 1) / (n + 1)), 0.0, 0.0), exceptions=exceptions)
 
-    def counted(toxic: bool, kept: set[str] | None, least: int) -> dict[str, int]:
-        found = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(lambda b: _count(b, kept), "term string, n long")
+    def counted(toxic: bool, kept: set[str] | None, least: int, found_in=None) -> dict[str, int]:
+        found = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(lambda b: _count(b, kept, found_in() if found_in else terms_of), "term string, n long")
         found = found.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         return {r.term: r.n for r in found.collect()}  # terms of the bounded sample
 
@@ -146,6 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2
     model.weights = dict(sorted(model.weights.items(), key=lambda x: (-x[1], x[0]))[:terms])
     lexicon = model.automaton
 
+    def paired():
+        automaton = lexicon()
+        return lambda text: pairs_of(text, automaton) if len(automaton) else set()
+
+    harmless = counted(False, None, least, paired)
+    toxic = counted(True, set(harmless), 1, paired)
+    model.exceptions = tuple(sorted({t for t, k in harmless.items() if (toxic.get(t, 0) + 0.5) / (p + 1) <= (k + 0.5) / (n + 1)} | set(exceptions)))
     def measured(batches):
         automaton = lexicon()
         for batch in batches:
