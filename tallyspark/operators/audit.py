@@ -107,15 +107,32 @@ def sequence_gaps(numbers: DataFrame) -> DataFrame:
     return out.where("number - last.number <> 1 or date < last.date").select("series", "number", F.col("last.number").alias("before"), (F.col("date") < F.col("last.date")).alias("back_dated"))
 
 
-def cash_book(receipts: DataFrame, opening_kr: int = 25_000_000, limit_kr: int = 700_000) -> DataFrame:
-    """Cash receipts by date with the running balance and whether they exceed the limit for cash."""
-    own = receipts.where("instrument = 'NAKIT'").withColumn("book", F.lit(1))
-    w = Window.partitionBy("book").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    days = own.groupBy("book", F.col("date").alias("day")).agg(total("amount_kr").alias("sum"))  # a row a day: the only rows in one task
-    days = days.withColumn("until", F.sum("sum").over(w) - F.col("sum")).select("day", "until")
-    inside = Window.partitionBy("date").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    out = own.join(days, own["date"] == days["day"]).withColumn("balance_kr", F.lit(opening_kr) + F.col("until") + F.sum("amount_kr").over(inside))
-    return out.select("id", "date", "amount_kr", "balance_kr", (F.col("amount_kr") > limit_kr).alias("over_limit"))
+def cash_book(money: DataFrame, opening_kr: int = 25_000_000, limit_kr: int = 700_000) -> DataFrame:
+    """Cash of `money` (id, direction, date, amount_kr, instrument) by date and id, with what banks pay in before the first movement of a
+    month (what leaves the box in it; such a row has no id), the running balance, and what exceeds the limit for cash or leaves less than nothing.
+    """
+    own = money.where("instrument = 'NAKIT'").select("id", F.col("direction").alias("source"), "date", "amount_kr", F.lit(1).alias("rank"))
+    fed = cash_transfers(money).select(F.lit(None).cast("bigint").alias("id"), F.lit("VIRMAN").alias("source"), "date", "amount_kr", F.lit(0).alias("rank"))
+    rows = own.unionByName(fed).withColumn("book", F.lit(1)).withColumn("signed", F.when(F.col("source") == "ALIS", -F.col("amount_kr")).otherwise(F.col("amount_kr")))
+    order = ["date", "rank", "id", "source"]  # a box is one key, so it is read in ranges
+    out = running(ranged(rows, ["book"], order), ["book"], order, {"until": (F.sum, F.col("signed"))}).withColumn("balance_kr", (F.lit(opening_kr) + F.col("until")).cast("bigint"))
+    over = (F.col("source") != "VIRMAN") & (F.col("amount_kr") > limit_kr)
+    return out.select("id", "source", "date", "amount_kr", "balance_kr", over.alias("over_limit"), (F.col("balance_kr") < 0).alias("negative"))
+
+
+def cash_findings(book: DataFrame, opening_kr: int = 25_000_000) -> DataFrame:
+    """One row over a cash book: movements, those over the limit and their sum, those that leave less than nothing, transfers, closing balance."""
+    signed = F.when(F.col("source") == "ALIS", -F.col("amount_kr")).otherwise(F.col("amount_kr"))
+    return book.agg(
+        F.count("*").alias("n"), F.count_if("over_limit").alias("over_n"), total(F.when(F.col("over_limit"), F.col("amount_kr")).otherwise(0)).alias("over_kr"), F.count_if("negative").alias("negative_n"),
+        total(F.when(F.col("source") == "VIRMAN", F.col("amount_kr")).otherwise(0)).alias("transfers_kr"), (F.lit(opening_kr) + total(signed)).alias("closing_kr"),
+    )
+
+
+def cash_transfers(money: DataFrame) -> DataFrame:
+    """What banks pay into the cash box: what leaves it in a month (cash of any direction but sales), as one transfer on the month's first day."""
+    own = money.where("instrument = 'NAKIT' and direction <> 'SATIS'")
+    return own.groupBy(F.trunc("date", "month").alias("date")).agg(F.count("*").alias("n"), total("amount_kr").alias("amount_kr"))
 
 
 def bank_book(movements: DataFrame, opening_kr: int = 500_000_000) -> DataFrame:
@@ -125,17 +142,56 @@ def bank_book(movements: DataFrame, opening_kr: int = 500_000_000) -> DataFrame:
     return out.select("account", "seq", "date", "direction", "amount_kr", (F.lit(opening_kr) + F.col("running_kr")).alias("running_kr"))
 
 
-def invoice_search(invoices: DataFrame, text: str | None = None, party: int | None = None, low_kr: int | None = None, high_kr: int | None = None, since: str | None = None, until: str | None = None, state: str | None = None, order: str = "gross_kr", offset: int = 0, limit: int = 50) -> DataFrame:
-    """Filters that are given, largest `order` first, one page."""
+#: What each tab of the invoice page shows.
+TABS = {
+    "giden": "direction = 'SATIS' and document = 'E_FATURA' and state <> 'TASLAK'", "gelen": "direction = 'ALIS'",
+    "earsiv": "document = 'E_ARSIV' and state <> 'TASLAK'", "taslak": "state = 'TASLAK'",
+}
+PAID = {"acik": "paid_kr = 0", "kismi": "paid_kr > 0 and open_kr > 0", "odendi": "open_kr = 0"}
+SORTS = {"tarih_desc": [F.desc, "date"], "tarih_asc": [F.asc, "date"], "tutar_desc": [F.desc, "gross_kr"]}
+
+
+def settled(invoices: DataFrame, allocated: DataFrame) -> DataFrame:
+    """`invoices` (direction, no, net_debt_kr) with paid_kr and open_kr by `allocated` (direction, no, amount_kr)."""
+    paid = allocated.groupBy("direction", "no").agg(total("amount_kr").alias("paid_kr"))
+    out = invoices.join(paid, ["direction", "no"], "left").withColumn("paid_kr", F.coalesce("paid_kr", F.lit(0)))
+    return out.withColumn("open_kr", F.col("net_debt_kr") - F.col("paid_kr"))
+
+
+def found_invoices(
+    invoices: DataFrame, allocated: DataFrame | None = None, text: str | None = None, party: int | None = None, direction: str | None = None, instrument: str | None = None, low_kr: int | None = None, high_kr: int | None = None,
+    since: str | None = None, until: str | None = None, tab: str | None = None, state: str | None = None, paid: str | None = None, allocatable: bool = False,
+) -> DataFrame:
+    """The `invoices` (of `settled`) that meet all filters that are given.
+
+    An instrument is met by an invoice's own or by that of any of its allocations, `allocated` (direction, no, instrument): an invoice
+    paid by two is found by both.  What was returned or discounted whole has nothing open without being paid, so `allocatable` asks for more than `acik`.
+    """
     c = F.col
     given = [
-        (text, lambda: F.contains(c("no").cast("string"), F.lit(text))), (party, lambda: c("party") == party), (low_kr, lambda: c("gross_kr") >= low_kr), (high_kr, lambda: c("gross_kr") <= high_kr),
-        (since, lambda: c("date") >= F.lit(since).cast("date")), (until, lambda: c("date") <= F.lit(until).cast("date")), (state, lambda: c("state") == state),
+        (text, lambda: F.contains(F.lower(F.concat_ws(" ", c("no"), c("name"))), F.lit(text.lower()))), (party, lambda: c("party") == party), (direction, lambda: c("direction") == direction),
+        (low_kr, lambda: c("gross_kr") >= low_kr), (high_kr, lambda: c("gross_kr") <= high_kr), (since, lambda: c("date") >= F.lit(since).cast("date")), (until, lambda: c("date") <= F.lit(until).cast("date")),
+        (tab, lambda: F.expr(TABS[tab])), (state, lambda: c("state") == state), (paid, lambda: F.expr(PAID[paid])), (allocatable or None, lambda: c("valid") & (c("open_kr") > 0)),
     ]
     for value, condition in given:
         if value is not None:
             invoices = invoices.where(condition())
-    return invoices.orderBy(F.desc(order), "no").offset(offset).limit(limit).select("no", "party", "date", "state", "gross_kr", "net_debt_kr")
+    if instrument is not None:
+        by = allocated.where(c("instrument") == instrument).select("direction", "no").distinct().withColumn("_by", F.lit(True))
+        invoices = invoices.join(by, ["direction", "no"], "left").where((c("instrument") == instrument) | c("_by")).drop("_by")
+    return invoices
+
+
+def invoice_page(found: DataFrame, sort: str = "tutar_desc", offset: int = 0, limit: int = 50) -> DataFrame:
+    """One page, of 200 invoices at most; equal ones by direction and number."""
+    way, column = SORTS[sort]
+    page = found.orderBy(way(column), "direction", "no").offset(offset).limit(min(limit, 200))
+    return page.select("direction", "no", "party", "date", "state", "instrument", "gross_kr", "paid_kr", "open_kr")
+
+
+def invoice_totals(found: DataFrame) -> DataFrame:
+    """What is found in all, before it is cut into pages."""
+    return found.agg(F.count("*").alias("n"), total("open_kr").alias("open_kr"))
 
 
 def invoice_tabs(invoices: DataFrame) -> DataFrame:

@@ -97,12 +97,6 @@ def waiting(unallocated: DataFrame, awaited: DataFrame, days: int = 7) -> DataFr
     return marked.groupBy("bank").agg(F.count("*").alias("n"), total("remaining_kr").alias("open_kr"), F.max("age_days").alias("oldest_days"), F.count_if("awaited").alias("awaited"), F.count_if(late).alias("reminders"))
 
 
-def cash_transfers(money: DataFrame) -> DataFrame:
-    """What banks pay into the cash box: what leaves it in a month (cash of any direction but sales), as one transfer on the month's first day."""
-    own = money.where("instrument = 'NAKIT' and direction <> 'SATIS'")
-    return own.groupBy(F.trunc("date", "month").alias("date")).agg(F.count("*").alias("n"), total("amount_kr").alias("amount_kr"))
-
-
 def asset_cards(assets: DataFrame, journal: DataFrame, prefix: str) -> DataFrame:
     """`assets` (id, code, value_kr) under `prefix` (`*` for all), each with the ledger's balance of exactly its account."""
     own = assets.where(A.under_any("code", prefix))

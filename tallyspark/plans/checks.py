@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import names
 from tallyspark.operators import audit, ledger, movements, reconcile
 from tallyspark.plans.books import CHART_SQL, NATURE
-from tallyspark.plans.money_flows import _ALL, _all
-from tallyspark.sources.model import chart, over, table, view
+from tallyspark.plans.money_flows import _ALL, _PAID, _all, _paid
+from tallyspark.sources.model import INSTRUMENTS, chart, over, table, view
 
 _j = lambda s, d: view(s, d, "journal")
 _s = lambda s, d: view(s, d, "sales")
@@ -96,7 +96,48 @@ def _typed(s, d):
     return movements.classified(said, movements.MOVEMENTS)
 
 
-_OPEN_SQL = "op AS (SELECT no, party, date, net_debt_kr AS open_kr FROM sale)"
+_OPEN_SQL = _ALL + ", op AS (SELECT no, party, date, net_debt_kr - coalesce((SELECT sum(amount_kr) FROM alloc a WHERE a.no = sale.no), 0) AS open_kr FROM sale)"
+
+
+def _both_ways(s, d):
+    """Money in and out."""
+    return _r(s, d).unionByName(view(s, d, "payments"))
+
+
+def _allocations(s, d):
+    """What is allocated, of both directions, with its instrument."""
+    sold = _all(s, d).select(F.lit("SATIS").alias("direction"), "id", "no", "amount_kr")
+    bought = _paid(s, d).select(F.lit("ALIS").alias("direction"), "id", "no", "amount_kr")
+    return sold.unionByName(bought).join(_both_ways(s, d).select("direction", "id", "instrument"), ["direction", "id"])
+
+
+def _invoices(s, d):
+    """Sales and purchases with what is paid of them; every fourth customer gets archive invoices."""
+    same = ["direction", "no", "party", "date", "state", "valid", "gross_kr", "net_debt_kr", "instrument", "document"]
+    kind = F.when(F.col("party") % 4 == 0, "E_ARSIV").otherwise("E_FATURA")
+    by = F.coalesce(*[F.when(F.col("priority") == k, v) for k, v in INSTRUMENTS.items()])
+    sold = _s(s, d).select("*", by.alias("instrument"), kind.alias("document")).select(same)
+    bought = view(s, d, "purchases").select("*", F.lit("KABUL").alias("state"), F.lit(True).alias("valid"), F.col("gross_kr").alias("net_debt_kr"), F.lit("ACIK").alias("instrument"), F.lit("E_FATURA").alias("document")).select(same)
+    out = sold.unionByName(bought).withColumn("name", F.concat(F.when(F.col("direction") == "SATIS", "Customer#").otherwise("Supplier#"), F.col("party").cast("string")))
+    return view(s, d, "settled", lambda s, d: audit.settled(out, _allocations(s, d)))
+
+
+def _found(s, d):
+    return audit.found_invoices(_invoices(s, d), _allocations(s, d), text="CUSTOMER#1", direction="SATIS", instrument="BANKA", low_kr=1_000_000, since="1994-01-01", tab="giden", paid="kismi", allocatable=True)
+
+
+_MONEY_SQL = "money AS (SELECT id, 'SATIS' AS direction, date, amount_kr, instrument FROM receipt UNION ALL SELECT id, 'ALIS', date, amount_kr, instrument FROM payment)"
+_BOOK_SQL = f"""WITH {_MONEY_SQL}, rows_ AS (SELECT id, direction AS source, date, amount_kr, 1 AS rank FROM money WHERE instrument = 'NAKIT' UNION ALL
+ SELECT NULL, 'VIRMAN', CAST(date_trunc('month', date) AS DATE), CAST(sum(amount_kr) AS BIGINT), 0 FROM money WHERE instrument = 'NAKIT' AND direction = 'ALIS' GROUP BY 3),
+book AS (SELECT id, source, date, amount_kr, CAST(25000000 + sum(CASE WHEN source = 'ALIS' THEN -amount_kr ELSE amount_kr END) OVER (ORDER BY date, rank, id NULLS FIRST, source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance_kr, source <> 'VIRMAN' AND amount_kr > 700000 AS over_limit FROM rows_)"""
+_SETTLED_SQL = (
+    _ALL + ", " + _PAID + """, al AS (SELECT 'SATIS' AS direction, a.no, amount_kr, instrument FROM alloc a JOIN rec ON rec.id = a.id UNION ALL SELECT 'ALIS', a.no, amount_kr, instrument FROM palloc a JOIN pay ON pay.id = a.id),
+invo AS (SELECT 'SATIS' AS direction, no, party, date, state, valid, gross_kr, net_debt_kr, CASE priority WHEN '1-URGENT' THEN 'BANKA' WHEN '2-HIGH' THEN 'NAKIT' WHEN '3-MEDIUM' THEN 'CEK' WHEN '4-NOT SPECIFIED' THEN 'SENET' WHEN '5-LOW' THEN 'ACIK' END AS instrument,
+ CASE WHEN party % 4 = 0 THEN 'E_ARSIV' ELSE 'E_FATURA' END AS document, 'Customer#' || CAST(party AS VARCHAR) AS name FROM sale UNION ALL SELECT 'ALIS', no, party, date, 'KABUL', true, gross_kr, gross_kr, 'ACIK', 'E_FATURA', 'Supplier#' || CAST(party AS VARCHAR) FROM purchase),
+settled AS (SELECT i.*, CAST(coalesce(p, 0) AS BIGINT) AS paid_kr, CAST(net_debt_kr - coalesce(p, 0) AS BIGINT) AS open_kr FROM invo i LEFT JOIN (SELECT direction AS pd, no AS pn, sum(amount_kr) AS p FROM al GROUP BY 1, 2) ON pd = direction AND pn = no)"""
+)
+_FOUND_SQL = _SETTLED_SQL + """, found AS (SELECT * FROM settled WHERE lower(CAST(no AS VARCHAR) || ' ' || name) LIKE '%customer#1%' AND direction = 'SATIS' AND gross_kr >= 1000000 AND date >= DATE '1994-01-01' AND document = 'E_FATURA' AND state <> 'TASLAK' AND paid_kr > 0 AND open_kr > 0 AND valid
+ AND (instrument = 'BANKA' OR EXISTS (SELECT 1 FROM al WHERE al.direction = settled.direction AND al.no = settled.no AND al.instrument = 'BANKA')))"""
 
 
 def _numbers(s, d):
@@ -121,7 +162,7 @@ QUERIES = {
     "bank_movement_drafts": (lambda s, d: movements.drafted(_typed(s, d), movements.MOVEMENTS), over("movement", _DRAFTED_SQL)),
     "contrary_nature": (lambda s, d: audit.contrary_nature(_j(s, d), chart(s)), over("journal", f"WITH {CHART_SQL}, n AS (SELECT account, split_part(account, '.', 1) AS k, CAST(sum(debit_kr - credit_kr) AS BIGINT) AS net_kr FROM journal GROUP BY account), m AS (SELECT account, code, {NATURE} AS nature, net_kr FROM n JOIN chart ON code = k) SELECT account, nature, net_kr, CASE WHEN code IN ('100', '102', '153') THEN 'high' WHEN code IN ('120', '320', '191', '391') THEN 'mid' ELSE 'low' END AS severity FROM m WHERE (nature = 'debit' AND net_kr < 0) OR (nature = 'credit' AND net_kr > 0)")),
     "monthly_deviation": (lambda s, d: audit.monthly_deviation(_j(s, d), "6"), over("journal", "WITH b AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(abs(debit_kr - credit_kr)) AS BIGINT) AS amount_kr FROM journal WHERE account LIKE '6%' GROUP BY 1 HAVING sum(abs(debit_kr - credit_kr)) <> 0), m AS (SELECT sum(amount_kr)::DOUBLE / count(*) AS mean FROM b HAVING count(*) >= 3) SELECT * FROM (SELECT month, amount_kr, round(100 * (amount_kr - mean) / mean, 6) AS deviation FROM b, m) WHERE abs(deviation) > 15")),
-    "ageing": (lambda s, d: audit.ageing(_s(s, d).select("party", "date", F.col("net_debt_kr").alias("open_kr")), "2001-08-01"), over("sale", f"WITH {_OPEN_SQL}, a AS (SELECT *, date_diff('day', date, DATE '2001-08-01') AS age FROM op WHERE open_kr > 0) SELECT party, CAST(sum(CASE WHEN age <= 30 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_30, CAST(sum(CASE WHEN age > 30 AND age <= 90 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_90, CAST(sum(CASE WHEN age > 90 AND age <= 180 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_180, CAST(sum(CASE WHEN age > 180 AND age <= 365 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_365, CAST(sum(CASE WHEN age > 365 THEN open_kr ELSE 0 END) AS BIGINT) AS older, CAST(sum(open_kr) AS BIGINT) AS total_kr FROM a GROUP BY party")),
+    "ageing": (lambda s, d: audit.ageing(_invoices(s, d).where("direction = 'SATIS'"), "2001-08-01"), over("sale receipt", f"{_OPEN_SQL}, a AS (SELECT *, date_diff('day', date, DATE '2001-08-01') AS age FROM op WHERE open_kr > 0) SELECT party, CAST(sum(CASE WHEN age <= 30 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_30, CAST(sum(CASE WHEN age > 30 AND age <= 90 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_90, CAST(sum(CASE WHEN age > 90 AND age <= 180 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_180, CAST(sum(CASE WHEN age > 180 AND age <= 365 THEN open_kr ELSE 0 END) AS BIGINT) AS upto_365, CAST(sum(CASE WHEN age > 365 THEN open_kr ELSE 0 END) AS BIGINT) AS older, CAST(sum(open_kr) AS BIGINT) AS total_kr FROM a GROUP BY party")),
     "benford": (lambda s, d: audit.benford(_s(s, d).select(F.col("gross_kr").alias("amount_kr"))), over("sale", "WITH c AS (SELECT CAST(left(CAST(gross_kr AS VARCHAR), 1) AS INTEGER) AS digit, count(*) AS n FROM sale WHERE gross_kr >= 100 GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS total FROM c) SELECT digit, n, round(n / total, 6) AS share, round(log10(1 + 1.0::DOUBLE / digit), 6) AS expected, round(pow(n - total * log10(1 + 1.0::DOUBLE / digit), 2) / (total * log10(1 + 1.0::DOUBLE / digit)), 4) AS chi2 FROM c, t")),
     "near_duplicates": (lambda s, d: audit.near_duplicates(_s(s, d).withColumn("gross_kr", F.call_function("div", F.col("gross_kr"), F.lit(1_000_000))), 60), over("sale", "WITH w AS (SELECT no, party, gross_kr // 1000000 AS gross_kr, date FROM sale WHERE gross_kr // 1000000 > 0) SELECT no, before, party, gross_kr, days FROM (SELECT *, lag(no) OVER w AS before, CAST(date_diff('day', lag(date) OVER w, date) AS INTEGER) AS days FROM w WINDOW w AS (PARTITION BY party, gross_kr ORDER BY date, no)) WHERE days <= 60")),
     "time_pattern": (lambda s, d: audit.time_pattern(table(s, d, "events")), "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hour(ts) >= 22 OR hour(ts) < 6) AS night, count(*) FILTER (WHERE dayofweek(ts) IN (0, 6)) AS weekend, round((count(*) FILTER (WHERE hour(ts) >= 22 OR hour(ts) < 6) + count(*) FILTER (WHERE dayofweek(ts) IN (0, 6)))::DOUBLE / count(*), 6) AS share FROM events GROUP BY user_id"),
@@ -131,9 +172,11 @@ QUERIES = {
     "concentration": (lambda s, d: audit.concentration(_s(s, d), 1), over("sale", "WITH b AS (SELECT party, CAST(sum(net_kr) AS BIGINT) AS net_kr FROM sale WHERE valid GROUP BY party), t AS (SELECT sum(net_kr) AS total_kr FROM b) SELECT party, net_kr, round(1000.0::DOUBLE * net_kr / total_kr::DOUBLE, 6) AS per_mille FROM b, t WHERE 1000 * net_kr >= total_kr")),
     "chain_equality": (lambda s, d: audit.chain_equality(_j(s, d), ["621"], ["153"]), over("journal", "SELECT l AS left_kr, r AS right_kr, l - r AS difference_kr FROM (SELECT CAST(sum(CASE WHEN left(account, 3) = '621' THEN debit_kr ELSE 0 END) AS BIGINT) AS l, CAST(sum(CASE WHEN left(account, 3) = '153' THEN credit_kr ELSE 0 END) AS BIGINT) AS r FROM journal)")),
     "sequence_gaps": (lambda s, d: audit.sequence_gaps(_numbers(s, d)), "WITH n AS (SELECT event_id % 5 AS series, event_id // 5 + event_id // 200 AS number, CAST(ts AS DATE) - CASE WHEN event_id % 50 = 0 THEN 9 ELSE 0 END AS date FROM events), w AS (SELECT *, lag(number) OVER (PARTITION BY series ORDER BY number) AS before, lag(date) OVER (PARTITION BY series ORDER BY number) AS d FROM n) SELECT series, number, before, date < d AS back_dated FROM w WHERE number - before <> 1 OR date < d"),
-    "cash_book": (lambda s, d: audit.cash_book(_r(s, d)), over("receipt", "SELECT id, date, amount_kr, CAST(25000000 + sum(amount_kr) OVER (ORDER BY date, id) AS BIGINT) AS balance_kr, amount_kr > 700000 AS over_limit FROM receipt WHERE instrument = 'NAKIT'")),
+    "cash_book": (lambda s, d: audit.cash_book(_both_ways(s, d)), over("receipt payment", _BOOK_SQL + " SELECT *, balance_kr < 0 AS negative FROM book")),
+    "cash_findings": (lambda s, d: audit.cash_findings(audit.cash_book(_both_ways(s, d))), over("receipt payment", _BOOK_SQL + " SELECT count(*) AS n, CAST(count_if(over_limit) AS BIGINT) AS over_n, CAST(coalesce(sum(amount_kr) FILTER (over_limit), 0) AS BIGINT) AS over_kr, CAST(count_if(balance_kr < 0) AS BIGINT) AS negative_n, CAST(coalesce(sum(amount_kr) FILTER (source = 'VIRMAN'), 0) AS BIGINT) AS transfers_kr, CAST(25000000 + sum(CASE WHEN source = 'ALIS' THEN -amount_kr ELSE amount_kr END) AS BIGINT) AS closing_kr FROM book")),
     "bank_book": (lambda s, d: audit.bank_book(view(s, d, "movements")), over("movement", "SELECT account, seq, date, direction, amount_kr, CAST(500000000 + sum(CASE WHEN direction = 'GIRIS' THEN amount_kr ELSE -amount_kr END) OVER (PARTITION BY account ORDER BY seq) AS BIGINT) AS running_kr FROM movement")),
-    "invoice_search": (lambda s, d: audit.invoice_search(_s(s, d), text="12", low_kr=1_000_000, since="1997-01-01", state="KABUL", offset=10, limit=40), over("sale", "SELECT no, party, date, state, gross_kr, CAST(net_debt_kr AS BIGINT) AS net_debt_kr FROM sale WHERE CAST(no AS VARCHAR) LIKE '%12%' AND gross_kr >= 1000000 AND date >= DATE '1997-01-01' AND state = 'KABUL' ORDER BY gross_kr DESC, no LIMIT 40 OFFSET 10")),
+    "invoice_search": (lambda s, d: audit.invoice_page(_found(s, d), "tarih_desc", offset=2, limit=40), over("sale receipt payment", _FOUND_SQL + " SELECT direction, no, party, date, state, instrument, gross_kr, paid_kr, open_kr FROM found ORDER BY date DESC, direction, no LIMIT 40 OFFSET 2")),
+    "invoice_search_totals": (lambda s, d: audit.invoice_totals(_found(s, d)), over("sale receipt payment", _FOUND_SQL + " SELECT count(*) AS n, CAST(coalesce(sum(open_kr), 0) AS BIGINT) AS open_kr FROM found")),
     "invoice_tabs": (lambda s, d: audit.invoice_tabs(_s(s, d)), over("sale", "SELECT state, count(*) AS n, CAST(sum(gross_kr) AS BIGINT) AS gross_kr, CAST(sum(net_debt_kr) AS BIGINT) AS net_debt_kr FROM sale GROUP BY state")),
     "party_summary": (lambda s, d: audit.party_summary(_s(s, d), _all(s, d)), over("receipt", _ALL + ", p AS (SELECT no, sum(amount_kr) AS paid FROM alloc GROUP BY no) SELECT party, count(*) AS n, CAST(sum(net_debt_kr) AS BIGINT) AS debt_kr, CAST(coalesce(sum(paid), 0) AS BIGINT) AS paid_kr, CAST(sum(net_debt_kr) - coalesce(sum(paid), 0) AS BIGINT) AS open_kr FROM sale LEFT JOIN p ON p.no = sale.no WHERE valid GROUP BY party")),
 }

@@ -107,7 +107,7 @@ QUERIES = {
  SELECT invariants, contrary, unbalanced, invariants + contrary + unbalanced = 0 AS sound FROM t""")),
     "allocation_voucher_lines": (lambda s, d: desk.allocation_lines(_all(s, d), _r(s, d)).unionByName(desk.allocation_lines(_paid(s, d), _p(s, d), "ALIS")), over("receipt payment", _ALL + f", {_PAID}" + _MONEY_SQL + " SELECT direction, id, no, 1 AS line_no, CASE WHEN direction = 'SATIS' THEN account ELSE '320' END AS account, amount_kr AS debit_kr, CAST(0 AS BIGINT) AS credit_kr FROM m UNION ALL SELECT direction, id, no, 2, CASE WHEN direction = 'SATIS' THEN '120' ELSE account END, 0, amount_kr FROM m")),
     "unallocated_by_bank": (lambda s, d: desk.waiting(_open(s, d), _r(s, d).where("id % 3 = 0")), over("receipt", _ALL + _STATUS + " SELECT bank, count(*) AS n, CAST(sum(remaining_kr) AS BIGINT) AS open_kr, max(age) AS oldest_days, count(*) FILTER (WHERE id % 3 = 0) AS awaited, count(*) FILTER (WHERE id % 3 = 0 AND age > 7) AS reminders FROM (SELECT rec.id, bank, remaining_kr, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0) GROUP BY bank")),
-    "cash_transfers": (lambda s, d: desk.cash_transfers(_r(s, d).unionByName(_p(s, d))), over("receipt payment", "SELECT CAST(date_trunc('month', date) AS DATE) AS date, count(*) AS n, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM payment WHERE instrument = 'NAKIT' GROUP BY 1")),
+    "cash_transfers": (lambda s, d: audit.cash_transfers(_r(s, d).unionByName(_p(s, d))), over("receipt payment", "SELECT CAST(date_trunc('month', date) AS DATE) AS date, count(*) AS n, CAST(sum(amount_kr) AS BIGINT) AS amount_kr FROM payment WHERE instrument = 'NAKIT' GROUP BY 1")),
     "asset_cards": (lambda s, d: desk.asset_cards(_assets(s, d), _j(s, d), "15"), over("journal", "WITH a AS (SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN '252' WHEN 1 THEN '158' ELSE '153' END AS code, CAST(round(p_retailprice * 100) AS BIGINT) AS value_kr FROM part) SELECT a.*, CAST(coalesce((SELECT sum(debit_kr - credit_kr) FROM journal WHERE account = code), 0) AS BIGINT) AS booked_kr FROM a WHERE starts_with(code, '15')")),
     "code_normalize": (_codes, _CODES_SQL),
     "entry_states": (lambda s, d: desk.latest_state(_states(s, d)), "WITH e AS (SELECT event_id // 4 AS no, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'KESIN' WHEN event_id % 3 = 0 THEN 'VAZGECILDI' ELSE 'TASLAK' END AS state FROM events) SELECT no, CASE WHEN bool_or(state = 'KESIN') THEN 'KESIN' ELSE arg_max(state, seq) END AS state, bool_or(state = 'KESIN') OR arg_max(state, seq) <> 'VAZGECILDI' AS counts FROM e GROUP BY no"),

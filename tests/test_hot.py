@@ -110,7 +110,7 @@ def test_reminders_transfers_and_cards(spark):
     got = {r.bank: (r.n, r.open_kr, r.awaited, r.reminders) for r in desk.waiting(open_, spark.createDataFrame([(1,), (3,), (3,)], "id long")).collect()}
     assert got == {"B": (3, 16, 2, 1), "C": (1, 2, 0, 0)}
     money = spark.createDataFrame([("SATIS", "NAKIT", date(2026, 1, 5), 7), ("ALIS", "NAKIT", date(2026, 1, 9), 3), ("ALIS", "NAKIT", date(2026, 1, 30), 4), ("ALIS", "BANKA", date(2026, 1, 9), 9)], "direction string, instrument string, date date, amount_kr long")
-    assert [tuple(r) for r in desk.cash_transfers(money).collect()] == [(date(2026, 1, 1), 2, 7)] and desk.cash_transfers(money.where("direction = 'SATIS'")).count() == 0
+    assert [tuple(r) for r in audit.cash_transfers(money).collect()] == [(date(2026, 1, 1), 2, 7)] and audit.cash_transfers(money.where("direction = 'SATIS'")).count() == 0
     assets = spark.createDataFrame([(1, "253.01", 5), (2, "253.01", 6), (3, "252", 7), (4, "253.012", 8)], "id long, code string, value_kr long")
     journal = spark.createDataFrame([("253.01", 20, 3), ("253.01.5", 1, 0), ("252", 4, 0)], "account string, debit_kr long, credit_kr long")
     cards = lambda p: sorted((r.id, r.booked_kr) for r in desk.asset_cards(assets, journal, p).collect())
