@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans import books, checks, desk, filings, money_flows, papers, reading, valuation
+from tallyspark.plans import books, catalogues, checks, desk, filings, money_flows, papers, reading, valuation
 
-MODULES = (books, money_flows, checks, valuation, papers, desk, reading, filings)
+MODULES = (books, money_flows, checks, valuation, papers, desk, reading, filings, catalogues)
 
 
 def _iso(fn, columns):
