@@ -128,6 +128,31 @@ def effect(before: DataFrame, after: DataFrame) -> DataFrame:
     return met.withColumn("outcome", outcome)
 
 
+def outcomes(decisions: DataFrame, invoices: DataFrame, receipts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What became of each of `decisions` (id, no; one a receipt) between two allocations (id, no, amount_kr).
+
+    `written_kr` reached the invoice, `elsewhere_kr` of the same money went to other invoices, `advance_kr` to none; `moved_kr` left this
+    money's former invoices, `dropped_kr` is other money's that made room in the invoice.  YAZILAMADI if nothing was written, KISMEN_YAZILDI
+    if not all, else TAM_YAZILDI with FATURA_ACIK or FATURA_KAPANDI by what `invoices` (no, net_debt_kr) still owe.  Decisions on unknown
+    receipts or invoices have no row; `prechecks` names them.
+    """
+    was, now = (x.groupBy("id", "no").agg(total("amount_kr").alias(n)) for x, n in ((before, "was"), (after, "now")))
+    both = was.join(now, ["id", "no"], "full_outer").select("id", "no", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"))
+    both = both.withColumn("lost", F.greatest(F.col("was") - F.col("now"), F.lit(0)))
+    own = both.groupBy("id").agg(total("now").alias("given"), total("lost").alias("moved_kr"))
+    of = both.join(decisions.select("id", "no").withColumn("chosen", F.lit(True)), ["id", "no"], "left")
+    target = of.groupBy("no").agg(total("now").alias("paid"), total("lost").alias("lost"))
+    pair = of.where("chosen").select("id", "no", F.col("now").alias("written"), F.col("lost").alias("own_lost"))
+    met = decisions.select("id", "no").join(receipts.select("id", "amount_kr"), "id").join(invoices.select("no", "net_debt_kr"), "no")
+    met = met.join(own, "id", "left").join(target, "no", "left").join(pair, ["id", "no"], "left").na.fill(0, ["given", "moved_kr", "paid", "lost", "written", "own_lost"])
+    whole = F.when(F.col("net_debt_kr") > F.col("paid"), "TAM_YAZILDI_FATURA_ACIK").otherwise("TAM_YAZILDI_FATURA_KAPANDI")
+    outcome = F.when(F.col("written") == 0, "YAZILAMADI").when(F.col("written") < F.col("amount_kr"), "KISMEN_YAZILDI").otherwise(whole)
+    return met.select(
+        "id", "no", "amount_kr", F.col("written").alias("written_kr"), (F.col("given") - F.col("written")).alias("elsewhere_kr"), F.greatest(F.col("amount_kr") - F.col("given"), F.lit(0)).alias("advance_kr"),
+        "moved_kr", (F.col("lost") - F.col("own_lost")).alias("dropped_kr"), outcome.alias("outcome"),
+    )
+
+
 def unallocated(status: DataFrame, receipts: DataFrame, as_of: str) -> DataFrame:
     """Receipts with money left, with their age in days of a 360-day year."""
     d, t = F.col("date"), F.lit(as_of).cast("date")

@@ -80,6 +80,11 @@ w2 AS (SELECT id, no, amount_kr, min(CASE WHEN source = 'MANUEL' THEN 'MANUEL' E
 gone AS (SELECT *, (SELECT max(serial) FROM l1) + row_number() OVER (ORDER BY serial) AS stn FROM l1 WHERE key NOT IN (SELECT key FROM w2)), new AS (SELECT *, (SELECT max(serial) FROM l1) + (SELECT count(*) FROM gone) + row_number() OVER (ORDER BY key) AS serial FROM w2 WHERE key NOT IN (SELECT key FROM l1))
 SELECT l1.serial, l1.key, format('THS-F{:06d}', l1.serial) AS voucher_no, l1.id, l1.no, l1.amount_kr, 'OTOMATIK' AS source, CASE WHEN stn IS NULL THEN 'AKTIF' ELSE 'IPTAL' END AS state, CASE WHEN stn IS NOT NULL THEN format('STR-{:06d}', stn) END AS counter, false AS reversal FROM l1 LEFT JOIN gone ON gone.serial = l1.serial
 UNION ALL SELECT stn, 'STORNO|' || key, format('STR-{:06d}', stn), id, no, amount_kr, 'OTOMATIK', 'AKTIF', format('THS-F{:06d}', serial), true FROM gone UNION ALL SELECT serial, key, format('THS-F{:06d}', serial), id, no, amount_kr, source, 'AKTIF', NULL, false FROM new"""
+_OUTCOMES_SQL = """, diff AS (SELECT id, no, CAST(sum(a) AS BIGINT) AS now_kr, CAST(greatest(sum(b) - sum(a), 0) AS BIGINT) AS lost FROM (SELECT id, no, amount_kr AS a, 0 AS b FROM alloc UNION ALL SELECT id, no, 0, amount_kr FROM f) GROUP BY id, no),
+o AS (SELECT d.id, d.no, r.amount_kr, i.net_debt_kr, coalesce((SELECT sum(now_kr) FROM diff x WHERE x.id = d.id AND x.no = d.no), 0) AS w, coalesce((SELECT sum(now_kr) FROM diff x WHERE x.id = d.id), 0) AS g, coalesce((SELECT sum(lost) FROM diff x WHERE x.id = d.id), 0) AS m,
+ coalesce((SELECT sum(lost) FROM diff x WHERE x.no = d.no AND x.id <> d.id), 0) AS dr, coalesce((SELECT sum(now_kr) FROM diff x WHERE x.no = d.no), 0) AS p FROM dec d JOIN receipt r ON r.id = d.id JOIN sale i ON i.no = d.no)
+SELECT id, no, amount_kr, CAST(w AS BIGINT) AS written_kr, CAST(g - w AS BIGINT) AS elsewhere_kr, CAST(greatest(amount_kr - g, 0) AS BIGINT) AS advance_kr, CAST(m AS BIGINT) AS moved_kr, CAST(dr AS BIGINT) AS dropped_kr,
+ CASE WHEN w = 0 THEN 'YAZILAMADI' WHEN w < amount_kr THEN 'KISMEN_YAZILDI' WHEN net_debt_kr > p THEN 'TAM_YAZILDI_FATURA_ACIK' ELSE 'TAM_YAZILDI_FATURA_KAPANDI' END AS outcome FROM o"""
 _PAID = "pinv AS (SELECT no, party, date, gross_kr AS open_kr FROM purchase), pay AS (SELECT id, party, date, amount_kr AS open_kr, instrument, bank FROM payment), palloc AS (" + _fifo_sql("pinv", "pay") + ")"
 _ACCOUNT = "CASE instrument WHEN 'NAKIT' THEN '100' WHEN 'CEK' THEN CASE WHEN direction = 'SATIS' THEN '101' ELSE '103' END WHEN 'SENET' THEN CASE WHEN direction = 'SATIS' THEN '121' ELSE '321' END ELSE '102' END"
 _MONEY_SQL = f", m AS (SELECT *, {_ACCOUNT} AS account FROM (SELECT 'SATIS' AS direction, a.id, a.no, instrument, amount_kr FROM alloc a JOIN rec ON rec.id = a.id UNION ALL SELECT 'ALIS', a.id, a.no, instrument, amount_kr FROM palloc a JOIN pay ON pay.id = a.id))"
@@ -178,6 +183,7 @@ QUERIES = {
     "allocation_sync_diff": (lambda s, d: allocation.sync(_frozen(s, d), _all(s, d)), over("receipt", _ALL + ", a AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM frozen), b AS (SELECT id, no, amount_kr, CAST(id AS VARCHAR) || '|' || CAST(no AS VARCHAR) || '|' || CAST(amount_kr AS VARCHAR) AS key FROM alloc) SELECT *, 'YENI' AS action FROM b WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT *, 'IPTAL' FROM a WHERE key NOT IN (SELECT key FROM b)")),
     "ledger_sync": (_synced, over("receipt", _ALL + _SYNC_SQL)),
     "decision_effect": (lambda s, d: allocation.effect(allocation.fifo(_open(s, d), _money(s, d)), _all(s, d)), over("receipt", _ALL + ", f AS (" + _fifo_sql("inv", "rec") + ") SELECT *, CASE WHEN before_kr = 0 THEN 'written' WHEN after_kr = 0 THEN 'dropped' ELSE 'changed' END AS outcome FROM (SELECT coalesce(f.id, a.id) AS id, coalesce(f.no, a.no) AS no, coalesce(f.amount_kr, 0) AS before_kr, coalesce(a.amount_kr, 0) AS after_kr FROM f FULL JOIN alloc a ON a.id = f.id AND a.no = f.no) WHERE before_kr <> after_kr")),
+    "decision_outcomes": (lambda s, d: allocation.outcomes(_decisions(s, d), _s(s, d), view(s, d, "receipts"), allocation.fifo(_open(s, d), _money(s, d)), _all(s, d)), over("receipt", _ALL + ", f AS (" + _fifo_sql("inv", "rec") + ")" + _OUTCOMES_SQL)),
     "unallocated": (lambda s, d: allocation.unallocated(_status(s, d), _money(s, d), "2001-12-31"), over("receipt", _ALL + _STATUS + " SELECT s.id, s.party, bank, remaining_kr, status, CAST((2001 - year(date)) * 360 + (12 - month(date)) * 30 + 31 - day(date) AS INTEGER) AS age_days FROM status s JOIN rec ON rec.id = s.id WHERE remaining_kr > 0")),
     "invariants": (_checked, over("journal", _ALL + _CORRUPT_SQL + ", g AS (SELECT id, sum(amount_kr) AS g FROM alloc GROUP BY id), br AS (SELECT rec.id, open_kr, coalesce(s, 0) AS s, coalesce(g, 0) AS g FROM rec LEFT JOIN (SELECT id, sum(amount_kr) AS s FROM bad GROUP BY id) b ON b.id = rec.id LEFT JOIN g ON g.id = rec.id), bi AS (SELECT sale.no, valid, net_debt_kr, coalesce(s, 0) AS s FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS s FROM bad GROUP BY no) b ON b.no = sale.no) SELECT 'D01' AS code, id AS key, CAST(s - open_kr AS BIGINT) AS amount_kr FROM br WHERE s > open_kr UNION ALL SELECT 'D02', id, CAST(s - g AS BIGINT) FROM br WHERE s <> g UNION ALL SELECT 'D03', no, CAST(s - net_debt_kr AS BIGINT) FROM bi WHERE s > net_debt_kr UNION ALL SELECT 'D04', no, CAST(net_debt_kr - s AS BIGINT) FROM bi WHERE net_debt_kr - s < 0 UNION ALL SELECT 'D05', no, CAST(s AS BIGINT) FROM bi WHERE NOT valid AND s <> 0 UNION ALL SELECT 'D06', 0, CAST(o AS BIGINT) FROM (SELECT sum(debit_kr - credit_kr) AS o FROM journal) WHERE o <> 0")),
     "prechecks": (lambda s, d: allocation.prechecks(_requests(s, d), _s(s, d), _money(s, d), _decisions(s, d)), over("receipt", _BASE + ", q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 5 WHEN o_orderkey % 35 = 0 THEN -1 ELSE o_orderkey END AS no FROM orders), m AS (SELECT q.id, q.no, r.id IS NULL AS k1, s.no IS NULL AS k2, valid, r.party AS rp, s.party AS ip, net_debt_kr, r.open_kr AS amount, s.date > r.date AS late, (SELECT min(d.id) FROM dec d WHERE d.no = q.no) AS holder, EXISTS (SELECT 1 FROM dec d WHERE d.no = q.no AND d.id = q.id) AS own FROM q LEFT JOIN rec r ON r.id = q.id LEFT JOIN sale s ON s.no = q.no) SELECT id, no, unnest(CASE WHEN k1 THEN ['K01'] WHEN k2 THEN ['K02'] ELSE list_filter([CASE WHEN NOT valid THEN 'K03' END, CASE WHEN rp <> ip THEN 'K04' END, CASE WHEN net_debt_kr <= 0 THEN 'K06' END, CASE WHEN holder <> id THEN 'K07' END, CASE WHEN own THEN 'K08' END, CASE WHEN late THEN 'K09' END, CASE WHEN net_debt_kr > 0 AND amount > net_debt_kr THEN 'K10' END], lambda x: x IS NOT NULL) END) AS code FROM m")),

@@ -1,8 +1,8 @@
-"""Cash book and invoice search on rows written by hand."""
+"""Cash book, invoice search and outcomes of decisions on rows written by hand."""
 
 from datetime import date
 
-from tallyspark.operators import audit
+from tallyspark.operators import allocation, audit
 
 
 def test_cash_book(spark):
@@ -41,3 +41,17 @@ def test_invoice_search(spark):
     order = lambda sort, **k: [(r.direction[0], r.no) for r in audit.invoice_page(s, sort, **k).collect()]
     assert order("tutar_desc", limit=4) == [("S", 3), ("S", 2), ("A", 1), ("S", 1)] and order("tarih_asc", offset=4) == [("S", 4)] and order("tarih_desc", limit=1) == [("S", 4)]
     assert tuple(audit.invoice_totals(s).first()) == (5, 200) and tuple(audit.invoice_totals(s.where("no > 99")).first()) == (0, 0)
+
+
+def test_outcomes(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split()))
+    invoices = frame([(1, 100), (2, 50), (3, 80), (4, 10), (5, 0)], "no net_debt_kr")
+    receipts = frame([(10, 100), (11, 70), (12, 30), (13, 40), (14, 9)], "id amount_kr")
+    decisions = frame([(10, 1), (11, 2), (12, 3), (13, 5), (99, 1), (14, 77)], "id no")
+    before = frame([(10, 2, 50), (11, 1, 70), (13, 3, 40)], "id no amount_kr")
+    after = frame([(10, 1, 60), (10, 1, 40), (11, 2, 50), (11, 4, 5), (12, 3, 30), (13, 3, 40)], "id no amount_kr")
+    got = {r.id: tuple(r)[2:] for r in allocation.outcomes(decisions, invoices, receipts, before, after).collect()}
+    assert got == {
+        10: (100, 100, 0, 0, 50, 70, "TAM_YAZILDI_FATURA_KAPANDI"), 11: (70, 50, 5, 15, 70, 50, "KISMEN_YAZILDI"), 12: (30, 30, 0, 0, 0, 0, "TAM_YAZILDI_FATURA_ACIK"), 13: (40, 0, 40, 0, 0, 0, "YAZILAMADI"),
+    }
+    assert allocation.outcomes(decisions.where("false"), invoices, receipts, before, after).count() == 0
