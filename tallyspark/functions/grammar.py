@@ -12,6 +12,11 @@ SHORTEST = 3
 _VOWELS = "aıoueiöü"
 
 
+def _bound(x: Column, made) -> Column:
+    """`made` of `x`, where `x` is named once: an expression written out at each use would grow with the product of the uses."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def lower_turkish(x: str | Column) -> Column:
     """Lower case in which İ is i and I is ı."""
     return F.lower(F.translate(col(x), "İI", "iı"))
@@ -47,16 +52,18 @@ def _without_ending(w: Column) -> Column:
 
 def turkish_stems(word: str | Column) -> Column:
     """`word` in lower case and what two endings at most may have been added to, softened consonants also hard."""
-    w = lower_turkish(word)
     hard = lambda xs: F.flatten(F.transform(xs, lambda x: F.array_compact(F.array(x, _hard(x)))))
-    once = _without_ending(w)
-    twice = F.flatten(F.transform(once, _without_ending))
-    return F.array_distinct(F.concat(F.array(w), hard(once), hard(twice)))
+    twice = lambda once: F.flatten(F.transform(once, _without_ending))
+    every = lambda w: _bound(_without_ending(w), lambda once: F.array_distinct(F.concat(F.array(w), hard(once), hard(twice(once)))))
+    return _bound(lower_turkish(word), every)
 
 
 def english_stems(word: str | Column) -> Column:
     """`word` in lower case, without 's, and singular as its end allows."""
-    w = F.lower(col(word))
+    return _bound(F.lower(col(word)), _english)
+
+
+def _english(w: Column) -> Column:
     n = F.length(w)
     body = lambda k: F.substring(w, F.lit(1), n - k)
     owned = (F.endswith(w, F.lit("'s")) | F.endswith(w, F.lit("’s"))) & (n >= 4)
@@ -66,7 +73,10 @@ def english_stems(word: str | Column) -> Column:
 
 def phrase_stems(phrase: str | Column, stems=turkish_stems) -> Column:
     """A phrase with the stems of its last word, which alone is inflected in a noun phrase."""
-    words = F.filter(F.split(F.trim(col(phrase)), r"\s+"), lambda w: w != "")
+    return _bound(F.filter(F.split(F.trim(col(phrase)), r"\s+"), lambda w: w != ""), lambda words: _phrase(words, stems))
+
+
+def _phrase(words: Column, stems) -> Column:
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
     found = stems(F.coalesce(F.get(words, F.size(words) - 1), F.lit("")))
     return F.transform(found, lambda s: F.when(F.size(words) > 1, F.concat(head, F.lit(" "), s)).otherwise(s))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.grammar import english_stems, phrase_stems
@@ -39,17 +39,19 @@ def column_names(cells: DataFrame, meanings: dict[str, list[str]] = MEANINGS) ->
     """`cells` (doc_id, line, j, text) to the columns of each document's heading: doc_id, line, j, raw, meaning.
 
     A heading has three cells or more, none a number, two or more with a meaning and no meaning twice; the one with most meanings wins, of equals the upper one.
-    Only texts of lines that may be headings are looked up, each different one once.
+    Only texts of lines that may be headings are looked up, each different one once.  Lines are never sent to all tasks: Spark takes cells made by `explode`
+    for as many bytes as the rows they came from, and would broadcast them.
     """
     digits, letters = F.regexp_replace("text", "[^0-9]", ""), F.regexp_replace("text", r"[^\p{L}]", "")
-    shape = cells.groupBy("doc_id", "line").agg(F.count("*").alias("cells"), F.bool_or((digits != "") & (F.length(letters) <= 2)).alias("number"))
-    able = written(cells.join(shape.where("cells >= 3 and not number"), ["doc_id", "line"]).select("doc_id", "line", "j", "text"), "cells")
+    line = Window.partitionBy("doc_id", "line")
+    shaped = cells.where("doc_id is not null and line is not null").withColumn("cells", F.count("*").over(line)).withColumn("number", F.bool_or((digits != "") & (F.length(letters) <= 2)).over(line))
+    able = written(shaped.where("cells >= 3 and not number").select("doc_id", "line", "j", "text"), "cells")
     texts = written(able.select("text").distinct().withColumn("found", spellings("text")), "spellings")
     rows = able.join(texts.select("text", meaning(F.col("found"), meanings).alias("meaning")), "text")
     told = F.when(F.col("meaning") != "", F.col("meaning"))
     lines = rows.groupBy("doc_id", "line").agg(F.count(told).alias("told"), F.count_distinct(told).alias("different"))
     best = lines.where("told >= 2 and told = different").groupBy("doc_id").agg(F.max_by("line", F.struct("told", -F.col("line"))).alias("line"))
-    return rows.join(best, ["doc_id", "line"]).select("doc_id", "line", "j", F.trim("text").alias("raw"), "meaning")
+    return rows.join(best.hint("merge"), ["doc_id", "line"]).select("doc_id", "line", "j", F.trim("text").alias("raw"), "meaning")
 
 
 #: A distance counts as near up to the first share of the name's length; the best must be better than the next by the second.

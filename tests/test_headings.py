@@ -111,3 +111,13 @@ def test_rules_retire_for_good(spark):
     got = headings.rule_states(spark.createDataFrame(rows, "rule long, seq long, right boolean, made string").repartition(3)).collect()
     assert {r.rule: (r.hits, r.trials, r.state, r.retired_at, r.counterexample) for r in got} == {k: tuple(v) for k, v in state.items()}
     assert {r.state for r in got} == {"AKTIF", "EMEKLI"} and all(abs(r.confidence - low(r.hits, r.trials)) < 1e-5 for r in got)
+
+
+def test_headings_stay_small_and_unsent(spark):
+    """Stems name each part once, and lines made by `explode` are not broadcast: they look as small as the rows that they come from."""
+    nodes = lambda c: spark.range(1).select(c.alias("s"))._jdf.queryExecution().analyzed().expressions().apply(0).treeString().count("\n")
+    assert nodes(grammar.phrase_stems(F.lit("Birim Fiyatı"))) < 3000
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.posexplode(F.array(F.lit("SIRA   MİKTAR   TUTAR"), F.lit("1   2,00   3"))).alias("line", "text"))
+    out = headings.column_names(docs.select("doc_id", "line", F.posexplode(F.split("text", "   ")).alias("j", "text")))
+    assert out.count() == 150
+    assert "SortMergeJoin [doc_id" in out._jdf.queryExecution().executedPlan().toString()
