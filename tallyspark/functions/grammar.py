@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.money import col
+from tallyspark.functions.money import bound, col
 
 #: Letters that a stem keeps at least.
 SHORTEST = 3
 _VOWELS = "aıoueiöü"
 
 
-def _bound(x: Column, made) -> Column:
-    """`made` of `x`, where `x` is named once: an expression written out at each use would grow with the product of the uses."""
-    return F.get(F.transform(F.array(x), made), F.lit(0))
-
-
 def lower_turkish(x: str | Column) -> Column:
     """Lower case in which İ is i and I is ı."""
     return F.lower(F.translate(col(x), "İI", "iı"))
@@ -54,13 +49,13 @@ def turkish_stems(word: str | Column) -> Column:
     """`word` in lower case and what two endings at most may have been added to, softened consonants also hard."""
     hard = lambda xs: F.flatten(F.transform(xs, lambda x: F.array_compact(F.array(x, _hard(x)))))
     twice = lambda once: F.flatten(F.transform(once, _without_ending))
-    every = lambda w: _bound(_without_ending(w), lambda once: F.array_distinct(F.concat(F.array(w), hard(once), hard(twice(once)))))
-    return _bound(lower_turkish(word), every)
+    every = lambda w: bound(_without_ending(w), lambda once: F.array_distinct(F.concat(F.array(w), hard(once), hard(twice(once)))))
+    return bound(lower_turkish(word), every)
 
 
 def english_stems(word: str | Column) -> Column:
     """`word` in lower case, without 's, and singular as its end allows."""
-    return _bound(F.lower(col(word)), _english)
+    return bound(F.lower(col(word)), _english)
 
 
 def _english(w: Column) -> Column:
@@ -73,7 +68,7 @@ def _english(w: Column) -> Column:
 
 def phrase_stems(phrase: str | Column, stems=turkish_stems) -> Column:
     """A phrase with the stems of its last word, which alone is inflected in a noun phrase."""
-    return _bound(F.filter(F.split(F.trim(col(phrase)), r"\s+"), lambda w: w != ""), lambda words: _phrase(words, stems))
+    return bound(F.filter(F.split(F.trim(col(phrase)), r"\s+"), lambda w: w != ""), lambda words: _phrase(words, stems))
 
 
 def _phrase(words: Column, stems) -> Column:

@@ -10,6 +10,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, made) -> Column:
+    """`made` of `x`, where `x` is named once: an expression written out at each use would grow with the product of the uses."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def kurus(amount: str | Column) -> Column:
     """Currency units with two decimals (double or decimal) to kurus."""
     return F.round(col(amount) * 100).cast("bigint")

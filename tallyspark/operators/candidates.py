@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.money import bound
 from tallyspark.functions.names import simplify
 
 #: Candidates of a field that an equation tries.
@@ -45,23 +46,19 @@ def read_amount(x: str | Column, decimal: str) -> Column:
     before it.  Otherwise `decimal` parts the fraction if it stands there once and digits follow; more than two are cut.
     """
     x = F.col(x) if isinstance(x, str) else x
-    marks = F.regexp_replace(x, r"[^0-9.,\-]", "")
-    t = F.regexp_replace(marks, r"^-+|-+$", "")
-    anchored = t.rlike(r"^\d{1,3}([.,]\d{3})*[.,]\d{1,2}$")
-    local = rf"^([^{decimal}]*)[{decimal}](\d+)$"
-    whole = F.when(anchored, F.regexp_extract(t, r"^(.*)[.,]\d+$", 1)).when(t.rlike(local), F.regexp_extract(t, local, 1)).otherwise(t)
-    part = F.when(anchored, F.regexp_extract(t, r"[.,](\d+)$", 1)).when(t.rlike(local), F.regexp_extract(t, local, 2)).otherwise("")
-    digits = F.regexp_replace(whole, r"\D", "")
-    value = digits.try_cast("decimal(18,0)") * 100 + F.rpad(F.substring(part, 1, 2), 2, "0").cast("int")
-    return F.when(t.rlike(r"\d"), F.when(marks.startswith("-"), -value).otherwise(value).try_cast("bigint"))
+    fraction = rf"^(?:\d{{1,3}}(?:[.,]\d{{3}})*[.,](?=\d{{1,2}}$)|[^{decimal}]*[{decimal}])(\d+)$"
+    digits = lambda y: F.translate(y, ".,-", "")
+    value = lambda t, part: digits(F.substring(t, F.lit(1), F.length(t) - F.when(part == "", 0).otherwise(F.length(part) + 1))).try_cast("decimal(18,0)") * 100 + F.rpad(F.substring(part, 1, 2), 2, "0").cast("int")
+    number = lambda t: F.when(digits(t) != "", bound(F.regexp_extract(t, fraction, 1), lambda part: value(t, part)))
+    signed = lambda marks, v: F.when(marks.startswith("-"), -v).otherwise(v).try_cast("bigint")
+    return bound(F.regexp_replace(x, r"[^0-9.,\-]", ""), lambda marks: bound(bound(F.btrim(marks, F.lit("-")), number), lambda v: signed(marks, v)))
 
 
 def read_date(x: str | Column) -> Column:
     """Eight digits, day first, to yyyymmdd; null unless the calendar has that day between 1900 and 2200."""
-    d = F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"\D", "")
-    iso = F.concat(F.substring(d, 5, 4), F.lit("-"), F.substring(d, 3, 2), F.lit("-"), F.substring(d, 1, 2))
-    known = F.when(F.length(d) == 8, iso.try_cast("date"))
-    return F.when(F.year(known).between(1900, 2200), F.date_format(known, "yyyyMMdd").cast("bigint"))
+    iso = lambda d: F.concat(F.substring(d, 5, 4), F.lit("-"), F.substring(d, 3, 2), F.lit("-"), F.substring(d, 1, 2))
+    known = bound(F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"\D", ""), lambda d: F.when(F.length(d) == 8, iso(d).try_cast("date")))
+    return bound(known, lambda day: F.when(F.year(day).between(1900, 2200), F.date_format(day, "yyyyMMdd").cast("bigint")))
 
 
 def typed(kind: Column, x: Column, decimal: str) -> Column:
@@ -72,7 +69,11 @@ def typed(kind: Column, x: Column, decimal: str) -> Column:
 
 def tokens(kind: Column, text: Column) -> Column:
     """Parts of `text` that have the form of `kind`, from left to right; numbers that a percent sign stands before or right behind are rates, not amounts."""
-    plain = F.regexp_replace(F.regexp_replace(text, "% +", "%"), r"[0-9](?:[0-9.,]*[0-9])?(?=%)", "")
+    return bound(text, lambda x: _tokens(kind, x))
+
+
+def _tokens(kind: Column, text: Column) -> Column:
+    plain = F.when(F.contains(text, F.lit("%")), F.regexp_replace(F.regexp_replace(text, "% +", "%"), r"[0-9](?:[0-9.,]*[0-9])?(?=%)", "")).otherwise(text)
     amounts = F.filter(F.regexp_extract_all(plain, F.lit(r"(%?[0-9](?:[0-9.,]*[0-9])?)"), 1), lambda t: ~t.startswith("%"))
     dates = F.filter(F.regexp_extract_all(text, F.lit(r"([0-9][0-9./\-]*)"), 1), lambda t: F.length(F.regexp_replace(t, r"\D", "")) == 8)
     ids = F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{10,11})(?![0-9])"), 1)
@@ -83,10 +84,11 @@ def tokens(kind: Column, text: Column) -> Column:
 
 def _behind(cell: Column, label: Column) -> Column:
     """What follows the label's last word in the cell as it was written; null if nothing does."""
-    words, last = F.regexp_extract_all(cell, F.lit("([^ :]*[ :]|[^ :]+)"), 1), F.element_at(F.split(label, " "), -1)
-    at = F.array_position(F.transform(words, lambda w: F.endswith(simplify(w), last)), True)
-    rest = F.trim(F.regexp_replace(F.array_join(F.slice(words, at.cast("int") + 1, F.size(words)), ""), r"^[: .\-]+", ""))
-    return F.when((at > 0) & (rest != ""), rest)
+    last = F.substring_index(label, " ", -1)
+    place = lambda words: F.array_position(F.transform(words, lambda w: F.endswith(simplify(w), last)), True)
+    rest = lambda words, at: F.trim(F.regexp_replace(F.array_join(F.slice(words, at.cast("int") + 1, F.size(words)), ""), r"^[: .\-]+", ""))
+    after = lambda words: bound(place(words), lambda at: F.when(at > 0, bound(rest(words, at), lambda r: F.when(r != "", r))))
+    return bound(F.regexp_extract_all(cell, F.lit("([^ :]*[ :]|[^ :]+)"), 1), after)
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -112,13 +114,14 @@ def candidates(lines: DataFrame, fields: list[Field]) -> DataFrame:
         ranked = sorted(enumerate(f.labels), key=lambda x: (-len(x[1]), -x[0]))
         label = F.coalesce(*[F.when(F.contains("plain", F.lit(x)), F.lit(x)) for _, x in ranked])
         met.append(F.when(label.isNotNull(), F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), label.alias("label"))))
-    each = each.withColumn("m", F.explode(F.array_compact(F.array(*met)))).select("*", "m.*")
+    # Generators keep empty rows, which go after them: Spark would else filter by the size of what it generates, and compute it once more for each mention.
+    each = each.withColumn("m", F.explode_outer(F.array_compact(F.array(*met)))).where("m is not null").select("*", "m.*")
     own, right = _behind(F.col("cell"), F.col("label")), F.get("c0", F.col("j") + 1)
     below = F.coalesce(F.get("under", F.col("j")), F.get("under", F.lit(0)))
     long = F.length("label")
     made = lambda text, name, score: F.transform(tokens(F.col("kind"), text), lambda t, n: F.struct(t.alias("value"), F.lit(name).alias("strategy"), score(n).cast("int").alias("score")))
     found = F.concat(made(own, "same cell", lambda n: SAME + long - 5 * n), made(right, "next cell", lambda n: RIGHT + long - 5 * n), made(below, "below", lambda n: BELOW + long - 10 * (F.col("step") - 1)))
-    out = each.select("doc_id", "field", "kind", "line", "j", F.posexplode(found).alias("g", "c")).select("doc_id", "field", "kind", "line", "j", "g", "c.*")
+    out = each.select("doc_id", "field", "kind", "line", "j", F.posexplode_outer(found).alias("g", "c")).where("g is not null").select("doc_id", "field", "kind", "line", "j", "g", "c.*")
     order = Window.partitionBy("doc_id", "field").orderBy(F.desc("score"), "line", "j", "g")
     again = F.lag(F.struct("value", "line")).over(order) == F.struct("value", "line")
     out = out.withColumn("again", F.coalesce(again, F.lit(False))).where("not again")
@@ -141,8 +144,8 @@ def chosen(found: DataFrame, equations: list[Equation], decimal: str) -> DataFra
     spark = found.sparkSession
     parts = [(e, pos, name, sign, pos == len(q.terms), q.absolute, len(q.terms) + 1) for e, q in enumerate(equations) for pos, (name, sign) in enumerate([*q.terms, (q.target, -1)])]
     rules = F.broadcast(spark.createDataFrame(parts, "equation int, pos int, field string, sign int, is_target boolean, absolute boolean, fields int"))  # a row for each field of a rule
-    tried = found.where(F.col("place") <= TRIED).select("doc_id", "field", "place", "value", read_amount("value", decimal).alias("number")).where("number is not null")
-    lists = tried.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("place", "number", "value"))).alias("all"))
+    tried = found.where((F.col("place") <= TRIED) & F.col("field").isin(sorted({name for _, _, name, *_ in parts}))).select("doc_id", "field", "place", "value", read_amount("value", decimal).alias("number"))
+    lists = tried.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("place", "number", "value")))).alias("all")).where(F.size("all") > 0)
     met = lists.join(rules, "field").groupBy("doc_id", "equation", "absolute", "fields").agg(F.array_sort(F.collect_list(F.struct("pos", "sign", F.col("all.number").alias("numbers"), "is_target"))).alias("o"))
     met = met.where(F.size("o") == F.col("fields")).withColumn("half", F.call_function("div", F.col("fields"), F.lit(2)).cast("int"))
     terms, target = F.filter("o", lambda o: ~o["is_target"]), F.element_at("o", -1)
@@ -185,7 +188,7 @@ def filled(found: DataFrame, equations: list[Equation], decimal: str) -> DataFra
     and all of them hold; else nothing is (`value` and `number` are null then).  A filled field is approved if it is part of an equation or all its candidates say the same.
     """
     said = F.coalesce(typed(F.col("kind"), F.col("value"), decimal).cast("string"), simplify("value"))
-    best = found.groupBy("doc_id", "field", "kind").agg(F.min_by("value", "place").alias("first"), F.count_distinct(F.when(said != "", said)).alias("candidates"))
+    best = found.groupBy("doc_id", "field", "kind").agg(F.min_by("value", "place").alias("first"), F.count_distinct(bound(said, lambda x: F.when(x != "", x))).alias("candidates"))
     picked = chosen(found, equations, decimal)
     at = best.join(picked.withColumnRenamed("value", "proved"), ["doc_id", "field"], "left").withColumn("value", F.coalesce("proved", "first"))
     at = at.withColumn("number", typed(F.col("kind"), F.col("value"), decimal))
