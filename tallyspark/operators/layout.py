@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from tallyspark.functions.money import bound
 from tallyspark.functions.names import simplify
 from tallyspark.sources.scratch import written
 
@@ -28,26 +29,55 @@ RIGHT, BELOW = "SAGINDA", "ALTINDA"
 _PAGE = ["doc_id", "page"]
 
 
+_WORD = ["x0", "m", "k", "x1", "height", "text"]
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The line of each word: words come page by page from top to bottom, and a line's middle is the mean of its words so far."""
+    """Lines of words: words come page by page from top to bottom, and a line's middle is the mean of its words so far.
+
+    A line goes out when the next one begins; what is held is the line at hand and one batch.
+    """
     total, n, line = 0.0, 0, 0
+    held: list[pa.RecordBatch] = []  # of the line at hand, whose number is `line`
+
+    def made(rows: list[pa.RecordBatch], begins: list[int], numbers: list[int]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        column = lambda c: pa.concat_arrays(t.column(c).chunks)
+        ends = np.array([*begins, t.num_rows], dtype=np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([column(c) for c in _WORD], names=_WORD))
+        y = np.add.reduceat(column("middle").to_numpy(), ends[:-1]) / np.diff(ends)
+        at = pa.array(ends[:-1])
+        return pa.RecordBatch.from_arrays([*(column(c).take(at) for c in _PAGE), pa.array(numbers, pa.int64()), pa.array(y), words], names=[*_PAGE, "line", "y", "words"])
+
     for b in batches:
-        at = np.empty(b.num_rows, dtype=np.int64)
+        begins, numbers = [], []
+        current = line
         seen = zip(*(b.column(c).to_pylist() for c in ("first", "middle", "reach")), strict=True)
         for i, (first, middle, reach) in enumerate(seen):
             if first or abs(total / n - middle) > reach:
                 total, n, line = middle, 1, 1 if first else line + 1
+                begins.append(i)
+                numbers.append(line)
             else:
                 total, n = total + middle, n + 1
-            at[i] = line
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "line"])
+        if not begins:
+            held.append(b)
+            continue
+        before = sum(h.num_rows for h in held)
+        rows = [*held, b.slice(0, begins[-1])]
+        starts = [*([0] if before + begins[0] else []), *(before + i for i in begins[:-1])]
+        if before + begins[-1]:
+            yield made(rows, starts, [*([current] if before + begins[0] else []), *numbers[:-1]])
+        held = [b.slice(begins[-1])]
+    if held and sum(h.num_rows for h in held):
+        yield made(held, [0], [line])
 
 
 def lines(words: DataFrame) -> DataFrame:
     """doc_id, page, line (from 1), y (mean of the middles), words (from left to right: x0, x1, height, text), text.
 
-    The mean depends on the order of words, so a page is read in order by a fold that keeps three numbers; the window before it
-    sorts and tells where pages begin.  A line's text has three blanks for a wide gap, one for a narrow one, none for none.
+    The mean depends on the order of words, so a page is read in order by a fold that keeps three numbers and the line at hand; the
+    window before it sorts and tells where pages begin.  Words are shuffled once, and leave the fold as lines.  A line's text has three blanks for a wide gap, one for a narrow one, none for none.
     """
     c = F.col
     corners = ("x0", "y0", "x1", "y1")
@@ -57,9 +87,11 @@ def lines(words: DataFrame) -> DataFrame:
     rows = placed.select(*_PAGE, "k", "text", "x0", "x1", ((c("y0") + c("y1")) / 2).alias("middle"), F.abs(c("y1") - c("y0")).alias("height"))
     w = Window.partitionBy(*_PAGE).orderBy(c("middle").cast("int"), c("x0").cast("int"), "k")
     rows = rows.withColumn("reach", F.greatest(NEAR * c("height"), F.lit(LEAST))).withColumn("first", F.row_number().over(w) == 1)
-    read = rows.mapInArrow(_fold, StructType([*rows.schema.fields, StructField("line", LongType())]))
-    word = F.struct("x0", c("middle").cast("int").alias("m"), "k", "x1", "height", "text")
-    out = read.groupBy(*_PAGE, "line").agg(F.avg("middle").alias("y"), F.sort_array(F.collect_list(word)).alias("words"))
+    rows = rows.withColumn("m", c("middle").cast("int"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    word = StructType([StructField(x, kinds[x]) for x in _WORD])
+    read = rows.mapInArrow(_fold, StructType([*(StructField(x, kinds[x]) for x in _PAGE), StructField("line", LongType()), StructField("y", DoubleType()), StructField("words", ArrayType(word))]))
+    out = read.withColumn("words", F.sort_array("words"))
     gap = lambda x, i: x["x0"] - F.get("words", i - 1)["x1"]
     blank = lambda x, i: F.when(i == 0, "").when(gap(x, i) > WIDE * x["height"], "   ").when(gap(x, i) > 0.5, " ").otherwise("")
     return out.withColumn("text", F.array_join(F.transform("words", lambda x, i: F.concat(blank(x, i), x["text"])), ""))
@@ -100,9 +132,10 @@ def grid(page_lines: DataFrame) -> DataFrame:
 
     A corridor of the band parts two neighbours only if it runs between them, so that a heading over a table stays whole.
     """
-    keys = [*_PAGE, "band"]
     rows = bands(page_lines)
-    met = rows.join(corridors(rows), keys, "left").withColumn("corridors", F.coalesce("corridors", F.array().cast("array<double>")))
+    # Corridors come back as one map for each page: rows and words lie by page already, and neither is shuffled again.
+    of_page = corridors(rows).groupBy(*_PAGE).agg(F.map_from_entries(F.collect_list(F.struct("band", "corridors"))).alias("of_band"))
+    met = rows.join(of_page.hint("merge"), _PAGE, "left").withColumn("corridors", F.coalesce(F.try_element_at("of_band", "band"), F.array().cast("array<double>")))
     parted = lambda x, i: (i == 0) | F.exists("corridors", lambda at: (at > F.get("words", i - 1)["x1"]) & (at < x["x0"]))
     starts = F.filter(F.transform("words", lambda x, i: F.when(parted(x, i), i + 1)), lambda i: i.isNotNull())
     met = met.withColumn("starts", starts)
@@ -122,8 +155,9 @@ def label_values(page_lines: DataFrame, labels: list[str]) -> DataFrame:
     c = F.col
     rows = written(page_lines.select(*_PAGE, "line", "y", "words", "text"), "lines")
     known = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
-    hits = rows.withColumn("plain", simplify("text")).withColumn("label", F.explode(F.filter(known, lambda x: F.contains(c("plain"), x))))
-    hits = hits.withColumn("end", F.element_at(F.filter("words", lambda x: F.contains(c("label"), simplify(x["text"]))), -1)).where("end is not null")
+    # Generators keep empty rows, which go after them: Spark would else filter by what they generate and compute it again for each mention.
+    hits = rows.withColumn("label", F.explode_outer(bound(simplify("text"), lambda plain: F.filter(known, lambda x: F.contains(plain, x))))).where("label is not null")
+    hits = hits.withColumn("end", F.explode_outer(F.slice(F.filter("words", lambda x: F.contains(c("label"), simplify(x["text"]))), F.lit(-1), F.lit(1)))).where("end is not null")
     pages = rows.groupBy(*_PAGE).agg(F.max("line").alias("last")).withColumn("next_page", F.lead("page").over(Window.partitionBy("doc_id").orderBy("page")))  # a row a page
     within = c("line") < c("last")
     hits = hits.join(pages, _PAGE).withColumn("to_page", F.when(within, c("page")).otherwise(c("next_page"))).withColumn("to_line", F.when(within, c("line") + 1).otherwise(1))
@@ -137,6 +171,6 @@ def label_values(page_lines: DataFrame, labels: list[str]) -> DataFrame:
         F.when(F.size(right) > 0, F.struct(said(right).alias("value"), F.lit(RIGHT).alias("relation"), (F.get(right, 0)["x0"] - c("end.x1")).alias("distance"))),
         F.when(F.size(below) > 0, F.struct(said(below).alias("value"), F.lit(BELOW).alias("relation"), F.abs(c("u_y") - c("y")).alias("distance"))),
     )
-    out = met.select("doc_id", "page", "line", "label", F.explode(F.array_compact(found)).alias("v")).select("*", "v.*")
+    out = met.select("doc_id", "page", "line", "label", F.explode_outer(F.array_compact(found)).alias("v")).where("v is not null").select("*", "v.*")
     order = Window.partitionBy("doc_id", "label").orderBy("distance", "page", "line", F.desc("relation"))
     return out.select("doc_id", "label", F.row_number().over(order).alias("place"), "value", "relation", "distance")

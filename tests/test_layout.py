@@ -80,3 +80,18 @@ def test_a_long_page_streams(spark):
     words = words.withColumn("x1", F.col("x0") + 9).withColumn("y1", F.col("y0") + 10)
     seen = layout.lines(words).agg(F.count("*").alias("n"), F.max("line").alias("last"), F.min(F.size("words")).alias("least")).first()
     assert tuple(seen) == (20_000, 20_000, 3)
+
+
+def test_words_are_shuffled_once_and_lines_span_batches(spark):
+    words = [(1, 1, k, f"w{k}", 10.0 * k, 5.0 + 30.0 * (k // 3), 10.0 * k + 5, 15.0 + 30.0 * (k // 3)) for k in range(8)] + [(2, 1, 0, "x", 0.0, 0.0, 5.0, 10.0)]
+    df = spark.createDataFrame(words, "doc_id long, page int, k long, text string, x0 double, y0 double, x1 double, y1 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (before, "1", "2", "4"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = layout.lines(df)
+            got = sorted((r.doc_id, r.line, r.y, [w.text for w in r.words]) for r in out.collect())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got == [(1, 1, 10.0, ["w0", "w1", "w2"]), (1, 2, 40.0, ["w3", "w4", "w5"]), (1, 3, 70.0, ["w6", "w7"]), (2, 1, 0.0 + 5.0, ["x"])]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
