@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.money import bound
 from tallyspark.functions.names import simplify
 
 #: Frequent words by language, fixed values.
@@ -14,11 +15,11 @@ FREQUENT = {"en": ["the", "and", "of", "to", "in"], "fr": ["le", "la", "les", "d
 
 def guess_language(texts: DataFrame) -> DataFrame:
     """The language with most frequent words in `text`; ties by the order of FREQUENT, none if no word is known."""
-    words = F.split(simplify("text"), " ")
     known = lambda ws: lambda w: w.isin(ws)
-    score = [F.struct(F.size(F.filter(words, known(ws))).alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("language")) for i, (k, ws) in enumerate(FREQUENT.items())]
-    best = F.array_max(F.array(*score))
-    return texts.select("doc_id", F.when(best["score"] > 0, best["language"]).otherwise("").alias("language"), best["score"].alias("score"))
+    scores = lambda words: F.array(*[F.struct(F.size(F.filter(words, known(ws))).alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("language")) for i, (k, ws) in enumerate(FREQUENT.items())])
+    best = bound(F.split(simplify("text"), " "), lambda words: F.array_max(scores(words)))
+    said = bound(best, lambda b: F.struct(F.when(b["score"] > 0, b["language"]).otherwise("").alias("language"), b["score"].alias("score")))
+    return texts.select("doc_id", said.alias("said")).select("doc_id", "said.language", "said.score")
 
 
 def fingerprint(text: str | Column) -> Column:

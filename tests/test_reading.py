@@ -121,3 +121,13 @@ def test_amounts_are_written_out_once(spark):
     found = candidates.candidates(lines, [candidates.Field("toplam", candidates.AMOUNT, ("toplam",))])
     assert [(r.value, r.strategy) for r in found.collect()] == [("1.180,00", "next cell")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Filter (size(filter(array(") == 0
+
+
+def test_language_folds_a_text_once(spark):
+    """Words were folded once for each language and mention of the best."""
+    from tallyspark.operators import documents
+
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "qq"), (3, None)], "doc_id int, text string")
+    out = documents.guess_language(df)
+    assert [r.language for r in out.orderBy("doc_id").collect()] == ["en", "", ""]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
