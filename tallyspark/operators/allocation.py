@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import total
-from tallyspark.operators.running import ranged, running
+from tallyspark.operators.running import PART
 from tallyspark.sources.scratch import written
 
 KEY = ["direction", "party"]
@@ -31,13 +31,24 @@ def fifo(invoices: DataFrame, receipts: DataFrame) -> DataFrame:
     rec = receipts.where("open_kr > 0 and party is not null").select(*KEY, "date", F.lit(1).alias("side"), F.col("id").alias("key"), "open_kr")
     order = ["date", "side", "key"]
     of = lambda side: F.when(F.col("side") == side, F.col("open_kr")).otherwise(F.lit(0))
-    both = running(ranged(inv.unionByName(rec), KEY, order), KEY, order, {"c": (F.sum, of(0)), "p": (F.sum, of(1))})
-    short = F.when(F.col("side") == 1, F.col("c") - F.col("p"))
-    both = running(written(both, "sums"), KEY, order, {"least": (F.min, short), "before": (F.min, short, -1)})
+    # As in `running`, but at once: sums and minima within a range come from one window, the ranges before it give two sums and a minimum.
+    own = Window.partitionBy(PART, *KEY).orderBy(*order)
+    now, past = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = inv.unionByName(rec).repartitionByRange(*KEY, *order).withColumn(PART, F.spark_partition_id())
+    rows = rows.withColumns({"c": F.sum(of(0)).over(now), "p": F.sum(of(1)).over(now)}).withColumn("short", F.when(F.col("side") == 1, F.col("c") - F.col("p")))
+    rows = written(rows.withColumns({"least": F.min("short").over(now), "before": F.min("short").over(past)}), "sums")
+    here = rows.groupBy(PART, *KEY).agg(F.sum(of(0)).alias("c"), F.sum(of(1)).alias("p"), F.min("short").alias("short"))
+    earlier = Window.partitionBy(*KEY).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    here = here.withColumns({"c0": F.coalesce(F.sum("c").over(earlier), F.lit(0)), "p0": F.coalesce(F.sum("p").over(earlier), F.lit(0)), "ranges": F.count("*").over(earlier)})
+    here = here.withColumn("short0", F.min(F.col("c0") - F.col("p0") + F.col("short")).over(earlier))
+    carried = here.where("ranges > 0").select(PART, *KEY, "c0", "p0", "short0")  # a row for each range at most
+    both = rows.join(F.broadcast(carried), [PART, *KEY], "left").na.fill(0, ["c0", "p0"])
+    moved = lambda c: F.least(F.col(c) + F.col("c0") - F.col("p0"), "short0")
+    both = both.withColumns({"c": F.col("c") + F.col("c0"), "p": F.col("p") + F.col("p0"), "least": moved("least"), "before": moved("before")})
     # An invoice's interval ends at C; a receipt's at what is allocated after it, and begins where that of the receipt before it ended.
     upto = F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("p") + F.least(F.lit(0), "least")).cast("bigint")
     since = F.when(F.col("side") == 0, F.col("c") - F.col("open_kr")).otherwise(F.col("p") - F.col("open_kr") + F.least(F.lit(0), "before")).cast("bigint")
-    both = written(both.select(*KEY, "side", "key", since.alias("since"), upto.alias("upto")).where("upto > since"), "intervals")  # read three times below
+    both = both.select(*KEY, "side", "key", since.alias("since"), upto.alias("upto")).where("upto > since")
     # Cells of the sum: about STRIDE invoices each, from the party's own mean.
     mean = both.where("side = 0").groupBy(*KEY).agg(F.greatest(F.ceil(F.max("upto") / F.greatest(F.count("*") / STRIDE, F.lit(1))), F.lit(1)).cast("bigint").alias("cell"))
     met = both.join(mean, KEY)
@@ -77,7 +88,8 @@ def allocate(invoices: DataFrame, receipts: DataFrame, frozen: DataFrame, decisi
     kept = written(kept, "frozen")
     inv, rec = less(invoices, "no", kept), less(receipts, "id", kept)
     hand = written(manual(decisions, inv, rec), "manual")
-    inv, rec = less(inv, "no", hand), less(rec, "id", hand)
+    used = kept.unionByName(hand)
+    inv, rec = less(invoices, "no", used), less(receipts, "id", used)
     auto = fifo(inv, rec.join(decisions.select("id").distinct(), "id", "left_anti"))
     label = lambda df, s: df.withColumn("source", F.lit(s))
     return label(kept, "DONMUS").unionByName(label(hand, "MANUEL")).unionByName(label(auto, "FIFO"))

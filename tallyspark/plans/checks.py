@@ -105,7 +105,11 @@ def _both_ways(s, d):
 
 
 def _allocations(s, d):
-    """What is allocated, of both directions, with its instrument."""
+    """What is allocated, of both directions, with its instrument; written, since invoices ask for its sums and its instruments."""
+    return view(s, d, "instruments", _instruments)
+
+
+def _instruments(s, d):
     sold = _all(s, d).select(F.lit("SATIS").alias("direction"), "id", "no", "amount_kr")
     bought = _paid(s, d).select(F.lit("ALIS").alias("direction"), "id", "no", "amount_kr")
     return sold.unionByName(bought).join(_both_ways(s, d).select("direction", "id", "instrument"), ["direction", "id"])
