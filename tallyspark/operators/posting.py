@@ -20,8 +20,8 @@ def posted(docs: DataFrame, kind: str, legs: list[tuple]) -> DataFrame:
     of = lambda x: zero if isinstance(x, int) else (F.col(x) if isinstance(x, str) else x).cast("bigint")
     lines = [F.struct(F.lit(i).alias("line_no"), (F.lit(a) if isinstance(a, str) else a).alias("account"), of(d).alias("debit_kr"), of(c).alias("credit_kr")) for i, (a, d, c) in enumerate(legs, 1)]
     number = (F.col("no") + F.lit(KINDS[kind] * BASE)).alias("voucher")
-    rows = docs.select(number, F.lit(kind).alias("kind"), "date", F.col("no").alias("doc_no"), F.inline(F.filter(F.array(*lines), lambda x: (x["debit_kr"] > 0) | (x["credit_kr"] > 0))))
-    return rows.select(JOURNAL)
+    rows = docs.select(number, F.lit(kind).alias("kind"), "date", F.col("no").alias("doc_no"), F.inline(F.array(*lines)))
+    return rows.where("debit_kr > 0 or credit_kr > 0").select(JOURNAL)
 
 
 def party(prefix: str) -> Column:

@@ -60,7 +60,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each order: amounts, the VAT of each rate, returns, discount, cost, state."""
     rates = [F.sum(F.when(F.col("rate") == r, F.col("vat_kr")).otherwise(0)).alias(f"vat{r}") for r in range(1, 9)]
-    sums = order_lines(spark, sf_dir).groupBy("no").agg(
+    sums = view(spark, sf_dir, "lines").groupBy("no").agg(
         F.sum("net_kr").alias("net_kr"), F.sum("vat_kr").alias("vat_kr"), F.sum("cost_kr").alias("cost_kr"),
         F.sum(F.when(F.col("returned"), F.col("net_kr")).otherwise(0)).alias("return_net_kr"), F.sum(F.when(F.col("returned"), F.col("vat_kr")).otherwise(0)).alias("return_vat_kr"), *rates,
     )
@@ -80,7 +80,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each supplier and month of shipping: the lines' cost with 10 percent VAT, dated at the month's end."""
     month = F.last_day("ship_date")
-    df = order_lines(spark, sf_dir).groupBy(F.col("supplier").alias("party"), month.alias("date")).agg(F.sum("cost_kr").alias("net_kr"))
+    df = view(spark, sf_dir, "lines").groupBy(F.col("supplier").alias("party"), month.alias("date")).agg(F.sum("cost_kr").alias("net_kr"))
     number = F.col("party") * 1_000_000 + F.date_format("date", "yyyyMM").cast("bigint")
     return df.select(number.alias("no"), F.lit("ALIS").alias("direction"), "party", "date", "net_kr", percent("net_kr", 10).alias("vat_kr")).withColumn("gross_kr", F.col("net_kr") + F.col("vat_kr"))
 
@@ -98,7 +98,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Money paid to suppliers: 50 to 110 percent of a purchase invoice, up to 39 days later, by an instrument of its number."""
     instrument = F.element_at(F.array(*map(F.lit, INSTRUMENTS.values())), (F.col("no") % 5 + 1).cast("int"))
-    return purchases(spark, sf_dir).select(
+    return view(spark, sf_dir, "purchases").select(
         F.col("no").alias("id"), "party", F.lit("ALIS").alias("direction"), F.date_add("date", (F.col("no") % 40).cast("int")).alias("date"), div(F.col("gross_kr") * (50 + F.col("no") % 61), 100).alias("amount_kr"), instrument.alias("instrument"),
         F.concat(F.lit("BANK"), (F.col("party") % 5).cast("string")).alias("bank"),
     ).where("amount_kr > 0")
@@ -123,11 +123,11 @@ _views: dict[tuple, DataFrame] = {}
 def view(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
     """A model table that several queries of a session share, written once; `make` if it is none of this module.
 
-    It is made anew when the files under `sf_dir` are others, and outlives lost executors.
+    Lines of orders are one: sales and purchases read them, so that they meet their parts once.  It is made anew when the files under `sf_dir` are others, and outlives lost executors.
     """
     key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _views:
-        _views[key] = written((make or {"journal": journal, "sales": sales, "receipts": receipts, "purchases": purchases, "payments": payments, "movements": bank_movements}[name])(spark, sf_dir), name)
+        _views[key] = written((make or {"lines": order_lines, "journal": journal, "sales": sales, "receipts": receipts, "purchases": purchases, "payments": payments, "movements": bank_movements}[name])(spark, sf_dir), name)
     return _views[key]
 
 
@@ -141,7 +141,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(posting.sale_returns(s))
         .unionByName(posting.costs(s))
         .unionByName(posting.discounts(s))
-        .unionByName(posting.purchase_accruals(purchases(spark, sf_dir)))
+        .unionByName(posting.purchase_accruals(view(spark, sf_dir, "purchases")))
         .unionByName(posting.receipt_vouchers(rec))
         .unionByName(posting.opening(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")))
     )
