@@ -33,3 +33,12 @@ def test_fifo_writes_once_and_follows_a_hot_party_over_ranges(spark, monkeypatch
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want and names == ["sums"]
+
+
+def test_no_step_over_the_journal_sorts_or_lists_it(spark):
+    lines = spark.createDataFrame([(1, None, date(2026, 1, 1), "Taslak", "MAHSUP", 1, "600", 0, 0), (1, 2, date(2026, 1, 1), "Taslak", "MAHSUP", 1, "999", 0, 5), (2, 1, date(2026, 1, 1), "Taslak", "MAHSUP", 1, "999", 5, 0), (2, 2, date(2026, 1, 1), "Taslak", "MAHSUP", 1, "600", 5, 5)], "voucher long, line_no int, date date, status string, kind string, evidence long, account string, debit_kr long, credit_kr long")
+    found = posting.validate(lines, spark.createDataFrame([("600",)], "code string"), "2026-01-01", "2026-12-31")
+    assert {r.voucher: r.rule for r in found.collect()} == {1: "V3", 2: "V4"} and "SortAggregate" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    docs = spark.createDataFrame([(1, date(2026, 1, 1), 5), (2, date(2026, 1, 1), 0)], "no long, date date, net_kr long")
+    posted = posting.posted(docs, "accrual", [("120", "net_kr", 0), ("600", 0, "net_kr")])
+    assert sorted((r.doc_no, r.line_no, r.account) for r in posted.collect()) == [(1, 1, "120"), (1, 2, "600")] and "lambda" not in plan(posted)
