@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import accounts as A
 from tallyspark.functions.money import total
+from tallyspark.operators.ledger import kinds
 from tallyspark.operators.running import ranged, running
+from tallyspark.sources.scratch import written
 
 
 def contrary_nature(journal: DataFrame, chart: DataFrame) -> DataFrame:
@@ -72,11 +74,11 @@ def round_amounts(journal: DataFrame, multiple_kr: int, least_kr: int) -> DataFr
 def unexpected_contra(journal: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of ledger accounts on opposite sides of a voucher that `rules` (code, contra) do not expect, for accounts with rules.
 
-    Sides are reduced to distinct ledger accounts before they meet, so that long vouchers do not multiply.
+    Sides of one voucher of each kind meet, reduced to distinct ledger accounts, so that neither many vouchers nor long ones multiply.
     """
-    sides = journal.select("voucher", A.ledger_code("account").alias("code"), (F.col("debit_kr") > 0).alias("debit")).distinct()
+    sides = written(kinds(journal.where("voucher is not null")), "sides")
     other = sides.select("voucher", F.col("code").alias("contra"), (~F.col("debit")).alias("debit"))
-    pairs = sides.join(other, ["voucher", "debit"]).groupBy("code", "contra").agg(F.countDistinct("voucher").alias("vouchers"))
+    pairs = sides.join(other, ["voucher", "debit"]).select("voucher", "code", "contra", "vouchers").distinct().groupBy("code", "contra").agg(F.sum("vouchers").alias("vouchers"))
     ruled = pairs.join(F.broadcast(rules.select("code").distinct()), "code", "left_semi")
     return ruled.join(F.broadcast(rules), ["code", "contra"], "left_anti")
 

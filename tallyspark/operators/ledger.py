@@ -9,6 +9,7 @@ from tallyspark.functions import accounts as A
 from tallyspark.functions.money import formatted, total
 from tallyspark.operators.posting import numbered
 from tallyspark.operators.running import ranged, running
+from tallyspark.sources.scratch import written
 
 
 def net() -> Column:
@@ -40,6 +41,21 @@ def general_ledger(journal: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "balance_kr", F.when(F.col("debit_kr") > 0, "debit").otherwise("credit").alias("side"))
 
 
+def kinds(journal: DataFrame) -> DataFrame:
+    """Lines (voucher, debit, code, vouchers) of one voucher of each kind, each once, with the number of vouchers of the kind.
+
+    Vouchers are of a kind if they have the same ledger accounts on the same sides equally often.  Most vouchers are of few kinds: what depends
+    on sides and ledger accounts alone is asked of one of each.  A kind is the number of lines and sums of two 64-bit hashes of them,
+    in halves that cannot overflow; sums of numbers combine in hash tables before they are shuffled.
+    """
+    lines = journal.select("voucher", (F.col("debit_kr") > 0).alias("debit"), A.ledger_code("account").alias("code"))
+    hashed = lines.select("voucher", *[F.xxhash64(F.lit(seed), "debit", "code").alias(f"h{seed}") for seed in (1, 2)])
+    halves = [F.sum(half(F.col(h))).alias(f"{h}{i}") for h in ("h1", "h2") for i, half in enumerate((lambda x: x.bitwiseAND(0xFFFFFFFF), lambda x: F.shiftrightunsigned(x, 32)))]
+    each = hashed.groupBy("voucher").agg(F.count("*").alias("lines"), *halves)
+    found = written(each.groupBy([c for c in each.columns if c != "voucher"]).agg(F.min("voucher").alias("one"), F.count("*").alias("vouchers")).select("one", "vouchers"), "kinds")
+    return lines.join(found, F.col("voucher").eqNullSafe(F.col("one"))).select("voucher", "debit", "code", "vouchers").distinct()
+
+
 #: Lines of a voucher up to which its contra accounts gather in one row, and accounts of a row.
 CONTRA_LINES = 1000
 
@@ -47,25 +63,30 @@ CONTRA_LINES = 1000
 def contras(journal: DataFrame, chunk: int = CONTRA_LINES) -> DataFrame:
     """For each voucher and `side` the accounts on the other side, neighbouring repeats once, in line order: `contra` in numbered
     chunks of `chunk` accounts.  Short vouchers gather in one row, long ones go through ranges and prefix sums."""
-    few = journal.groupBy("voucher").count().where(f"count <= {CONTRA_LINES}").select("voucher")
     side = F.when(F.col("debit_kr") > 0, "credit").otherwise("debit").alias("side")
-    lines = journal.join(few, "voucher", "left_semi").select("voucher", side, F.struct("line_no", "account").alias("x")).distinct()
+    # Long vouchers are a thousandth of the lines at most.  Equal lines need not be dropped here: they are neighbours in the list.
+    many = _many(journal)
+    lines = journal.where("voucher is not null").join(many, "voucher", "left_anti").select("voucher", side, F.struct("line_no", "account").alias("x"))
     listed = lines.groupBy("voucher", "side").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["account"]).alias("contra"))
     once = F.filter("contra", lambda x, i: (i == 0) | (x != F.get("contra", i - 1)))
     short = listed.select("voucher", "side", F.posexplode(F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(once) - 1, F.lit(chunk)).cast("int")), lambda k: F.array_join(F.slice(once, k * chunk + 1, F.lit(chunk)), ", "))).alias("chunk", "contra"))
-    return short.select("voucher", "side", F.col("chunk").cast("long").alias("chunk"), "contra").unionByName(long_contras(journal, chunk))
+    return short.select("voucher", "side", F.col("chunk").cast("long").alias("chunk"), "contra").unionByName(long_contras(journal, chunk, many))
+
+
+def _many(journal: DataFrame) -> DataFrame:
+    """Vouchers of more than CONTRA_LINES lines."""
+    return written(journal.groupBy("voucher").count().where(f"count > {CONTRA_LINES} and voucher is not null").select("voucher"), "many")
 
 
-def long_contras(journal: DataFrame, chunk: int = CONTRA_LINES) -> DataFrame:
+def long_contras(journal: DataFrame, chunk: int = CONTRA_LINES, many: DataFrame | None = None) -> DataFrame:
     """Contra accounts of vouchers with more than CONTRA_LINES lines: `contra` in chunks of `chunk` accounts, numbered from 0, once
     for all lines of a `side` (debit or credit) of a voucher.
 
     The order and repeats are those of `general_ledger`; a side whose other side is empty has no rows.  Numbers come from
     ranges and prefix sums, so no task sees more than its part of a voucher.
     """
-    many = journal.groupBy("voucher").count().where(f"count > {CONTRA_LINES}").select("voucher")
     side = F.when(F.col("debit_kr") > 0, "credit").otherwise("debit").alias("side")
-    lines = journal.join(many, "voucher", "left_semi").select("voucher", side, "line_no", "account").distinct()
+    lines = journal.join(_many(journal) if many is None else many, "voucher", "left_semi").select("voucher", side, "line_no", "account").distinct()
     order = ("voucher", "side", "line_no", "account")
     series = F.concat_ws(" ", F.col("voucher").cast("string"), "side")
     at = numbered(lines.withColumn("series", series), *order).drop("journal_no")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import accounts as A
+from tallyspark.operators.ledger import kinds
+from tallyspark.sources.scratch import written
 
 #: Characters of a name at most.
 LONGEST = 60
@@ -48,8 +50,10 @@ def shapes(lines: DataFrame, key: str) -> DataFrame:
 def template_list(built_in: DataFrame, user: DataFrame, journal: DataFrame) -> DataFrame:
     """All templates by name, with their number of lines and of vouchers of exactly their accounts and sides (sub-accounts count as their ledger account)."""
     all_of = built_in.withColumn("user", F.lit(False)).unionByName(user.withColumn("user", F.lit(True)))
-    own = journal.select("voucher", F.when(F.col("debit_kr") > 0, "B").otherwise("A").alias("side"), A.ledger_code("account").alias("code"))
-    used = shapes(own, "voucher").groupBy("size", "h1", "h2").agg(F.count("*").alias("usage"))
+    own = written(kinds(journal), "kinds").select("voucher", F.when(F.col("debit"), "B").otherwise("A").alias("side"), "code", "vouchers")
+    counts = own.select("voucher", "vouchers").distinct()
+    shaped = shapes(own, "voucher").withColumnRenamed("voucher", "one")
+    used = shaped.join(counts, F.col("one").eqNullSafe(F.col("voucher"))).groupBy("size", "h1", "h2").agg(F.sum("vouchers").alias("usage"))
     heads = all_of.groupBy("name").agg(F.bool_or("user").alias("user"), F.count("*").alias("n"))
     met = shapes(all_of.withColumn("code", A.ledger_code("code")), "name").join(used, ["size", "h1", "h2"], "left")
     return heads.join(met, "name").select("name", "user", "n", F.coalesce("usage", F.lit(0)).alias("usage"))

@@ -42,3 +42,38 @@ def test_no_step_over_the_journal_sorts_or_lists_it(spark):
     docs = spark.createDataFrame([(1, date(2026, 1, 1), 5), (2, date(2026, 1, 1), 0)], "no long, date date, net_kr long")
     posted = posting.posted(docs, "accrual", [("120", "net_kr", 0), ("600", 0, "net_kr")])
     assert sorted((r.doc_no, r.line_no, r.account) for r in posted.collect()) == [(1, 1, "120"), (1, 2, "600")] and "lambda" not in plan(posted)
+
+
+def test_kinds_of_vouchers(spark):
+    rnd = random.Random(3)
+    rows = []
+    for v in range(300):
+        for i in range(rnd.randrange(1, 6)):
+            side = rnd.random() < 0.5
+            rows.append((v, i, rnd.choice(["120.7", "120.8", "600", "391.01", "153"]), 5 if side else 0, 0 if side else 5))
+    rows += [(None, 1, "120", 5, 0), (None, 2, "600", 0, 5)]
+    journal = spark.createDataFrame(rows, "voucher long, line_no int, account string, debit_kr long, credit_kr long").repartition(4)
+    of = {}
+    for v, _, a, d, _ in rows:
+        of.setdefault(v, []).append((a.split(".")[0], d > 0))
+    found = ledger.kinds(journal).collect()
+    assert sum({r.voucher: r.vouchers for r in found}.values()) == len(of) and {(r.code, r.debit) for r in found if r.voucher == found[0].voucher} == set(of[found[0].voucher])
+    want = {}
+    for v, lines in of.items():
+        for pair in {(a, b) for a, d in lines for b, e in lines if d != e and v is not None}:
+            want[pair] = want.get(pair, 0) + 1
+    rules = spark.createDataFrame([("120", "600"), ("600", "120"), ("153", "391")], "code string, contra string")
+    got = {(r.code, r.contra): r.vouchers for r in audit.unexpected_contra(journal, rules).collect()}
+    assert got == {k: n for k, n in want.items() if k[0] in ("120", "600", "153") and k not in {("120", "600"), ("600", "120"), ("153", "391")}}
+    built = spark.createDataFrame([("a", 1, "B", "120"), ("a", 2, "A", "600"), ("b", 1, "B", "153")], "name string, line_no int, side string, code string")
+    used = {r.name: r.usage for r in templates.template_list(built, built.limit(0), journal).collect()}
+    shape = lambda *x: sum(set(lines) == set(x) for lines in of.values())
+    assert used == {"a": shape(("120", True), ("600", False)), "b": shape(("153", True))}
+
+
+def test_contras_of_equal_lines(spark):
+    rows = [(1, 1, "100", 5, 0), (1, 1, "100", 5, 0), (1, 2, "101", 5, 0), (1, 3, "600", 0, 15), (1, 4, "101", 5, 0), (None, 1, "100", 5, 0)]
+    journal = spark.createDataFrame(rows, "voucher long, line_no int, account string, debit_kr long, credit_kr long")
+    got = {(r.voucher, r.side, r.chunk): r.contra for r in ledger.contras(journal).collect()}
+    assert got == {(1, "credit", 0): "100, 101", (1, "debit", 0): "600"}
+    assert plan(ledger.contras(journal)).count("Join") == 3
