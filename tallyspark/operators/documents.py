@@ -94,9 +94,10 @@ def words_to_number(text: str | Column, language: str = "tr") -> Column:
     pattern = r"\G(" + "|".join(sorted(known, key=lambda x: (-len(x), x))) + ")"
     x = F.col(text) if isinstance(text, str) else text
     plain = F.regexp_replace(F.translate(F.lower(x), "ё", "е"), r"[^\p{L}\p{N}]+", " ") if language == "ru" else simplify(F.translate(x, "İ", "i"))
-    words = F.filter(F.split(plain, " "), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    words = F.filter(F.split(plain, " "), lambda w: F.translate(w, "0123456789", "") != "")
+    read = F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(pattern), 1))  # of each word what it is made of: nothing if it begins with none
     table = F.create_map(*[v for k, (n, kind) in known.items() for v in (F.lit(k), F.struct(F.lit(n).cast("bigint").alias("value"), F.lit(kind).alias("kind")))])
-    values = F.filter(F.transform(F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(pattern), 1))), lambda k: F.element_at(table, k)), lambda v: v["kind"] < 3)
+    valued = lambda parts: F.filter(F.transform(F.flatten(parts), lambda k: F.element_at(table, k)), lambda v: v["kind"] < 3)
     zero = F.lit(0).cast("bigint")
 
     def step(a, v):
@@ -108,8 +109,8 @@ def words_to_number(text: str | Column, language: str = "tr") -> Column:
         return F.struct(total.alias("total"), now.alias("block"), n.alias("last"))
 
     start = F.struct(zero.alias("total"), zero.alias("block"), zero.alias("last"))
-    said = F.aggregate(values, start, step, lambda a: a["total"] + a["block"])
-    return F.when((F.size(values) > 0) & F.forall(words, lambda w: w.rlike("^" + pattern[2:])), said)
+    said = lambda values: F.when(F.size(values) > 0, F.aggregate(values, start, step, lambda a: a["total"] + a["block"]))
+    return bound(read, lambda parts: F.when(F.forall(parts, lambda p: F.size(p) > 0), bound(valued(parts), said)))
 
 
 def spelled(df: DataFrame, language: str = "tr") -> DataFrame:
