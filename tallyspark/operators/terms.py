@@ -145,7 +145,7 @@ def corrections(terms: DataFrame, lexicon: DataFrame, protected: DataFrame, shar
     safe = met.where("place < 0").groupBy("plain").agg(F.min("total").alias("safe"))
     rivals = own.join(best, "plain").where(F.col("total") - F.col("b.total") < margin - 1e-9).groupBy("plain").agg(F.array_sort(F.collect_list(F.struct("total", "place", own["term"]))).alias("rivals"))
     found = best.join(safe, "plain", "left").join(rivals, "plain", "left")
-    empty = not lexicon.limit(1).count()
+    empty = not words.where("place is null or place >= 0").limit(1).count()  # of what is written: the lexicon is not made again
     out = each.join(found, "plain", "left")
     status = (
         F.when(F.col("known").isNotNull(), F.col("known")).when(F.lit(empty), "SOZLUK_YOK").when(F.col("b").isNull(), "BILINMIYOR").when(F.col("b.same"), "TAM").when(F.col("b.total") > F.col("b.reach"), "BILINMIYOR")

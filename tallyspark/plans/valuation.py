@@ -97,15 +97,19 @@ def _amounts(s, d):
     return o.select("id", raw.alias("raw"), names.parse_amount(raw, ",").alias("amount_kr"))
 
 
+def _words(s, d):
+    """Every word of the documents and how many hold it: texts are folded and taken apart once, for terms and lexicon."""
+    each = lambda s, d: table(s, d, "documents").select(F.explode(F.array_distinct(F.split(names.simplify("text"), " "))).alias("term"))
+    return view(s, d, "words", lambda s, d: each(s, d).groupBy("term").agg(F.count("*").alias("held")))
+
+
 def _terms(s, d):
-    words = table(s, d, "documents").select(F.explode(F.array_distinct(F.split(names.simplify("text"), " "))).alias("term")).distinct()
-    return words.select(F.xxhash64("term").alias("id"), "term")
+    return _words(s, d).select(F.xxhash64("term").alias("id"), "term")
 
 
 def _lexicon(s, d):
     """Words of four letters or more that one document in fifty holds: a bounded number, whatever the documents are."""
-    each = table(s, d, "documents").select(F.explode(F.array_distinct(F.split(names.simplify("text"), " "))).alias("term"))
-    held = each.where("length(term) >= 4").groupBy("term").agg(F.count("*").alias("held"))
+    held = _words(s, d).where("length(term) >= 4")
     documents_ = table(s, d, "documents").agg(F.count("*").alias("n"))
     often = held.join(F.broadcast(documents_), F.col("held") * 50 >= F.col("n"))
     return often.select("term", F.lit(None).cast("string").alias("account"), F.pmod(F.xxhash64("term"), F.lit(1 << 62)).alias("place"))

@@ -77,3 +77,14 @@ def test_contras_of_equal_lines(spark):
     got = {(r.voucher, r.side, r.chunk): r.contra for r in ledger.contras(journal).collect()}
     assert got == {(1, "credit", 0): "100, 101", (1, "debit", 0): "600"}
     assert plan(ledger.contras(journal)).count("Join") == 3
+
+
+def test_texts_are_folded_once(spark):
+    from tallyspark.operators import documents
+    from tallyspark.plans import papers, valuation
+
+    one = spark.createDataFrame([("iki yüz 5 üç",), ("",), (None,), ("12 34",), ("iki foo",), ("ikisi yalnız",)], "text string")
+    found = documents.spelled(one)
+    assert [r.number for r in found.collect()] == [203, None, None, None, None, 2]
+    assert plan(found).count("regexp_extract_all") == 1 and plan(papers._spelled(spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 5
+    assert plan(valuation._terms(spark, "/root/testdata/sf0.001")).count("split(") == 0
