@@ -7,8 +7,8 @@ and m shingles link if their overlap o has (100 + share) * o >= share * (n + m),
    with others; a shingle of one node alone has the same least and greatest holder.  Most nodes end here.
 2. Prefixes.  With counts over all shingles of the remaining nodes, shingles are ordered by rarity; two similar sets share
    one of the first `n - ceil(share * n) + 1` of each.  Cold shingles, of `COLD` nodes at most, give pairs at once.
-3. Groups.  For the hot ones the token-group matrix stands in for pairs.  Nodes are grouped by the rarest hot shingle of
-   their prefix.  A group stores the union of its members' shingles with their counts, and its core: what over half of the
+3. Groups.  For the hot ones the token-group matrix stands in for pairs.  Nodes are grouped by the hot shingle of
+   their prefix that most nodes have in theirs.  A group stores the union of its members' shingles with their counts, and its core: what over half of the
    members hold.  A node meets its own group, and larger ones that have a hot shingle of its prefix.
 4. Bounds.  A node that meets a group is encoded against it: c shingles in the core, and those beyond the core that
    others who meet the group hold.  Both together bound its overlap with any member; groups whose bound is too low stay shut.  Where the group
@@ -197,7 +197,12 @@ class Join:
         Pairs to find are those of one scope, one end a member, that share a hot shingle.  Returns links (a, b) that need
         no check, pairs to check, and the rows of the next turn, whose scopes are this turn's groups.
         """
-        rows = staged(rows.withColumn("g", F.when(F.col("member"), F.xxhash64("scope", F.get("hot", F.lit(0))["token"]))), "rows")
+        # A member's group is the hot shingle that most members have in their prefixes: edits that a few copies share do not divide a family.
+        each = rows.where("member").select("scope", "node", F.explode("hot.token").alias("token"))
+        often = small(staged(each.groupBy("scope", "token").agg(F.count("*").alias("often")), "often"))
+        chosen = each.join(often, ["scope", "token"]).groupBy("scope", "node").agg(F.max(F.struct("often", "token"))["token"].alias("chosen"))
+        rows = rows.join(chosen, ["scope", "node"], "left").withColumn("g", F.when(F.col("member"), F.xxhash64("scope", "chosen"))).drop("chosen")
+        rows = staged(rows, "rows")
         members = rows.where("member")
         groups = staged(members.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "groups")
         # The matrix: which group has a hot shingle in a member's prefix.

@@ -50,3 +50,20 @@ def test_truncated_copies_make_no_pairs(spark, monkeypatch, m):
     got = {r.doc_id: r.component_id for r in jaccard.with_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == (components(rows) if m <= 30 else {i: 0 if i < 2 * m else 2 * m if i < 3 * m else 3 * m for i, _ in rows})
     assert seen[0] <= 16 * len(rows) and len(turns) <= 12
+
+
+def test_shared_edits_do_not_divide_a_family(spark, monkeypatch):
+    """Near copies of one page, each edit in twenty of them: a copy meets few groups but its own, however many edits there are."""
+    rows = [(i, " ".join("x" if k == i % 40 + 20 else f"w{k}" for k in range(100)) + f" own{i}") for i in range(800)]
+    staged, met = jaccard.staged, []
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        if name == "asked":
+            met.append(out.where("not own").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.with_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == components(rows)
+    assert sum(met) <= 3 * len(rows)
