@@ -10,7 +10,9 @@ and m shingles link if their overlap o has (100 + share) * o >= share * (n + m),
 3. Groups.  For the hot ones the token-group matrix stands in for pairs.  Nodes are grouped by the hot shingle of
    their prefix that most nodes have in theirs.  A group stores the union of its members' shingles with their counts, and its core: what over half of the
    members hold.  A node meets its own group, and larger ones that have a hot shingle of its prefix.
-4. Bounds.  A node that meets a group is encoded against it: c shingles in the core, and those beyond the core that
+   Where those who meet a group, or all rows of a turn's scope, are `FEW` at most with `FEW_TOKENS` shingles, one task counts
+   all their overlaps by products of blocks of the matrix; that costs a node `FEW` overlaps at most, and no further step is needed.
+4. Bounds.  A node that meets one of the other groups is encoded against it: c shingles in the core, and those beyond the core that
    others who meet the group hold.  Both together bound its overlap with any member; groups whose bound is too low stay shut.  Where the group
    opens, members x and y overlap in min(c_x, c_y) shingles of the core at most.  So a node whose c alone does not reach
    needs k shingles beyond the core in common with its partner, and only a prefix of these (rarest first) is joined.
@@ -33,6 +35,8 @@ may have any names: none of them is renamed, read or lost.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,6 +51,8 @@ SHARE = 75
 #: A shingle is cold if so many nodes (members of a group) hold it at most: it then gives at most so many pairs a node.
 COLD = 16
 WORDS_HELD = 400_000
+#: So many nodes, with so many shingles in all, are compared in one task, by blocks of so many shingles.
+FEW, FEW_TOKENS, BLOCK = 1_024, 1_000_000, 4_096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -116,6 +122,44 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "tokens"])
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """What each two of `sets` (of distinct tokens) have in common, above the diagonal: cold tokens give pairs, others are multiplied in blocks."""
+    k = len(sets)
+    _, tokens, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(tokens, kind="stable")
+    rows, tokens = np.repeat(np.arange(k), [len(x) for x in sets])[order], tokens[order]
+    cold, both = held[tokens] <= COLD, np.zeros((k, k), np.float32)
+    r, t = rows[cold], tokens[cold]
+    for d in range(1, COLD):
+        same = np.flatnonzero(t[d:] == t[:-d])
+        if not len(same):
+            break
+        both += np.bincount(r[same] * k + r[same + d], minlength=k * k).reshape(k, k)
+    r, t = rows[~cold], np.unique(tokens[~cold], return_inverse=True)[1]
+    for i in range(0, len(t) and int(t[-1]) + 1, BLOCK):
+        here = slice(*np.searchsorted(t, [i, i + BLOCK]))
+        block = np.zeros((k, BLOCK), np.float32)
+        block[r[here], t[here] - i] = 1
+        both += block @ block.T
+    return np.triu(both, 1)
+
+
+def _compared(group: pa.Table, share: int) -> pa.Table:
+    """Of rows (node, tokens) each node that links lead to a lesser one of the rows, with the least: a, b."""
+    group = group.sort_by("node").combine_chunks()
+    nodes, sets = group["node"].to_numpy(), [np.array(x.values, np.int64) for x in group["tokens"]]
+    n = np.array([len(x) for x in sets])
+    a, b = np.nonzero(np.triu((100 + share) * overlaps(sets) >= share * (n[:, None] + n), 1))
+    least, before = np.arange(len(n)), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        np.minimum.at(least, b, before[a])
+        np.minimum.at(least, a, least[b])
+        least = least[least]
+    far = least < np.arange(len(n))
+    return pa.table({"a": nodes[far], "b": nodes[least[far]]})
+
+
 def _encoded(batches):
     """Of rows (node, g, n, own, size, low, need, tokens, core): c, what is beyond the core, and what of it is lacking if c reaches `need`."""
     for batch in batches:
@@ -147,7 +191,12 @@ class Join:
     """One run over `docs` (doc_id, text); tables that several steps read are written, and deleted after the last of them."""
 
     def __init__(self, docs: DataFrame, share: int = SHARE):
-        self.docs, self.share, self.spark = keyed(docs), share, docs.sparkSession
+        self.docs, self.share, self.spark, self.held = keyed(docs), share, docs.sparkSession, []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` staged until its turn of groups ends."""
+        self.held.append(staged(df, name))
+        return self.held[-1]
 
     def reaches(self, overlap: Column, sizes: Column) -> Column:
         return (100 + self.share) * overlap >= self.share * sizes
@@ -191,56 +240,75 @@ class Join:
         pairs = met.select("met", F.posexplode("met").alias("i", "x")).select("x", F.explode(F.expr("slice(met, i + 2, size(met))")).alias("y"))
         return pairs.where(self.fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
+    def few(self, rows: DataFrame, key: str, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) among `rows` (staged; `key`, node, n) of the keys with few rows, found in one task for each; and the rows of other keys."""
+        sizes = rows.groupBy(key).agg((F.count("*") <= FEW).alias("few"), F.sum("n").alias("n")).select(key, (F.col("few") & (F.col("n") <= FEW_TOKENS)).alias("few"))
+        sizes, share = small(self.kept(sizes, "sizes")), self.share
+        near = rows.join(sizes.where("few"), key).select(F.col(key).alias("g"), "node")
+        links = tokens.join(near, "node").groupBy("g").applyInArrow(lambda group: _compared(group.select(["node", "tokens"]), share), "a long, b long")
+        return self.kept(links, "compared"), rows.join(sizes.where("not few"), key).drop("few")
+
     def grouped(self, rows: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """One turn of groups over `rows` (scope, node, n, member, hot: held and token, rarest first).
+        """One turn of groups over `rows` (staged: scope, node, n, member, hot: held and token, rarest first).
 
         Pairs to find are those of one scope, one end a member, that share a hot shingle.  Returns links (a, b) that need
-        no check, pairs to check, and the rows of the next turn, whose scopes are this turn's groups.
+        no check, pairs to check, and the rows of the next turn, whose scopes are this turn's groups; no pairs and no rows (None) if
+        all were compared at once.
         """
+        links, rows = self.few(rows, "scope", tokens)
+        rows = self.kept(rows, "many")
+        if not rows.limit(1).count():
+            return links, None, None
         # A member's group is the hot shingle that most members have in their prefixes: edits that a few copies share do not divide a family.
         each = rows.where("member").select("scope", "node", F.explode("hot.token").alias("token"))
-        often = small(staged(each.groupBy("scope", "token").agg(F.count("*").alias("often")), "often"))
+        often = small(self.kept(each.groupBy("scope", "token").agg(F.count("*").alias("often")), "often"))
         chosen = each.join(often, ["scope", "token"]).groupBy("scope", "node").agg(F.max(F.struct("often", "token"))["token"].alias("chosen"))
         rows = rows.join(chosen, ["scope", "node"], "left").withColumn("g", F.when(F.col("member"), F.xxhash64("scope", "chosen"))).drop("chosen")
-        rows = staged(rows, "rows")
+        rows = self.kept(rows, "rows")
         members = rows.where("member")
-        groups = staged(members.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "groups")
+        groups = self.kept(members.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "groups")
         # The matrix: which group has a hot shingle in a member's prefix.
         hot = rows.join(small(groups.select("g", "size")), "g", "left").select("scope", "node", "n", "g", "size", F.explode("hot").alias("x")).select("scope", "node", "n", "g", "size", "x.token")
         matrix = members.select("scope", "g", F.explode("hot").alias("x")).select("scope", "g", "x.token").distinct().join(small(groups), "g")
-        matrix = staged(matrix.select("scope", "token", F.col("g").alias("h"), F.col("size").alias("others"), "low", "high"), "matrix")
+        matrix = self.kept(matrix.select("scope", "token", F.col("g").alias("h"), F.col("size").alias("others"), "low", "high"), "matrix")
         fit = (100 * F.col("high") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("low"))
         larger = F.col("g").isNull() | (F.struct("others", "h") > F.struct("size", "g"))  # of two groups, the smaller one's members ask
         asked = hot.join(small(matrix), ["scope", "token"]).where(larger & fit).select("node", "n", F.col("h").alias("g"), F.lit(False).alias("own")).distinct()
-        asked = staged(asked.unionByName(members.select("node", "n", "g", F.lit(True).alias("own"))), "met")
+        asked = self.kept(asked.unionByName(members.select("node", "n", "g", F.lit(True).alias("own"))), "met")
+        near, asked = self.few(asked, "g", tokens)
+        links = links.unionByName(near)
+        asked = self.kept(asked, "many")
+        if not asked.limit(1).count():
+            return links, None, None
+        members = members.join(F.broadcast(asked.select("g").distinct()), "g", "left_semi")  # few groups have many rows
         # What the groups store: counts of the union, and the core.
         union = tokens.join(small(members.select("node", "g")), "node").select("g", F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
-        union = staged(union.join(small(groups.select("g", "size")), "g"), "union")
+        union = self.kept(union.join(small(groups.select("g", "size")), "g"), "union")
         cores = union.where("2 * held > size").groupBy("g").agg(F.collect_list("token").alias("core"))
-        cores = staged(groups.join(cores, "g", "left").select("g", "size", "low", F.coalesce("core", F.array().cast(_LONGS)).alias("core")), "cores")
+        cores = self.kept(groups.join(cores, "g", "left").select("g", "size", "low", F.coalesce("core", F.array().cast(_LONGS)).alias("core")), "cores")
         need = F.ceil(self.share * (F.col("n") + F.greatest(self.least("n"), "low")) / (100 + self.share)).cast("int")
         asked = tokens.join(small(asked), "node").join(light(cores, F.size("core")), "g").select("node", "g", "n", "own", "size", "low", need.alias("need"), "tokens", "core")
         asked = asked.mapInArrow(_encoded, "node long, g long, n int, own boolean, size long, low int, need int, core int, c int, beyond array<long>, lacking array<long>")
-        asked = staged(asked, "asked")
+        asked = self.kept(asked, "asked")
         around = asked.select("g", "own", F.explode("beyond").alias("token")).groupBy("g", "token").agg(F.count_if("own").alias("held"), F.count("*").alias("seen"))
         beyond = self.counted(asked, "beyond", around.where("held > 0 and seen > 1"), F.col("held"))
         opened = asked.drop("beyond").join(beyond, ["node", "g"], "left").withColumn("beyond", F.coalesce("beyond", F.array().cast(_COUNTED)))
         opened = opened.withColumn("over", F.size("beyond")).where(F.col("c") + F.col("over") >= F.col("need"))
         opened = opened.withColumn("free", F.col("c") >= F.col("need")).withColumn("w", (100 + self.share) * F.col("c") - self.share * F.col("n"))
-        opened = staged(opened, "opened")
+        opened = self.kept(opened, "opened")
         # Free nodes link with the best of them where that is certain.
-        best = small(staged(opened.where("free").groupBy("g").agg(F.max(F.struct("w", "node")).alias("best")), "best"))
+        best = small(self.kept(opened.where("free").groupBy("g").agg(F.max(F.struct("w", "node")).alias("best")), "best"))
         opened = opened.join(best, "g", "left")
         reached = F.col("free") & (F.col("w") + F.col("best.w") >= (100 + self.share) * F.col("core"))
         opened = opened.withColumn("linked", F.coalesce(reached, F.lit(False)))
-        links = opened.where("linked and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+        sure = opened.where("linked and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
         # Others need shingles beyond the core in common.
         size = F.when(F.col("free"), F.col("over")).otherwise(F.col("over") - (F.col("need") - F.col("c")) + 1)
         index = opened.select("g", "node", "n", "own", "linked", "c", "over", F.expr("cast(0 as int)").alias("short"), F.slice("beyond", F.lit(1), size.cast("int")).alias("prefix"))
-        index = staged(index.where(F.size("prefix") > 0), "index")
+        index = self.kept(index.where(F.size("prefix") > 0), "index")
         rest = index.select(F.col("g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda x: x["held"] > COLD).alias("hot"))
         lacking, more = self.lacking(opened, union)
-        return links, self.met(index, index).unionByName(lacking), rest.unionByName(more).where("size(hot) > 0")
+        return links.unionByName(sure), self.met(index, index).unionByName(lacking), rest.unionByName(more).where("size(hot) > 0")
 
     def counted(self, rows: DataFrame, name: str, counts: DataFrame, count: Column) -> DataFrame:
         """node, g and the list `name` of `rows`, as (held, token) in order of `count`; only tokens of `counts` (g, token)."""
@@ -264,7 +332,7 @@ class Join:
         """Of free nodes of a group, one end not linked with its best, that agree in what they lack or have beyond the core: pairs that share a cold
         entry, and rows of a turn for the hot ones."""
         whole = (100 + self.share) * F.col("core")
-        left = staged(opened.where("free and not linked").groupBy("g").agg(F.max("w").alias("left")), "left")
+        left = self.kept(opened.where("free and not linked").groupBy("g").agg(F.max("w").alias("left")), "left")
         some = opened.where("free").join(small(left), "g")
         # What a node lacks has the other sign, and counts the members that lack it.
         lacks = self.counted(some, "lacking", union, F.col("size") - F.col("held"))
@@ -276,7 +344,7 @@ class Join:
         index = lambda rows, most: rows.withColumn("k", F.greatest(F.ceil((whole - F.col("w") - most) / (100 + self.share)), F.lit(1)).cast("int")).where("size(all) >= k").select(
             "g", "node", "n", "own", "linked", "c", "over", F.lit(1).alias("short"), F.slice("all", F.lit(1), F.size("all") - F.col("k") + 1).alias("prefix")
         )
-        x, y = staged(index(some.where("not linked"), F.col("best.w")), "short"), staged(index(some, F.col("left")), "others")
+        x, y = self.kept(index(some.where("not linked"), F.col("best.w")), "short"), self.kept(index(some, F.col("left")), "others")
         # The best is at least as good as the best of those not linked: of a node not linked, the first prefix holds the second.
         ends = x.unionByName(y.where("linked"))
         rest = ends.select(F.xxhash64(F.lit("signed"), "g").alias("scope"), "node", "n", F.col("own").alias("member"), F.filter("prefix", lambda e: e["held"] > COLD).alias("hot"))
@@ -296,15 +364,22 @@ class Join:
         """node and root for all nodes with a link to another node."""
         prefixes = self.prefixes(tokens)
         swept(self.spark)
-        links, pairs = [], self.cold_pairs(prefixes)
+        links, pairs = [], [staged(self.cold_pairs(prefixes), "pairs")]
         hot = F.filter("prefix", lambda x: x["held"] > COLD)
-        rows = prefixes.select(F.lit(0).cast("long").alias("scope"), "node", "n", F.lit(True).alias("member"), hot.alias("hot")).where("size(hot) > 0")
-        while rows.limit(1).count():
+        rows = staged(prefixes.select(F.lit(0).cast("long").alias("scope"), "node", "n", F.lit(True).alias("member"), hot.alias("hot")).where("size(hot) > 0"), "hot")
+        dropped(prefixes)
+        while rows is not None and rows.limit(1).count():
+            before = rows
+            # Each turn's results are written, so that its tables and shuffles can go.
             sure, more, rows = self.grouped(rows, tokens)
-            links.append(sure)
-            pairs = pairs.unionByName(more)
+            links.append(staged(sure, "sure"))
+            if more is not None:
+                pairs.append(staged(more, "pairs"))
+                rows = staged(rows, "hot")
+            dropped(before, *self.held)
+            self.held.clear()
             swept(self.spark)
-        every = self.checked(pairs, tokens)
+        every = self.checked(reduce(DataFrame.unionByName, pairs), tokens)
         for x in links:
             every = every.unionByName(x)
         return staged(components(every), "classes")

@@ -1,5 +1,8 @@
 """Families of truncated copies: what the join looks at grows with their members, not with their pairs."""
 
+import os
+
+import numpy as np
 import pytest
 
 from tallyspark.llm import jaccard
@@ -67,3 +70,28 @@ def test_shared_edits_do_not_divide_a_family(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.with_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == components(rows)
     assert sum(met) <= 3 * len(rows)
+
+
+@pytest.mark.parametrize("few", [jaccard.FEW, 8])
+def test_few_nodes_are_compared_at_once(spark, monkeypatch, few):
+    """Groups of few nodes make no rows for their shingles; larger ones give the same components.  No turn's tables stay."""
+    rows, staged, paths = family(30), jaccard.staged, {}
+
+    def noted(df, name, *more):
+        out = staged(df, name, *more)
+        paths.setdefault(name, []).append(out.staged_at.removeprefix("file:"))
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", noted)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    got = {r.doc_id: r.component_id for r in jaccard.with_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == components(rows)
+    assert ("index" in paths) == (few == 8)
+    assert not any(os.path.exists(p) for name in ("prefixes", "sizes", "many", "compared", "rows", "met", "asked", "opened", "index", "short", "others") for p in paths.get(name, []))
+
+
+def test_overlaps_of_sets(monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 60, rnd.integers(1, 40)) ** 2) for _ in range(50)] + [np.arange(10_000, 10_003)]
+    assert jaccard.overlaps(sets).tolist() == [[len(np.intersect1d(x, y)) if j > i else 0 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
