@@ -400,3 +400,21 @@ def test_empty_tables(spark):
     assert quotation.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     some = docs(spark, [(1, "a b"), (2, None)])
     assert decontamination.without_contaminated(some, items).count() == 2 and toxicity.without_toxic(some, labels).count() == 2
+
+
+@pytest.mark.parametrize("name, split", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
+def test_pieces_are_looked_at_once(name, split):
+    """Many texts of few words: the library gets each word once, without separators where ends show, and ids are those of whole texts."""
+    import public_tokenizers
+    from tallyspark.llm.encoding import Encoder
+
+    tool, rnd = Encoder(public_tokenizers.path(name), split), random.Random(3)
+    odd = ["don't", "İstanbul", "été", "straße", "Ǆ", "x1", "</w>", "a</w>", "ﬁn", "各自", "Ⅷ", "ʰa", "한국", "a,b", "...", "ẞ", "ᾳ", "l'été", "😀"]
+    vocabulary = odd + ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(3_000)]
+    texts = ["", " ", "\n\n", *odd, *(rnd.choice(["", " "]) + rnd.choice([" ", "  ", "\n", ". "]).join(rnd.choices(vocabulary, k=400)) for _ in range(40))]
+    assert tool.encode(texts) == tool.whole(texts)
+    if split == "words":
+        seen, several = [], tool.several
+        tool.several = lambda pieces, between, *more: (seen.append((len(pieces), between)), several(pieces, between, *more))[1]
+        tool.cache = {"": b""}
+        assert tool.encode(["ab cd ab", "CD ab\tef."]) == tool.whole(["ab cd ab", "cd ab ef."]) and (3, " ") in seen
