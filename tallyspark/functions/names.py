@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,16 @@ def simplify(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.translate(col(x), "İ", "i")), _MARKED, _PLAIN), "[^a-z0-9]+", " "))
 
 
+_FOLDED = str.maketrans("İ" + _MARKED, "i" + _PLAIN)
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """`simplify` of an Arrow array."""
+    if not pc.all(pc.string_is_ascii(texts), min_count=0).as_py():
+        texts = pa.array([t and t.replace("İ", "i").lower().translate(_FOLDED) for t in texts.to_pylist()], pa.string())
+    return pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(texts), "[^a-z0-9]+", " "), " ")
+
+
 def parse_amount(x: str | Column, decimal: str) -> Column:
     """`1.234,56` or `1,234.56` to kurus by the decimal separator; blanks and the other separator group thousands; else null."""
     other = "." if decimal == "," else ","

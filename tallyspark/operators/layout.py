@@ -18,7 +18,6 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from tallyspark.functions.money import bound
 from tallyspark.functions.names import simplify
-from tallyspark.sources.scratch import written
 
 #: A word is of the line whose middle is within this share of its height, or within so many points; wider gaps than `WIDE`
 #: heights part columns in a line's text.
@@ -153,23 +152,19 @@ def label_values(page_lines: DataFrame, labels: list[str]) -> DataFrame:
     behind.  Words of more than twice its height are headings, never values.  Ties: page, line, right before below.
     """
     c = F.col
-    rows = written(page_lines.select(*_PAGE, "line", "y", "words", "text"), "lines")
     known = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+    following = F.lead(F.struct("y", "words")).over(Window.partitionBy("doc_id").orderBy("page", "line"))
+    rows = page_lines.where(c("doc_id").isNotNull() & c("page").isNotNull()).select(*_PAGE, "line", "y", "words", "text", following.alias("under"))
     # Generators keep empty rows, which go after them: Spark would else filter by what they generate and compute it again for each mention.
     hits = rows.withColumn("label", F.explode_outer(bound(simplify("text"), lambda plain: F.filter(known, lambda x: F.contains(plain, x))))).where("label is not null")
-    hits = hits.withColumn("end", F.explode_outer(F.slice(F.filter("words", lambda x: F.contains(c("label"), simplify(x["text"]))), F.lit(-1), F.lit(1)))).where("end is not null")
-    pages = rows.groupBy(*_PAGE).agg(F.max("line").alias("last")).withColumn("next_page", F.lead("page").over(Window.partitionBy("doc_id").orderBy("page")))  # a row a page
-    within = c("line") < c("last")
-    hits = hits.join(pages, _PAGE).withColumn("to_page", F.when(within, c("page")).otherwise(c("next_page"))).withColumn("to_line", F.when(within, c("line") + 1).otherwise(1))
-    under = rows.select(c("doc_id").alias("u_doc"), c("page").alias("to_page"), c("line").alias("to_line"), c("y").alias("u_y"), c("words").alias("u_words"))
-    met = hits.join(under, (hits["doc_id"] == under["u_doc"]) & (hits["to_page"] == under["to_page"]) & (hits["to_line"] == under["to_line"]), "left")
+    met = hits.withColumn("end", F.explode_outer(F.slice(F.filter("words", lambda x: F.contains(c("label"), simplify(x["text"]))), F.lit(-1), F.lit(1)))).where("end is not null")
     low = lambda x: x["height"] <= 2 * c("end.height")
     right = F.filter("words", lambda x: (x["x0"] > c("end.x1") + 1) & low(x))
-    below = F.filter("u_words", lambda x: (x["x1"] > c("end.x0") - 2 * c("end.height")) & (x["x0"] < c("end.x1") + 12 * c("end.height")) & low(x))
+    below = F.filter("under.words", lambda x: (x["x1"] > c("end.x0") - 2 * c("end.height")) & (x["x0"] < c("end.x1") + 12 * c("end.height")) & low(x))
     said = lambda ws: F.array_join(F.transform(ws, lambda x: x["text"]), " ")
     found = F.array(
         F.when(F.size(right) > 0, F.struct(said(right).alias("value"), F.lit(RIGHT).alias("relation"), (F.get(right, 0)["x0"] - c("end.x1")).alias("distance"))),
-        F.when(F.size(below) > 0, F.struct(said(below).alias("value"), F.lit(BELOW).alias("relation"), F.abs(c("u_y") - c("y")).alias("distance"))),
+        F.when(F.size(below) > 0, F.struct(said(below).alias("value"), F.lit(BELOW).alias("relation"), F.abs(c("under.y") - c("y")).alias("distance"))),
     )
     out = met.select("doc_id", "page", "line", "label", F.explode_outer(F.array_compact(found)).alias("v")).where("v is not null").select("*", "v.*")
     order = Window.partitionBy("doc_id", "label").orderBy("distance", "page", "line", F.desc("relation"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import documents, layout, ledger, tracing
+from tallyspark.operators import documents, layout, ledger, sheets, tracing
 from tallyspark.plans.money_flows import _ALL, _all
 from tallyspark.sources.model import over, table, view
 
@@ -86,31 +86,34 @@ def _lines(s, d):
 _LINES_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS line, 'Mal adet' AS name, CAST(l_quantity AS DOUBLE) AS qty, (l_partkey % 900 + 101) / 100.0::DOUBLE AS price, ((l_partkey % 900 + 101) * CAST(l_quantity AS BIGINT)) / 100.0::DOUBLE AS amount FROM lineitem WHERE l_orderkey % 13 <> 0"
 
 
-def _words(s, d):
+def _sheets(s, d):
+    """A row for each order and each of its line numbers (the least of what lines with one number say), by document: what `_WORDS` is made of."""
+    c, none = F.col, lambda kind: F.lit(None).cast(kind)
+    heads = table(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.lit(True).alias("head"), none("long").alias("n"), c("o_custkey").alias("party"), c("o_orderdate").alias("date"), none("long").alias("part"), none("long").alias("supplier"), none("double").alias("quantity"))
+    items = table(s, d, "lineitem").select(c("l_orderkey").alias("doc_id"), F.lit(False).alias("head"), c("l_linenumber").cast("long").alias("n"), none("long").alias("party"), none("timestamp").cast(heads.schema["date"].dataType).alias("date"), c("l_partkey").alias("part"), c("l_suppkey").alias("supplier"), c("l_quantity").alias("quantity"))
+    least = [F.min(x).alias(x) for x in ("part", "supplier", "quantity")]
+    return heads.unionByName(items).where("doc_id is not null").repartition("doc_id").groupBy("doc_id", "head", "n", "party", "date").agg(*least, F.count("*").cast("int").alias("copies"))
+
+
+def _printed_words():
     """A printed invoice for each order: a head of two columns, a table whose words drift up and down, and a total, on the next page for every fourth."""
     c = F.col
-    least = [F.min(x).cast("long").alias(x) for x in ("l_partkey", "l_suppkey", "l_quantity")]
-    n, o, text = c("l_linenumber").cast("long"), c("o_orderkey"), lambda x: x.cast("string")
+    n, o, part, text = c("n"), c("doc_id"), c("part"), lambda x: x.cast("string")
     word = lambda k, said, x0, y0, wide, high=10, page=1: F.struct(F.lit(page).alias("page"), (F.lit(k) if isinstance(k, int) else k).cast("long").alias("k"), said.alias("text"), F.lit(x0).cast("double").alias("x0"), (F.lit(y0) if isinstance(y0, int) else y0).cast("double").alias("y0"), F.lit(x0 + wide).cast("double").alias("x1"), ((F.lit(y0) if isinstance(y0, int) else y0) + high).cast("double").alias("y1"))
     head = [
         word(0, F.lit("FATURA"), 60, 20, 80, 18), word(1, F.lit("Fatura"), 60, 60, 35), word(2, F.lit("No:"), 96, 60, 18), word(3, text(o), 400, 60 + o % 8, 60), word(4, F.lit("Sayin"), 60, 90, 32), word(5, F.lit("Tarih"), 330, 90, 30),
-        word(6, F.lit("Musteri"), 60, 106, 40), word(7, text(c("o_custkey")), 104, 106 + o % 3, 36), word(8, F.date_format("o_orderdate", "dd.MM.yyyy"), 330, 106, 50), word(9, F.lit("Toplam"), 360, 312, 40),
+        word(6, F.lit("Musteri"), 60, 106, 40), word(7, text(c("party")), 104, 106 + o % 3, 36), word(8, F.date_format("date", "dd.MM.yyyy"), 330, 106, 50), word(9, F.lit("Toplam"), 360, 312, 40),
     ]
     last = F.when(o % 4 == 0, word(0, text(o * 3), 370, 20, 50, page=2)).otherwise(word(10, text(o * 3), 470, 312 + o % 8, 50))
-    heads = table(s, d, "orders").select(o.alias("doc_id"), F.explode(F.array(*head, last)).alias("w"))
     y = lambda x: 160 + n * 14 + x
-    row = [word(100 + n * 4, F.lit("Kalem"), 45, y(0), 35), word(101 + n * 4, text(c("l_partkey")), 165, y(c("l_partkey") % 5), 35), word(102 + n * 4, text(c("l_quantity")), 240, y(n % 3 * 2), 20), word(103 + n * 4, text(c("l_suppkey")), 330, y(c("l_partkey") % 5 + n % 3 * 2), 30)]
-    items = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least).select(c("l_orderkey").alias("doc_id"), F.explode(F.array(*row)).alias("w"))
-    return heads.unionByName(items).select("doc_id", "w.*")
+    row = [word(100 + n * 4, F.lit("Kalem"), 45, y(0), 35), word(101 + n * 4, text(part), 165, y(part % 5), 35), word(102 + n * 4, text(c("quantity").cast("long")), 240, y(n % 3 * 2), 20), word(103 + n * 4, text(c("supplier")), 330, y(part % 5 + n % 3 * 2), 30)]
+    heads = F.array(*head, last)
+    return F.when(c("head") & (c("copies") > 1), F.flatten(F.array_repeat(heads, c("copies")))).when(c("head"), heads).otherwise(F.array(*row))
 
 
 _NAMES = ["fatura no", "sayin", "tarih", "toplam"]
 
 
-def _lines_of(s, d):
-    return view(s, d, "layout_lines", lambda s, d: layout.lines(_words(s, d)))
-
-
 #: Lines by recursion over the words of a page in order.
 _LAYOUT_SQL = """WITH RECURSIVE li AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, CAST(min(l_partkey) AS BIGINT) AS p, CAST(min(l_suppkey) AS BIGINT) AS s, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL),
 w AS (SELECT doc_id, page, k, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x0 + wide AS DOUBLE) AS x1, CAST(y0 + high AS DOUBLE) AS y1 FROM (
@@ -193,8 +196,8 @@ QUERIES = {
     "provenance_confidence": (lambda s, d: tracing.provenance_confidence(_s(s, d), _all(s, d)), over("receipt", _ALL + " SELECT no, CAST(net_debt_kr AS BIGINT) AS net_debt_kr, CAST(paid AS BIGINT) AS paid_kr, CASE WHEN paid >= net_debt_kr THEN 'TAM' WHEN paid > 0 THEN 'KISMI' ELSE 'ESLESMEYEN' END AS level, CASE WHEN paid >= net_debt_kr THEN 100 WHEN paid > 0 THEN 60 ELSE 30 END AS confidence FROM (SELECT sale.no, net_debt_kr, coalesce(p, 0) AS paid FROM sale LEFT JOIN (SELECT no, sum(amount_kr) AS p FROM alloc GROUP BY no) a ON a.no = sale.no)")),
     "document_checks": (lambda s, d: documents.resolve(_read(s, d)), over("sale", f"WITH {_READ_SQL}")),
     "line_items": (_lines, _LINES_SQL),
-    "layout_lines": (lambda s, d: _lines_of(s, d).select("doc_id", "page", "line", "y", "text"), _LAYOUT_SQL + " SELECT * FROM z"),
-    "layout_grid": (lambda s, d: layout.grid(_lines_of(s, d)), _GRID_SQL),
-    "label_values": (lambda s, d: layout.label_values(_lines_of(s, d), _NAMES), _LABELS_SQL),
+    "layout_lines": (lambda s, d: sheets.lines(_sheets(s, d), _printed_words()), _LAYOUT_SQL + " SELECT * FROM z"),
+    "layout_grid": (lambda s, d: layout.grid(layout.lines(_sheets(s, d).select("doc_id", F.inline(_printed_words())))), _GRID_SQL),
+    "label_values": (lambda s, d: sheets.label_values(_sheets(s, d), _printed_words(), _NAMES), _LABELS_SQL),
 }
 DATES = {"instalment_match": ["paid_on"], "instalment_leftovers": ["date"]}
