@@ -197,7 +197,7 @@ QUERIES = {
     "document_checks": (lambda s, d: documents.resolve(_read(s, d)), over("sale", f"WITH {_READ_SQL}")),
     "line_items": (_lines, _LINES_SQL),
     "layout_lines": (lambda s, d: sheets.lines(_sheets(s, d), _printed_words()), _LAYOUT_SQL + " SELECT * FROM z"),
-    "layout_grid": (lambda s, d: layout.grid(layout.lines(_sheets(s, d).select("doc_id", F.inline(_printed_words())))), _GRID_SQL),
+    "layout_grid": (lambda s, d: sheets.grid(_sheets(s, d), _printed_words()), _GRID_SQL),
     "label_values": (lambda s, d: sheets.label_values(_sheets(s, d), _printed_words(), _NAMES), _LABELS_SQL),
 }
 DATES = {"instalment_match": ["paid_on"], "instalment_leftovers": ["date"]}

@@ -17,6 +17,7 @@ WORDS = "array<struct<page: int, k: long, text: string, x0: double, y0: double,
 LABELS = ["kdv", "toplam kdv", "a"]
 WAYS = {
     "lines": (sheets.lines, lambda w: layout.lines(w).drop("words"), sheets._lines),
+    "grid": (sheets.grid, lambda w: layout.grid(layout.lines(w)), sheets._grid),
     "labels": (lambda r, w: sheets.label_values(r, w, LABELS), lambda w: layout.label_values(layout.lines(w), LABELS), partial(sheets._label_values, LABELS)),
 }
 
@@ -82,7 +83,7 @@ def test_plain_is_simplify(spark):
     assert plain(pa.array(texts, pa.string())).to_pylist() == want and plain(pa.array(["A b", ""])).to_pylist() == ["a b", ""]
 
 
-@pytest.mark.parametrize("name", ["layout_lines", "label_values"])
+@pytest.mark.parametrize("name", ["layout_lines", "layout_grid", "label_values"])
 def test_only_the_rows_of_a_page_are_shuffled(spark, monkeypatch, name):
     """Words were shuffled, and their lines written and shuffled again."""
     monkeypatch.setattr(model, "written", lambda *_: pytest.fail("a table is written"))
