@@ -7,6 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions import arrays
 from tallyspark.functions.money import col
 
 _FROM = "abcdefghijklmnopqrstuvwxyzçğıöşüâûîÇĞİÖŞÜÂÛÎ"
@@ -64,7 +65,7 @@ def plain(texts: pa.Array) -> pa.Array:
     """`simplify` of an Arrow array."""
     if not pc.all(pc.string_is_ascii(texts), min_count=0).as_py():
         texts = pa.array([t and t.replace("İ", "i").lower().translate(_FOLDED) for t in texts.to_pylist()], pa.string())
-    return pc.utf8_trim(pc.replace_substring_regex(pc.ascii_lower(texts), "[^a-z0-9]+", " "), " ")
+    return arrays.said(texts)
 
 
 def parse_amount(x: str | Column, decimal: str) -> Column:

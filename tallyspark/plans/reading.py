@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import candidates, headings
+from tallyspark.operators import headings, readings
 from tallyspark.operators.candidates import AMOUNT, DATE, TAX_ID, TEXT, Equation, Field
-from tallyspark.sources.model import over, table, view
+from tallyspark.sources.model import over, sale_amounts, table
 
 FIELDS = [
     Field("matrah", AMOUNT, ("matrah", "mal hizmet toplam tutari", "net tutar")), Field("kdv", AMOUNT, ("kdv", "hesaplanan kdv")), Field("toplam", AMOUNT, ("toplam", "genel toplam", "odenecek tutar")),
@@ -28,7 +28,7 @@ def _printed(s, d):
         F.when(k == 4, "").when(k == 2, F.concat(F.lit("KDV % 8   "), money(c("net_kr")), F.lit(" "), money(c("vat_kr")))).otherwise(F.concat(F.lit("KDV %8   "), money(c("vat_kr")))),
         F.when(k == 6, "Genel Toplam").otherwise(F.concat(F.lit("Genel Toplam   "), total)), F.when(k == 6, "").otherwise("Yalniz"), F.when(k == 6, total).otherwise("10,00"),
     ]
-    return view(s, d, "sales").where("gross_kr > 0").select(c("no").alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("text"))
+    return sale_amounts(s, d).where("gross_kr > 0").distinct().select(c("no").alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("text"))
 
 
 _LABELS_SQL = ", ".join(f"('{f.name}', '{f.kind}', '{x}')" for f in FIELDS for x in f.labels)
@@ -59,10 +59,6 @@ ok AS (SELECT doc_id, count(*) FILTER (field IN ('matrah', 'kdv', 'toplam')) = 3
 SELECT val.doc_id, field, CASE WHEN ok THEN value END AS value, CASE WHEN ok THEN number END AS number, candidates, ok AS filled, ok AND (field IN ('matrah', 'kdv', 'toplam') OR candidates = 1) AS approved FROM val JOIN ok ON ok.doc_id = val.doc_id"""
 
 
-def _found(s, d):
-    return view(s, d, "candidates", lambda s, d: candidates.candidates(candidates.lines_of(_printed(s, d)), FIELDS))
-
-
 def _cells(s, d):
     """A page for each order with inflected headings in two languages, headings that say one thing twice, and lines with numbers."""
     k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
@@ -118,8 +114,8 @@ QUERIES = {
     "party_match": (lambda s, d: headings.party_match(_names_read(s, d), _parties(s, d)), None),
     "rule_states": (lambda s, d: headings.rule_states(_rules(s, d)), f"WITH {_RULES_SQL} SELECT * FROM s"),
     "dirty_rules": (lambda s, d: headings.dirty_rules(headings.rule_states(_rules(s, d)), _rule_kinds(s, d)), f"WITH {_RULES_SQL} SELECT list_extract(['same cell', 'next cell', 'below'], CAST(rule % 3 + 1 AS INTEGER)) AS strategy, 'field ' || CAST(rule % 4 AS VARCHAR) AS field, count(*) FILTER (state = 'EMEKLI') AS retired, count(*) FILTER (state = 'AKTIF') AS active, round(100.0::DOUBLE * count(*) FILTER (state = 'EMEKLI') / count(*), 1) AS decay, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY 1, 2"),
-    "field_candidates": (_found, over("sale", f"WITH {_CANDIDATES} SELECT * FROM cand")),
-    "candidate_selection": (lambda s, d: candidates.chosen(_found(s, d), EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} SELECT * FROM pick")),
-    "auto_fill": (lambda s, d: candidates.filled(_found(s, d), EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} {_FILLED}")),
+    "field_candidates": (lambda s, d: readings.field_candidates(_printed(s, d), FIELDS), over("sale", f"WITH {_CANDIDATES} SELECT * FROM cand")),
+    "candidate_selection": (lambda s, d: readings.chosen(_printed(s, d), FIELDS, EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} SELECT * FROM pick")),
+    "auto_fill": (lambda s, d: readings.filled(_printed(s, d), FIELDS, EQUATIONS, ","), over("sale", f"WITH {_CANDIDATES}, {_CHOSEN} {_FILLED}")),
 }
 DATES: dict[str, list[str]] = {}

@@ -41,16 +41,22 @@ def chart(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ACCOUNTS, "code string, name string")
 
 
+def _priced():
+    """A line's rate of VAT and its net amount."""
+    rate, disc = F.round(F.col("l_tax") * 100).cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint")
+    return rate, percent(kurus("l_extendedprice"), 100 - disc)
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", kurus("p_retailprice").alias("retail_kr"))
-    rate, disc = F.round(F.col("l_tax") * 100).cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint")
+    rate, net = _priced()
     lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     lines = lines.select(
         F.col("l_orderkey").alias("no"),
         F.col("l_suppkey").alias("supplier"),
         F.col("l_shipdate").cast("date").alias("ship_date"),
         rate.alias("rate"),
-        percent(kurus("l_extendedprice"), 100 - disc).alias("net_kr"),
+        net.alias("net_kr"),
         percent(F.col("l_quantity").cast("bigint") * F.coalesce("retail_kr", F.lit(0)), 60).alias("cost_kr"),
         (F.col("l_returnflag") == "R").alias("returned"),
     )
@@ -77,6 +83,20 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("net_debt_kr", posting.net_debt())
 
 
+def sale_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """no, party, date, net_kr, vat_kr, gross_kr of `sales`, by order.  Its parts say nothing of these unless a key of theirs is there twice, so lines do not meet them."""
+    columns = ["no", "party", "date", "net_kr", "vat_kr", "gross_kr"]
+    twice = table(spark, sf_dir, "part").where("p_partkey is not null").groupBy("p_partkey").count().where("count > 1")
+    if _key(spark, sf_dir, "sales") in _views or not twice.isEmpty():
+        return view(spark, sf_dir, "sales").select(*columns)
+    rate, net = _priced()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", net.alias("net_kr"), rate.alias("rate")).withColumn("vat_kr", percent("net_kr", "rate"))
+    sums = lines.groupBy("l_orderkey").agg(F.sum("net_kr").alias("net_kr"), F.sum("vat_kr").alias("vat_kr"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("party"), F.col("o_orderdate").cast("date").alias("date"))
+    met = orders.join(sums, orders["no"] == sums["l_orderkey"], "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("net_kr", "vat_kr")})
+    return met.withColumn("gross_kr", F.col("net_kr") + F.col("vat_kr")).select(*columns)
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each supplier and month of shipping: the lines' cost with 10 percent VAT, dated at the month's end."""
     month = F.last_day("ship_date")
@@ -120,12 +140,16 @@ def bank_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _views: dict[tuple, DataFrame] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
     """A model table that several queries of a session share, written once; `make` if it is none of this module.
 
     Lines of orders are one: sales and purchases read them, so that they meet their parts once.  It is made anew when the files under `sf_dir` are others, and outlives lost executors.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
+    key = _key(spark, sf_dir, name)
     if key not in _views:
         _views[key] = written((make or {"lines": order_lines, "journal": journal, "sales": sales, "receipts": receipts, "purchases": purchases, "payments": payments, "movements": bank_movements}[name])(spark, sf_dir), name)
     return _views[key]
